@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from ruleloom.llm.language import op2_language_id
 from ruleloom.llm.licenses import op4_license_scan
+from ruleloom.llm.toxicity import op10_toxicity
 
-QUERIES = [op4_license_scan]
+QUERIES = [op2_language_id, op4_license_scan, op10_toxicity]
 
 
 def queries():
