@@ -48,9 +48,9 @@ def partitions(spark: SparkSession) -> int:
 
 
 def words(text: str | None) -> list[bytes]:
-    """Words of a text: letters and digits, A-Z lowered, all else between them
-    dropped. Bytes of other alphabets are kept as they are."""
-    return (text or "").encode("utf-8", "surrogatepass").translate(WORD_TABLE).split()
+    """Words of a text in lower case: ASCII letters and digits and all other
+    alphabets' characters; what lies between them is dropped."""
+    return (text or "").lower().encode("utf-8", "surrogatepass").translate(WORD_TABLE).split()
 
 
 #: a-z, 0-9 and bytes over 0x7F stay, A-Z are lowered, the rest is a space.

@@ -6,10 +6,11 @@ from ruleloom.llm.decontaminate import op8_benchmark_decontamination
 from ruleloom.llm.language import op2_language_id
 from ruleloom.llm.licenses import op4_license_scan
 from ruleloom.llm.near import op6_ngram_jaccard_join
+from ruleloom.llm.packing import op3_best_fit_packing
 from ruleloom.llm.pii import op1_pii_surrogates
 from ruleloom.llm.toxicity import op10_toxicity
 
-QUERIES = [op1_pii_surrogates, op2_language_id, op4_license_scan, op6_ngram_jaccard_join, op8_benchmark_decontamination, op10_toxicity]
+QUERIES = [op1_pii_surrogates, op2_language_id, op3_best_fit_packing, op4_license_scan, op6_ngram_jaccard_join, op8_benchmark_decontamination, op10_toxicity]
 
 
 def queries():
