@@ -8,10 +8,11 @@ from ruleloom.llm.licenses import op4_license_scan
 from ruleloom.llm.near import op6_ngram_jaccard_join
 from ruleloom.llm.packing import op3_best_fit_packing
 from ruleloom.llm.pii import op1_pii_surrogates
+from ruleloom.llm.topk import OP5_SQL, op5_exact_topk
 from ruleloom.llm.toxicity import op10_toxicity
 from ruleloom.llm.warc import OP7_SQL, op7_warc_normalise
 
-QUERIES = [op1_pii_surrogates, op2_language_id, op3_best_fit_packing, op4_license_scan, op6_ngram_jaccard_join, op7_warc_normalise, op8_benchmark_decontamination, op10_toxicity]
+QUERIES = [op1_pii_surrogates, op2_language_id, op3_best_fit_packing, op4_license_scan, op5_exact_topk, op6_ngram_jaccard_join, op7_warc_normalise, op8_benchmark_decontamination, op10_toxicity]
 
 
 def queries():
@@ -19,4 +20,4 @@ def queries():
 
 
 def oracle_sql():
-    return {"op7_warc_normalise": OP7_SQL}
+    return {"op5_exact_topk": OP5_SQL, "op7_warc_normalise": OP7_SQL}
