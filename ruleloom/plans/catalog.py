@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("accuracy",)
+MODULES = ("accuracy", "routing")
 
 
 def _modules():
