@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("accuracy", "routing")
+MODULES = ("accuracy", "routing", "validation", "paired", "latency", "calibration", "audit")
 
 
 def _modules():
