@@ -1,0 +1,344 @@
+"""The training-data operators against brute force, round trips and odd rows."""
+
+import hashlib
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from ruleloom.llm import decontaminate, language, licenses, near, packing, pii, registry, substrings, suffix, topk, toxicity, warc
+
+SF = "/root/testdata/sf0.001"
+LONG = "lorem ipsum dolor " * 20_000
+
+
+@pytest.fixture(scope="module")
+def documents(spark):
+    return [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()]
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Nulls, empty and long texts, repeated rows, and a column that clashes."""
+    rows = [(1, "one two three four five six seven", "x"), (1, "one two three four five six seven", "x"), (2, None, None), (3, "", "y"), (None, "one two three four five six seven", "z"), (4, LONG, "l"), (5, "...", "p")]
+    return spark.createDataFrame(rows, "doc_id long, text string, score string").repartition(3)
+
+
+def empty(spark):
+    return spark.createDataFrame([], "doc_id long, text string")
+
+
+# 1
+def test_pii_replaces_and_keeps_form(spark):
+    rows = [(1, "Mr. John Smith at jane.doe@mail.com or +1 (555) 123-4567, 10.1.2.3, card 4539 1488 0343 6467."), (2, "write jane.doe@mail.com, Mrs Anna Petrova, Госпожа Иванова"), (3, "clean text, 12 items"),
+            (4, None), (5, ""), (2, "write jane.doe@mail.com, Mrs Anna Petrova, Госпожа Иванова"), (6, 'token = "0123456789abcdef0123456789abcdef"')]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("pii_found", F.lit("mine"))
+    out = pii.replace_pii(df, count="n").collect()
+    assert len(out) == len(rows) and all(r["pii_found"] == "mine" for r in out)
+    by = defaultdict(list)
+    for r in out:
+        by[r["doc_id"]].append(r)
+    one, two = by[1][0]["text"], by[2][0]["text"]
+    assert "jane.doe" not in one + two and "555) 123" not in one and "10.1.2.3" not in one and "Smith" not in one and "Ivan" not in two
+    mail = re.findall(r"\S+@\S+\.example", one)[0]
+    assert mail in two and by[2][0]["text"] == by[2][1]["text"]  # coreference
+    assert re.search(r"Mr\. (?:%s) [A-Z]" % "|".join(pii.GIVEN["latin"]["m"]), one) and re.search(r"Mrs (?:%s) [A-Z]" % "|".join(pii.GIVEN["latin"]["f"]), two)
+    assert re.search(r"Госпожа [А-Я][а-я]+", two) and "Иванова" not in two
+    card = re.search(r"card (4\d{3} \d{4} \d{4} \d{4})\.", one)[1].replace(" ", "")
+    assert sum(sum(divmod(int(c) * (2 if i % 2 else 1), 10)) for i, c in enumerate(reversed(card))) % 10 == 0
+    assert re.search(r'token = "[0-9a-f]{32}"', by[6][0]["text"]) and "0123456789abcdef" not in by[6][0]["text"]
+    assert by[3][0]["text"] == "clean text, 12 items" and by[3][0]["n"] == 0 and by[4][0]["text"] is None and by[5][0]["text"] == ""
+    assert pii.replace_pii(empty(spark)).count() == 0
+
+
+def test_pii_surrogates_stay_distinct(spark):
+    # so few phone digits that draws collide
+    df = spark.createDataFrame([(f"({a:02d}) 100-100",) for a in range(100)] + [(f"1.1.1.{i}",) for i in range(200)], "entity string")
+    out = pii.surrogates(df).collect()
+    made = [r["surrogate"] for r in out]
+    assert len(set(made)) == len(made) == 300 and not set(made) & {r["entity"] for r in out}
+
+
+# 2
+def test_language(spark, odd):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    out = registry.queries()["op2_language_id"](spark, "/root/testdata/sf0.01").join(docs.select("doc_id", "lang"), "doc_id").where("held_out").collect()
+    assert np.mean([r["lang_pred"] == r["lang"] for r in out]) > 0.95 and all(0 <= r["score"] <= 1 for r in out)
+    d = language.fit_dictionaries(docs.select("text", "lang"))
+    got = language.identify_language(odd, d)
+    assert got.columns == ["doc_id", "text", "score", "lang_pred", "_score", "margin", "accepted"]
+    assert {r["lang_pred"] for r in got.where("text is null or text in ('', '...')").collect()} == {"und"} and got.count() == 7
+    assert language.fit_dictionaries(docs.select("text", "lang").limit(0)) == {}
+    assert {r["lang_pred"] for r in language.identify_language(odd.drop("score"), {}).collect()} == {"und"}
+
+
+# 3
+def test_packing_against_the_tokenizer(spark, documents):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    rows = packing.op3_best_fit_packing(spark, SF).collect()
+    tok = Tokenizer.from_file(public_tokenizers.path(packing.TOKENIZER))
+    pieces = defaultdict(dict)
+    for r in rows:
+        pieces[r["doc_id"]][r["piece"]] = r
+    for i, t in documents:
+        ids = np.array([*tok.encode(t or "", add_special_tokens=False).ids, 2], "<u4")
+        at = 0
+        for p in range(len(pieces[i])):
+            r = pieces[i][p]
+            assert r["start"] == at and r["ids_crc32"] == zlib.crc32(ids[at:at + r["length"]].tobytes())
+            assert r["length"] == 1024 or p == 0
+            at += r["length"]
+        assert at == len(ids) and (len(ids) > 1024 or len(pieces[i]) == 1)
+    check_sequences(rows)
+    assert len({r["sequence_id"] for r in rows}) <= -(-sum(r["length"] for r in rows) // 1024) * 1.02 + 1
+
+
+def check_sequences(rows):
+    seqs = defaultdict(list)
+    for r in rows:
+        seqs[r["sequence_id"]].append((r["offset"], r["length"]))
+    for s in seqs.values():
+        s.sort()
+        assert s[0][0] == 0 and all(a[0] + a[1] == b[0] for a, b in zip(s, s[1:])) and sum(x[1] for x in s) <= 1024
+
+
+def test_packing_odd_rows(spark, odd):
+    rows = packing.pack(odd).collect()
+    check_sequences(rows)
+    assert sum(r["piece"] == 0 for r in rows) == 7 and [r["length"] for r in rows if r["doc_id"] in (2, 3)] == [1, 1]
+    assert packing.pack(empty(spark)).count() == 0
+
+
+def test_packing_tokens_equal_whole_encoding():
+    import public_tokenizers
+
+    t = packing.Tokens(public_tokenizers.path(packing.TOKENIZER))
+    for text in ["It's  we'll\n\n  x1y2 ñandú-ÉTÉ 12.5%", "a_b __c ² ½ ª", "日本 語  x\x85", "<|endoftext|> hi", "tab\t\tend \n", "œuvre ſ ß İ"]:
+        assert t.encode(text)[:-4] == np.array(t.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), text
+
+
+def test_crossover_keeps_every_piece():
+    rng = np.random.default_rng(1)
+    sizes = rng.integers(1, 1000, 300).tolist()
+    a, b = packing.Bins([], sizes, 1024), packing.Bins([], sizes, 1024)
+    a.put(list(range(300)))
+    for i in rng.permutation(300).tolist():
+        b.put([i])
+    child = packing.mutate(packing.crossover(a.bins, b.bins, sizes, 1024, rng), sizes, 1024, rng)
+    assert sorted(i for x in child for i in x) == list(range(300)) and max(sum(sizes[i] for i in x) for x in child) <= 1024
+
+
+# 4
+def brute_licenses(text):
+    w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    places = [(k, lab) for p, lab in licenses.BASE_PHRASES.items() for k in range(len(w)) if w[k:k + len(p.split())] == p.split()]
+    at = [k for k, _ in places]
+    return len(w), len(at), min(at, default=None), max(at, default=None), ",".join(sorted({lab for _, lab in places}))
+
+
+def test_licenses(spark, documents, odd):
+    texts = [t for _, t in documents] + ["Under the MIT License under the mit license", "CC-BY-NC cc by nc", "ünder the MIT license, Apache License, Version 2.0", None, "", LONG + "under the mit license"]
+    for t in texts:
+        assert licenses.scan(t)[:5] == brute_licenses(t), t
+    assert licenses.evaluate("MIT OR GPL-3.0-only AND (Apache-2.0 WITH X-exception)") == ({"mit", "gpl-3", "apache-2"}, True)
+    assert licenses.evaluate("GPL-2.0+ AND MIT") == ({"gpl-2", "mit"}, False) and licenses.evaluate("") == (set(), None)
+    assert licenses.scan("# SPDX-License-Identifier: (MIT OR Apache-2.0)\nx")[5] == "apache-2,mit"
+    got = licenses.scan_licenses(odd)
+    assert got.count() == 7 and "_score" in got.columns and licenses.scan_licenses(empty(spark)).count() == 0
+
+
+# 5
+def test_topk_against_brute_force(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, rng.normal(0, 0.12, 16).astype("float32").tolist()) for i in range(400)] + [(1000 + i, [0.25] * 16) for i in range(60)]
+    rows += [(20 * 40, None), (20 * 41, [None] * 16), (20 * 42, [float("nan")] * 16), (20 * 43, [float("inf")] * 16), (20 * 44, []), (20 * 45, [0.5] * 8), (7, [0.25] * 16)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(4)
+    r = topk.integers(df, "vec_id", "embedding")
+    got = defaultdict(list)
+    for x in topk.top_k(topk.build_index(r), r.where("id % 20 = 0"), 20).collect():
+        got[x["query_id"]].append((x["rank"], x["vec_id"], x["score"]))
+    ok = [(i, np.floor(np.array(v, float) * 64).astype(int)) for i, v in rows if v and None not in v and np.isfinite(v).all()]
+    for i, v in ok:
+        if i % 20 == 0:
+            best = sorted(((-int(v @ w), j) for j, w in ok if j != i and len(w) == len(v)))[:20]
+            assert sorted(got[i]) == [(k + 1, j, -s) for k, (s, j) in enumerate(best)]
+    assert topk.integers(df.limit(0), "vec_id", "embedding").count() == 0
+
+
+# 6
+def test_near_links_against_brute_force(spark):
+    rng = np.random.default_rng(5)
+    vocab = [f"w{i}" for i in range(400)]
+    base = [rng.choice(vocab, 80).tolist() for _ in range(40)]
+    rows = []
+    for i, b in enumerate(base):
+        rows.append((i, " ".join(b)))
+        for c in range(5):
+            d = list(b)
+            for k in rng.choice(80, rng.integers(0, 4)):
+                d[k] = "edit"
+            rows.append((100 + 10 * i + c, " ".join(d)))
+    rows += [(1, rows[6][1]), (900, None), (901, ""), (902, "a b"), (903, "A, b!"), (None, "a b")]
+    got = {}
+    for r in near.near_links(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect():
+        got[r["id"]] = (r["class_id"], r["copy_id"], r["n_links"])
+    sh, sets = near.Shingler(), {}
+    for i, t in rows:
+        if i is not None:
+            sets[i] = frozenset(sh(t).tolist())
+    first = {}
+    for i in sorted(sets):
+        if sets[i]:
+            first.setdefault(sets[i], i)
+    links, root = Counter(), {i: i for i in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    reps = sorted(first.items(), key=lambda x: x[1])
+    for k, (s, i) in enumerate(reps):
+        for t, j in reps[:k]:
+            if len(s & t) >= 0.8 * len(s | t):
+                links[i] += 1
+                links[j] += 1
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    for i, s in sets.items():
+        c = first.get(s, i) if s else i
+        assert got[i] == (find(c), c, links[c]), i
+    assert sum(links.values()) > 100 and got[903][1] == 902
+    assert near.prefix_depth() < near.DEPTH and near.near_links(empty(spark)).count() == 0
+
+
+def test_near_tiles_of_large_groups(spark, monkeypatch):
+    rows = [(i, " ".join(f"t{j}" for j in range(100)) + f" end{i}") for i in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(near, "TILE", 7)
+    assert {(r["class_id"], r["n_links"]) for r in near.near_links(df).collect()} == {(0, 29)}
+    assert [r["doc_id"] for r in near.keep_one(df).collect()] == [0]
+
+
+# 7
+def test_warc(spark, tmp_path):
+    big = "ü" * 80
+    rows = [(3, "u", big), (1, "u", big), (2, "v", "small"), (4, "v", "small"), (5, None, None), (6, "x y", "a\r\n\r\nWARC/1.1\r\n\r\n" * 20), (None, "n", "odd")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("digest", F.lit(1))
+    warc.write_monolithic(warc.roles(df, "page_id", "html"), f"{tmp_path}/m")
+    index = warc.normalise(spark, f"{tmp_path}/m", f"{tmp_path}/n")
+    got = {r["record_id"]: r for r in warc.read_back(index, f"{tmp_path}/n").collect()}
+    assert len(got) == 7 and all(r["sound"] for r in got.values())
+    assert got["<urn:page:3>"]["record_type"] == "revisit" and got["<urn:page:3>"]["refers_to"] == "<urn:page:1>"
+    assert got["<urn:page:4>"]["record_type"] == "response" and got["<urn:page:5>"]["payload_bytes"] == 0
+    assert got["<urn:page:3>"]["payload_digest"] == hashlib.sha256(big.encode()).hexdigest() and got["<urn:page:3>"]["payload_bytes"] == 160
+    import gzip
+    for f in (tmp_path / "n").glob("*.warc.gz"):  # members laid end to end are one valid stream
+        assert gzip.decompress(f.read_bytes()).startswith(b"WARC/1.1")
+
+
+def test_warc_inflates_across_chunks(monkeypatch):
+    import io
+
+    monkeypatch.setattr(warc, "CHUNK", 64)
+    recs = [b"WARC/1.1\r\nContent-Length: %d\r\n\r\n" % n + bytes([65 + n % 26]) * n + b"\r\n\r\n" for n in (0, 5, 300, 1, 1000)]
+    c = zlib.compressobj(wbits=31)
+    assert list(warc.inflate_records(io.BytesIO(c.compress(b"".join(recs)) + c.flush()))) == recs
+
+
+# 8
+def test_decontamination(spark):
+    rng = np.random.default_rng(8)
+    word = lambda: "".join(rng.choice(list("abcdefgh"), 6))
+    item = [word() for _ in range(30)]
+    other = [[word() for _ in range(200)] for _ in range(6)]
+    changed = list(item)
+    changed[5] = changed[14] = changed[23] = "zzz"
+    put_in = [w for k, w in enumerate(item) for w in ([w, "new"] if k % 7 == 0 else [w])]
+    rows = [(1, " ".join(other[0] + item + other[1])), (2, " ".join(changed).upper()), (3, " ".join(other[2] + put_in)), (4, " ".join(other[3] + item[:22])), (5, " ".join(other[4])), (6, " ".join(other[5] + item[:10])), (7, None), (8, ""), (1, " ".join(item))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    items = spark.createDataFrame([(0, " ".join(item)), (1, " ".join(word() for _ in range(30))), (2, None), (3, "a b")], "item_id long, text string")
+    got = decontaminate.contamination(df, items).collect()
+    assert sorted({r["id"] for r in got}) == [1, 2, 3, 4] and {r["item_id"] for r in got} == {0}
+    assert sorted(r["doc_id"] for r in decontaminate.drop_contaminated(df, items).collect()) == [5, 6, 7, 8]
+    assert decontaminate.contamination(df, items.limit(0)).count() == 0 and decontaminate.contamination(empty(spark), items).count() == 0
+
+
+def test_alignment_against_plain_dynamic_programming():
+    rng = np.random.default_rng(2)
+    for _ in range(30):
+        a, b = rng.integers(0, 4, 12), rng.integers(0, 4, 20)
+        h = np.zeros((13, 21), int)
+        for i in range(1, 13):
+            for j in range(1, 21):
+                h[i, j] = max(0, h[i - 1, j - 1] + (2 if a[i - 1] == b[j - 1] else -1), h[i - 1, j] - 1, h[i, j - 1] - 1)
+        assert decontaminate.align(a, b[None, :])[0][0] == h.max()
+
+
+# 9
+def brute_repeats(rows):
+    first, out = {}, {}
+    for i, t in sorted((r for r in rows if r[0] is not None), key=lambda r: r[0]):
+        b = (t or "").encode()
+        for k in range(len(b) - 49):
+            first.setdefault(b[k:k + 50], i)
+    for i, t in rows:
+        b = (t or "").encode()
+        gone = bytearray(len(b))
+        for k in range(len(b) - 49):
+            if i is not None and first[b[k:k + 50]] < i:
+                gone[k:k + 50] = b"\1" * 50
+        kept = bytes(c for c, g in zip(b, gone) if not g)
+        out[i] = (len(b), sum(gone), sum(1 for k in range(len(b)) if gone[k] and (k == 0 or not gone[k - 1])), hashlib.sha256(kept).hexdigest())
+    return out
+
+
+def test_repeats_against_brute_force(spark, documents):
+    extra = [(300, "x" * 500), (301, "x" * 60), (302, "x" * 49), (303, None), (304, ""), (305, "ab" * 300), (306, "y" + "ab" * 40 + "z"), (306, "y" + "ab" * 40 + "z"), (None, "x" * 90)]
+    rows = documents + extra
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in substrings.remove_repeats(df).collect()}
+    assert got == brute_repeats(rows) and sum(v[1] for v in got.values()) > 1000
+    assert substrings.remove_repeats(empty(spark)).count() == 0
+
+
+def test_suffix_array():
+    rng = np.random.default_rng(4)
+    for n, k in [(1, 1), (40, 1), (60, 2), (200, 3), (300, 50)] * 10:
+        s = np.append(rng.integers(1, k + 1, n), 0)
+        assert suffix.suffix_array(s, k + 1).tolist() == sorted(range(n + 1), key=lambda i: s[i:].tolist())
+
+
+# 10
+def test_toxicity(spark, odd):
+    sf = "/root/testdata/sf0.1"
+    out = toxicity.op10_toxicity(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("held_out").collect()
+    hit = [r["predicted"] for r in out if r["toxic"] == 1]
+    false = [r["predicted"] for r in out if r["toxic"] == 0]
+    assert np.mean(hit) > 0.8 and np.mean(false) < 0.01 and all(0 <= r["score"] <= 1 for r in out)
+    model = toxicity.fit_toxicity(empty(spark), spark.createDataFrame([], "doc_id long, toxic int"))
+    got = toxicity.score_toxicity(odd, model)
+    assert got.count() == 7 and got.columns[-2:] == ["_score", "predicted"] and {r["predicted"] for r in got.collect()} == {0}
+
+
+def test_machine_learns_a_pair():
+    # a and b are harmless alone and toxic together
+    rng = np.random.default_rng(0)
+    rows, y = [], []
+    for _ in range(3_000):
+        a, b = rng.random(2) < 0.4
+        rows.append(np.array(sorted([*([11] if a else []), *([22] if b else []), int(rng.integers(100, 400))]), np.int32))
+        y.append(int(a and b))
+    m = toxicity.fit_machine(rows, np.array(y), np.ones(len(y)))
+    place = {int(t): k for k, t in enumerate(m["terms"])}
+    score = lambda *t: toxicity._machine(np.array([[place[x] for x in t]]), m["w0"], m["w"], m["v"])[0][0]
+    assert score(11, 22) > 0 > max(score(11), score(22))
+
+
+def test_every_operator_is_registered():
+    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in registry.queries()) == list(range(1, 11))
