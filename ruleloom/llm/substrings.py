@@ -162,9 +162,9 @@ def _stretches_of(shards: int):
         for pdf in batches:
             lows, parts, texts = [], [], []
             for i, m, t, told in zip(pdf["id"], pdf["mark"], pdf["t"], pdf["lows"]):
-                shared = np.unique(_joined(told, np.uint64))
+                shared = np.sort(_joined(told, np.uint64))
                 for at, b, starts, lengths, low in stretches(t):
-                    hit = np.flatnonzero(np.isin(low, shared))
+                    hit = np.flatnonzero(shared[np.minimum(np.searchsorted(shared, low), len(shared) - 1)] == low)
                     if len(hit):
                         raw = b.tobytes()
                         texts += [raw[s:s + n + LEAST - 1] for s, n in zip(starts[hit].tolist(), lengths[hit].tolist())]
