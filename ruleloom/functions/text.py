@@ -55,21 +55,29 @@ def one_edit(a: Column, b: Column) -> Column:
 
 def person(x: Column) -> Column:
     """(first, last) of a name, written ``First Last`` or ``Last, First``;
-    punctuation and middle initials are dropped, a single word is a last name."""
-    turned = F.when(x.contains(","), F.concat_ws(" ", F.substring_index(x, ",", -1), F.substring_index(x, ",", 1))).otherwise(x)
-    parts = F.filter(F.split(F.regexp_replace(F.lower(turned), r"[^a-z' -]", " "), "[ ]+"), lambda p: p != "")
+    punctuation and middle initials are dropped; a single word is a first name
+    with an empty last one. Null where there is no letter."""
+    t = F.lower(collapse(x))
+    turned = F.when(t.contains(","), F.concat_ws(" ", F.regexp_replace(t, "^[^,]*,", ""), F.substring_index(t, ",", 1))).otherwise(t)
+    parts = F.filter(F.transform(F.split(turned, "[ ]+"), lambda p: F.regexp_replace(p, "[^a-z]", "")), lambda p: p != "")
     n = F.size(parts)
     kept = F.filter(parts, lambda p, i: (i == 0) | (i == n - 1) | (F.length(p) > 1))
-    return F.struct(F.when(n > 1, F.element_at(kept, 1)).alias("first"), F.when(n > 0, F.element_at(kept, -1)).alias("last"))
+    first, last = F.try_element_at(kept, F.lit(1)), F.when(n > 1, F.try_element_at(kept, F.lit(-1))).otherwise("")
+    return F.when(n > 0, F.struct(first.alias("first"), last.alias("last")))
 
 
 def same_person(a: Column, b: Column, tolerance: int = 1) -> Column:
     """First and last names differ by ``tolerance`` letters together at most; no name matches none."""
     p, q = person(a), person(b)
-    gap = F.levenshtein(F.coalesce(p["first"], F.lit("")), F.coalesce(q["first"], F.lit(""))) + F.levenshtein(p["last"], q["last"])
+    gap = F.levenshtein(p["first"], q["first"]) + F.levenshtein(p["last"], q["last"])
     return F.coalesce(gap <= tolerance, F.lit(False))
 
 
+def same_date(a: Column, b: Column) -> Column:
+    """Equal as dates; as text where one is no date."""
+    return F.coalesce(parse_date(a) == parse_date(b), F.lower(collapse(a)) == F.lower(collapse(b)), F.lit(False))
+
+
 def parse_date(x: Column) -> Column:
     """ISO, month/day/year and ``Mon d, yyyy`` dates; anything else is null."""
     t = blank_to_null(x)

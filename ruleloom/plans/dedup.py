@@ -97,7 +97,7 @@ ORACLE_SQL = {
     "date_normalize": """
         SELECT strftime(o_orderdate, '%Y-%m') AS month, o_orderkey % 4 AS k, count(*)::BIGINT AS n, count(*) FILTER (WHERE o_orderkey % 4 < 3)::BIGINT AS read,
           count(*) FILTER (WHERE o_orderkey % 4 < 3)::BIGINT AS equal FROM orders GROUP BY 1, 2""",
-    "person_parse": """SELECT c_custkey, lower(c_mktsegment) AS first, 'o''' || lower(c_mktsegment) AS last, true AS same FROM customer""",
+    "person_parse": """SELECT c_custkey, lower(c_mktsegment) AS first, 'o' || lower(c_mktsegment) AS last, true AS same FROM customer""",
     "template_fill": """
         SELECT n_nationkey, n || ' (' || n_nationkey || ') of region ' || n_regionkey || '; ' || n AS text
         FROM (SELECT *, array_to_string(list_transform(string_split(lower(n_name), ' '), lambda w: upper(substr(w, 1, 1)) || substr(w, 2)), ' ') AS n FROM nation)""",
