@@ -97,8 +97,8 @@ ORACLE_SQL = {
     "abstain_rates": f"""
         WITH a AS (SELECT lang AS workflow, count(*) FILTER (WHERE toxic = 1)::BIGINT AS n_expected, count(*) FILTER (WHERE toxic = 1 AND quality = 0)::BIGINT AS n_abstained_right,
             count(*) FILTER (WHERE toxic <> 1)::BIGINT AS n_answerable, count(*) FILTER (WHERE toxic <> 1 AND quality = 0)::BIGINT AS n_over_abstained FROM ({_CASES}) GROUP BY 1),
-        r AS (SELECT workflow, round(p, 6) AS abstain_rate, round({_LO}, 6) AS abstain_low FROM (SELECT workflow, n_abstained_right::DOUBLE / n_expected AS p, n_expected::DOUBLE AS m FROM a)),
-        o AS (SELECT workflow, round(p, 6) AS over_rate, round({_HI}, 6) AS over_high FROM (SELECT workflow, n_over_abstained::DOUBLE / n_answerable AS p, n_answerable::DOUBLE AS m FROM a))
+        r AS (SELECT workflow, round(p, 6) AS abstain_rate, round({_LO}, 6) AS abstain_low FROM (SELECT workflow, n_abstained_right::DOUBLE / nullif(n_expected, 0) AS p, n_expected::DOUBLE AS m FROM a)),
+        o AS (SELECT workflow, round(p, 6) AS over_rate, round({_HI}, 6) AS over_high FROM (SELECT workflow, n_over_abstained::DOUBLE / nullif(n_answerable, 0) AS p, n_answerable::DOUBLE AS m FROM a))
         SELECT a.*, r.abstain_rate, r.abstain_low, o.over_rate, o.over_high FROM a JOIN r USING (workflow) JOIN o USING (workflow)""",
     "dataset_summary": """
         WITH j AS (SELECT d.doc_id, d.lang, d.source, l.quality FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id),
