@@ -95,8 +95,10 @@ class Items:
         """Places in the text and the seeds there."""
         seeds = self.seeds(numbers)
         at = np.flatnonzero(seeds >= 0)
-        at = at[np.isin(seeds[at], self.unique)] if len(at) else at
-        return at, seeds[at]
+        if len(at) and len(self.unique):
+            near = np.minimum(np.searchsorted(self.unique, seeds[at]), len(self.unique) - 1)
+            at = at[self.unique[near] == seeds[at]]
+        return (at, seeds[at]) if len(self.unique) else (at[:0], seeds[:0])
 
 
 def align(item: np.ndarray, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
