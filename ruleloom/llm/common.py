@@ -34,7 +34,9 @@ def shared_dir(spark: SparkSession) -> str:
 
 def checkpoint(df: DataFrame) -> DataFrame:
     """Cut the lineage through the shared folder; executors may be lost later."""
-    shared_dir(df.sparkSession)
+    path = shared_dir(df.sparkSession)
+    if not df.sparkSession.sparkContext.getCheckpointDir():
+        df.sparkSession.sparkContext.setCheckpointDir(path)
     return df.checkpoint(eager=True)
 
 

@@ -38,7 +38,7 @@ from ruleloom.llm.common import checkpoint, fresh
 KEY, ATTEMPTS = "replace-this-key-in-production", 6
 
 _WORD = r"[\p{L}\p{N}]"
-EMAIL = rf"(?<![\p{{L}}\p{{N}}._%+-])[\p{{L}}\p{{N}}._%+-]++@[\p{{L}}\p{{N}}-]++(?:\.[\p{{L}}\p{{N}}-]++)*(?<=\.\p{{L}}{{2,24}})"
+EMAIL = rf"(?<![\p{{L}}\p{{N}}._%+-])[\p{{L}}\p{{N}}._%+-]++@[\p{{L}}\p{{N}}-]++(?:\.[\p{{L}}\p{{N}}-]++){{0,12}}(?<=\.\p{{L}}{{2,24}})"
 SECRET = r"(?<![\p{L}\p{N}_])(?i:token|secret|password|passwd|api[_-]?key|access[_-]?key)\s{0,3}[=:]\s{0,3}[\"']?[\p{L}\p{N}_/+-]{16,}+[\"']?"
 IBAN = rf"(?<!{_WORD})[A-Z]{{2}}\d{{2}}(?: ?[A-Z0-9]{{4}}){{3,7}}(?: ?[A-Z0-9]{{1,3}})?(?!{_WORD})"
 IPV4 = r"(?<![\p{L}\p{N}.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\p{L}\p{N}])(?!\.\d)"
