@@ -43,7 +43,7 @@ SECRET = r"(?<![\p{L}\p{N}_])(?i:token|secret|password|passwd|api[_-]?key|access
 IBAN = rf"(?<!{_WORD})[A-Z]{{2}}\d{{2}}(?: ?[A-Z0-9]{{4}}){{3,7}}(?: ?[A-Z0-9]{{1,3}})?(?!{_WORD})"
 IPV4 = r"(?<![\p{L}\p{N}.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\p{L}\p{N}])(?!\.\d)"
 SSN = rf"(?<![\p{{L}}\p{{N}}-])\d{{3}}-\d{{2}}-\d{{4}}(?![\p{{L}}\p{{N}}-])"
-CARD = rf"(?<![\p{{L}}\p{{N}}+-])\d(?:[ -]?\d){{12,18}}(?!{_WORD})(?!-\d)"
+CARD = rf"(?<![\p{{L}}\p{{N}}+-])(?:\d{{13,19}}|\d{{4}}[ -]\d{{4}}[ -]\d{{4}}[ -]\d{{1,7}}|\d{{4}}[ -]\d{{6}}[ -]\d{{5}})(?!{_WORD})(?!-\d)"
 PHONE = rf"(?<![\p{{L}}\p{{N}}+.-])(?:\+\d{{1,3}}[ .-]?)?(?:\(\d{{2,4}}\) ?|\d{{2,4}}[ .-])\d{{3,4}}[ .-]\d{{3,4}}(?!{_WORD})(?!-\d)|(?<![\p{{L}}\p{{N}}+])\+\d{{1,3}}(?:[ .-]?\d{{2,4}}){{2,5}}(?!{_WORD})"
 
 #: Titles by gender.

@@ -54,6 +54,12 @@ def test_pii_replaces_and_keeps_form(spark):
     assert pii.replace_pii(empty(spark)).count() == 0
 
 
+def test_pii_leaves_other_numbers(spark):
+    texts = ["on 2024-01-01 12 30 45 and 3 of 12", "pages 100-200, 1.5 or 2.25", "no. 12345", "10:20:30", "a@b", "v1.2.3", "Dr. of arts", "1 2 3 4 5 6 7 8 9 10 11 12 13"]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    assert sorted(r["text"] for r in pii.replace_pii(df).collect()) == sorted(texts)
+
+
 def test_pii_surrogates_stay_distinct(spark):
     # so few phone digits that draws collide
     df = spark.createDataFrame([(f"({a:02d}) 100-100",) for a in range(100)] + [(f"1.1.1.{i}",) for i in range(200)], "entity string")
