@@ -138,3 +138,12 @@ def test_streams(spark, tmp_path):
         df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start().awaitTermination()
     assert [tuple(r)[1:3] for r in spark.table("rolled").collect()] == [(2, 1)] and spark.table("fresh").count() == 1
     assert budget.drifted(spark.createDataFrame([("a",), ("b",), (None,)], "api_model string"), ["a"]).count() == 2
+
+
+def test_swap_noise_swaps_neighbours(spark):
+    from ruleloom.operators.planning import swap_noise
+
+    text = "abcdefgh Abcdefgh short " * 40
+    out = spark.createDataFrame([(1, text)], "i int, t string").select(swap_noise(F.col("t"), "s", F.col("i"))).first()[0]
+    changed = [(a, b) for a, b in zip(text.split(" "), out.split(" ")) if a != b]
+    assert 0 < len(changed) < 40 and all(a == "abcdefgh" and sorted(a) == sorted(b) and sum(x != y for x, y in zip(a, b)) == 2 for a, b in changed)
