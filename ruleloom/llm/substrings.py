@@ -36,10 +36,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ruleloom.llm.common import checkpoint, partitions
+from ruleloom.llm.common import partitions
 from ruleloom.llm.suffix import common_prefixes, suffix_array
 
-LEAST, GRAM = 50, 20
+LEAST, GRAM, KEY_BYTES = 50, 20, 5
 #: Bytes that are hashed at once, windows of a stretch at most, and shards for
 #: each shuffle partition.
 CHUNK, STRETCH, SHARDS = 1 << 20, 4_096, 8
@@ -86,9 +86,39 @@ def stretches(text: str | None) -> Iterator[tuple[int, np.ndarray, np.ndarray, n
         yield at, b, starts, lengths, low[starts]
 
 
-def _bucket(low: np.ndarray, buckets: int) -> np.ndarray:
+def _keys(low: np.ndarray) -> np.ndarray:
     """Minimizers are small numbers by choice, so they are mixed first."""
-    return (((low * _P) >> np.uint64(33)) % np.uint64(buckets)).astype(np.int64)
+    h = low * _P
+    return h ^ (h >> np.uint64(32))
+
+
+def _bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
+    return ((keys >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
+
+
+def _short(keys: np.ndarray) -> np.ndarray:
+    """The lower KEY_BYTES of keys, as they travel. A bucket holds about a
+    million keys; two that are equal by chance only add a candidate."""
+    return np.ascontiguousarray(keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :KEY_BYTES])
+
+
+def _long(packed: np.ndarray) -> np.ndarray:
+    out = np.zeros((len(packed) // KEY_BYTES, 8), np.uint8)
+    out[:, :KEY_BYTES] = packed.reshape(-1, KEY_BYTES)
+    return out.view("<u8").ravel()
+
+
+def _squeeze(b: bytes) -> bytes:
+    """What is shuffled is compressed better than by the shuffle itself."""
+    import zstandard
+
+    return zstandard.ZstdCompressor(level=3).compress(b)
+
+
+def _expand(b: bytes) -> bytes:
+    import zstandard
+
+    return zstandard.ZstdDecompressor().decompress(b)
 
 
 def _texts(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -110,14 +140,14 @@ def _minimizers_of(buckets: int):
                     owner.append(np.full(len(low), k, np.int64))
             if not lows:
                 continue
-            low, who = np.concatenate(lows), np.concatenate(owner)
+            low, who = _keys(np.concatenate(lows)), np.concatenate(owner)
             bucket = _bucket(low, buckets)
             order = np.argsort(bucket, kind="stable")
             low, who, bucket = low[order], who[order], bucket[order]
             out = []
             for b, a, z in _runs(bucket):
                 docs, counts = np.unique(who[a:z], return_counts=True)
-                out.append((b, ids[docs].tobytes(), marks[docs].tobytes(), counts.astype(np.uint32).tobytes(), low[a:z].tobytes()))
+                out.append((b, ids[docs].tobytes(), marks[docs].tobytes(), counts.astype(np.uint32).tobytes(), _short(low[a:z]).tobytes()))
             yield pd.DataFrame(out, columns=["bucket", "ids", "marks", "counts", "lows"])
 
     return run
@@ -137,13 +167,13 @@ def _shared_minimizers(pdf: pd.DataFrame) -> pd.DataFrame:
     """(id, mark, lows): those of a bucket's minimizers that two documents have, told to each."""
     counts = _joined(pdf["counts"], np.uint32)
     ids, marks = np.repeat(_joined(pdf["ids"], np.int64), counts), np.repeat(_joined(pdf["marks"], np.int64), counts)
-    low = _joined(pdf["lows"], np.uint64)
+    low = _long(_joined(pdf["lows"], np.uint8))
     order = np.argsort(low, kind="stable")
     ids, marks, low = ids[order], marks[order], low[order]
     first = np.flatnonzero(np.concatenate([[True], low[1:] != low[:-1]]))
     least, most = np.minimum.reduceat(ids, first), np.maximum.reduceat(ids, first)
     keep = np.repeat(least < most, np.diff(np.append(first, len(low))))
-    return _by_document(ids[keep], marks[keep], low[keep].view(np.int64)[:, None], "lows")
+    return _by_document(ids[keep], marks[keep], _short(low[keep]), "lows")
 
 
 def _by_document(ids: np.ndarray, marks: np.ndarray, values: np.ndarray, name: str) -> pd.DataFrame:
@@ -162,14 +192,17 @@ def _stretches_of(shards: int):
         for pdf in batches:
             lows, parts, texts = [], [], []
             for i, m, t, told in zip(pdf["id"], pdf["mark"], pdf["t"], pdf["lows"]):
-                shared = np.sort(_joined(told, np.uint64))
+                shared = np.sort(_long(_joined(told, np.uint8)))
+                mask = np.uint64((1 << 8 * KEY_BYTES) - 1)
                 for at, b, starts, lengths, low in stretches(t):
-                    hit = np.flatnonzero(shared[np.minimum(np.searchsorted(shared, low), len(shared) - 1)] == low)
+                    keys = _keys(low)
+                    told_of = keys & mask
+                    hit = np.flatnonzero(shared[np.minimum(np.searchsorted(shared, told_of), len(shared) - 1)] == told_of)
                     if len(hit):
                         raw = b.tobytes()
                         texts += [raw[s:s + n + LEAST - 1] for s, n in zip(starts[hit].tolist(), lengths[hit].tolist())]
                         parts.append(np.stack([np.full(len(hit), i), np.full(len(hit), m), at + starts[hit]], 1))
-                        lows.append(low[hit])
+                        lows.append(keys[hit])
             if not lows:
                 continue
             shard = _bucket(np.concatenate(lows), shards)
@@ -180,7 +213,8 @@ def _stretches_of(shards: int):
                 own: dict[bytes, int] = {}  # equal stretches travel once
                 number = np.array([own.setdefault(texts[k], len(own)) for k in order[a:z]], np.uint32)
                 sizes = np.array([len(x) for x in own], np.uint32)
-                out.append((s, where[order[a:z]].tobytes(), number.tobytes(), sizes.tobytes(), b"".join(own)))
+                columns = np.ascontiguousarray(where[order[a:z]].T)  # ids, marks and starts, each by itself
+                out.append((s, _squeeze(columns.tobytes()), _squeeze(number.tobytes()), sizes.tobytes(), _squeeze(b"".join(own))))
             yield pd.DataFrame(out, columns=["shard", "places", "numbers", "sizes", "texts"])
 
     return run
@@ -198,7 +232,7 @@ def equal_windows(texts: list[bytes], smallest: np.ndarray) -> np.ndarray:
     owner = np.repeat(np.arange(len(texts)), sizes + 1)
     window = np.zeros(len(s), bool)
     window[:-1] = np.repeat(gaps, sizes + 1) - np.arange(len(s) - 1) >= LEAST
-    sa = suffix_array(s, 258)
+    sa = suffix_array(s, 258, depth=LEAST)
     agrees = common_prefixes(s, sa, LEAST)
     value = np.full(len(s), np.iinfo(np.int64).max)
     value[:-1][window[:-1]] = smallest[owner][window[:-1]]
@@ -216,9 +250,10 @@ def _spans(pdf: pd.DataFrame) -> pd.DataFrame:
     distinct: dict[bytes, int] = {}
     places, numbers = [], []
     for place, number, sizes, text in zip(pdf["places"], pdf["numbers"], pdf["sizes"], pdf["texts"]):
+        place, number, text = _expand(place), _expand(number), _expand(text)
         ends = np.cumsum(np.frombuffer(sizes, np.uint32)).tolist()
         own = np.array([distinct.setdefault(text[a:z], len(distinct)) for a, z in zip([0, *ends], ends)], np.int64)
-        places.append(np.frombuffer(place, np.int64).reshape(-1, 3))
+        places.append(np.frombuffer(place, np.int64).reshape(3, -1).T)
         numbers.append(own[np.frombuffer(number, np.uint32)])
     where, number = np.concatenate(places), np.concatenate(numbers)
     texts = list(distinct)
@@ -280,11 +315,13 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     packed = known.mapInPandas(_minimizers_of(n), "bucket long, ids binary, marks binary, counts binary, lows binary")
     told = packed.groupBy("bucket").applyInPandas(_shared_minimizers, "id long, mark long, lows binary")
     told = told.groupBy("id", "mark").agg(F.collect_list("lows").alias("lows"))
-    sent = known.dropDuplicates(["id", "mark"]).join(told, ["id", "mark"]).select("id", "mark", "t", "lows")
+    placed = known.repartition(n, "id", "mark")  # both joins below read this one exchange
+    sent = placed.join(told, ["id", "mark"]).select("id", "mark", "t", "lows")
     sent = sent.mapInPandas(_stretches_of(n * SHARDS), "shard long, places binary, numbers binary, sizes binary, texts binary")
-    spans = checkpoint(sent.groupBy("shard").applyInPandas(_spans, "id long, mark long, spans binary"))
+    spans = sent.groupBy("shard").applyInPandas(_spans, "id long, mark long, spans binary")
     spans = spans.groupBy("id", "mark").agg(F.collect_list("spans").alias("spans"))
-    out = rows.join(spans, ["id", "mark"], "left").select("id", "t", "spans").mapInPandas(_rewrite(with_text), RESULT)
+    whole = placed.join(spans, ["id", "mark"], "left").select("id", "t", "spans").unionByName(rows.where(F.col("id").isNull()).select("id", "t", F.lit(None).cast("array<binary>").alias("spans")))
+    out = whole.mapInPandas(_rewrite(with_text), RESULT)
     return out if with_text else out.drop("kept")
 
 

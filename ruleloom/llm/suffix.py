@@ -5,6 +5,11 @@ substrings by inducing, names them, sorts the names recursively, and induces
 the whole array from the sorted LMS suffixes. On the text itself a bucket's
 suffixes are induced together with numpy, bucket by bucket; on the shorter
 strings of names, whose alphabets are large, one by one. Both take linear time.
+
+Where only the order by the first ``depth`` symbols matters, names are sorted
+by doubling instead: ranks of two names from pairs of ranks, then of four, and
+so on until they reach over ``depth`` symbols. Induced from such LMS suffixes,
+all suffixes are in order by at least so many symbols.
 """
 
 from __future__ import annotations
@@ -158,8 +163,25 @@ def _induce_names(s: list[int], sigma: int) -> list[int]:
     return sa
 
 
-def suffix_array(s: np.ndarray, sigma: int) -> np.ndarray:
-    """Of symbols under ``sigma``; the last one is 0 and no other is."""
+def _double_names(names: np.ndarray, lms_ranks: int, reach: int) -> np.ndarray:
+    """The order of suffixes of a string of names by their first ``reach`` names."""
+    rank, width, count = names, 1, lms_ranks
+    order = np.argsort(rank, kind="stable")
+    while width < reach and count < len(names):
+        ahead = np.zeros(len(names), np.int64)
+        ahead[:-width] = rank[width:] + 1
+        key = rank * (len(names) + 1) + ahead
+        order = np.argsort(key, kind="stable")
+        new = np.concatenate([[False], key[order][1:] != key[order][:-1]])
+        rank = np.empty(len(names), np.int64)
+        rank[order] = np.cumsum(new)
+        count, width = int(new.sum()) + 1, width * 2
+    return order
+
+
+def suffix_array(s: np.ndarray, sigma: int, depth: int | None = None) -> np.ndarray:
+    """Of symbols under ``sigma``; the last one is 0 and no other is. With
+    ``depth``, suffixes that agree for ``depth`` symbols may stand in any order."""
     n = len(s)
     if n == 1:
         return np.zeros(1, np.int64)
@@ -171,7 +193,9 @@ def suffix_array(s: np.ndarray, sigma: int) -> np.ndarray:
     ordered = sa[is_lms[sa]]
     name, count = _names(s, smaller, lms, ordered)
     if count < len(lms):
-        ordered = lms[np.array(_induce_names(name.tolist(), count))]
+        # LMS places are two symbols apart or more
+        order = np.array(_induce_names(name.tolist(), count)) if depth is None else _double_names(name, count, -(-depth // 2))
+        ordered = lms[order]
     return _induce(s, smaller, ordered, sigma)
 
 
