@@ -6,20 +6,22 @@ with a smaller id. All is judged on the input.
 1. Each window of LEAST bytes has a minimizer: the least hash among its
    strings of GRAM bytes. Equal windows have equal minimizers wherever they
    stand. Successive windows of one minimizer form a stretch.
-2. The documents of each minimizer are gathered, as packed arrays. Those of a
-   minimizer that two documents have are told of it.
-3. Such documents send their stretches to the minimizer's shard. All equal
-   windows meet in one shard, and equal stretches are kept there once with
-   their smallest document; so copies add no text to a shard.
+2. The documents of each minimizer's bucket are gathered, as packed arrays. Each
+   document is answered with one bit for each of its stretches, in the order in
+   which it sent them: whether two documents have the minimizer.
+3. Such stretches go to the minimizer's shard. All equal windows meet in one
+   shard, and equal stretches are kept there once with their smallest document;
+   so copies add no text to a shard.
 4. A shard's text gets its suffix array by induced sorting, and permuted common
    prefixes tell which neighbours agree for LEAST bytes. Runs of these are
    equal windows; each run has a smallest document. Windows of larger
    documents are reported back.
 5. Each document joins its reported spans and is rewritten.
 
-What travels is packed: a row for each batch and bucket, or for each document
-and bucket. Each step is linear in the text, and in the number of documents
-that have a window, however many have it.
+What travels is packed: a row for each batch and bucket, or for each bucket
+and group of documents, so never more rows than what they hold. Each step is
+linear in the text, and in the number of documents that have a window, however
+many have it.
 
 Null texts count as empty. Rows with a null id take no part and lose nothing.
 Repeated rows of an id are one document and lose the same bytes; rows of one
@@ -41,7 +43,7 @@ from ruleloom.llm.suffix import common_prefixes, suffix_array
 
 LEAST, GRAM, KEY_BYTES = 50, 20, 5
 #: Bytes that are hashed at once, windows of a stretch at most, and shards for
-#: each shuffle partition.
+#: each shuffle partition, which are sorted one after the other.
 CHUNK, STRETCH, SHARDS = 1 << 20, 4_096, 8
 
 _P = np.uint64(0x9E3779B97F4A7C15)
@@ -163,59 +165,101 @@ def _joined(blobs, kind) -> np.ndarray:
     return np.concatenate([np.frombuffer(b, kind) for b in blobs]) if len(blobs) else np.zeros(0, kind)
 
 
-def _shared_minimizers(pdf: pd.DataFrame) -> pd.DataFrame:
-    """(id, mark, lows): those of a bucket's minimizers that two documents have, told to each."""
-    counts = _joined(pdf["counts"], np.uint32)
-    ids, marks = np.repeat(_joined(pdf["ids"], np.int64), counts), np.repeat(_joined(pdf["marks"], np.int64), counts)
-    low = _long(_joined(pdf["lows"], np.uint8))
-    order = np.argsort(low, kind="stable")
-    ids, marks, low = ids[order], marks[order], low[order]
-    first = np.flatnonzero(np.concatenate([[True], low[1:] != low[:-1]]))
-    least, most = np.minimum.reduceat(ids, first), np.maximum.reduceat(ids, first)
-    keep = np.repeat(least < most, np.diff(np.append(first, len(low))))
-    return _by_document(ids[keep], marks[keep], _short(low[keep]), "lows")
+def _home(ids: np.ndarray, marks: np.ndarray, homes: int) -> np.ndarray:
+    """The group of documents that a document is in."""
+    return _bucket((ids.view(np.uint64) * _P) ^ marks.view(np.uint64), homes)
+
+
+def _shared_minimizers(homes: int):
+    """A bucket to (home, bucket, ids, marks, counts, bits): for each stretch
+    that a document sent, in that order, whether two documents have its minimizer."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        ids, marks, counts = _joined(pdf["ids"], np.int64), _joined(pdf["marks"], np.int64), _joined(pdf["counts"], np.uint32)
+        low, who = _long(_joined(pdf["lows"], np.uint8)), np.repeat(ids, counts)
+        order = np.argsort(low, kind="stable")
+        low, who = low[order], who[order]
+        first = np.flatnonzero(np.concatenate([[True], low[1:] != low[:-1]]))
+        least, most = np.minimum.reduceat(who, first), np.maximum.reduceat(who, first)
+        shared = np.empty(len(low), bool)
+        shared[order] = np.repeat(least < most, np.diff(np.append(first, len(low))))
+        told = np.flatnonzero(np.logical_or.reduceat(shared, np.cumsum(counts, dtype=np.int64) - counts))
+        home = _home(ids[told], marks[told], homes)
+        by_home = np.argsort(home, kind="stable")
+        told, home = told[by_home], home[by_home]
+        bits = shared[_picked(counts, told)]
+        ends = np.append(0, np.cumsum(counts[told], dtype=np.int64))
+        bucket = int(pdf["bucket"].iloc[0])
+        out = [(h, bucket, ids[told[a:z]].tobytes(), marks[told[a:z]].tobytes(), counts[told[a:z]].tobytes(), np.packbits(bits[ends[a]:ends[z]]).tobytes()) for h, a, z in _runs(home)]
+        return pd.DataFrame(out, columns=["home", "bucket", "ids", "marks", "counts", "bits"])
 
+    return run
 
-def _by_document(ids: np.ndarray, marks: np.ndarray, values: np.ndarray, name: str) -> pd.DataFrame:
-    order = np.lexsort((marks, ids))
-    ids, marks, values = ids[order], marks[order], np.ascontiguousarray(values[order])
-    new = np.concatenate([[True], (ids[1:] != ids[:-1]) | (marks[1:] != marks[:-1])]) if len(ids) else np.zeros(0, bool)
-    first = np.flatnonzero(new)
-    ends = np.append(first[1:], len(ids))
-    return pd.DataFrame({"id": ids[first], "mark": marks[first], name: [values[a:z].tobytes() for a, z in zip(first, ends)]})
 
+def _picked(counts: np.ndarray, entries: np.ndarray) -> np.ndarray:
+    """Places of the items of the given entries, entry k having counts[k] in a row."""
+    begins, n = np.cumsum(counts, dtype=np.int64) - counts, counts[entries].astype(np.int64)
+    return np.arange(n.sum()) + np.repeat(begins[entries] - (np.cumsum(n) - n), n)
+
+
+def _answers(pdf: pd.DataFrame) -> pd.DataFrame:
+    """A home to (id, mark, buckets, bits), the bits by bucket and then in the
+    order of the document's stretches."""
+    ids, marks, counts = _joined(pdf["ids"], np.int64), _joined(pdf["marks"], np.int64), _joined(pdf["counts"], np.uint32)
+    buckets = np.repeat(pdf["bucket"].to_numpy(np.int64), [len(b) // 8 for b in pdf["ids"]])
+    bits = np.concatenate([np.unpackbits(np.frombuffer(b, np.uint8), count=int(np.frombuffer(c, np.uint32).sum())) for b, c in zip(pdf["bits"], pdf["counts"])])
+    order = np.lexsort((buckets, marks, ids))
+    i, m, b = ids[order], marks[order], buckets[order]
+    order = order[np.concatenate([[True], (i[1:] != i[:-1]) | (m[1:] != m[:-1]) | (b[1:] != b[:-1])])]  # repeated rows have the same answer
+    bits, ends = bits[_picked(counts, order)], np.append(0, np.cumsum(counts[order], dtype=np.int64))
+    ids, marks, buckets = ids[order], marks[order], buckets[order].astype(np.uint32)
+    first = np.flatnonzero(np.concatenate([[True], (ids[1:] != ids[:-1]) | (marks[1:] != marks[:-1])]))
+    cuts = list(zip(first.tolist(), [*first[1:].tolist(), len(ids)]))
+    return pd.DataFrame({"id": ids[first], "mark": marks[first], "buckets": [buckets[a:z].tobytes() for a, z in cuts], "bits": [np.packbits(bits[ends[a]:ends[z]]).tobytes() for a, z in cuts]})
+
+
+def _told(keys: np.ndarray, buckets: int, told: bytes, bits: bytes) -> np.ndarray:
+    """Of a document's stretches: whether two documents have the minimizer."""
+    own, asked = _bucket(keys, buckets), np.frombuffer(told, np.uint32)
+    order = np.argsort(own, kind="stable")
+    place = np.minimum(np.searchsorted(asked, own[order]), len(asked) - 1)
+    order = order[asked[place] == own[order]]
+    out = np.zeros(len(keys), bool)
+    out[order] = np.unpackbits(np.frombuffer(bits, np.uint8), count=len(order)).astype(bool)
+    return out
 
-def _stretches_of(shards: int):
-    """Batches of (id, mark, t, lows) to packed stretches by shard."""
+
+def _stretches_of(buckets: int):
+    """Batches of (id, mark, t, buckets, bits) to (home, places, numbers, sizes,
+    texts): the packed stretches of each of the home's SHARDS shards."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             lows, parts, texts = [], [], []
-            for i, m, t, told in zip(pdf["id"], pdf["mark"], pdf["t"], pdf["lows"]):
-                shared = np.sort(_long(_joined(told, np.uint8)))
-                mask = np.uint64((1 << 8 * KEY_BYTES) - 1)
-                for at, b, starts, lengths, low in stretches(t):
-                    keys = _keys(low)
-                    told_of = keys & mask
-                    hit = np.flatnonzero(shared[np.minimum(np.searchsorted(shared, told_of), len(shared) - 1)] == told_of)
+            for i, m, t, asked, bits in zip(pdf["id"], pdf["mark"], pdf["t"], pdf["buckets"], pdf["bits"]):
+                chunks = list(stretches(t))
+                hits = _told(_keys(np.concatenate([c[-1] for c in chunks])), buckets, asked, bits)
+                for at, b, starts, lengths, low in chunks:
+                    hit, hits = np.flatnonzero(hits[:len(low)]), hits[len(low):]
                     if len(hit):
                         raw = b.tobytes()
                         texts += [raw[s:s + n + LEAST - 1] for s, n in zip(starts[hit].tolist(), lengths[hit].tolist())]
                         parts.append(np.stack([np.full(len(hit), i), np.full(len(hit), m), at + starts[hit]], 1))
-                        lows.append(keys[hit])
+                        lows.append(_keys(low[hit]))
             if not lows:
                 continue
-            shard = _bucket(np.concatenate(lows), shards)
+            shard = _bucket(np.concatenate(lows), buckets * SHARDS)
             where = np.concatenate(parts).astype(np.int64)
             order = np.argsort(shard, kind="stable")
-            out = []
+            homes: dict[int, list] = {}
             for s, a, z in _runs(shard[order]):
                 own: dict[bytes, int] = {}  # equal stretches travel once
                 number = np.array([own.setdefault(texts[k], len(own)) for k in order[a:z]], np.uint32)
                 sizes = np.array([len(x) for x in own], np.uint32)
                 columns = np.ascontiguousarray(where[order[a:z]].T)  # ids, marks and starts, each by itself
-                out.append((s, _squeeze(columns.tobytes()), _squeeze(number.tobytes()), sizes.tobytes(), _squeeze(b"".join(own))))
-            yield pd.DataFrame(out, columns=["shard", "places", "numbers", "sizes", "texts"])
+                packed = (_squeeze(columns.tobytes()), _squeeze(number.tobytes()), sizes.tobytes(), _squeeze(b"".join(own)))
+                homes.setdefault(s // SHARDS, [None] * SHARDS)[s % SHARDS] = packed
+            yield pd.DataFrame([(h, *([p and p[k] for p in shards] for k in range(4))) for h, shards in homes.items()], columns=["home", "places", "numbers", "sizes", "texts"])
 
     return run
 
@@ -245,11 +289,32 @@ def equal_windows(texts: list[bytes], smallest: np.ndarray) -> np.ndarray:
     return out
 
 
-def _spans(pdf: pd.DataFrame) -> pd.DataFrame:
-    """(id, mark, spans): begin and end of what a shard finds in earlier documents."""
+def _spans(homes: int):
+    """A home's shards, one after the other, to (home, spans): packed ids, marks,
+    begins and ends of what they find in earlier documents."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        shards = [[p for p in zip(*(column.str[k] for _, column in pdf[["places", "numbers", "sizes", "texts"]].items())) if p[0] is not None] for k in range(SHARDS)]
+        found = np.concatenate([np.zeros((0, 4), np.int64), *(_shard_spans(packed) for packed in shards if packed)])
+        home = _home(np.ascontiguousarray(found[:, 0]), np.ascontiguousarray(found[:, 1]), homes)
+        order = np.argsort(home, kind="stable")
+        found = found[order]
+        return pd.DataFrame([(h, _squeeze(np.ascontiguousarray(found[a:z].T).tobytes())) for h, a, z in _runs(home[order])], columns=["home", "spans"])
+
+    return run
+
+
+def _gathered_spans(pdf: pd.DataFrame) -> pd.DataFrame:
+    """A home to (id, mark, spans)."""
+    found = np.concatenate([np.frombuffer(_expand(b), np.int64).reshape(4, -1).T for b in pdf["spans"]])
+    return _by_document(found[:, 0], found[:, 1], found[:, 2:], "spans")
+
+
+def _shard_spans(packed: list[tuple[bytes, bytes, bytes, bytes]]) -> np.ndarray:
+    """Id, mark, begin and end of what a shard finds in earlier documents."""
     distinct: dict[bytes, int] = {}
     places, numbers = [], []
-    for place, number, sizes, text in zip(pdf["places"], pdf["numbers"], pdf["sizes"], pdf["texts"]):
+    for place, number, sizes, text in packed:
         place, number, text = _expand(place), _expand(number), _expand(text)
         ends = np.cumsum(np.frombuffer(sizes, np.uint32)).tolist()
         own = np.array([distinct.setdefault(text[a:z], len(distinct)) for a, z in zip([0, *ends], ends)], np.int64)
@@ -274,8 +339,14 @@ def _spans(pdf: pd.DataFrame) -> pd.DataFrame:
             last = np.append(new[1:], len(row)) - 1
             begin = where[row[new], 2] + offset[new]
             out.append(np.stack([where[row[new], 0], where[row[new], 1], begin, where[row[last], 2] + offset[last] + LEAST], 1))
-    found = np.concatenate(out) if out else np.zeros((0, 4), np.int64)
-    return _by_document(found[:, 0], found[:, 1], found[:, 2:], "spans")
+    return np.concatenate(out) if out else np.zeros((0, 4), np.int64)
+
+
+def _by_document(ids: np.ndarray, marks: np.ndarray, values: np.ndarray, name: str) -> pd.DataFrame:
+    order = np.lexsort((marks, ids))
+    ids, marks, values = ids[order], marks[order], np.ascontiguousarray(values[order])
+    first = np.flatnonzero(np.concatenate([[True], (ids[1:] != ids[:-1]) | (marks[1:] != marks[:-1])]))
+    return pd.DataFrame({"id": ids[first], "mark": marks[first], name: [values[a:z].tobytes() for a, z in zip(first, np.append(first[1:], len(ids)))]})
 
 
 def merged(spans: np.ndarray) -> np.ndarray:
@@ -298,7 +369,7 @@ def _rewrite(with_text: bool):
             out = []
             for i, t, told in zip(pdf["id"], pdf["t"], pdf["spans"]):
                 raw = t.encode("utf-8", "surrogatepass")
-                spans = merged(_joined(told, np.int64).reshape(-1, 2)) if told is not None else np.zeros((0, 2), np.int64)
+                spans = merged(np.frombuffer(told, np.int64).reshape(-1, 2)) if told is not None else np.zeros((0, 2), np.int64)
                 edges = [0, *spans.ravel().tolist(), len(raw)]
                 kept = b"".join(raw[a:z] for a, z in zip(edges[::2], edges[1::2])) if len(spans) else raw
                 out.append((i, len(raw), len(raw) - len(kept), len(spans), hashlib.sha256(kept).hexdigest(), kept if with_text else None))
@@ -313,14 +384,14 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     rows = _texts(docs, doc_id, text)
     known = rows.where(F.col("id").isNotNull())
     packed = known.mapInPandas(_minimizers_of(n), "bucket long, ids binary, marks binary, counts binary, lows binary")
-    told = packed.groupBy("bucket").applyInPandas(_shared_minimizers, "id long, mark long, lows binary")
-    told = told.groupBy("id", "mark").agg(F.collect_list("lows").alias("lows"))
+    told = packed.groupBy("bucket").applyInPandas(_shared_minimizers(n), "home long, bucket long, ids binary, marks binary, counts binary, bits binary")
+    told = told.groupBy("home").applyInPandas(_answers, "id long, mark long, buckets binary, bits binary")
     placed = known.repartition(n, "id", "mark")  # both joins below read this one exchange
-    sent = placed.join(told, ["id", "mark"]).select("id", "mark", "t", "lows")
-    sent = sent.mapInPandas(_stretches_of(n * SHARDS), "shard long, places binary, numbers binary, sizes binary, texts binary")
-    spans = sent.groupBy("shard").applyInPandas(_spans, "id long, mark long, spans binary")
-    spans = spans.groupBy("id", "mark").agg(F.collect_list("spans").alias("spans"))
-    whole = placed.join(spans, ["id", "mark"], "left").select("id", "t", "spans").unionByName(rows.where(F.col("id").isNull()).select("id", "t", F.lit(None).cast("array<binary>").alias("spans")))
+    sent = placed.join(told, ["id", "mark"]).select("id", "mark", "t", "buckets", "bits")
+    sent = sent.mapInPandas(_stretches_of(n), "home long, places array<binary>, numbers array<binary>, sizes array<binary>, texts array<binary>")
+    spans = sent.groupBy("home").applyInPandas(_spans(n), "home long, spans binary")
+    spans = spans.groupBy("home").applyInPandas(_gathered_spans, "id long, mark long, spans binary")
+    whole = placed.join(spans, ["id", "mark"], "left").select("id", "t", "spans").unionByName(rows.where(F.col("id").isNull()).select("id", "t", F.lit(None).cast("binary").alias("spans")))
     out = whole.mapInPandas(_rewrite(with_text), RESULT)
     return out if with_text else out.drop("kept")
 
