@@ -26,6 +26,15 @@ def near_miss_blocked(spark, sf_dir):
     return D.one_edit_pairs(s, c, "a", "b").groupBy("a").agg(F.count("*").alias("n"), F.min("b").alias("least"))
 
 
+def near_miss_all(spark, sf_dir):
+    """All suppliers and customers whose whole digits are one edit apart. near_miss_blocked is the
+    part of it that its SQL fixes; this has no twin, for SQL would compare every pair."""
+    digits = lambda c: F.regexp_replace(c, "[^0-9]", "")
+    s = table(spark, sf_dir, "supplier").select(digits(F.col("s_name")).alias("a"))
+    c = table(spark, sf_dir, "customer").select(digits(F.col("c_name")).alias("b"))
+    return D.one_edit_pairs(s, c, "a", "b").groupBy("a").agg(F.count("*").alias("n"), F.min("b").alias("least"))
+
+
 def _words(df, text, name):
     return df.select(F.explode(F.split(F.lower(F.regexp_replace(text, "[^A-Za-z]+", " ")), " ")).alias(name)).where(F.length(name) >= 5)
 
@@ -73,7 +82,7 @@ def template_fill(spark, sf_dir):
     return n.select("n_nationkey", X.fill(t, {"name": F.initcap("n_name"), "id": F.col("n_nationkey").cast("string"), "region": F.col("n_regionkey").cast("string")}).alias("text"))
 
 
-QUERIES = {f.__name__: f for f in (dedup_by_hash, strip_injections, near_miss_blocked, typo_normalize, benchmark_overlap, date_normalize, person_parse, template_fill)}
+QUERIES = {f.__name__: f for f in (dedup_by_hash, strip_injections, near_miss_blocked, near_miss_all, typo_normalize, benchmark_overlap, date_normalize, person_parse, template_fill)}
 
 _NEAR = """(levenshtein({a}, {b}) <= 1 OR (length({a}) = length({b}) AND levenshtein({a}, {b}) = 2 AND EXISTS (
     SELECT 1 FROM (SELECT unnest(range(1, length({a}))) AS i) WHERE substr({a}, i, 1) = substr({b}, i + 1, 1) AND substr({a}, i + 1, 1) = substr({b}, i, 1)

@@ -138,11 +138,20 @@ def first_attempts(spark, sf_dir):
     return e.groupBy("segment").agg(F.min_by("event_id", F.struct("ts", "event_id")).alias("first_id"), F.count("*").alias("n"))
 
 
+def _named_twice(li):
+    both = li.select(F.col("l_partkey").alias("k")).unionAll(li.select(F.col("l_suppkey").alias("k")))
+    return A.duplicates(both, ["k"])
+
+
 def referenced_twice(spark, sf_dir):
     """Ids that two columns together name more than once."""
     li = table(spark, sf_dir, "lineitem").where("l_orderkey < 200")
-    both = li.select(F.col("l_partkey").alias("k")).unionAll(li.select(F.col("l_suppkey").alias("k")))
-    return A.duplicates(both, ["k"])
+    return _named_twice(li)
+
+
+def referenced_twice_all(spark, sf_dir):
+    """The same over all of lineitem; the SQL of referenced_twice fixes that to a part of the orders."""
+    return _named_twice(table(spark, sf_dir, "lineitem"))
 
 
 def name_variants(spark, sf_dir):
@@ -153,7 +162,7 @@ def name_variants(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (attributes_with_default, template_fallback, case_coverage, foreign_key_checks, cross_run_hashes, families_without_siblings, ambiguity_excluded, label_flips, percentile_conventions,
-                                   token_rates, device_utilisation, rank_fraction_split, numbered_ids, holdout_only_strata, phase_union, key_sets, date_shift, first_attempts, referenced_twice, name_variants)}
+                                   token_rates, device_utilisation, rank_fraction_split, numbered_ids, holdout_only_strata, phase_union, key_sets, date_shift, first_attempts, referenced_twice, referenced_twice_all, name_variants)}
 
 ORACLE_SQL = {
     "attributes_with_default": "SELECT d.doc_id, coalesce(quality::VARCHAR, '?') AS quality, coalesce(toxic::VARCHAR, '?') AS toxic FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id",
