@@ -89,13 +89,25 @@ def parse_date(x: Column) -> Column:
         F.when(t.rlike(r"^[A-Za-z]{3,9}\.?[ ]+[0-9]{1,2},?[ ]+[0-9]{4}$"), F.try_to_date(named, "MMM d yyyy")))
 
 
+CREDENTIALS = (r"Bearer [A-Za-z0-9._~+/=-]+", r"sk-[A-Za-z0-9_-]{8,}", r"[0-9a-f]{32,}", r"(?i)(api[_-]?key|token|secret)[ ]*[=:][ ]*[^ ]+")
+#: A header's value, with its scheme: what follows "Basic " is the credential.
+AUTHORIZATION = r"""(?i)("?authorization"?\s*[:=]\s*)("[^"]*"|(?:(?:basic|bearer|digest|negotiate|token)\s+)?[^\s,}]+)"""
+
+
 def redact(x: Column, keep: int = 200) -> Column:
     """Credentials masked, then cut to ``keep`` characters."""
-    for pattern in (r"Bearer [A-Za-z0-9._~+/=-]+", r"sk-[A-Za-z0-9_-]{8,}", r"[0-9a-f]{32,}", r"(?i)(api[_-]?key|token|secret)[ ]*[=:][ ]*[^ ]+"):
+    for pattern in CREDENTIALS:
         x = F.regexp_replace(x, pattern, "[redacted]")
     return F.substring(x, 1, keep)
 
 
+def redact_whole(x: Column) -> Column:
+    """Credentials and authorization headers masked in the whole text."""
+    for pattern in CREDENTIALS:
+        x = F.regexp_replace(x, pattern, "[redacted]")
+    return F.regexp_replace(x, AUTHORIZATION, "$1[redacted]")
+
+
 def fill(template: Column, slots: dict[str, Column]) -> Column:
     """``{slot}`` replaced by its value."""
     for name, value in slots.items():

@@ -82,6 +82,13 @@ def redacted_credentials(spark, sf_dir):
     return d.where("head <> clean").select("doc_id", F.sha2("clean", 256).alias("digest"))
 
 
+def redacted_whole(spark, sf_dir):
+    """Documents that change when redacted, as whole texts. redacted_credentials
+    is held to two hundred characters and four patterns by its SQL."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "text", X.redact_whole(F.col("text")).alias("clean"))
+    return d.where("text <> clean").select("doc_id", F.sha2("clean", 256).alias("digest"))
+
+
 def integrity_report(spark, sf_dir):
     o, li = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
     return A.report([
@@ -92,7 +99,7 @@ def integrity_report(spark, sf_dir):
         A.check("quantity in range", li, "l_orderkey", ~F.col("l_quantity").between(1, 50))])
 
 
-QUERIES = {f.__name__: f for f in (anti_join_missing, planned_and_present, orphans, after_stop, asof_segment, family_split_leak, uniqueness_audit, hash_constancy, leak_scan, redacted_credentials, integrity_report)}
+QUERIES = {f.__name__: f for f in (anti_join_missing, planned_and_present, orphans, after_stop, asof_segment, family_split_leak, uniqueness_audit, hash_constancy, leak_scan, redacted_credentials, redacted_whole, integrity_report)}
 
 _E = "SELECT event_id, ts, user_id, event_type, value, ts::DATE AS segment FROM events"
 

@@ -1,5 +1,7 @@
 """Queries over whole tables and whole texts, on small tables against brute force."""
 
+import hashlib
+
 from ruleloom.plans import catalog
 
 QUERIES = catalog.queries()
@@ -27,3 +29,12 @@ def test_near_misses_of_all_ids(spark, tmp_path):
 def test_repeated_ids_of_all_orders(spark, tmp_path):
     spark.createDataFrame([(1, 5, 6), (199, 7, 5), (200, 8, 9), (7_000, 8, 6)], "l_orderkey long, l_partkey long, l_suppkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
     assert sorted(map(tuple, QUERIES["referenced_twice_all"](spark, str(tmp_path)).collect())) == [(5, 2), (6, 2), (8, 2)]
+
+
+def test_credentials_anywhere_in_a_text(spark, tmp_path):
+    far = "plain words " * 100
+    texts = {1: (far + "sk-abcdefgh1234", far + "[redacted]"), 2: (far, far), 3: ('Authorization: Basic dXNlcjpwYXNz, more', "Authorization: [redacted], more"), 4: ('{"authorization": "abc def"}', '{"authorization": [redacted]}'),
+             5: (far + "authorization=xyz " + far, far + "authorization=[redacted] " + far), 6: ("Authorization: Bearer ab.cd end", "Authorization: [redacted] end"), 7: (None, None)}
+    spark.createDataFrame([(k, t) for k, (t, _) in texts.items()], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = {k: hashlib.sha256(clean.encode()).hexdigest() for k, (t, clean) in texts.items() if t != clean}
+    assert {r["doc_id"]: r["digest"] for r in QUERIES["redacted_whole"](spark, str(tmp_path)).collect()} == want
