@@ -46,12 +46,12 @@ def sample_texts(train: DataFrame, text: str, lang: str) -> DataFrame:
     """(lang, order, piece): of each language about DICTIONARY_ROWS distinct
     texts, those of smallest hash, each in a bounded part.
 
-    The share of hashes that may pass is set from the languages' distinct
-    counts, so that no task receives more than a few times that many rows."""
+    The share of hashes that may pass is set from how many distinct texts each
+    language has, so that no task receives more than a few times that many rows."""
     t, g, k, n, order = "t", "g", "k", "n", "order_in_lang"
     rows = train.select(F.col(text).alias(t), F.col(lang).alias(g)).where(F.col(t).rlike(r"\p{L}") & F.col(g).isNotNull())
     keyed = rows.select(g, t, F.xxhash64(t).alias(k))
-    counts = rows.groupBy(g).agg(F.count("*").alias(n))
+    counts = keyed.select(g, k).distinct().groupBy(g).agg(F.count("*").alias(n))  # copies of a text count once
     share = F.least(F.lit(1.0), F.lit(3.0 * DICTIONARY_ROWS) / F.col(n))
     few = keyed.join(F.broadcast(counts.limit(100_000)), g).where(F.pmod(F.col(k), F.lit(1 << 40)) < share * (1 << 40))
     few = few.select(g, k, F.substring(t, 1, DICTIONARY_BYTES).alias(t)).dropDuplicates([g, k])
