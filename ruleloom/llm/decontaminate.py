@@ -6,15 +6,16 @@
    the seed lies. How many documents have each seed is counted over the whole
    corpus. A seed that more than COMMON of them have is common; an item does
    without its common seeds only if its rare ones are enough for proof: if
-   there are more rare seeds without a word in common than words could be
-   changed or cut off within THRESHOLD, each copy still has one of them.
-   Otherwise all seeds of the item count, as for an item that is itself
-   spread over the corpus. (A copy with a word put in after every second one
-   has no seed of three words and escapes.)
+   there are more rare seeds without a word in common than edits are possible
+   within THRESHOLD, each copy still has one of them. A word put in is the
+   cheapest edit, and with seeds of three words and these scores no item has
+   so many seeds; then none is skipped and nothing is counted. (A copy with a
+   word put in after every second one has no seed of three words and escapes.)
 3. The item is aligned with the words around each place by Smith-Waterman
    (match 2, mismatch and gap -1). The best score, over the score of the item
    with itself, is the similarity; THRESHOLD or more is a copy, be it edited,
-   shortened or with words put in.
+   shortened or with words put in. A copy's words lie within longest_gap() of
+   where a seed of it says that the item stands, so its window has all of them.
 
 Words are runs of letters and digits, in lower case. Null and empty texts, texts
 and items of fewer than SEED words, and empty tables match nothing. Repeated
@@ -41,6 +42,11 @@ COMMON = 0.01
 ITEM_WORDS = 2_000_000
 
 
+def longest_gap(n: int) -> int:
+    """Words that can be put into a copy of n words before its score is under THRESHOLD, and one."""
+    return int((1 - THRESHOLD) * MATCH * n / -GAP) + 1
+
+
 class Items:
     """A group of test items, indexed by their seeds."""
 
@@ -69,6 +75,10 @@ class Items:
             out, known = out * base + part, known & (part > 0)
         return np.where(known, out, -1)
 
+    def provable(self) -> bool:
+        """Whether an item has so many seeds apart that rare() may skip some."""
+        return any(len(w) // SEED > longest_gap(len(w)) for w in self.words)
+
     def rare(self, frequency: dict[int, int], documents: int) -> Items:
         """Skips, item by item, the common seeds where rarer ones are enough."""
         df = np.array([frequency.get(int(s), 0) for s in self.flat])
@@ -80,8 +90,8 @@ class Items:
             if not common[k] and self.place[k] >= last[o] + SEED:
                 apart[o] += 1
                 last[o] = self.place[k]
-        # a changed word costs MATCH - MISMATCH of the score
-        enough = apart > np.array([(1 - THRESHOLD) * MATCH * len(w) / (MATCH - MISMATCH) + 1 for w in self.words])
+        # each word put in may break one of them
+        enough = apart > np.array([longest_gap(len(w)) for w in self.words])
         self.use = ~common | ~enough[self.owner]
         return self
 
@@ -134,18 +144,18 @@ def matches(numbers: np.ndarray, items: Items) -> list[tuple[int, float, int]]:
     out = []
     for k in np.unique(owner):
         item = items.words[k]
-        n, slack = len(item), len(item) // 2 + 2
+        n, slack = len(item), longest_gap(len(item))
         starts = np.unique(begin[owner == k])
         # places closer than the slack share a window; each window has room for gaps on both sides
         first = np.concatenate([[True], np.diff(starts) > slack])
-        group = np.cumsum(first) - 1
         left = starts[first] - slack
-        right = np.array([starts[group == g].max() for g in range(group[-1] + 1)]) + n + slack
+        right = starts[np.append(first[1:], True)] + n + slack
         left, right = np.maximum(left, 0), np.minimum(right, len(numbers))
         need = (THRESHOLD * MATCH * n)
         inside = np.concatenate([[0], np.cumsum(np.isin(numbers, item))])
         keep = (inside[right] - inside[left]) * MATCH >= need  # else even all of its words don't make the score
         left, right = left[keep], right[keep]
+        most = None
         for piece in np.array_split(np.arange(len(left)), max(1, len(left) // 256)):
             if not len(piece):
                 continue
@@ -154,8 +164,10 @@ def matches(numbers: np.ndarray, items: Items) -> list[tuple[int, float, int]]:
                 windows[r, :right[p] - left[p]] = numbers[left[p]:right[p]]
             score, end = align(item, windows)
             top = int(score.argmax())
-            if score[top] >= need:
-                out.append((int(k), float(score[top]) / (MATCH * n), int(left[piece[top]] + end[top] - 1)))
+            if score[top] >= need and (most is None or score[top] > most[0]):
+                most = score[top], int(left[piece[top]] + end[top] - 1)
+        if most:
+            out.append((int(k), float(most[0]) / (MATCH * n), most[1]))
     return out
 
 
@@ -197,9 +209,10 @@ def contamination(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", tex
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("t")).where("t is not null")
     out, total = spark.createDataFrame([], schema), None
     for group in item_groups(items, item_id, item_text):
-        plain = spark.sparkContext.broadcast(group)
-        total = rows.count() if total is None else total
-        shared = spark.sparkContext.broadcast(group.rare(_frequencies(docs, text, plain), total))
+        shared = spark.sparkContext.broadcast(group)
+        if group.provable():
+            total = rows.count() if total is None else total
+            shared = spark.sparkContext.broadcast(group.rare(_frequencies(docs, text, shared), total))
 
         def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
             for pdf in batches:

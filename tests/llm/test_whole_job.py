@@ -1,6 +1,9 @@
 """Skewed, heavily edited and large inputs of the training-data operators."""
 
-from ruleloom.llm import language
+import numpy as np
+import pytest
+
+from ruleloom.llm import decontaminate, language
 
 
 def test_language_of_copies_has_a_dictionary(spark):
@@ -10,3 +13,34 @@ def test_language_of_copies_has_a_dictionary(spark):
     found = [r["g"] for r in language.sample_texts(rows, "text", "lang").collect()]
     assert found.count("xx") == 20 and found.count("yy") == 5
     assert sorted(language.fit_dictionaries(rows)) == ["xx", "yy"]
+
+
+def whole_score(a, b):
+    """Smith-Waterman over whole texts, cell by cell."""
+    h = np.zeros((len(a) + 1, len(b) + 1), int)
+    for i in range(1, len(a) + 1):
+        for j in range(1, len(b) + 1):
+            h[i, j] = max(0, h[i - 1, j - 1] + (2 if a[i - 1] == b[j - 1] else -1), h[i - 1, j] - 1, h[i, j - 1] - 1)
+    return h.max()
+
+
+@pytest.mark.parametrize("block", [20, 26, 33, 39, 40, 41, 60])
+def test_copies_with_a_block_put_in(block):
+    item = [f"i{k}" for k in range(50)]
+    foreign = [f"f{k}" for k in range(300)]
+    for cut in (10, 25, 42):
+        text = foreign[:90] + item[:cut] + foreign[100:100 + block] + item[cut:] + foreign[200:]
+        items = decontaminate.Items([(1, " ".join(item))])
+        got = decontaminate.matches(items.read(" ".join(text)), items)
+        best = whole_score(item, text) / 100
+        assert [s for _, s, _ in got] == ([best] if best >= decontaminate.THRESHOLD else [])
+
+
+def test_common_seeds_find_what_breaks_all_rare_ones():
+    """Rare seeds broken by one word put into each, common ones left whole."""
+    item = [f"i{k}" for k in range(60)]
+    text = [w for k, w in enumerate(item) for w in ([w, "new"] if k < 54 and k % 2 == 1 else [w])]
+    items = decontaminate.Items([(1, " ".join(item))])
+    frequency = {int(s): 1 if p < 52 else 1000 for s, p in zip(items.flat, items.place)}
+    got = decontaminate.matches(items.read(" ".join(text)), items.rare(frequency, 2000))
+    assert [s for _, s, _ in got] == [whole_score(item, text) / 120] and got[0][1] >= decontaminate.THRESHOLD
