@@ -135,6 +135,11 @@ ORACLE_SQL = {
         WITH c AS (SELECT doc_id, substr(text, 1, 200) AS head, substr(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, 'Bearer [A-Za-z0-9._~+/=-]+', '[redacted]', 'g'),
           'sk-[A-Za-z0-9_-]{8,}', '[redacted]', 'g'), '[0-9a-f]{32,}', '[redacted]', 'g'), '(?i)(api[_-]?key|token|secret)[ ]*[=:][ ]*[^ ]+', '[redacted]', 'g'), 1, 200) AS clean FROM documents)
         SELECT doc_id, sha256(clean) AS digest FROM c WHERE head <> clean""",
+    "redacted_whole": r"""
+        WITH c AS (SELECT doc_id, text, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, 'Bearer [A-Za-z0-9._~+/=-]+', '[redacted]', 'g'),
+          'sk-[A-Za-z0-9_-]{8,}', '[redacted]', 'g'), '[0-9a-f]{32,}', '[redacted]', 'g'), '(?i)(api[_-]?key|token|secret)[ ]*[=:][ ]*[^ ]+', '[redacted]', 'g'),
+          '(?i)("?authorization"?\s*[:=]\s*)("[^"]*"|(?:(?:basic|bearer|digest|negotiate|token)\s+)?[^\s,}]+)', '\1[redacted]', 'g') AS clean FROM documents)
+        SELECT doc_id, sha256(clean) AS digest FROM c WHERE text <> clean""",
     "integrity_report": " UNION ALL ".join([
         _check("price positive", "orders", "o_orderkey", "o_totalprice <= 0", True), _check("status known", "orders", "o_orderkey", "o_orderstatus NOT IN ('O', 'F', 'P')", True),
         _check("price under 400000", "orders", "o_orderkey", "o_totalprice > 400000", False), _check("discount at most 0.08", "lineitem", "l_orderkey", "l_discount > 0.08", False),
