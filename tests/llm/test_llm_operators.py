@@ -126,6 +126,10 @@ def test_packing_tokens_equal_whole_encoding():
     t = packing.Tokens(public_tokenizers.path(packing.TOKENIZER))
     for text in ["It's  we'll\n\n  x1y2 ñandú-ÉTÉ 12.5%", "a_b __c ² ½ ª", "日本 語  x\x85", "<|endoftext|> hi", "tab\t\tend \n", "œuvre ſ ß İ"]:
         assert t.encode(text)[:-4] == np.array(t.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), text
+    rng = np.random.default_rng(5)
+    texts = ["".join(rng.choice(list("  \n\tab's tmdrevl'l'1é×÷¿.,§Æ9"), rng.integers(1, 15))) for _ in range(3_000)] + ["x" * 70_000, None, ""]
+    for text, ids in zip(texts, t.encode_all(texts)):
+        assert ids[:-4] == np.array(t.tokenizer.encode(text or "", add_special_tokens=False).ids, "<u4").tobytes(), text
 
 
 def test_crossover_keeps_every_piece():
