@@ -151,6 +151,13 @@ def brute_licenses(text):
     return len(w), len(at), min(at, default=None), max(at, default=None), ",".join(sorted({lab for _, lab in places}))
 
 
+def test_licence_names_must_be_listed():
+    for text in ["see below", "TODO", "the text follows", "", "NOASSERTION"]:
+        assert licenses.scan(f"SPDX-License-Identifier: {text}")[5:7] == ("", 0.0), text
+    assert licenses.scan("SPDX-License-Identifier: LicenseRef-mine OR nothing")[5] == "licenseref-mine"
+    assert licenses.scan("under the mit license " * 20_000)[:4] == (80_000, 20_000, 0, 79_996)
+
+
 def test_licenses(spark, documents, odd):
     texts = [t for _, t in documents] + ["Under the MIT License under the mit license", "CC-BY-NC cc by nc", "ünder the MIT license, Apache License, Version 2.0", None, "", LONG + "under the mit license"]
     for t in texts:
@@ -181,22 +188,23 @@ def test_topk_against_brute_force(spark):
 
 
 # 6
-def test_near_links_against_brute_force(spark):
-    rng = np.random.default_rng(5)
+def edited_copies(seed=5, bases=40, copies=5, words=80, edits=4):
+    rng = np.random.default_rng(seed)
     vocab = [f"w{i}" for i in range(400)]
-    base = [rng.choice(vocab, 80).tolist() for _ in range(40)]
     rows = []
-    for i, b in enumerate(base):
+    for i in range(bases):
+        b = rng.choice(vocab, words + int(rng.integers(0, 30))).tolist()
         rows.append((i, " ".join(b)))
-        for c in range(5):
+        for c in range(copies):
             d = list(b)
-            for k in rng.choice(80, rng.integers(0, 4)):
+            for k in rng.choice(len(b), rng.integers(0, edits)):
                 d[k] = "edit"
-            rows.append((100 + 10 * i + c, " ".join(d)))
-    rows += [(1, rows[6][1]), (900, None), (901, ""), (902, "a b"), (903, "A, b!"), (None, "a b")]
-    got = {}
-    for r in near.near_links(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect():
-        got[r["id"]] = (r["class_id"], r["copy_id"], r["n_links"])
+            rows.append((1_000 + 100 * i + c, " ".join(d)))
+    return rows
+
+
+def brute_links(rows):
+    """Id to (class_id, copy_id, n_links), by comparing all sets."""
     sh, sets = near.Shingler(), {}
     for i, t in rows:
         if i is not None:
@@ -220,19 +228,64 @@ def test_near_links_against_brute_force(spark):
                 links[j] += 1
                 a, b = sorted((find(i), find(j)))
                 root[b] = a
-    for i, s in sets.items():
-        c = first.get(s, i) if s else i
-        assert got[i] == (find(c), c, links[c]), i
-    assert sum(links.values()) > 100 and got[903][1] == 902
-    assert near.prefix_depth() < near.DEPTH and near.near_links(empty(spark)).count() == 0
+    return {i: (find(c), c, links[c]) for i, s in sets.items() for c in [first.get(s, i) if s else i]}
+
 
+def found_links(df):
+    return {r["id"]: (r["class_id"], r["copy_id"], r["n_links"]) for r in near.near_links(df).collect() if r["id"] is not None}
 
-def test_near_tiles_of_large_groups(spark, monkeypatch):
-    rows = [(i, " ".join(f"t{j}" for j in range(100)) + f" end{i}") for i in range(30)]
+
+def test_near_links_against_brute_force(spark):
+    rows = edited_copies()
+    rows += [(1, rows[6][1]), (900, None), (901, ""), (902, "a b"), (903, "A, b!"), (904, "long words here " * 40_000), (None, "a b")]
+    got, due = found_links(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)), brute_links(rows)
+    assert got == due and sum(n for *_, n in due.values()) > 100 and got[903][1] == 902
+    assert near.near_links(empty(spark)).count() == 0 and near.keep_one(empty(spark)).count() == 0
+
+
+def test_near_groups_dealt_over_blocks(spark, monkeypatch):
+    """A group of sets of many sizes, and one of equal sizes, both over several blocks."""
+    base = [f"t{j}" for j in range(200)]
+    rows = [(i, " ".join(base[:100 + 3 * i])) for i in range(30)] + [(100 + i, " ".join(base[:100]).upper() + f" other end{i} x{i}") for i in range(30)]
+    rows += [(200 + i, " ".join(f"u{j}" for j in range(60)) + f" end{i}") for i in range(20)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     monkeypatch.setattr(near, "TILE", 7)
-    assert {(r["class_id"], r["n_links"]) for r in near.near_links(df).collect()} == {(0, 29)}
-    assert [r["doc_id"] for r in near.keep_one(df).collect()] == [0]
+    assert found_links(df) == brute_links(rows)
+    assert sorted(r["doc_id"] for r in near.keep_one(df).collect()) == [0, 200]
+
+
+def test_near_prefixes_are_shortened_until_recall_suffices():
+    floor = near.floor_depth()
+    assert 1 - (1 - near.THRESHOLD**floor) ** near.TREES >= near.LEAST_RECALL > 1 - (1 - near.THRESHOLD ** (floor + 1)) ** near.TREES
+    all_met = {d: (5_000, 5_000) for d in range(1, near.DEPTH + 1)}
+    assert near.adapted_depth(all_met) == near.DEPTH
+    assert near.adapted_depth(all_met | {near.DEPTH: (4_900, 5_000)}) == near.DEPTH - 1
+    assert near.adapted_depth({d: (9, 9) for d in range(1, near.DEPTH + 1)}) == floor  # too few to tell
+    assert near.adapted_depth({d: (0, 0) for d in range(1, near.DEPTH + 1)}) == floor
+
+
+def test_near_recall_is_measured_and_high(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    met, links = near.recall(near.features(docs, "doc_id", "text"))[near.floor_depth()]
+    assert links > 0 and met >= 0.9 * links
+
+
+def test_near_unmatched_classes_go_down_to_the_floor(spark, monkeypatch):
+    """With long prefixes for all, what has a partner there may part from others; what has none still meets all."""
+    rows = edited_copies(seed=8, bases=30, copies=1, edits=3)
+    monkeypatch.setattr(near, "adapted_depth", lambda measured: near.DEPTH)
+    assert found_links(spark.createDataFrame(rows, "doc_id long, text string").repartition(6)) == brute_links(rows)
+
+
+def test_near_rows_of_one_id(spark):
+    """Each text of an id is classed by itself; columns with the names used inside stay."""
+    a, b = " ".join(f"a{j}" for j in range(60)), " ".join(f"b{j}" for j in range(60))
+    rows = [(1, a, 1), (1, b, 2), (1, a, 1), (2, a + " end", 3), (3, b + " end", 4), (None, a, 5), (None, a, 5), (4, None, 6), (5, "", 7)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, near_id int").repartition(3)
+    kept = near.keep_one(df)
+    assert kept.columns == df.columns
+    assert sorted(map(tuple, kept.collect()), key=str) == sorted([rows[0], rows[1], *rows[5:]], key=str)
+    assert sorted(r["n_links"] for r in near.near_links(df).where("id is not null").collect()) == [0, 0, 1, 1, 1, 1, 1]
 
 
 # 7
