@@ -1,24 +1,22 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman.
 
-1. Every run of SEED consecutive words of a test item is a seed. Seeds are
-   looked up in every whole training text.
-2. A document and an item that share a seed are candidates at the place where
-   the seed lies. How many documents have each seed is counted over the whole
-   corpus. A seed that more than COMMON of them have is common; an item does
-   without its common seeds only if its rare ones are enough for proof: if
-   there are more rare seeds without a word in common than edits are possible
-   within THRESHOLD, each copy still has one of them. A word put in is the
-   cheapest edit, and with seeds of three words and these scores no item has
-   so many seeds; then none is skipped and nothing is counted. (A copy with a
-   word put in after every second one has no seed of three words and escapes.)
+1. Every two consecutive words of a test item are a seed, looked up in every
+   whole training text. An alignment that reaches THRESHOLD keeps at least
+   ``kept_seeds`` of an item's seeds whole: of m words that match, each break
+   between two of them costs a gap or mismatch. So an item may do without its
+   commonest seeds, and asks for the rest of that number among its rare ones.
+   How common a seed is, is counted over the whole corpus. Items too short for
+   this are sought by their single words.
+2. A document and an item are candidates at a place where so many rare seeds
+   lie together. No copy that reaches THRESHOLD escapes.
 3. The item is aligned with the words around each place by Smith-Waterman
    (match 2, mismatch and gap -1). The best score, over the score of the item
    with itself, is the similarity; THRESHOLD or more is a copy, be it edited,
    shortened or with words put in. A copy's words lie within longest_gap() of
    where a seed of it says that the item stands, so its window has all of them.
 
-Words are runs of letters and digits, in lower case. Null and empty texts, texts
-and items of fewer than SEED words, and empty tables match nothing. Repeated
+Words are runs of letters and digits, in lower case. Null and empty texts, items
+of fewer than LEAST_WORDS words, and empty tables match nothing. Repeated
 rows repeat their matches; of items of equal score the smallest id is named.
 
 The items are broadcast in groups of at most ITEM_WORDS words, so that what is
@@ -27,6 +25,7 @@ broadcast is bounded however many items there are: each group is one pass.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,8 +35,9 @@ from pyspark.sql import functions as F
 
 from ruleloom.llm.common import fresh, words
 
-SEED, THRESHOLD, MATCH, MISMATCH, GAP = 3, 0.6, 2, -1, -1
-COMMON = 0.01
+THRESHOLD, MATCH, MISMATCH, GAP = 0.6, 2, -1, -1
+#: Words of an item at least.
+LEAST_WORDS = 3
 #: Words of items in one broadcast.
 ITEM_WORDS = 2_000_000
 
@@ -47,52 +47,53 @@ def longest_gap(n: int) -> int:
     return int((1 - THRESHOLD) * MATCH * n / -GAP) + 1
 
 
+def kept_seeds(n: int) -> int:
+    """Pairs of consecutive words that every copy of n words has whole: m matches
+    with g breaks score 2m - g at most and keep m - 1 - g pairs."""
+    return math.ceil((THRESHOLD * MATCH - MATCH + 1) * n - 1 - 1e-9)
+
+
 class Items:
-    """A group of test items, indexed by their seeds."""
+    """A group of test items, indexed by their seeds.
+
+    ``need`` is the number of an item's seeds that must lie together in a text."""
 
     def __init__(self, rows: list[tuple[int, str]]) -> None:
-        tokens = [(i, w) for i, t in sorted(rows, key=lambda r: (r[0], r[1] or "")) if i is not None and len(w := words(t)) >= SEED]
+        tokens = [(i, w) for i, t in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, r[1] or "")) if i is not None and len(w := words(t)) >= LEAST_WORDS]
         self.number = {w: k + 1 for k, w in enumerate(sorted({w for _, ws in tokens for w in ws}))}
         self.ids = np.array([i for i, _ in tokens], np.int64)
         self.words = [np.array([self.number[w] for w in ws], np.int64) for _, ws in tokens]
-        seeds = [self.seeds(w) for w in self.words]
+        kept = np.array([kept_seeds(len(w)) for w in self.words], np.int64)
+        self.single = kept < 1  # no pair is sure to be whole: words are seeds
+        self.need = np.where(self.single, [math.ceil(THRESHOLD * len(w) - 1e-9) for w in self.words] or 0, kept)
+        seeds = [w * (len(self.number) + 1) if one else self.pairs(w) for w, one in zip(self.words, self.single)]
         owner = np.repeat(np.arange(len(seeds)), [len(s) for s in seeds])
         place = np.concatenate([np.arange(len(s)) for s in seeds]) if seeds else np.zeros(0, int)
         flat = np.concatenate(seeds) if seeds else np.zeros(0, np.int64)
+        self._index(flat, owner, place)
+
+    def _index(self, flat: np.ndarray, owner: np.ndarray, place: np.ndarray) -> None:
         order = np.argsort(flat, kind="stable")
         self.flat, self.owner, self.place = flat[order], owner[order], place[order]
         self.unique = np.unique(flat)
-        self.use = np.ones(len(flat), bool)
-
-    def seeds(self, numbers: np.ndarray) -> np.ndarray:
-        """A number for each run of SEED words; a run with an unknown word is negative."""
-        if len(numbers) < SEED:
-            return np.zeros(0, np.int64)
-        base = len(self.number) + 1
-        out, known = np.zeros(len(numbers) - SEED + 1, np.int64), np.ones(len(numbers) - SEED + 1, bool)
-        for k in range(SEED):
-            part = numbers[k:len(numbers) - SEED + 1 + k]
-            out, known = out * base + part, known & (part > 0)
-        return np.where(known, out, -1)
-
-    def provable(self) -> bool:
-        """Whether an item has so many seeds apart that rare() may skip some."""
-        return any(len(w) // SEED > longest_gap(len(w)) for w in self.words)
-
-    def rare(self, frequency: dict[int, int], documents: int) -> Items:
-        """Skips, item by item, the common seeds where rarer ones are enough."""
-        df = np.array([frequency.get(int(s), 0) for s in self.flat])
-        common = df > max(2, COMMON * documents)
-        apart = np.zeros(len(self.ids))
-        last = np.full(len(self.ids), -SEED)
-        for k in np.argsort(self.place, kind="stable"):
-            o = self.owner[k]
-            if not common[k] and self.place[k] >= last[o] + SEED:
-                apart[o] += 1
-                last[o] = self.place[k]
-        # each word put in may break one of them
-        enough = apart > np.array([longest_gap(len(w)) for w in self.words])
-        self.use = ~common | ~enough[self.owner]
+
+    def pairs(self, numbers: np.ndarray) -> np.ndarray:
+        """A number for each two consecutive words; negative where one is unknown."""
+        return np.where((numbers[:-1] > 0) & (numbers[1:] > 0), numbers[:-1] * (len(self.number) + 1) + numbers[1:], -1)
+
+    def spare(self) -> np.ndarray:
+        """Of each item, the seeds that it can do without."""
+        return np.where(self.single, 0, self.need // 2)
+
+    def rare(self, frequency: dict[int, int]) -> Items:
+        """Leaves out each item's commonest seeds, as many as it can do without."""
+        df = np.array([frequency.get(int(s), 0) for s in self.flat], np.int64)
+        order = np.lexsort((self.place, -df, self.owner))
+        owner = self.owner[order]
+        nth = np.arange(len(owner)) - np.searchsorted(owner, owner)
+        stay = order[nth >= self.spare()[owner]]
+        self.need = self.need - self.spare()
+        self._index(self.flat[stay], self.owner[stay], self.place[stay])
         return self
 
     def read(self, text: str | None) -> np.ndarray:
@@ -103,12 +104,15 @@ class Items:
 
     def found(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places in the text and the seeds there."""
-        seeds = self.seeds(numbers)
-        at = np.flatnonzero(seeds >= 0)
-        if len(at) and len(self.unique):
+        if not len(self.unique) or len(numbers) < 1:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        out = []
+        for seeds in [self.pairs(numbers), *([numbers * (len(self.number) + 1)] if self.single.any() else [])]:
+            at = np.flatnonzero(seeds > 0)
             near = np.minimum(np.searchsorted(self.unique, seeds[at]), len(self.unique) - 1)
             at = at[self.unique[near] == seeds[at]]
-        return (at, seeds[at]) if len(self.unique) else (at[:0], seeds[:0])
+            out.append((at, seeds[at]))
+        return np.concatenate([a for a, _ in out]), np.concatenate([s for _, s in out])
 
 
 def align(item: np.ndarray, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -138,19 +142,28 @@ def matches(numbers: np.ndarray, items: Items) -> list[tuple[int, float, int]]:
     if not len(at):
         return []
     lo, hi = np.searchsorted(items.flat, seeds), np.searchsorted(items.flat, seeds, "right")
-    rows = np.repeat(at, hi - lo), np.concatenate([np.arange(a, b) for a, b in zip(lo, hi)])
-    use = items.use[rows[1]]
-    begin, owner = (rows[0] - items.place[rows[1]])[use], items.owner[rows[1]][use]
+    rows = np.repeat(at, hi - lo), np.arange((hi - lo).sum()) + np.repeat(lo - np.cumsum(hi - lo) + (hi - lo), hi - lo)
+    owner, place = items.owner[rows[1]], items.place[rows[1]]
+    enough = np.bincount(owner, minlength=len(items.ids)) >= items.need
+    use = enough[owner]
+    begin, owner, place = (rows[0] - place)[use], owner[use], place[use]
+    order = np.lexsort((begin, owner))
+    begin, owner, place = begin[order], owner[order], place[order]
     out = []
-    for k in np.unique(owner):
+    for k, a, z in zip(*_runs(owner)):
         item = items.words[k]
         n, slack = len(item), longest_gap(len(item))
-        starts = np.unique(begin[owner == k])
+        starts = begin[a:z]
         # places closer than the slack share a window; each window has room for gaps on both sides
         first = np.concatenate([[True], np.diff(starts) > slack])
-        left = starts[first] - slack
-        right = starts[np.append(first[1:], True)] + n + slack
+        window = np.cumsum(first) - 1
+        seen = np.unique(window * n + place[a:z]) // n  # each of the item's seeds once
+        full = np.bincount(seen, minlength=window[-1] + 1) >= items.need[k]
+        left = starts[first][full] - slack
+        right = starts[np.append(first[1:], True)][full] + n + slack
         left, right = np.maximum(left, 0), np.minimum(right, len(numbers))
+        if not len(left):
+            continue
         need = (THRESHOLD * MATCH * n)
         inside = np.concatenate([[0], np.cumsum(np.isin(numbers, item))])
         keep = (inside[right] - inside[left]) * MATCH >= need  # else even all of its words don't make the score
@@ -171,6 +184,12 @@ def matches(numbers: np.ndarray, items: Items) -> list[tuple[int, float, int]]:
     return out
 
 
+def _runs(values: np.ndarray) -> tuple[list[int], list[int], list[int]]:
+    """Of sorted values: each, where its run begins and where it ends."""
+    first = np.flatnonzero(np.append(True, values[1:] != values[:-1])) if len(values) else np.zeros(0, np.int64)
+    return values[first].tolist(), first.tolist(), [*first[1:].tolist(), len(values)][:len(first)]
+
+
 def item_groups(items: DataFrame, item_id: str, text: str) -> Iterator[Items]:
     """The items in groups of at most ITEM_WORDS words (one item may be longer)."""
     group: list[tuple[int, str]] = []
@@ -207,12 +226,11 @@ def contamination(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", tex
     of which it has a copy; last_word is where the best alignment ends."""
     spark, schema = docs.sparkSession, "id long, item_id long, similarity double, last_word long"
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("t")).where("t is not null")
-    out, total = spark.createDataFrame([], schema), None
+    out = spark.createDataFrame([], schema)
     for group in item_groups(items, item_id, item_text):
         shared = spark.sparkContext.broadcast(group)
-        if group.provable():
-            total = rows.count() if total is None else total
-            shared = spark.sparkContext.broadcast(group.rare(_frequencies(docs, text, shared), total))
+        if group.spare().any():
+            shared = spark.sparkContext.broadcast(group.rare(_frequencies(docs, text, shared)))
 
         def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
             for pdf in batches:

@@ -4,13 +4,14 @@ import numpy as np
 import pytest
 
 from ruleloom.llm import decontaminate, language
+from ruleloom.llm.common import words
 
 
 def test_language_of_copies_has_a_dictionary(spark):
     copies = [(f"{'abcdefghij'[k % 10]} word{'abcdefghij'[k // 10]} text", "xx") for k in range(20) for _ in range(2_000)]
     few = [(f"other {chr(97 + k)}", "yy") for k in range(5)]
     rows = spark.createDataFrame(copies + few, "text string, lang string")
-    found = [r["g"] for r in language.sample_texts(rows, "text", "lang").collect()]
+    found = [r["g"] for r in language.sample_pieces(rows, "text", "lang").collect()]
     assert found.count("xx") == 20 and found.count("yy") == 5
     assert sorted(language.fit_dictionaries(rows)) == ["xx", "yy"]
 
@@ -36,11 +37,64 @@ def test_copies_with_a_block_put_in(block):
         assert [s for _, s, _ in got] == ([best] if best >= decontaminate.THRESHOLD else [])
 
 
-def test_common_seeds_find_what_breaks_all_rare_ones():
-    """Rare seeds broken by one word put into each, common ones left whole."""
+def brute_matches(text, items):
+    """Best similarity of each item of at least LEAST_WORDS words that reaches the threshold."""
+    out = {}
+    for i, item in items:
+        w = words(item)
+        if len(w) >= decontaminate.LEAST_WORDS and (s := whole_score(w, words(text)) / (2 * len(w))) >= decontaminate.THRESHOLD:
+            out[i] = s
+    return out
+
+
+def edited(rng, item):
+    """Words put in, left out, changed or moved, at random strength."""
+    out, kind, p = [], rng.integers(0, 4), rng.uniform(0, 0.6)
+    for w in item:
+        if rng.random() < p:
+            out += {0: [w, "new"], 1: [], 2: ["other"], 3: ["new", w, "words"]}[int(kind)]
+        else:
+            out.append(w)
+    return out
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_all_pairs_of_documents_and_items(seed):
+    """Rarest seeds against Smith-Waterman over whole texts, with common words all over."""
+    rng = np.random.default_rng(seed)
+    vocabulary = [f"w{k}" for k in range(40)]
+    items = [(i, " ".join(rng.choice(vocabulary, rng.integers(1, 40)))) for i in range(25)] + [(50, None), (51, "")]
+    texts = []
+    for _ in range(60):
+        parts = [list(rng.choice(vocabulary, rng.integers(0, 30))) for _ in range(2)]
+        texts.append(" ".join(parts[0] + edited(rng, (items[int(rng.integers(0, 25))][1]).split()) + parts[1]))
+    group = decontaminate.Items(items)
+    frequency = {int(s): int(rng.integers(1, 60)) for s in group.unique}
+    if seed % 2:
+        group.rare(frequency)
+    found = 0
+    for t in texts:
+        got = {int(group.ids[k]): s for k, s, _ in decontaminate.matches(group.read(t), group)}
+        assert got == pytest.approx(brute_matches(t, items))
+        found += len(got)
+    assert found > 25
+
+
+def test_words_put_in_after_every_second_one():
     item = [f"i{k}" for k in range(60)]
-    text = [w for k, w in enumerate(item) for w in ([w, "new"] if k < 54 and k % 2 == 1 else [w])]
+    text = [w for k, w in enumerate(item) for w in ([w, "new"] if k % 2 else [w])]
     items = decontaminate.Items([(1, " ".join(item))])
-    frequency = {int(s): 1 if p < 52 else 1000 for s, p in zip(items.flat, items.place)}
-    got = decontaminate.matches(items.read(" ".join(text)), items.rare(frequency, 2000))
-    assert [s for _, s, _ in got] == [whole_score(item, text) / 120] and got[0][1] >= decontaminate.THRESHOLD
+    items.rare({int(s): 9 if k < 20 else 1 for k, s in enumerate(items.flat)})
+    assert [s for _, s, _ in decontaminate.matches(items.read(" ".join(text)), items)] == [whole_score(item, text) / 120]
+
+
+def test_contamination_of_odd_rows(spark):
+    item = " ".join(f"i{k}" for k in range(20))
+    rows = [(1, item, "x"), (1, item, "x"), (2, None, "y"), (3, "", "z"), (None, item, "n"), (4, "word " * 60_000 + item, "l"), (5, "i1 i2", "s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, bad_id string").repartition(3)
+    items = spark.createDataFrame([(7, item), (7, item), (8, None), (9, "")], "item_id long, text string")
+    found = decontaminate.contamination(docs, items).select("id", "item_id").distinct().collect()
+    assert {tuple(r) for r in found} == {(1, 7), (4, 7), (None, 7)}
+    kept = decontaminate.drop_contaminated(docs, items)
+    assert kept.columns == docs.columns and sorted(r["bad_id"] for r in kept.collect()) == ["n", "s", "y", "z"]
+    assert decontaminate.drop_contaminated(docs, items.limit(0)).count() == 7 and decontaminate.contamination(docs.limit(0), items).count() == 0
