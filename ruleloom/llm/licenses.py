@@ -13,8 +13,10 @@ existing name get a leading underscore.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import cache
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -59,6 +61,18 @@ TAG = "spdx license identifier"
 #: Labels whose terms ask no more than notices.
 PERMISSIVE = {"mit", "apache", "apache-2", "bsd-2-clause", "bsd-3-clause", "isc", "cc0", "public-domain", "bsl-1", "cc-by", "unlicense", "zlib"}
 
+#: Identifiers of the public SPDX list that may stand in an expression.
+IDENTIFIERS = """
+0BSD AFL-3.0 AGPL-3.0 AGPL-3.0-only AGPL-3.0-or-later Apache-1.1 Apache-2.0 Artistic-1.0 Artistic-2.0 BlueOak-1.0.0
+BSD-1-Clause BSD-2-Clause BSD-3-Clause BSD-3-Clause-Clear BSD-4-Clause BSL-1.0 BUSL-1.1 CC-BY-1.0 CC-BY-2.0 CC-BY-2.5
+CC-BY-3.0 CC-BY-4.0 CC-BY-NC-2.0 CC-BY-NC-3.0 CC-BY-NC-4.0 CC-BY-NC-ND-4.0 CC-BY-NC-SA-3.0 CC-BY-NC-SA-4.0 CC-BY-ND-4.0
+CC-BY-SA-2.0 CC-BY-SA-3.0 CC-BY-SA-4.0 CC0-1.0 CDDL-1.0 CDDL-1.1 CECILL-2.1 CPL-1.0 ECL-2.0 EPL-1.0 EPL-2.0 EUPL-1.1
+EUPL-1.2 GFDL-1.3 GPL-1.0 GPL-2.0 GPL-2.0-only GPL-2.0-or-later GPL-3.0 GPL-3.0-only GPL-3.0-or-later HPND ICU ISC
+LGPL-2.0 LGPL-2.1 LGPL-2.1-only LGPL-2.1-or-later LGPL-3.0 LGPL-3.0-only LGPL-3.0-or-later LPPL-1.3c MIT MIT-0 MPL-1.1
+MPL-2.0 MS-PL MS-RL MulanPSL-2.0 NCSA ODbL-1.0 OFL-1.1 OpenSSL OSL-3.0 PHP-3.01 PostgreSQL PSF-2.0 Python-2.0 Ruby
+SSPL-1.0 Unlicense UPL-1.0 Vim W3C WTFPL X11 Zlib ZPL-2.1
+""".split()
+
 SCHEMA = ("n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, "
           "score double, permissive boolean, expressions array<string>")
 
@@ -73,6 +87,16 @@ def licence_label(name: str) -> str:
     return re.sub(r"(?<=-\d)\.0$", "", name)
 
 
+@cache
+def _labels() -> set[str]:
+    return {licence_label(name) for name in IDENTIFIERS}
+
+
+def is_licence(name: str) -> bool:
+    """A listed identifier, or one that the text defines for itself."""
+    return licence_label(name) in _labels() or re.fullmatch(r"(documentref-[a-z0-9.\-]+:)?licenseref-[a-z0-9.\-]+", name.lower()) is not None
+
+
 def postfix(expression: str) -> list[str]:
     """Postfix form by the shunting-yard algorithm; with binds before and, and
     before or. Reading ends at the first token that can't continue the
@@ -111,8 +135,8 @@ def postfix(expression: str) -> list[str]:
 
 def evaluate(expression: str) -> tuple[set[str], bool | None]:
     """Labels named, and whether permissive terms alone can meet it: any side
-    of an ``or``, both of an ``and``, the licence before a ``with``. None
-    where there is no licence."""
+    of an ``or``, both of an ``and``, the licence before a ``with``. What is no
+    licence names none and grants nothing. None where there is no licence."""
     stack: list[tuple[set[str], bool]] = []
     for token in postfix(expression):
         if token in _PRECEDENCE and len(stack) >= 2:
@@ -123,8 +147,8 @@ def evaluate(expression: str) -> tuple[set[str], bool | None]:
                 stack.append((ln | rn, (lp or rp) if token == "or" else (lp and rp)))
         elif token not in _PRECEDENCE:
             label = licence_label(token)
-            stack.append(({label}, label in PERMISSIVE))
-    return (stack[-1][0], stack[-1][1]) if stack else (set(), None)
+            stack.append(({label} if is_licence(token) else set(), label in PERMISSIVE))
+    return stack[-1] if stack and stack[-1][0] else (set(), None)
 
 
 @cache
@@ -152,12 +176,15 @@ def scan(text: str | None) -> tuple:
     for end, phrase in _automaton().iter(line):
         begin = end - len(phrase) - 1
         if phrase in BASE_PHRASES:
-            starts.append(line.count(" ", 0, begin + 1) - 1)
+            starts.append(begin)
             base.add(BASE_PHRASES[phrase])
         if phrase == TAG:
             tagged = True
         else:
             spans.append((begin, end, phrase))
+    if starts:  # from places in the line to words
+        begins = list(accumulate((len(t) + 1 for t in tokens), initial=0))
+        starts = [bisect_left(begins, s) for s in starts]
     reach = -1
     for begin, end, phrase in sorted(spans, key=lambda s: (s[0], -s[1])):
         if end > reach:  # not inside a longer phrase
