@@ -9,10 +9,15 @@ Texts are lower-cased and reduced to letters first. A long text is encoded in
 blocks, so that its own repetitions don't outweigh the dictionary; all blocks
 of the whole text count.
 
+A dictionary is filled with pieces of training texts, one of each text before
+a second one of any. A sample of texts gives them; of a text in it every piece
+may be taken, wherever it stands.
+
 Null texts and texts without a letter are ``und`` with score 0. Rows with null
-language or text teach nothing. With no training rows all texts are ``und``.
-Ties go to the language that sorts first. Extra columns stay; output columns
-that clash with an existing name get a leading underscore.
+language or text teach nothing; repeated rows teach once, and are classified
+each. With no training rows all texts are ``und``. Ties go to the language that
+sorts first. Extra columns stay; output columns that clash with an existing
+name get a leading underscore. More than LANGUAGES languages are an error.
 """
 
 from __future__ import annotations
@@ -28,13 +33,16 @@ from pyspark.sql.window import Window
 
 from ruleloom.llm.common import crc_mod, fresh
 
-#: Bytes of a language's dictionary, rows that may fill it, bytes of a block,
-#: zstandard level, and the share of the best size by which the second best
-#: must be larger. The first two bound what is read into the driver.
-DICTIONARY_BYTES, DICTIONARY_ROWS, BLOCK_BYTES, LEVEL, MARGIN = 65_536, 64, 4_096, 6, 0.02
+#: Bytes of a language's dictionary, texts that may fill it, characters of a
+#: piece, pieces of a language, bytes of a block, zstandard level, and the share
+#: of the best size by which the second best must be larger. The driver reads
+#: PIECES pieces of each of LANGUAGES languages at most.
+DICTIONARY_BYTES, DICTIONARY_ROWS, PIECE, PIECES, LANGUAGES, BLOCK_BYTES, LEVEL, MARGIN = 65_536, 64, 1_024, 80, 1_000, 4_096, 6, 0.02
 SCHEMA = "lang_pred string, score double, margin double, accepted boolean"
 
-_NOT_LETTERS = re.compile(r"[\W\d_]+")
+#: Characters that count as word characters but are neither letters nor decimal digits, such as the square sign.
+_NUMERIC = "".join(c for c in map(chr, range(0x110000)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
+_NOT_LETTERS = re.compile(rf"[\W\d_{_NUMERIC}]+")
 
 
 def letters(text: str | None) -> bytes:
@@ -42,35 +50,34 @@ def letters(text: str | None) -> bytes:
     return _NOT_LETTERS.sub(" ", (text or "").lower()).strip().encode("utf-8", "ignore")
 
 
-def sample_texts(train: DataFrame, text: str, lang: str) -> DataFrame:
-    """(lang, order, piece): of each language about DICTIONARY_ROWS distinct
-    texts, those of smallest hash, each in a bounded part.
+def sample_pieces(train: DataFrame, text: str, lang: str) -> DataFrame:
+    """(g, order_in_lang, t): PIECES pieces of each language g at most, from
+    about three times DICTIONARY_ROWS distinct texts, those of smallest hash.
 
     The share of hashes that may pass is set from how many distinct texts each
     language has, so that no task receives more than a few times that many rows."""
-    t, g, k, n, order = "t", "g", "k", "n", "order_in_lang"
+    t, g, k, n, turn, order = "t", "g", "k", "n", "turn", "order_in_lang"
     rows = train.select(F.col(text).alias(t), F.col(lang).alias(g)).where(F.col(t).rlike(r"\p{L}") & F.col(g).isNotNull())
     keyed = rows.select(g, t, F.xxhash64(t).alias(k))
-    counts = keyed.select(g, k).distinct().groupBy(g).agg(F.count("*").alias(n))  # copies of a text count once
-    share = F.least(F.lit(1.0), F.lit(3.0 * DICTIONARY_ROWS) / F.col(n))
-    few = keyed.join(F.broadcast(counts.limit(100_000)), g).where(F.pmod(F.col(k), F.lit(1 << 40)) < share * (1 << 40))
-    few = few.select(g, k, F.substring(t, 1, DICTIONARY_BYTES).alias(t)).dropDuplicates([g, k])
-    ranked = few.withColumn(order, F.row_number().over(Window.partitionBy(g).orderBy(k)))
-    return ranked.where(F.col(order) <= DICTIONARY_ROWS).select(g, order, t)
+    counts = keyed.select(g, k).distinct().groupBy(g).agg(F.count("*").alias(n)).limit(LANGUAGES + 1).collect()  # copies of a text count once
+    if len(counts) > LANGUAGES:
+        raise ValueError(f"more than {LANGUAGES} languages")
+    known = train.sparkSession.createDataFrame([(r[g], min(1.0, 3.0 * DICTIONARY_ROWS / r[n])) for r in counts], f"{g} string, share double")
+    few = keyed.join(F.broadcast(known), g).where(F.pmod(F.col(k), F.lit(1 << 40)) < F.col("share") * (1 << 40)).select(g, k, t).dropDuplicates([g, k])
+    begins = F.explode(F.sequence(F.lit(1), F.length(t), F.lit(PIECE)))
+    pieces = few.select(g, k, t, begins.alias("at")).select(g, k, F.substring(t, F.col("at"), F.lit(PIECE)).alias(t)).withColumn("h", F.xxhash64(k, t))
+    turns = pieces.withColumn(turn, F.row_number().over(Window.partitionBy(g, k).orderBy("h", t)))
+    ranked = turns.withColumn(order, F.row_number().over(Window.partitionBy(g).orderBy(turn, k, "h")))
+    return ranked.where(F.col(order) <= PIECES).select(g, order, t)
 
 
 def fit_dictionaries(train: DataFrame, text: str = "text", lang: str = "lang") -> dict[str, bytes]:
-    """Language -> raw content. The driver reads a bounded sample only:
-    DICTIONARY_ROWS texts of each language. Each text gives at most an equal
-    share of the dictionary at first; what is left over fills the rest."""
+    """Language -> raw content of DICTIONARY_BYTES at most. The driver reads a bounded sample only."""
     found: dict[str, list[bytes]] = {}
-    for g, _, t in sorted(sample_texts(train, text, lang).collect()):
+    for g, _, t in sorted(sample_pieces(train, text, lang).collect()):
         found.setdefault(g, []).append(letters(t))
-    out = {}
-    for g, parts in found.items():
-        fair = DICTIONARY_BYTES // 16
-        out[g] = b" ".join([p[:fair] for p in parts] + [p[fair:] for p in parts if len(p) > fair])[:DICTIONARY_BYTES]
-    return out
+    # what is nearest to the end costs fewest bytes to point at; a last piece may be cut
+    return {g: b" ".join(parts)[:DICTIONARY_BYTES] for g, parts in found.items()}
 
 
 def _classifier(dictionaries: dict[str, bytes]):
