@@ -40,14 +40,15 @@ from ruleloom.llm.common import crc_mod, fresh
 DICTIONARY_BYTES, DICTIONARY_ROWS, PIECE, PIECES, LANGUAGES, BLOCK_BYTES, LEVEL, MARGIN = 65_536, 64, 1_024, 80, 1_000, 4_096, 6, 0.02
 SCHEMA = "lang_pred string, score double, margin double, accepted boolean"
 
-#: Characters that count as word characters but are neither letters nor decimal digits, such as the square sign.
-_NUMERIC = "".join(c for c in map(chr, range(0x110000)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
-_NOT_LETTERS = re.compile(rf"[\W\d_{_NUMERIC}]+")
+_NOT_LETTERS = re.compile(r"[\W\d_]+")
 
 
 def letters(text: str | None) -> bytes:
     """Lower-cased letters of a text, words parted by one space."""
-    return _NOT_LETTERS.sub(" ", (text or "").lower()).strip().encode("utf-8", "ignore")
+    words = _NOT_LETTERS.sub(" ", (text or "").lower())
+    if not words.replace(" ", "").isalpha():  # signs such as the square count as word characters, but are no letters
+        words = " ".join("".join(c if c.isalpha() else " " for c in words).split())
+    return words.strip().encode("utf-8", "ignore")
 
 
 def sample_pieces(train: DataFrame, text: str, lang: str) -> DataFrame:
