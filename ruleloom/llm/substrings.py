@@ -6,26 +6,30 @@ with a smaller id. All is judged on the input.
 1. Each window of LEAST bytes has a minimizer: the least hash among its
    strings of GRAM bytes. Equal windows have equal minimizers wherever they
    stand. Successive windows of one minimizer form a stretch.
-2. The documents of each minimizer's bucket are gathered, as packed arrays. Each
-   document is answered with one bit for each of its stretches, in the order in
-   which it sent them: whether two documents have the minimizer.
-3. Such stretches go to the minimizer's shard. All equal windows meet in one
-   shard, and equal stretches are kept there once with their smallest document;
-   so copies add no text to a shard.
-4. A shard's text gets its suffix array by induced sorting, and permuted common
-   prefixes tell which neighbours agree for LEAST bytes. Runs of these are
-   equal windows; each run has a smallest document. Windows of larger
-   documents are reported back.
-5. Each document joins its reported spans and is rewritten.
-
-What travels is packed: a row for each batch and bucket, or for each bucket
-and group of documents, so never more rows than what they hold. Each step is
-linear in the text, and in the number of documents that have a window, however
-many have it.
+2. Documents are dealt over packs of about PACK_BYTES, which stay what they are
+   from here on. A pack sends each minimizer once, with the smallest and the
+   largest document that has it, to the minimizer's bucket, and is told in a bit
+   each whether two documents of the corpus have it.
+3. Of the stretches of such minimizers a pack sends each text once, with the
+   smallest document that has it, to the minimizer's shard. All equal windows
+   meet in one shard. So what arrives for one minimizer or text grows with the
+   number of packs that have it, not with that of documents or places.
+4. A text that is the only one of its minimizer has no window in common with
+   another. The others of a shard get a suffix array by induced sorting, and
+   permuted common prefixes tell which neighbours agree for LEAST bytes. Runs of
+   these are equal windows; each run has a smallest document.
+5. A pack gets back, for the texts that it sent, the smallest document of each
+   window, and rewrites its documents.
+
+Packs, buckets and homes of shards are numbered by the bytes of the input, so
+that each holds about as many whatever there is. Texts are read in chunks of
+CHUNK bytes. Each step is linear in the text.
 
 Null texts count as empty. Rows with a null id take no part and lose nothing.
 Repeated rows of an id are one document and lose the same bytes; rows of one
-id with different texts are told apart, and none is smaller than another.
+id with different texts are told apart, and none is smaller than another. Empty
+tables give none; of other columns of the input none is returned, and none is
+in the way.
 """
 
 from __future__ import annotations
@@ -39,12 +43,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ruleloom.llm.common import partitions
-from ruleloom.llm.suffix import common_prefixes, suffix_array
+from ruleloom.llm.suffix import permuted_prefixes, suffix_array
 
 LEAST, GRAM, KEY_BYTES = 50, 20, 5
-#: Bytes that are hashed at once, windows of a stretch at most, and shards for
-#: each shuffle partition, which are sorted one after the other.
-CHUNK, STRETCH, SHARDS = 1 << 20, 4_096, 8
+#: Bytes that are hashed at once, windows of a stretch at most, bytes of text of
+#: a pack, of a bucket and of a home, and shards of a home, which are sorted one
+#: after the other.
+CHUNK, STRETCH, PACK_BYTES, BUCKET_BYTES, HOME_BYTES, SHARDS = 1 << 20, 4_096, 12 << 20, 24 << 20, 24 << 20, 8
 
 _P = np.uint64(0x9E3779B97F4A7C15)
 _Q = np.uint64(0xBF58476D1CE4E5B9)
@@ -129,137 +134,116 @@ def _texts(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return rows.select("id", F.xxhash64("t").alias("mark"), "t")
 
 
-def _minimizers_of(buckets: int):
-    """Batches of (id, mark, t) to packed (bucket, ids, marks, counts, lows)."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            ids, marks = pdf["id"].to_numpy(np.int64), pdf["mark"].to_numpy(np.int64)
-            lows, owner = [], []
-            for k, t in enumerate(pdf["t"]):
-                for _, _, _, _, low in stretches(t):
-                    lows.append(low)
-                    owner.append(np.full(len(low), k, np.int64))
-            if not lows:
-                continue
-            low, who = _keys(np.concatenate(lows)), np.concatenate(owner)
-            bucket = _bucket(low, buckets)
-            order = np.argsort(bucket, kind="stable")
-            low, who, bucket = low[order], who[order], bucket[order]
-            out = []
-            for b, a, z in _runs(bucket):
-                docs, counts = np.unique(who[a:z], return_counts=True)
-                out.append((b, ids[docs].tobytes(), marks[docs].tobytes(), counts.astype(np.uint32).tobytes(), _short(low[a:z]).tobytes()))
-            yield pd.DataFrame(out, columns=["bucket", "ids", "marks", "counts", "lows"])
-
-    return run
-
-
 def _runs(sorted_values: np.ndarray) -> Iterator[tuple[int, int, int]]:
     if len(sorted_values):
         first = np.flatnonzero(np.concatenate([[True], sorted_values[1:] != sorted_values[:-1]]))
         yield from zip(sorted_values[first].tolist(), first.tolist(), [*first[1:].tolist(), len(sorted_values)])
 
 
-def _joined(blobs, kind) -> np.ndarray:
-    return np.concatenate([np.frombuffer(b, kind) for b in blobs]) if len(blobs) else np.zeros(0, kind)
+class Pack:
+    """The documents of a pack, by id and mark, and their stretches: document,
+    place, number of windows and key of each, in order. Each key is numbered
+    by bucket and, in a bucket, by where it comes first."""
+
+    def __init__(self, rows: pd.DataFrame, buckets: int) -> None:
+        self.docs = rows[["id", "mark", "t"]].drop_duplicates(["id", "mark"]).sort_values(["id", "mark"], ignore_index=True)
+        self.ids = self.docs["id"].to_numpy(np.int64)
+        self.raw = [t.encode("utf-8", "surrogatepass") for t in self.docs["t"]]
+        parts = [(k, at + starts, lengths, low) for k, t in enumerate(self.docs["t"]) for at, _, starts, lengths, low in stretches(t)]
+        flat = lambda i, kind: np.concatenate([p[i] for p in parts]).astype(kind) if parts else np.zeros(0, kind)
+        self.owner = np.repeat(np.array([p[0] for p in parts], np.int32), [len(p[1]) for p in parts]) if parts else np.zeros(0, np.int32)
+        self.start, self.windows = flat(1, np.int64), flat(2, np.int32)
+        self.key = _keys(flat(3, np.uint64))
+        order = np.argsort(self.key, kind="stable")
+        new = np.flatnonzero(np.append(True, self.key[order][1:] != self.key[order][:-1])) if len(order) else np.zeros(0, np.int64)
+        first, last = order[new], order[np.append(new[1:], len(order))[:len(new)] - 1]
+        bucket = _bucket(self.key[first], buckets)
+        by = np.lexsort((first, bucket))
+        self.first, self.last, self.bucket = first[by], last[by], bucket[by]
+        number = np.empty(len(by), np.int64)
+        number[by] = np.arange(len(by))
+        self.number = np.empty(len(order), np.int64)
+        self.number[order] = np.repeat(number, np.diff(np.append(new, len(order))))
+
+    def shared(self, told: pd.DataFrame) -> np.ndarray:
+        """Of each key, whether two documents have it: bits from all buckets put together."""
+        sizes = np.bincount(self.bucket, minlength=1)
+        bits = [np.unpackbits(np.frombuffer(b, np.uint8), count=int(sizes[k])) for k, b in told.sort_values("at")[["at", "bits"]].itertuples(index=False)]
+        return np.concatenate(bits) if bits else np.zeros(0, np.uint8)
+
+    def sent(self, shared: np.ndarray, homes: int) -> Iterator[tuple[int, list[bytes], np.ndarray, np.ndarray]]:
+        """For each shard, in order: its number, the distinct texts of the pack's
+        stretches whose keys are shared, the stretches, and which text each has."""
+        at = np.flatnonzero(shared[self.number])
+        shard = _bucket(self.key[at], homes * SHARDS)
+        order = np.argsort(shard, kind="stable")
+        for k, a, z in _runs(shard[order]):
+            which = at[order[a:z]]
+            own: dict[bytes, int] = {}
+            raw = self.raw
+            number = np.fromiter((own.setdefault(raw[d][s:s + n + LEAST - 1], len(own)) for d, s, n in zip(self.owner[which].tolist(), self.start[which].tolist(), self.windows[which].tolist())), np.int64, len(which))
+            yield k, list(own), which, number
 
 
-def _home(ids: np.ndarray, marks: np.ndarray, homes: int) -> np.ndarray:
-    """The group of documents that a document is in."""
-    return _bucket((ids.view(np.uint64) * _P) ^ marks.view(np.uint64), homes)
-
-
-def _shared_minimizers(homes: int):
-    """A bucket to (home, bucket, ids, marks, counts, bits): for each stretch
-    that a document sent, in that order, whether two documents have its minimizer."""
+def _minimizers_of(buckets: int):
+    """A pack to (pack, bucket, ids, counts, lows, more, most): each of its
+    minimizers once, with its smallest document; ``more`` are those that another
+    document of the pack has too, ``most`` the largest one that has it."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        ids, marks, counts = _joined(pdf["ids"], np.int64), _joined(pdf["marks"], np.int64), _joined(pdf["counts"], np.uint32)
-        low, who = _long(_joined(pdf["lows"], np.uint8)), np.repeat(ids, counts)
-        order = np.argsort(low, kind="stable")
-        low, who = low[order], who[order]
-        first = np.flatnonzero(np.concatenate([[True], low[1:] != low[:-1]]))
-        least, most = np.minimum.reduceat(who, first), np.maximum.reduceat(who, first)
-        shared = np.empty(len(low), bool)
-        shared[order] = np.repeat(least < most, np.diff(np.append(first, len(low))))
-        told = np.flatnonzero(np.logical_or.reduceat(shared, np.cumsum(counts, dtype=np.int64) - counts))
-        home = _home(ids[told], marks[told], homes)
-        by_home = np.argsort(home, kind="stable")
-        told, home = told[by_home], home[by_home]
-        bits = shared[_picked(counts, told)]
-        ends = np.append(0, np.cumsum(counts[told], dtype=np.int64))
-        bucket = int(pdf["bucket"].iloc[0])
-        out = [(h, bucket, ids[told[a:z]].tobytes(), marks[told[a:z]].tobytes(), counts[told[a:z]].tobytes(), np.packbits(bits[ends[a]:ends[z]]).tobytes()) for h, a, z in _runs(home)]
-        return pd.DataFrame(out, columns=["home", "bucket", "ids", "marks", "counts", "bits"])
+        pack, out = Pack(pdf, buckets), []
+        smallest, largest, low = pack.ids[pack.owner[pack.first]], pack.ids[pack.owner[pack.last]], pack.key[pack.first]
+        for b, a, z in _runs(pack.bucket):
+            ids, counts = np.unique(smallest[a:z], return_counts=True)
+            more = np.flatnonzero(largest[a:z] > smallest[a:z])
+            blobs = (ids.tobytes(), counts.astype(np.uint32).tobytes(), _short(low[a:z]).tobytes(), _squeeze(more.astype(np.uint32).tobytes()), _squeeze(largest[a:z][more].tobytes()))
+            out.append((int(pdf["pack"].iloc[0]), b, *blobs))
+        return pd.DataFrame(out, columns=["pack", "bucket", "ids", "counts", "lows", "more", "most"])
 
     return run
 
 
-def _picked(counts: np.ndarray, entries: np.ndarray) -> np.ndarray:
-    """Places of the items of the given entries, entry k having counts[k] in a row."""
-    begins, n = np.cumsum(counts, dtype=np.int64) - counts, counts[entries].astype(np.int64)
-    return np.arange(n.sum()) + np.repeat(begins[entries] - (np.cumsum(n) - n), n)
-
-
-def _answers(pdf: pd.DataFrame) -> pd.DataFrame:
-    """A home to (id, mark, buckets, bits), the bits by bucket and then in the
-    order of the document's stretches."""
-    ids, marks, counts = _joined(pdf["ids"], np.int64), _joined(pdf["marks"], np.int64), _joined(pdf["counts"], np.uint32)
-    buckets = np.repeat(pdf["bucket"].to_numpy(np.int64), [len(b) // 8 for b in pdf["ids"]])
-    bits = np.concatenate([np.unpackbits(np.frombuffer(b, np.uint8), count=int(np.frombuffer(c, np.uint32).sum())) for b, c in zip(pdf["bits"], pdf["counts"])])
-    order = np.lexsort((buckets, marks, ids))
-    i, m, b = ids[order], marks[order], buckets[order]
-    order = order[np.concatenate([[True], (i[1:] != i[:-1]) | (m[1:] != m[:-1]) | (b[1:] != b[:-1])])]  # repeated rows have the same answer
-    bits, ends = bits[_picked(counts, order)], np.append(0, np.cumsum(counts[order], dtype=np.int64))
-    ids, marks, buckets = ids[order], marks[order], buckets[order].astype(np.uint32)
-    first = np.flatnonzero(np.concatenate([[True], (ids[1:] != ids[:-1]) | (marks[1:] != marks[:-1])]))
-    cuts = list(zip(first.tolist(), [*first[1:].tolist(), len(ids)]))
-    return pd.DataFrame({"id": ids[first], "mark": marks[first], "buckets": [buckets[a:z].tobytes() for a, z in cuts], "bits": [np.packbits(bits[ends[a]:ends[z]]).tobytes() for a, z in cuts]})
-
-
-def _told(keys: np.ndarray, buckets: int, told: bytes, bits: bytes) -> np.ndarray:
-    """Of a document's stretches: whether two documents have the minimizer."""
-    own, asked = _bucket(keys, buckets), np.frombuffer(told, np.uint32)
-    order = np.argsort(own, kind="stable")
-    place = np.minimum(np.searchsorted(asked, own[order]), len(asked) - 1)
-    order = order[asked[place] == own[order]]
-    out = np.zeros(len(keys), bool)
-    out[order] = np.unpackbits(np.frombuffer(bits, np.uint8), count=len(order)).astype(bool)
-    return out
-
-
-def _stretches_of(buckets: int):
-    """Batches of (id, mark, t, buckets, bits) to (home, places, numbers, sizes,
-    texts): the packed stretches of each of the home's SHARDS shards."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            lows, parts, texts = [], [], []
-            for i, m, t, asked, bits in zip(pdf["id"], pdf["mark"], pdf["t"], pdf["buckets"], pdf["bits"]):
-                chunks = list(stretches(t))
-                hits = _told(_keys(np.concatenate([c[-1] for c in chunks])), buckets, asked, bits)
-                for at, b, starts, lengths, low in chunks:
-                    hit, hits = np.flatnonzero(hits[:len(low)]), hits[len(low):]
-                    if len(hit):
-                        raw = b.tobytes()
-                        texts += [raw[s:s + n + LEAST - 1] for s, n in zip(starts[hit].tolist(), lengths[hit].tolist())]
-                        parts.append(np.stack([np.full(len(hit), i), np.full(len(hit), m), at + starts[hit]], 1))
-                        lows.append(_keys(low[hit]))
-            if not lows:
-                continue
-            shard = _bucket(np.concatenate(lows), buckets * SHARDS)
-            where = np.concatenate(parts).astype(np.int64)
-            order = np.argsort(shard, kind="stable")
-            homes: dict[int, list] = {}
-            for s, a, z in _runs(shard[order]):
-                own: dict[bytes, int] = {}  # equal stretches travel once
-                number = np.array([own.setdefault(texts[k], len(own)) for k in order[a:z]], np.uint32)
-                sizes = np.array([len(x) for x in own], np.uint32)
-                columns = np.ascontiguousarray(where[order[a:z]].T)  # ids, marks and starts, each by itself
-                packed = (_squeeze(columns.tobytes()), _squeeze(number.tobytes()), sizes.tobytes(), _squeeze(b"".join(own)))
-                homes.setdefault(s // SHARDS, [None] * SHARDS)[s % SHARDS] = packed
-            yield pd.DataFrame([(h, *([p and p[k] for p in shards] for k in range(4))) for h, shards in homes.items()], columns=["home", "places", "numbers", "sizes", "texts"])
+def _joined(blobs, kind) -> np.ndarray:
+    return np.concatenate([np.frombuffer(b, kind) for b in blobs])
+
+
+def _shared_minimizers(pdf: pd.DataFrame) -> pd.DataFrame:
+    """A bucket to (pack, at, bits): for each minimizer that a pack sent, in that
+    order, whether two documents have it."""
+    low = _long(_joined(pdf["lows"], np.uint8))
+    smallest = np.repeat(_joined(pdf["ids"], np.int64), _joined(pdf["counts"], np.uint32))
+    largest, sizes, at = smallest.copy(), [len(b) // KEY_BYTES for b in pdf["lows"]], 0
+    for n, more, most in zip(sizes, pdf["more"], pdf["most"]):
+        largest[at + np.frombuffer(_expand(more), np.uint32)] = np.frombuffer(_expand(most), np.int64)
+        at += n
+    order = np.argsort(low, kind="stable")
+    low = low[order]
+    first = np.flatnonzero(np.append(True, low[1:] != low[:-1]))
+    shared = np.empty(len(low), bool)
+    shared[order] = np.repeat(np.minimum.reduceat(smallest[order], first) < np.maximum.reduceat(largest[order], first), np.diff(np.append(first, len(low))))
+    ends = np.cumsum(sizes).tolist()
+    return pd.DataFrame({"pack": pdf["pack"], "at": pdf["bucket"], "bits": [np.packbits(shared[a:z]).tobytes() for a, z in zip([0, *ends], ends)]})
+
+
+def _stretches_of(buckets: int, homes: int):
+    """A pack and what it was told to (pack, home, smallest, sizes, texts): what it
+    sends to each of the home's SHARDS shards. One row more, of a negative home,
+    goes back to the pack with the bits that it was told."""
+
+    def run(pdf: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
+        out: dict[int, list] = {}
+        if len(pdf):
+            pack = Pack(pdf, buckets)
+            shared = pack.shared(told)
+            for shard, texts, which, number in pack.sent(shared, homes):
+                first = which[np.unique(number, return_index=True)[1]]
+                packed = _squeeze(pack.ids[pack.owner[first]].tobytes()), np.array([len(x) for x in texts], np.uint32).tobytes(), _squeeze(b"".join(texts))
+                out.setdefault(shard // SHARDS, [None] * SHARDS)[shard % SHARDS] = packed
+        number = int(pdf["pack"].iloc[0]) if len(pdf) else 0
+        rows = [(number, h, *([p and p[k] for p in shards] for k in range(3))) for h, shards in out.items()]
+        if rows:
+            rows.append((number, -1 - number, [np.packbits(shared).tobytes()], None, None))
+        return pd.DataFrame(rows, columns=["pack", "home", "smallest", "sizes", "texts"])
 
     return run
 
@@ -276,8 +260,8 @@ def equal_windows(texts: list[bytes], smallest: np.ndarray) -> np.ndarray:
     owner = np.repeat(np.arange(len(texts)), sizes + 1)
     window = np.zeros(len(s), bool)
     window[:-1] = np.repeat(gaps, sizes + 1) - np.arange(len(s) - 1) >= LEAST
-    sa = suffix_array(s, 258, depth=LEAST)
-    agrees = common_prefixes(s, sa, LEAST)
+    sa = suffix_array(s, 258)
+    agrees = permuted_prefixes(s, sa) >= LEAST
     value = np.full(len(s), np.iinfo(np.int64).max)
     value[:-1][window[:-1]] = smallest[owner][window[:-1]]
     # suffixes of one run agree with their predecessors for LEAST bytes
@@ -289,64 +273,54 @@ def equal_windows(texts: list[bytes], smallest: np.ndarray) -> np.ndarray:
     return out
 
 
-def _spans(homes: int):
-    """A home's shards, one after the other, to (home, spans): packed ids, marks,
-    begins and ends of what they find in earlier documents."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        shards = [[p for p in zip(*(column.str[k] for _, column in pdf[["places", "numbers", "sizes", "texts"]].items())) if p[0] is not None] for k in range(SHARDS)]
-        found = np.concatenate([np.zeros((0, 4), np.int64), *(_shard_spans(packed) for packed in shards if packed)])
-        home = _home(np.ascontiguousarray(found[:, 0]), np.ascontiguousarray(found[:, 1]), homes)
-        order = np.argsort(home, kind="stable")
-        found = found[order]
-        return pd.DataFrame([(h, _squeeze(np.ascontiguousarray(found[a:z].T).tobytes())) for h, a, z in _runs(home[order])], columns=["home", "spans"])
-
-    return run
+def shard_windows(texts: list[bytes], smallest: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each window of each distinct text, one after the other, the smallest
+    document that has it; and where each text's windows begin. ``smallest`` is
+    the smallest document that has the whole text."""
+    windows = np.array([len(t) - LEAST + 1 for t in texts])
+    ends = np.cumsum(windows)
+    least = np.repeat(smallest, windows)
+    # the minimizers of the texts' first windows
+    heads = minimizers(np.frombuffer(b"".join(t[:LEAST] for t in texts), np.uint8))[::LEAST]
+    _, kind, copies = np.unique(heads, return_inverse=True, return_counts=True)
+    several = np.flatnonzero(copies[kind] > 1)
+    if len(several):
+        found = equal_windows([texts[k] for k in several], smallest[several])
+        own = windows[several]
+        offset = np.arange(own.sum()) - np.repeat(np.cumsum(own) - own, own)
+        begins = np.cumsum(own + LEAST) - own - LEAST  # a text has LEAST - 1 bytes more than windows, and a gap
+        least[np.repeat((ends - windows)[several], own) + offset] = found[np.repeat(begins, own) + offset]
+    return least, ends - windows
 
 
-def _gathered_spans(pdf: pd.DataFrame) -> pd.DataFrame:
-    """A home to (id, mark, spans)."""
-    found = np.concatenate([np.frombuffer(_expand(b), np.int64).reshape(4, -1).T for b in pdf["spans"]])
-    return _by_document(found[:, 0], found[:, 1], found[:, 2:], "spans")
-
-
-def _shard_spans(packed: list[tuple[bytes, bytes, bytes, bytes]]) -> np.ndarray:
-    """Id, mark, begin and end of what a shard finds in earlier documents."""
-    distinct: dict[bytes, int] = {}
-    places, numbers = [], []
-    for place, number, sizes, text in packed:
-        place, number, text = _expand(place), _expand(number), _expand(text)
-        ends = np.cumsum(np.frombuffer(sizes, np.uint32)).tolist()
-        own = np.array([distinct.setdefault(text[a:z], len(distinct)) for a, z in zip([0, *ends], ends)], np.int64)
-        places.append(np.frombuffer(place, np.int64).reshape(3, -1).T)
-        numbers.append(own[np.frombuffer(number, np.uint32)])
-    where, number = np.concatenate(places), np.concatenate(numbers)
-    texts = list(distinct)
-    smallest = np.full(len(texts), np.iinfo(np.int64).max)
-    np.minimum.at(smallest, number, where[:, 0])
-    least = equal_windows(texts, smallest)
-    sizes = np.array([len(t) for t in texts])
-    begins, windows = np.cumsum(sizes + 1) - sizes - 1, sizes - LEAST + 1
-    out = []
-    for part in np.array_split(np.arange(len(where)), max(1, int(windows[number].sum() // 2_000_000))):
-        n = windows[number[part]]
-        row = np.repeat(part, n)
-        offset = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-        gone = least[begins[number[row]] + offset] < where[row, 0]
-        row, offset = row[gone], offset[gone]
-        if len(row):
-            new = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (offset[1:] != offset[:-1] + 1)]))
-            last = np.append(new[1:], len(row)) - 1
-            begin = where[row[new], 2] + offset[new]
-            out.append(np.stack([where[row[new], 0], where[row[new], 1], begin, where[row[last], 2] + offset[last] + LEAST], 1))
-    return np.concatenate(out) if out else np.zeros((0, 4), np.int64)
-
-
-def _by_document(ids: np.ndarray, marks: np.ndarray, values: np.ndarray, name: str) -> pd.DataFrame:
-    order = np.lexsort((marks, ids))
-    ids, marks, values = ids[order], marks[order], np.ascontiguousarray(values[order])
-    first = np.flatnonzero(np.concatenate([[True], (ids[1:] != ids[:-1]) | (marks[1:] != marks[:-1])]))
-    return pd.DataFrame({"id": ids[first], "mark": marks[first], name: [values[a:z].tobytes() for a, z in zip(first, np.append(first[1:], len(ids)))]})
+def _answers(pdf: pd.DataFrame) -> pd.DataFrame:
+    """A home's shards, one after the other, to (pack, at, runs, values): for the
+    windows of the texts that a pack sent, in that order, the smallest documents
+    as runs of equal ones."""
+    if pdf["home"].iloc[0] < 0:
+        return pd.DataFrame({"pack": pdf["pack"], "at": pdf["home"], "runs": pdf["smallest"], "values": None})
+    out: list[list] = [[None] * SHARDS for _ in range(len(pdf))]
+    for k in range(SHARDS):
+        packed = [(r, s[k], n[k], t[k]) for r, (s, n, t) in enumerate(zip(pdf["smallest"], pdf["sizes"], pdf["texts"])) if t[k] is not None]
+        if not packed:
+            continue
+        distinct: dict[bytes, int] = {}
+        numbers, ids = [], []
+        for _, smallest, sizes, text in packed:
+            text, ends = _expand(text), np.cumsum(np.frombuffer(sizes, np.uint32)).tolist()
+            numbers.append(np.fromiter((distinct.setdefault(text[a:z], len(distinct)) for a, z in zip([0, *ends], ends)), np.int64, len(ends)))
+            ids.append(np.frombuffer(_expand(smallest), np.int64))
+        least = np.full(len(distinct), np.iinfo(np.int64).max)
+        np.minimum.at(least, np.concatenate(numbers), np.concatenate(ids))
+        texts = list(distinct)
+        value, begins = shard_windows(texts, least)
+        windows = np.array([len(t) - LEAST + 1 for t in texts])
+        for (r, *_), number in zip(packed, numbers):
+            n = windows[number]
+            own = value[np.arange(n.sum()) + np.repeat(begins[number] - (np.cumsum(n) - n), n)]
+            new = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+            out[r][k] = _squeeze(np.diff(np.append(new, len(own))).astype(np.uint32).tobytes()), _squeeze(own[new].tobytes())
+    return pd.DataFrame({"pack": pdf["pack"], "at": pdf["home"], "runs": [[p and p[0] for p in row] for row in out], "values": [[p and p[1] for p in row] for row in out]})
 
 
 def merged(spans: np.ndarray) -> np.ndarray:
@@ -363,36 +337,73 @@ def merged(spans: np.ndarray) -> np.ndarray:
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
 
 
-def _rewrite(with_text: bool):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for i, t, told in zip(pdf["id"], pdf["t"], pdf["spans"]):
-                raw = t.encode("utf-8", "surrogatepass")
-                spans = merged(np.frombuffer(told, np.int64).reshape(-1, 2)) if told is not None else np.zeros((0, 2), np.int64)
-                edges = [0, *spans.ravel().tolist(), len(raw)]
-                kept = b"".join(raw[a:z] for a, z in zip(edges[::2], edges[1::2])) if len(spans) else raw
-                out.append((i, len(raw), len(raw) - len(kept), len(spans), hashlib.sha256(kept).hexdigest(), kept if with_text else None))
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in RESULT.split(", ")]).astype({"doc_id": "Int64"})
+def _result(doc_id: int | None, raw: bytes, spans: np.ndarray, with_text: bool) -> tuple:
+    edges = [0, *spans.ravel().tolist(), len(raw)]
+    kept = b"".join(raw[a:z] for a, z in zip(edges[::2], edges[1::2])) if len(spans) else raw
+    return doc_id, len(raw), len(raw) - len(kept), len(spans), hashlib.sha256(kept).hexdigest(), kept if with_text else None
+
+
+def _frame(rows: list[tuple]) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=[c.split()[0] for c in RESULT.split(", ")]).astype({"doc_id": "Int64"})
+
+
+def _rewritten(buckets: int, homes: int, with_text: bool):
+    """A pack and its answers to RESULT."""
+
+    def run(pdf: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
+        if not len(pdf):
+            return _frame([])
+        pack = Pack(pdf, buckets)
+        answers = {int(h): row for h, *row in told[["at", "runs", "values"]].itertuples(index=False)}
+        back = answers.get(-1 - int(pdf["pack"].iloc[0]))  # none where no key is shared
+        shared = np.unpackbits(np.frombuffer(back[0][0], np.uint8), count=len(pack.first)) if back else np.zeros(len(pack.first), np.uint8)
+        spans: dict[int, list[np.ndarray]] = {}
+        for shard, texts, which, number in pack.sent(shared, homes):
+            runs, values = (np.frombuffer(_expand(blob[shard % SHARDS]), kind) for blob, kind in zip(answers[shard // SHARDS], (np.uint32, np.int64)))
+            least = np.repeat(values, runs)
+            sizes = np.array([len(t) - LEAST + 1 for t in texts])
+            begins, n = (np.cumsum(sizes) - sizes)[number], sizes[number]
+            row = np.repeat(np.arange(len(which)), n)
+            offset = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+            owner = pack.owner[which]
+            gone = least[begins[row] + offset] < pack.ids[owner][row]
+            row, offset = row[gone], offset[gone]
+            if len(row):
+                new = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (offset[1:] != offset[:-1] + 1)))
+                last = np.append(new[1:], len(row)) - 1
+                begin = pack.start[which]
+                found = np.stack([begin[row[new]] + offset[new], begin[row[last]] + offset[last] + LEAST], 1)
+                by = np.argsort(owner[row[new]], kind="stable")
+                for d, a, z in _runs(owner[row[new]][by]):
+                    spans.setdefault(d, []).append(found[by[a:z]])
+        none = np.zeros((0, 2), np.int64)
+        done = [_result(int(i), raw, merged(np.concatenate(spans[k])) if k in spans else none, with_text) for k, (i, raw) in enumerate(zip(pack.ids, pack.raw))]
+        place = {key: k for k, key in enumerate(zip(pack.docs["id"], pack.docs["mark"]))}
+        return _frame([done[place[key]] for key in zip(pdf["id"], pdf["mark"])])  # repeated rows too
 
     return run
 
 
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", with_text: bool = True) -> DataFrame:
     """RESULT for every row of ``docs``; kept holds the remaining bytes."""
-    n = partitions(docs.sparkSession)
+    spark = docs.sparkSession
     rows = _texts(docs, doc_id, text)
-    known = rows.where(F.col("id").isNotNull())
-    packed = known.mapInPandas(_minimizers_of(n), "bucket long, ids binary, marks binary, counts binary, lows binary")
-    told = packed.groupBy("bucket").applyInPandas(_shared_minimizers(n), "home long, bucket long, ids binary, marks binary, counts binary, bits binary")
-    told = told.groupBy("home").applyInPandas(_answers, "id long, mark long, buckets binary, bits binary")
-    placed = known.repartition(n, "id", "mark")  # both joins below read this one exchange
-    sent = placed.join(told, ["id", "mark"]).select("id", "mark", "t", "buckets", "bits")
-    sent = sent.mapInPandas(_stretches_of(n), "home long, places array<binary>, numbers array<binary>, sizes array<binary>, texts array<binary>")
-    spans = sent.groupBy("home").applyInPandas(_spans(n), "home long, spans binary")
-    spans = spans.groupBy("home").applyInPandas(_gathered_spans, "id long, mark long, spans binary")
-    whole = placed.join(spans, ["id", "mark"], "left").select("id", "t", "spans").unionByName(rows.where(F.col("id").isNull()).select("id", "t", F.lit(None).cast("binary").alias("spans")))
-    out = whole.mapInPandas(_rewrite(with_text), RESULT)
+    known, unknown = rows.where(F.col("id").isNotNull()), rows.where(F.col("id").isNull())
+    total = known.agg(F.sum(F.octet_length("t"))).first()[0] or 0
+    packs, buckets, homes = (max(partitions(spark), -(-total // most)) for most in (PACK_BYTES, BUCKET_BYTES, HOME_BYTES))
+    # all that is done with a pack reads this one exchange
+    placed = known.withColumn("pack", F.pmod(F.xxhash64("id", "mark"), F.lit(packs)))
+    packed = placed.groupBy("pack").applyInPandas(_minimizers_of(buckets), "pack long, bucket long, ids binary, counts binary, lows binary, more binary, most binary")
+    told = packed.groupBy("bucket").applyInPandas(_shared_minimizers, "pack long, at long, bits binary")
+    sent = placed.groupBy("pack").cogroup(told.groupBy("pack")).applyInPandas(_stretches_of(buckets, homes), "pack long, home long, smallest array<binary>, sizes array<binary>, texts array<binary>")
+    answers = sent.groupBy("home").applyInPandas(_answers, "pack long, at long, runs array<binary>, values array<binary>")
+    out = placed.groupBy("pack").cogroup(answers.groupBy("pack")).applyInPandas(_rewritten(buckets, homes, with_text), RESULT)
+
+    def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield _frame([_result(None, t.encode("utf-8", "surrogatepass"), np.zeros((0, 2), np.int64), with_text) for t in pdf["t"]])
+
+    out = out.unionByName(unknown.select("t").mapInPandas(whole, RESULT))
     return out if with_text else out.drop("kept")
 
 

@@ -2,14 +2,17 @@
 
 ``suffix_array`` classifies suffixes, sorts the leftmost-smaller (LMS)
 substrings by inducing, names them, sorts the names recursively, and induces
-the whole array from the sorted LMS suffixes. On the text itself a bucket's
-suffixes are induced together with numpy, bucket by bucket; on the shorter
-strings of names, whose alphabets are large, one by one. Both take linear time.
-
-Where only the order by the first ``depth`` symbols matters, names are sorted
-by doubling instead: ranks of two names from pairs of ranks, then of four, and
-so on until they reach over ``depth`` symbols. Induced from such LMS suffixes,
-all suffixes are in order by at least so many symbols.
+the whole array from the sorted LMS suffixes. A bucket's suffixes are induced
+together with numpy, bucket by bucket. So that there are few buckets in the
+recursion too, where a name may have one of very many values, each name is
+written there as two symbols, its upper and lower half: suffixes that begin with
+whole names stay in the order of the names. Strings of up to SHORT names are
+sorted symbol by symbol. All of it takes linear time.
+
+``permuted_prefixes`` finds, in text order, how far each suffix agrees with its
+predecessor in the array. Where a suffix and its predecessor are each one
+further than those before them, they agree for one symbol less; only the others
+are compared with the text, eight symbols at once.
 """
 
 from __future__ import annotations
@@ -163,25 +166,24 @@ def _induce_names(s: list[int], sigma: int) -> list[int]:
     return sa
 
 
-def _double_names(names: np.ndarray, lms_ranks: int, reach: int) -> np.ndarray:
-    """The order of suffixes of a string of names by their first ``reach`` names."""
-    rank, width, count = names, 1, lms_ranks
-    order = np.argsort(rank, kind="stable")
-    while width < reach and count < len(names):
-        ahead = np.zeros(len(names), np.int64)
-        ahead[:-width] = rank[width:] + 1
-        key = rank * (len(names) + 1) + ahead
-        order = np.argsort(key, kind="stable")
-        new = np.concatenate([[False], key[order][1:] != key[order][:-1]])
-        rank = np.empty(len(names), np.int64)
-        rank[order] = np.cumsum(new)
-        count, width = int(new.sum()) + 1, width * 2
-    return order
-
-
-def suffix_array(s: np.ndarray, sigma: int, depth: int | None = None) -> np.ndarray:
-    """Of symbols under ``sigma``; the last one is 0 and no other is. With
-    ``depth``, suffixes that agree for ``depth`` symbols may stand in any order."""
+#: Strings of names up to this length are sorted symbol by symbol.
+SHORT = 100_000
+
+
+def _sorted_names(names: np.ndarray, count: int) -> np.ndarray:
+    """The suffix array of a string of names under ``count``, the last of which is its only 0."""
+    if len(names) <= SHORT:
+        return np.array(_induce_names(names.tolist(), count))
+    half = max(1, (int(count - 1).bit_length() + 1) // 2)
+    halves = np.empty(2 * len(names) + 1, np.uint16 if half < 16 else np.uint32)
+    halves[0:-1:2], halves[1:-1:2], halves[-1] = (names >> half) + 1, (names & ((1 << half) - 1)) + 1, 0
+    sa = suffix_array(halves, (1 << half) + 2)
+    whole = sa[1:]  # without the end
+    return whole[whole % 2 == 0] // 2
+
+
+def suffix_array(s: np.ndarray, sigma: int) -> np.ndarray:
+    """Of symbols under ``sigma``; the last one is 0 and no other is."""
     n = len(s)
     if n == 1:
         return np.zeros(1, np.int64)
@@ -193,21 +195,46 @@ def suffix_array(s: np.ndarray, sigma: int, depth: int | None = None) -> np.ndar
     ordered = sa[is_lms[sa]]
     name, count = _names(s, smaller, lms, ordered)
     if count < len(lms):
-        # LMS places are two symbols apart or more
-        order = np.array(_induce_names(name.tolist(), count)) if depth is None else _double_names(name, count, -(-depth // 2))
-        ordered = lms[order]
+        ordered = lms[_sorted_names(name, count)]
     return _induce(s, smaller, ordered, sigma)
 
 
-def common_prefixes(s: np.ndarray, sa: np.ndarray, least: int) -> np.ndarray:
-    """In text order, whether a suffix agrees with its predecessor in the array
-    for ``least`` symbols or more: the permuted common prefixes, cut off there."""
+def permuted_prefixes(s: np.ndarray, sa: np.ndarray) -> np.ndarray:
+    """In text order, the number of symbols for which each suffix agrees with its
+    predecessor in the array; 0 for the first of the array."""
     n = len(s)
     before = np.full(n, -1, np.int64)
     before[sa[1:]] = sa[:-1]
-    long = np.zeros(n, bool)
-    at = np.flatnonzero((before >= 0) & (np.arange(n) <= n - least) & (before <= n - least))
-    for k in range(least):
-        at = at[s[at + k] == s[before[at] + k]]
-    long[at] = True
-    return long
+    place = np.arange(n)
+    # told by the place before: both moved on by one, and what they left behind agreed
+    follows = np.zeros(n, bool)
+    follows[1:] = (before[1:] == before[:-1] + 1) & (before[:-1] >= 0) & (s[:-1] == s[before[:-1]])
+    at = np.flatnonzero(~follows & (before >= 0))
+    agree = np.zeros(n, np.int64)
+    wide = np.zeros(n, np.uint64)  # eight symbols in one number; of larger ones 8 bits, the rest is compared below
+    padded = np.append(s.astype(np.uint64), np.zeros(16, np.uint64))
+    for k in range(8):
+        wide |= (padded[k:k + n] & np.uint64(0xFF)) << np.uint64(8 * k)
+    full, k = at, 0
+    exact = int(s.max()) < 256
+    while len(full):
+        x, y = full + k, before[full] + k
+        inside = np.maximum(x, y) + 8 <= n
+        same = np.zeros(len(full), bool)
+        same[inside] = wide[x[inside]] == wide[y[inside]]
+        if not exact:
+            for j in range(8):
+                at_j = np.flatnonzero(same)
+                same[at_j] = s[x[at_j] + j] == s[y[at_j] + j]
+        stop = full[~same]
+        agree[stop] = k
+        full, k = full[same], k + 8
+    live = at
+    for _ in range(8):
+        x, y = live + agree[live], before[live] + agree[live]
+        inside = np.maximum(x, y) < n
+        live, x, y = live[inside], x[inside], y[inside]
+        live = live[s[x] == s[y]]
+        agree[live] += 1
+    source = np.maximum.accumulate(np.where(follows, -1, place))
+    return np.where(follows, agree[source] - (place - source), agree)

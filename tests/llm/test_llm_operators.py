@@ -372,9 +372,33 @@ def test_repeats_against_brute_force(spark, documents):
 
 def test_suffix_array():
     rng = np.random.default_rng(4)
-    for n, k in [(1, 1), (40, 1), (60, 2), (200, 3), (300, 50)] * 10:
+    for n, k in [(1, 1), (40, 1), (60, 2), (200, 3), (300, 50), (3_000, 2), (3_000, 40)] * 6:
         s = np.append(rng.integers(1, k + 1, n), 0)
-        assert suffix.suffix_array(s, k + 1).tolist() == sorted(range(n + 1), key=lambda i: s[i:].tolist())
+        if n == 3_000:  # long repetitions: several levels of names
+            s[1_000:2_400] = s[:1_400]
+        sa = suffix.suffix_array(s, k + 1)
+        assert sa.tolist() == sorted(range(n + 1), key=lambda i: s[i:].tolist())
+        due = np.zeros(n + 1, int)
+        for x, y in zip(sa[:-1].tolist(), sa[1:].tolist()):
+            m = min(n + 1 - x, n + 1 - y)
+            due[y] = int(np.append(s[x:x + m] != s[y:y + m], True).argmax())
+        assert suffix.permuted_prefixes(s, sa).tolist() == due.tolist()
+
+
+def test_repeats_in_long_texts_and_many_packs(spark, monkeypatch):
+    """Texts over several chunks, packs of few documents, a passage in all of them, columns with the names used inside."""
+    rng = np.random.default_rng(9)
+    letters = np.array(list("abcdefgh "))
+    say = lambda n: "".join(rng.choice(letters, n))
+    passage = say(300)
+    rows = [(i, say(40) + passage[: int(rng.integers(45, 300))] + say(60) + (passage if i % 3 else "") + "é" * int(rng.integers(0, 60))) for i in range(60)] + [(70, say(9_000)), (71, None), (72, ""), (3, passage), (60, passage * 20)]
+    rows.append((73, rows[60][1][1_000:8_000]))
+    for name, value in {"CHUNK": 1_024, "PACK_BYTES": 700, "BUCKET_BYTES": 2_000, "HOME_BYTES": 1_500}.items():
+        monkeypatch.setattr(substrings, name, value)
+    df = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, pack int").repartition(5)
+    got = sorted((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in substrings.remove_repeats(df).collect())
+    due = sorted((i, *brute_repeats(rows[:k] + rows[k + 1:] + [(i, t)])[i]) for k, (i, t) in enumerate(rows))
+    assert got == due
 
 
 # 10
