@@ -22,7 +22,7 @@ with a smaller id. All is judged on the input.
    window, and rewrites its documents.
 
 Packs, buckets and homes of shards are numbered by the bytes of the input, so
-that each holds about as many whatever there is. Texts are read in chunks of
+that each holds about as many whatever there is. Long texts are read in pieces of
 CHUNK bytes. Each step is linear in the text.
 
 Null texts count as empty. Rows with a null id take no part and lose nothing.
@@ -46,10 +46,10 @@ from ruleloom.llm.common import partitions
 from ruleloom.llm.suffix import permuted_prefixes, suffix_array
 
 LEAST, GRAM, KEY_BYTES = 50, 20, 5
-#: Bytes that are hashed at once, windows of a stretch at most, bytes of text of
-#: a pack, of a bucket and of a home, and shards of a home, which are sorted one
-#: after the other.
-CHUNK, STRETCH, PACK_BYTES, BUCKET_BYTES, HOME_BYTES, SHARDS = 1 << 20, 4_096, 12 << 20, 24 << 20, 24 << 20, 8
+#: Bytes of a piece of a text, bytes that are hashed at once, windows of a
+#: stretch at most, bytes of text of a pack, of a bucket and of a home, and shards
+#: of a home, which are sorted one after the other.
+CHUNK, AT_ONCE, STRETCH, PACK_BYTES, BUCKET_BYTES, HOME_BYTES, SHARDS = 1 << 20, 1 << 17, 4_096, 12 << 20, 24 << 20, 24 << 20, 8
 
 _P = np.uint64(0x9E3779B97F4A7C15)
 _Q = np.uint64(0xBF58476D1CE4E5B9)
@@ -75,22 +75,48 @@ def minimizers(b: np.ndarray) -> np.ndarray:
     return np.minimum(h[:-(need - 16)], h[need - 16:])
 
 
-def stretches(text: str | None) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Of each chunk of a text: its place, its bytes, and each stretch's start
-    in the chunk, number of windows and minimizer."""
-    whole = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)
-    for at in range(0, max(0, len(whole) - LEAST + 1), CHUNK):
-        b = whole[at:at + CHUNK + LEAST - 1]
-        low = minimizers(b)
-        new = np.concatenate([[True], low[1:] != low[:-1]])
-        starts = np.flatnonzero(new)
-        lengths = np.diff(np.append(starts, len(low)))
-        if lengths.max() > STRETCH:  # long repetitions
-            pieces = -(-lengths // STRETCH)
-            part = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-            starts, lengths = np.repeat(starts, pieces) + part * STRETCH, np.repeat(lengths, pieces) - part * STRETCH
-            lengths = np.minimum(lengths, STRETCH)
-        yield at, b, starts, lengths, low[starts]
+def stretches(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of all stretches of the texts, in order: the text's number, the place in it,
+    the number of windows and the minimizer."""
+    none = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.uint64)
+    out, batch, size = [none], [], 0
+    for k, t in enumerate(texts):
+        for at in range(0, len(t) - LEAST + 1, CHUNK):
+            piece = t[at:at + CHUNK + LEAST - 1] if len(t) > CHUNK else t
+            batch.append((k, at, piece))
+            size += len(piece)
+            if size >= AT_ONCE:
+                out.append(_stretches(batch))
+                batch, size = [], 0
+    if batch:
+        out.append(_stretches(batch))
+    return tuple(np.concatenate(column) for column in zip(*out))
+
+
+def _stretches(pieces: list[tuple[int, int, bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The stretches of pieces of LEAST bytes or more, hashed together."""
+    owner, at, texts = zip(*pieces)
+    ends = np.cumsum([len(t) for t in texts])
+    low = minimizers(np.frombuffer(b"".join(texts), np.uint8))
+    inside = np.ones(len(low), bool)  # of windows that no end cuts
+    new = np.empty(len(low), bool)
+    new[0] = True
+    np.not_equal(low[1:], low[:-1], out=new[1:])
+    for e in ends[:-1].tolist():
+        inside[e - LEAST + 1:e] = False
+        new[e - LEAST + 1] = new[e] = True
+    runs = np.flatnonzero(new)
+    lengths = np.diff(np.append(runs, len(low)))
+    kept = inside[runs]
+    starts, lengths = runs[kept], lengths[kept]
+    if lengths.max() > STRETCH:  # long repetitions
+        parts = -(-lengths // STRETCH)
+        part = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
+        starts, lengths = np.repeat(starts, parts) + part * STRETCH, np.repeat(lengths, parts) - part * STRETCH
+        lengths = np.minimum(lengths, STRETCH)
+    piece = np.searchsorted(ends, starts, "right")
+    begins = np.append(0, ends[:-1])
+    return np.array(owner, np.int32)[piece], starts - (begins - np.array(at, np.int64))[piece], lengths.astype(np.int32), low[starts]
 
 
 def _keys(low: np.ndarray) -> np.ndarray:
@@ -149,11 +175,8 @@ class Pack:
         self.docs = rows[["id", "mark", "t"]].drop_duplicates(["id", "mark"]).sort_values(["id", "mark"], ignore_index=True)
         self.ids = self.docs["id"].to_numpy(np.int64)
         self.raw = [t.encode("utf-8", "surrogatepass") for t in self.docs["t"]]
-        parts = [(k, at + starts, lengths, low) for k, t in enumerate(self.docs["t"]) for at, _, starts, lengths, low in stretches(t)]
-        flat = lambda i, kind: np.concatenate([p[i] for p in parts]).astype(kind) if parts else np.zeros(0, kind)
-        self.owner = np.repeat(np.array([p[0] for p in parts], np.int32), [len(p[1]) for p in parts]) if parts else np.zeros(0, np.int32)
-        self.start, self.windows = flat(1, np.int64), flat(2, np.int32)
-        self.key = _keys(flat(3, np.uint64))
+        self.owner, self.start, self.windows, low = stretches(self.raw)
+        self.key = _keys(low)
         order = np.argsort(self.key, kind="stable")
         new = np.flatnonzero(np.append(True, self.key[order][1:] != self.key[order][:-1])) if len(order) else np.zeros(0, np.int64)
         first, last = order[new], order[np.append(new[1:], len(order))[:len(new)] - 1]

@@ -34,14 +34,26 @@ def classify(s: np.ndarray) -> np.ndarray:
 
 def _append(sa: np.ndarray, heads: np.ndarray, s: np.ndarray, items: np.ndarray, sign: int) -> None:
     """Puts ``items``, in order, at the heads (sign 1) or tails (-1) of their buckets."""
+    n = len(items)
+    if n <= FEW:
+        for i in items.tolist():
+            c = s[i]
+            sa[heads[c]] = i
+            heads[c] += sign
+        return
     symbols = s[items]
-    order = np.argsort(symbols, kind="stable")
-    sorted_symbols = symbols[order]
-    first = np.flatnonzero(np.concatenate([[True], sorted_symbols[1:] != sorted_symbols[:-1]]))
-    counts = np.diff(np.append(first, len(order)))
-    place = np.arange(len(order)) - np.repeat(first, counts)
-    sa[heads[sorted_symbols] + sign * place] = items[order]
-    heads[sorted_symbols[first]] += sign * counts
+    order = symbols.argsort(kind="stable")
+    symbols, place = symbols[order], np.arange(n)
+    new = np.empty(n, bool)
+    new[0] = True
+    np.not_equal(symbols[1:], symbols[:-1], out=new[1:])
+    first = new.nonzero()[0]
+    counts = np.empty(len(first), np.int64)
+    np.subtract(first[1:], first[:-1], out=counts[:-1])
+    counts[-1] = n - first[-1]
+    place -= first.repeat(counts)
+    sa[heads[symbols] + sign * place] = items[order]
+    heads[symbols[first]] += sign * counts
 
 
 def _induce(s: np.ndarray, smaller: np.ndarray, lms: np.ndarray, sigma: int) -> np.ndarray:
@@ -166,6 +178,8 @@ def _induce_names(s: list[int], sigma: int) -> list[int]:
     return sa
 
 
+#: As few items as are put into buckets one by one.
+FEW = 12
 #: Strings of names up to this length are sorted symbol by symbol.
 SHORT = 100_000
 

@@ -5,6 +5,7 @@ import pytest
 
 from ruleloom.llm import decontaminate, language
 from ruleloom.llm.common import words
+from ruleloom.llm.graph import components
 
 
 def test_language_of_copies_has_a_dictionary(spark):
@@ -98,3 +99,24 @@ def test_contamination_of_odd_rows(spark):
     kept = decontaminate.drop_contaminated(docs, items)
     assert kept.columns == docs.columns and sorted(r["bad_id"] for r in kept.collect()) == ["n", "s", "y", "z"]
     assert decontaminate.drop_contaminated(docs, items.limit(0)).count() == 7 and decontaminate.contamination(docs.limit(0), items).count() == 0
+
+
+def test_components(spark):
+    """Chains, stars, rings, loops and repeated edges, in any order of numbers."""
+    rng = np.random.default_rng(2)
+    name = rng.permutation(400).tolist()
+    edges = [(k, k + 1) for k in range(99)] + [(100, k) for k in range(101, 160)] + [(k, 160 + (k - 159) % 40) for k in range(160, 200)] + [(200, 200), (201, 202), (202, 201), (201, 202)]
+    edges += [tuple(rng.integers(210, 400, 2).tolist()) for _ in range(90)]
+    edges = [(name[a], name[b]) for a, b in edges]
+    root = {n: n for e in edges for n in e}
+
+    def find(x):
+        return x if root[x] == x else find(root[x])
+
+    for a, b in edges:
+        a, b = sorted((find(a), find(b)))
+        root[b] = a
+    joined = {n for a, b in edges if a != b for n in (a, b)}
+    got = components(spark.createDataFrame(edges, "u long, v long"))
+    assert {r["node"]: r["label"] for r in got.collect()} == {n: find(n) for n in joined} and got.count() == len(joined)
+    assert components(spark.createDataFrame([(1, 1)], "u long, v long")).count() == 0
