@@ -6,14 +6,23 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+#: White space in the wide sense: control blanks, all separators of Unicode, and the byte order mark.
+BLANK = r"[\s\x0B\p{Z}\x{FEFF}]"
+
+
 def collapse(x: Column) -> Column:
     """White space runs to one blank, none at the ends."""
-    return F.trim(F.regexp_replace(x, r"[ \t\r\n\f]+", " "))
+    return F.trim(F.regexp_replace(x, f"{BLANK}+", " "))
+
+
+def trimmed(x: Column) -> Column:
+    """Without white space at the ends."""
+    return F.regexp_replace(x, rf"\A{BLANK}+|{BLANK}+\z", "")
 
 
 def blank_to_null(x: Column) -> Column:
     """Absent, null and blank are one thing: null."""
-    t = F.regexp_replace(x, r"^[ \t\r\n\f]+|[ \t\r\n\f]+$", "")
+    t = trimmed(x)
     return F.when(t != "", t)
 
 
@@ -89,6 +98,29 @@ def parse_date(x: Column) -> Column:
         F.when(t.rlike(r"^[A-Za-z]{3,9}\.?[ ]+[0-9]{1,2},?[ ]+[0-9]{4}$"), F.try_to_date(named, "MMM d yyyy")))
 
 
+TIMESTAMP = r"\A(\d{4}-\d\d-\d\d)T(\d\d:\d\d:\d\d)(?:\.(\d+))?(Z|[+-]\d\d:?\d\d)?\z"
+
+
+def parse_timestamp(x: Column) -> Column:
+    """An ISO 8601 timestamp with an optional fraction, of which microseconds
+    count, and an optional offset (none means UTC); anything else is null."""
+    t = trimmed(x)
+    part = lambda k: F.regexp_extract(t, TIMESTAMP, k)
+    zone = F.regexp_replace(F.when(part(4).isin("", "Z"), "+00:00").otherwise(part(4)), r"^(...)(\d\d)$", "$1:$2")
+    text = F.concat(part(1), F.lit("T"), part(2), F.lit("."), F.rpad(F.substring(part(3), 1, 6), 6, "0"), zone)
+    return F.when(t.rlike(TIMESTAMP), F.try_to_timestamp(text, F.lit("yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX")))
+
+
+def span_ms(start: Column, end: Column) -> Column:
+    """Milliseconds between two timestamps."""
+    return (F.unix_micros(end) - F.unix_micros(start)) / 1_000.0
+
+
+def span_agrees(latency_ms: Column, start: Column, end: Column, tolerance_ms: float = 50.0) -> Column:
+    """Whether a latency is what its timestamps say, within a tolerance; not where one of the three is missing."""
+    return F.coalesce(F.abs(latency_ms - span_ms(start, end)) <= tolerance_ms, F.lit(False))
+
+
 CREDENTIALS = (r"Bearer [A-Za-z0-9._~+/=-]+", r"sk-[A-Za-z0-9_-]{8,}", r"[0-9a-f]{32,}", r"(?i)(api[_-]?key|token|secret)[ ]*[=:][ ]*[^ ]+")
 #: A header's value, with its scheme: what follows "Basic " is the credential.
 AUTHORIZATION = r"""(?i)("?authorization"?\s*[:=]\s*)("[^"]*"|(?:(?:basic|bearer|digest|negotiate|token)\s+)?[^\s,}]+)"""

@@ -14,15 +14,19 @@ def with_default(rows: DataFrame, attributes: DataFrame, key: str, columns: list
     return joined.select(*rows.columns, *(F.coalesce(F.col(c).cast("string"), F.lit(default)).alias(c) for c in columns))
 
 
-def fallback(rows: DataFrame, pool: DataFrame, keys: list[Column], key: str, value: str) -> DataFrame:
-    """``rows`` with ``value`` of the first of several keys that the pool has.
-
-    Each row asks once for each key, with the key's place; the least place wins."""
-    (row,) = ["row_key"]
-    marked = rows.withColumn(row, F.xxhash64(*rows.columns))
-    asked = marked.select(row, F.posexplode(F.array(*keys)).alias("place", key)).distinct()
-    best = asked.join(pool.select(key, value), key).groupBy(row).agg(F.min_by(value, F.struct("place", value)).alias(value))
-    return marked.join(best, row, "left").drop(row)
+def fallback(rows: DataFrame, pool: DataFrame, id_: str, keys: list[Column], key: str, value: str, universal: str | None = None) -> DataFrame:
+    """``rows`` with ``value`` of the first of several keys that the pool has, else
+    of the key ``universal``, which no row asks for: it is one row of the pool.
+
+    ``id_`` tells rows apart. Each asks once for each key, with the key's place;
+    the least place wins."""
+    asked = rows.select(id_, F.posexplode(F.array(*keys)).alias("place", key))
+    best = asked.join(pool.select(key, value), key).groupBy(id_).agg(F.min_by(value, F.struct("place", value)).alias(value))
+    joined = rows.join(best, id_, "left")
+    if universal is None:
+        return joined
+    of_all = pool.where(F.col(key) == universal).agg(F.min(value)).first()[0]
+    return joined.withColumn(value, F.coalesce(value, F.lit(of_all)))
 
 
 def coverage(cases: DataFrame, trials: DataFrame, key: str) -> DataFrame:

@@ -6,11 +6,15 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def _numeric(kind: Column) -> Column:
+    return F.coalesce(kind.isin("BIGINT", "DOUBLE", "FLOAT") | kind.startswith("DECIMAL"), F.lit(False))
+
+
 def finite_unit(v: Column, path: str) -> Column:
     """A JSON number in [0, 1] at ``path``; booleans and quoted numbers are none."""
-    kind = F.schema_of_variant(F.variant_get(v, path, "variant"))
+    kind = F.schema_of_variant(F.try_variant_get(v, path, "variant"))
     number = F.try_variant_get(v, path, "double")
-    return F.coalesce(kind.isin("BIGINT", "DOUBLE", "FLOAT") | kind.startswith("DECIMAL"), F.lit(False)) & F.coalesce(number.between(0, 1), F.lit(False))
+    return _numeric(kind) & F.coalesce(number.between(0, 1), F.lit(False))
 
 
 def decision_reason(body: Column, keys: Column, tolerance: float = 0.02) -> Column:
@@ -21,18 +25,19 @@ def decision_reason(body: Column, keys: Column, tolerance: float = 0.02) -> Colu
     kind = F.schema_of_variant(v)
     choice = F.try_variant_get(v, "$.choice", "string")
     choice_kind = F.schema_of_variant(F.try_variant_get(v, "$.choice", "variant"))
-    p = F.from_json(F.get_json_object(body, "$.probabilities"), "map<string,double>")
-    confidence = F.try_variant_get(v, "$.confidence", "double")
+    p = F.try_variant_get(v, "$.probabilities", "map<string,variant>")
     values = F.map_values(p)
-    total = F.aggregate(values, F.lit(0.0), lambda a, x: a + F.coalesce(x, F.lit(0.0)))
+    # quoted numbers and booleans are no numbers
+    number = lambda x: F.when(_numeric(F.schema_of_variant(x)), F.try_variant_get(x, "$", "double"))
+    total = F.aggregate(values, F.lit(0.0), lambda a, x: a + F.coalesce(number(x), F.lit(0.0)))
     return (F.when(v.isNull(), "not_json").when(~kind.startswith("OBJECT"), "not_object")
             .when(choice_kind.isNull() | (choice_kind == "VOID"), "choice_missing").when(choice_kind != "STRING", "choice_not_string")
             .when(~F.array_contains(keys, choice), "choice_not_offered")
             .when(p.isNull(), "probabilities_missing").when(F.size(F.array_except(keys, F.map_keys(p))) > 0, "probability_key_missing")
             .when(F.size(F.array_except(F.map_keys(p), keys)) > 0, "probability_key_extra")
-            .when(F.exists(values, lambda x: x.isNull() | ~x.between(0, 1)), "probability_not_unit")
+            .when(F.exists(values, lambda x: ~F.coalesce(number(x).between(0, 1), F.lit(False))), "probability_not_unit")
             .when(F.abs(total - 1) > tolerance, "probabilities_sum")
-            .when(confidence.isNull() | ~confidence.between(0, 1), "confidence_not_unit"))
+            .when(~finite_unit(v, "$.confidence"), "confidence_not_unit"))
 
 
 def chat_reason(content: Column, keys: Column) -> Column:

@@ -21,11 +21,11 @@ def attributes_with_default(spark, sf_dir):
 def template_fallback(spark, sf_dir):
     """Parts take the best pool by brand and type, then type, then brand, then any."""
     p = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_type", "p_size")
-    keys = [F.concat_ws("/", "p_brand", "p_type"), F.concat(F.lit("*/"), F.col("p_type")), F.concat("p_brand", F.lit("/*")), F.lit("*/*")]
+    keys = [F.concat_ws("/", "p_brand", "p_type"), F.concat(F.lit("*/"), F.col("p_type")), F.concat("p_brand", F.lit("/*"))]
     big = p.where("p_size >= 45")
     pool = big.groupBy(F.concat_ws("/", "p_brand", "p_type").alias("key")).agg(F.count("*").alias("pool")).where("pool >= 2")
     pool = pool.unionByName(big.where("p_size = 50").groupBy(F.concat("p_brand", F.lit("/*")).alias("key")).agg(F.count("*").alias("pool"))).unionByName(big.agg(F.lit("*/*").alias("key"), F.count("*").alias("pool")))
-    return L.fallback(p, pool, keys, "key", "pool").select("p_partkey", "pool")
+    return L.fallback(p, pool, "p_partkey", keys, "key", "pool", "*/*").select("p_partkey", "pool")
 
 
 def case_coverage(spark, sf_dir):
