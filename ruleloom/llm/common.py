@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,6 +28,15 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder and read again: its lineage is cut, and
+    so is what the optimizer has inferred of it, which a checkpoint keeps and which
+    grows without bound where one step after another is checkpointed."""
+    path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def crc_mod(doc_id: Column, m: int) -> Column:
     """crc32(doc_id as text) mod m."""
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(m))

@@ -53,7 +53,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ruleloom.llm.common import checkpoint, fresh
+from ruleloom.llm.common import checkpoint, fresh, written
 
 #: Draws for a unit, and the setting of a session that has the secret key.
 ATTEMPTS, KEY_CONF = 10, "spark.ruleloom.pii.key"
@@ -234,22 +234,22 @@ def surrogates(units: DataFrame, key: str) -> DataFrame:
     """(kind, canon, made) for the distinct (kind, canon): no two of a kind are
     made equal, nor is one made that the input has, as far as the kind asks."""
     space = F.when(F.startswith("kind", F.lit("given_")), "given").otherwise(F.col("kind"))
-    base = checkpoint(units.select("kind", "canon").distinct().withColumn("space", space))
+    base = written(units.select("kind", "canon").distinct().withColumn("space", space))
     real = base.where(~F.col("space").isin("given", "local", "domain")).select("space", F.col("canon").alias("real"))
     form = lambda c: F.when(F.col("space") == "surname", F.lower(c)).otherwise(c)
     drawn = base.withColumn("attempt", F.lit(0)).withColumn("made", unit_surrogate(F.col("kind"), F.col("canon"), F.col("attempt"), key))
     for attempt in range(1, ATTEMPTS + 2):
-        drawn = checkpoint(drawn.select("space", "kind", "canon", "attempt", "made", form(F.col("made")).alias("seen")))
+        drawn = written(drawn.select("space", "kind", "canon", "attempt", "made", form(F.col("made")).alias("seen")))
         first = drawn.groupBy("space", "seen").agg(F.count("*").alias("n"), F.min(F.struct("kind", "canon")).alias("first")).where("n > 1").select("space", "seen", "first")
         is_real = drawn.join(real.withColumnRenamed("real", "seen"), ["space", "seen"], "left_semi").select("kind", "canon")
         sharer = drawn.join(first, ["space", "seen"]).where(F.struct("kind", "canon") != F.col("first")).select("kind", "canon")
-        taken = checkpoint(is_real.union(sharer).distinct().withColumn("again", F.lit(True)))
+        taken = written(is_real.union(sharer).distinct().withColumn("again", F.lit(True)))
         if taken.isEmpty():
             return drawn.select("kind", "canon", "made")
         marked = drawn.join(taken, ["kind", "canon"], "left")
         if attempt > ATTEMPTS:  # a suffix tells them apart
             place = F.row_number().over(Window.partitionBy("space", "made").orderBy("kind", "canon"))
-            return checkpoint(marked.withColumn("place", place)).select("kind", "canon", F.when(F.col("again"), F.concat_ws("-", "made", F.col("place") + 1)).otherwise(F.col("made")).alias("made"))
+            return written(marked.withColumn("place", place)).select("kind", "canon", F.when(F.col("again"), F.concat_ws("-", "made", F.col("place") + 1)).otherwise(F.col("made")).alias("made"))
         redrawn = unit_surrogate(F.col("kind"), F.col("canon"), F.lit(attempt), key)
         drawn = marked.select("space", "kind", "canon", F.when(F.col("again"), attempt).otherwise(F.col("attempt")).alias("attempt"), F.when(F.col("again"), redrawn).otherwise(F.col("made")).alias("made"))
 
