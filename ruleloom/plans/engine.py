@@ -57,7 +57,7 @@ def results_policy(spark, sf_dir):
                  F.when(F.col("o_orderstatus") == "P", "Preliminary").when(F.col("o_orderstatus") == "F", "Final").otherwise("Corrected").alias("result_status"),
                  F.when(F.col("o_orderpriority").startswith("5"), "outside").otherwise("inside").alias("performing_org_type"))
     ev = o.select("o_orderkey", F.to_json(F.struct(n.alias("notification"))).alias("ev"))
-    return ev.select("o_orderkey", P.results_decision(F.col("ev")).alias("d")).select("o_orderkey", "d.choice", "d.reason")
+    return P.decided(ev, "ev", P.results_evidence, P.results_rules).select("o_orderkey", "decision.choice", "decision.reason")
 
 
 def streaming_budget(spark, sf_dir):
