@@ -33,18 +33,15 @@ def safe_rate(k: Column, n: Column) -> Column:
 def mcnemar_exact(b: Column, c: Column) -> Column:
     """Two-sided exact binomial p-value on discordant counts; 1 where b + c = 0.
 
-    The binomial tail is summed in log space over ``sequence`` so no UDF is
-    needed; ln C(n, k) comes from prefix sums of ln i.
+    The tail is summed in log space, and ln C(n, k) is carried from one k to the
+    next, so that work grows with the smaller count; no UDF is needed.
     """
     n, m = (b + c).cast("int"), F.least(b, c).cast("int")
-    ln_choose = lambda k: F.aggregate(
-        F.sequence(F.lit(0), k),
-        F.lit(0.0),
-        lambda acc, i: acc + F.when(i == 0, F.lit(0.0)).otherwise(F.ln((n - i + 1).cast("double")) - F.ln(i.cast("double"))),
-    )
-    tail = F.aggregate(
-        F.transform(F.sequence(F.lit(0), m), lambda k: F.exp(ln_choose(k) - n * F.ln(F.lit(2.0)))),
-        F.lit(0.0),
-        lambda acc, x: acc + x,
-    )
+    start = F.struct((-n * F.ln(F.lit(2.0))).alias("ln"), F.lit(0.0).alias("tail"))
+
+    def step(acc: Column, k: Column) -> Column:
+        ln = acc["ln"] + F.when(k == 0, 0.0).otherwise(F.ln((n - k + 1).cast("double")) - F.ln(F.greatest(k, F.lit(1)).cast("double")))
+        return F.struct(ln.alias("ln"), (acc["tail"] + F.exp(ln)).alias("tail"))
+
+    tail = F.aggregate(F.sequence(F.lit(0), m), start, step, lambda acc: acc["tail"])
     return F.when(n == 0, F.lit(1.0)).otherwise(F.least(F.lit(1.0), 2 * tail))

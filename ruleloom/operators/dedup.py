@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,3 +37,46 @@ def unique_corrections(words: DataFrame, vocabulary: DataFrame, word: str) -> Da
     unknown = words.join(vocabulary.select(word), word, "left_anti").select(word).distinct()
     found = one_edit_pairs(unknown, known, word, "correction")
     return found.groupBy(word).agg(F.min("correction").alias("correction"), F.count("*").alias("n")).where("n = 1").drop("n")
+
+
+#: Characters of items in one broadcast: each so many cost a pass over the texts.
+ITEM_CHARS = 8_000_000
+
+
+def _item_groups(items: DataFrame, item_id: str, text: str) -> Iterator[dict[str, list]]:
+    """Text to ids, in groups of ITEM_CHARS characters (one item may be longer)."""
+    group: dict[str, list] = {}
+    size = 0
+    for i, t in items.select(item_id, text).where(F.length(text) > 0).toLocalIterator():
+        if group and size + len(t) > ITEM_CHARS:
+            yield group
+            group, size = {}, 0
+        group.setdefault(t, []).append(i)
+        size += len(t)
+    if group:
+        yield group
+
+
+def contained(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: str, item_text: str) -> DataFrame:
+    """(doc_id, item_id): items whose text stands in a document's text, character by
+    character. One automaton finds all items of a group in one pass over a text.
+    Null and empty texts contain nothing and are in nothing."""
+    schema = f"{doc_id} {docs.schema[doc_id].dataType.simpleString()}, {item_id} {items.schema[item_id].dataType.simpleString()}"
+    spark = docs.sparkSession
+    out = spark.createDataFrame([], schema)
+    for group in _item_groups(items, item_id, item_text):
+        shared = spark.sparkContext.broadcast(group)
+
+        def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+            import ahocorasick
+
+            found = ahocorasick.Automaton()
+            for t, ids in shared.value.items():
+                found.add_word(t, ids)
+            found.make_automaton()
+            for pdf in batches:
+                rows = {(d, i) for d, t in zip(pdf[doc_id], pdf[text]) if t for _, ids in found.iter(t) for i in ids}
+                yield pd.DataFrame(sorted(rows), columns=[doc_id, item_id])
+
+        out = out.unionByName(docs.select(doc_id, text).mapInPandas(run, schema))
+    return out.distinct()

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ruleloom.operators.sampling import carried
+
 
 def nearest_rank(value: str, q: float) -> Column:
     """The value at rank ceil(q * n)."""
@@ -25,10 +27,10 @@ def throughput(rows: DataFrame, phase: str, segment: str, at: str, valid: Column
     return agg.select(phase, "n_valid", "segments", F.round(F.try_divide(F.col("n_valid") * 60e6, F.col("span")), 6).alias("per_minute"))
 
 
-def overlaps(rows: DataFrame, segment: str, order: list[str], begin: str, end: str, tolerance: float) -> DataFrame:
-    """Rows that begin before the latest end so far in their segment, by more than the tolerance."""
-    w = Window.partitionBy(segment).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    seen = rows.withColumn("latest", F.max(end).over(w))
+def overlaps(rows: DataFrame, segment: str, order: list[str], begin: str, end: str, tolerance: float, bucket: Column) -> DataFrame:
+    """Rows that begin before the latest end so far in their segment, by more than
+    the tolerance. ``bucket`` parts a segment along ``order``."""
+    seen = carried(rows, [segment], order, bucket, "max", F.col(end), "latest")
     return seen.where(F.col(begin) < F.col("latest") - tolerance).drop("latest")
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ruleloom.operators.sampling import shuffle_key
+from ruleloom.operators.sampling import hash_bucket, ranked, shuffle_key
 
 
 def arms(results: DataFrame, trial: str, arm: str, names: list[str], value: str) -> DataFrame:
@@ -36,13 +36,13 @@ def core_shard(cases: DataFrame, id_: str, family: str, base: str, holdout: Colu
 def label_quota(rows: DataFrame, group: str, id_: str, label: Column, share: float, seed: str) -> DataFrame:
     """Rows so that ``label`` holds for about ``share`` of each group: as many of
     the other rows are kept as the rarer side allows, in shuffled order."""
-    w = Window.partitionBy(group)
-    on = label.cast("int")
-    counted = rows.withColumn("on", on).withColumn("n_on", F.sum("on").over(w)).withColumn("n_off", F.count("*").over(w) - F.sum("on").over(w))
+    key = shuffle_key(seed, F.col(id_))
+    counts = rows.groupBy(F.col(group).alias("of_group")).agg(F.count_if(label).alias("n_on"), F.count_if(~label).alias("n_off"))
     want_on = F.least(F.col("n_on"), F.floor(F.col("n_off") * share / (1 - share)))
     want_off = F.least(F.col("n_off"), F.floor(F.col("n_on") * (1 - share) / share))
-    rn = F.row_number().over(Window.partitionBy(group, "on").orderBy(shuffle_key(seed, F.col(id_)), id_))
-    return counted.withColumn("rn", rn).where(F.col("rn") <= F.when(F.col("on") == 1, want_on).otherwise(want_off)).select(*rows.columns)
+    placed = ranked(rows.withColumn("on", label), [group, "on"], [key, id_], hash_bucket(key))
+    met = placed.join(counts, F.col(group).eqNullSafe(F.col("of_group")))
+    return met.where(F.col("rn") <= F.when(F.col("on"), want_on).otherwise(want_off)).select(*rows.columns)
 
 
 def swap_noise(text: Column, seed: str, id_: Column, least: int = 7, one_in: int = 4) -> Column:
@@ -64,8 +64,8 @@ def fillers(rows: DataFrame, pool: DataFrame, id_: str, block: str, value: str,
     """(id, value): ``n`` pool values for each row, of its own block, that differ
     from its own value. Rows and pool meet on the block and a slice of the pool's
     hash order that follows from the row, so that a row meets a few values only."""
-    order = F.row_number().over(Window.partitionBy(block).orderBy(shuffle_key(seed, F.col(value)), value)) - 1
-    placed = pool.select(block, value).distinct().withColumn("place", order)
+    key = shuffle_key(seed, F.col(value))
+    placed = ranked(pool.select(block, value).distinct(), [block], [key, value], hash_bucket(key), "place").withColumn("place", F.col("place") - 1)
     sizes = placed.groupBy(block).agg(F.count("*").cast("int").alias("size"))
     wanted = rows.join(sizes, block).select(id_, block, F.col(value).alias("own"), F.explode(F.sequence(F.lit(0), F.least(F.lit(n), F.col("size") - 1))).alias("step"), F.pmod(F.hash(id_), F.col("size")).alias("start"), "size")
     wanted = wanted.withColumn("place", F.pmod(F.col("start") + F.col("step"), F.col("size")))

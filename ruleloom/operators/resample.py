@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def bootstrap(rows: DataFrame, group: str, counts: list[str], statistic, resamples: int = 2_000, seed: int = 20_260_923, upper_offset: int = 0) -> DataFrame:
+def bootstrap(rows: DataFrame, group: str, counts: list[str], statistic, resamples: int = 2_000, seed: int = 7, upper_offset: int = 0) -> DataFrame:
     """(group, value, low, high). Outcomes are counted by value first, so that a
     group is a few counts whatever its size, and each resample is one
     multinomial draw of them.
@@ -39,11 +39,18 @@ def difference_statistic(draws: np.ndarray, values: np.ndarray) -> np.ndarray:
     return draws @ (values[:, 0] - values[:, 1]) / draws.sum(1)
 
 
-def greedy_shards(families: DataFrame, family: str, size: str, most: int, seed_key, blocks: int = 16) -> DataFrame:
-    """(family, shard): whole families into shards of at most ``most`` rows, in
-    shuffled order. Families are dealt over blocks and each block is packed by
-    itself, so no task has them all; a block's last shard may be short."""
-    dealt = families.select(family, F.col(size).cast("long").alias("size"), F.pmod(F.xxhash64(family), F.lit(blocks)).alias("block"), seed_key.alias("key"))
+#: Families of a block, about, and blocks at least.
+FAMILIES, BLOCKS = 4_096, 16
+
+
+def greedy_shards(families: DataFrame, family: str, size: str, most: int, seed_key: Column) -> DataFrame:
+    """(family, shard, size): whole families into shards of at most ``most`` rows, in
+    the order of ``seed_key``, a hash as hexadecimal text. Families are dealt over
+    blocks by that hash, as many as their number asks for, and each block is packed
+    by itself; a block's last shard may be short."""
+    blocks = max(BLOCKS, -(-families.count() // FAMILIES))
+    keyed = families.select(family, F.col(size).cast("long").alias("size"), seed_key.alias("key"))
+    dealt = keyed.withColumn("block", F.conv(F.substring("key", 1, 7), 16, 10).cast("long") % blocks)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["key", family])

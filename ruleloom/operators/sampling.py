@@ -3,6 +3,8 @@ the id, so that a plan is the same on every run and cluster."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -12,6 +14,52 @@ def shuffle_key(seed: str, *ids: Column) -> Column:
     return F.sha2(F.concat_ws("|", F.lit(seed), *(i.cast("string") for i in ids)), 256)
 
 
+def carried(rows: DataFrame, keys: list[str], order: list, bucket: Column, how: str, value: Column, out: str) -> DataFrame:
+    """``rows`` with ``out``: the sum or maximum of ``value`` over all rows before a
+    row in its group; null where there is none.
+
+    ``bucket`` grows with ``order``, so that a group is looked at bucket by bucket:
+    no task sorts more than a bucket, and a row for each bucket tells what the
+    ones before it come to."""
+    agg = {"sum": F.sum, "max": F.max}[how]
+    b, local, earlier = f"{out}_bucket", f"{out}_local", f"{out}_earlier"
+    marked = rows.withColumn(b, bucket)
+    first = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    parts = marked.groupBy(*keys, b).agg(agg(value).alias("part"))
+    before = parts.select(*(F.col(k).alias(f"{out}_{k}") for k in [*keys, b]), agg("part").over(first(Window.partitionBy(*keys).orderBy(b))).alias(earlier))
+    here = marked.withColumn(local, agg(value).over(first(Window.partitionBy(*keys, b).orderBy(*order))))
+    met = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"{out}_{k}")) for k in [*keys, b]])
+    both = F.coalesce(F.col(local) + F.col(earlier), local, earlier) if how == "sum" else F.greatest(local, earlier)
+    return here.join(before, met).withColumn(out, both).select(*rows.columns, out)
+
+
+def ranked(rows: DataFrame, keys: list[str], order: list, bucket: Column, rn: str = "rn", total: str | None = None) -> DataFrame:
+    """``rows`` with ``rn``, their place by ``order`` in their group from 1, and with
+    ``total``, the group's rows; bucket by bucket as in ``carried``."""
+    out = carried(rows, keys, order, bucket, "sum", F.lit(1), rn).withColumn(rn, (F.coalesce(rn, F.lit(0)) + 1).cast("int"))
+    if total is None:
+        return out
+    counts = rows.groupBy(*(F.col(k).alias(f"{total}_{k}") for k in keys)).agg(F.count("*").alias(total))
+    met = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"{total}_{k}")) for k in keys])
+    return out.join(counts, met).select(*out.columns, total)
+
+
+def hash_bucket(key: Column) -> Column:
+    """Of a shuffle key, one of 4,096 parts in its order."""
+    return F.substring(key, 1, 3)
+
+
+def medians(counts: DataFrame, keys: list[str], value: str, n: str) -> DataFrame:
+    """Three medians of values that are counted: at rank ceil(n / 2) (nearest), the
+    mean of the middle two (middle), and at place n // 2 from 0 (upper). Windows run
+    over the distinct values of a group."""
+    upto = F.sum(n).over(Window.partitionBy(*keys).orderBy(value))
+    placed = counts.withColumn("upto", upto).withColumn("all", F.sum(n).over(Window.partitionBy(*keys)))
+    at = lambda rank: F.min(F.when(F.col("upto") >= rank, F.col(value)))
+    low, high = F.expr("(all + 1) div 2"), F.expr("all div 2 + 1")
+    return placed.groupBy(*keys).agg(at(low).alias("nearest"), ((at(low) + at(high)) / 2).alias("middle"), at(high).alias("upper"))
+
+
 def top_per_group(rows: DataFrame, group: str, key: Column, n: int) -> DataFrame:
     """The first ``n`` of each group by ``key``; tasks keep n of a group each before the shuffle."""
     return rows.withColumn("rn", F.row_number().over(Window.partitionBy(group).orderBy(key))).where(F.col("rn") <= n)
@@ -32,14 +80,16 @@ def proportional(rows: DataFrame, stratum: str, id_: str, n: int, seed: str) ->
     short = F.lit(n) - F.sum("floor").over(every)
     place = F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(F.desc("rest"), stratum))
     quota = exact.withColumn("quota", F.col("floor") + F.when(place <= short, 1).otherwise(0)).select(stratum, "quota")
-    key = shuffle_key(seed, F.col(id_))
-    return rows.join(quota, stratum).withColumn("rn", F.row_number().over(Window.partitionBy(stratum).orderBy(key))).where("rn <= quota").drop("rn", "quota")
+    # no stratum gives more than n rows: a task keeps n of each
+    first = top_per_group(rows, stratum, shuffle_key(seed, F.col(id_)), n)
+    return first.join(quota, stratum).where("rn <= quota").drop("rn", "quota")
 
 
 def balanced(rows: DataFrame, group: str, id_: str, levels: int, seed: str) -> DataFrame:
     """Levels dealt in turn within each group: their counts differ by one at most."""
-    rn = F.row_number().over(Window.partitionBy(group).orderBy(shuffle_key(seed, F.col(id_))))
-    return rows.withColumn("level", ((rn - 1) % levels).cast("int"))
+    key = shuffle_key(seed, F.col(id_))
+    placed = ranked(rows, [group], [key], hash_bucket(key), "level")
+    return placed.withColumn("level", ((F.col("level") - 1) % levels).cast("int"))
 
 
 def hash_mod20(x: Column) -> Column:
@@ -55,9 +105,10 @@ def grouped_split(rows: DataFrame, stratum: str, family: str, share: float, seed
     """Whole families to validation until their rows reach ``share`` of the
     stratum; the family that crosses the share is the last."""
     fam = rows.groupBy(stratum, family).agg(F.count("*").alias("n"))
-    by = Window.partitionBy(stratum)
-    before = F.coalesce(F.sum("n").over(by.orderBy(shuffle_key(seed, F.col(family)), family).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return fam.withColumn("split", F.when(before < share * F.sum("n").over(by), "validation").otherwise("train"))
+    key = shuffle_key(seed, F.col(family))
+    placed = carried(fam, [stratum], [key, family], hash_bucket(key), "sum", F.col("n"), "before")
+    total = rows.groupBy(F.col(stratum).alias("of_stratum")).agg(F.count("*").alias("total"))
+    return placed.join(total, F.col(stratum).eqNullSafe(F.col("of_stratum"))).select(stratum, family, "n", F.when(F.coalesce("before", F.lit(0)) < share * F.col("total"), "validation").otherwise("train").alias("split"))
 
 
 def plan(cases: DataFrame, id_: str, phase: Column, reps: Column, seed: str) -> DataFrame:

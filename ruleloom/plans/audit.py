@@ -77,14 +77,13 @@ def leak_scan(spark, sf_dir):
 
 
 def redacted_credentials(spark, sf_dir):
-    """Documents whose first two hundred characters change when redacted."""
-    d = table(spark, sf_dir, "documents").select("doc_id", F.substring("text", 1, 200).alias("head"), X.redact(F.col("text")).alias("clean"))
-    return d.where("head <> clean").select("doc_id", F.sha2("clean", 256).alias("digest"))
+    """Documents that change when redacted, whole texts compared, and what is shown of them: two hundred characters."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "text", X.redact_whole(F.col("text")).alias("clean"))
+    return d.where("text <> clean").select("doc_id", F.sha2(F.substring("clean", 1, 200), 256).alias("shown"))
 
 
 def redacted_whole(spark, sf_dir):
-    """Documents that change when redacted, as whole texts. redacted_credentials
-    is held to two hundred characters and four patterns by its SQL."""
+    """Documents that change when redacted, with a digest of the whole redacted text."""
     d = table(spark, sf_dir, "documents").select("doc_id", "text", X.redact_whole(F.col("text")).alias("clean"))
     return d.where("text <> clean").select("doc_id", F.sha2("clean", 256).alias("digest"))
 
@@ -109,6 +108,11 @@ def _check(name, table_name, key, bad, hard):
         coalesce((SELECT string_agg(k::VARCHAR, ',' ORDER BY k) FROM (SELECT {key} AS k FROM {table_name} WHERE {bad} ORDER BY 1 LIMIT 25)), '') AS examples"""
 
 
+_REDACTED = r"""
+        WITH c AS (SELECT doc_id, text, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, 'Bearer [A-Za-z0-9._~+/=-]+', '[redacted]', 'g'),
+          'sk-[A-Za-z0-9_-]{8,}', '[redacted]', 'g'), '[0-9a-f]{32,}', '[redacted]', 'g'), '(?i)(api[_-]?key|token|secret)[ ]*[=:][ ]*[^ ]+', '[redacted]', 'g'),
+          '(?i)("?authorization"?\s*[:=]\s*)("[^"]*"|(?:(?:basic|bearer|digest|negotiate|token)\s+)?[^\s,}]+)', '\1[redacted]', 'g') AS clean FROM documents)
+        """
 ORACLE_SQL = {
     "anti_join_missing": "SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
     "planned_and_present": """
@@ -131,15 +135,8 @@ ORACLE_SQL = {
         SELECT o_orderpriority, count(*)::BIGINT AS n, count(*) FILTER (WHERE h > 1)::BIGINT AS inconstant FROM (SELECT o_orderpriority, o_custkey, count(DISTINCT o_orderstatus) AS h FROM orders GROUP BY 1, 2) GROUP BY 1""",
     "leak_scan": """
         SELECT word, count(*)::BIGINT AS n, min(page_id) AS least FROM pages, (SELECT unnest(['<script', '<iframe', 'onclick', 'password', 'expected']) AS word) WHERE contains(lower(html), word) GROUP BY 1""",
-    "redacted_credentials": r"""
-        WITH c AS (SELECT doc_id, substr(text, 1, 200) AS head, substr(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, 'Bearer [A-Za-z0-9._~+/=-]+', '[redacted]', 'g'),
-          'sk-[A-Za-z0-9_-]{8,}', '[redacted]', 'g'), '[0-9a-f]{32,}', '[redacted]', 'g'), '(?i)(api[_-]?key|token|secret)[ ]*[=:][ ]*[^ ]+', '[redacted]', 'g'), 1, 200) AS clean FROM documents)
-        SELECT doc_id, sha256(clean) AS digest FROM c WHERE head <> clean""",
-    "redacted_whole": r"""
-        WITH c AS (SELECT doc_id, text, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, 'Bearer [A-Za-z0-9._~+/=-]+', '[redacted]', 'g'),
-          'sk-[A-Za-z0-9_-]{8,}', '[redacted]', 'g'), '[0-9a-f]{32,}', '[redacted]', 'g'), '(?i)(api[_-]?key|token|secret)[ ]*[=:][ ]*[^ ]+', '[redacted]', 'g'),
-          '(?i)("?authorization"?\s*[:=]\s*)("[^"]*"|(?:(?:basic|bearer|digest|negotiate|token)\s+)?[^\s,}]+)', '\1[redacted]', 'g') AS clean FROM documents)
-        SELECT doc_id, sha256(clean) AS digest FROM c WHERE text <> clean""",
+    "redacted_credentials": _REDACTED + "SELECT doc_id, sha256(substr(clean, 1, 200)) AS shown FROM c WHERE text <> clean",
+    "redacted_whole": _REDACTED + "SELECT doc_id, sha256(clean) AS digest FROM c WHERE text <> clean",
     "integrity_report": " UNION ALL ".join([
         _check("price positive", "orders", "o_orderkey", "o_totalprice <= 0", True), _check("status known", "orders", "o_orderkey", "o_orderstatus NOT IN ('O', 'F', 'P')", True),
         _check("price under 400000", "orders", "o_orderkey", "o_totalprice > 400000", False), _check("discount at most 0.08", "lineitem", "l_orderkey", "l_discount > 0.08", False),

@@ -1,4 +1,4 @@
-"""Calibration queries: the first ten components of embeddings play ten options."""
+"""Calibration queries: sums of every tenth component of embeddings play ten options."""
 
 from __future__ import annotations
 
@@ -14,7 +14,8 @@ STEPS = [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]
 def _scored(spark, sf_dir):
     """(vec_id, label, choice, p): softmax choice and its probability."""
     e = table(spark, sf_dir, "embeddings")
-    p = C.softmax(F.transform(F.slice("embedding", 1, 10), lambda x: x.cast("double")), 10.0)
+    every_tenth = lambda k: F.aggregate(F.filter("embedding", lambda x, i: i % 10 == k), F.lit(0.0), lambda a, x: a + x.cast("double"))
+    p = C.softmax(F.array(*(every_tenth(k) for k in range(10))), 10.0)
     rows = e.select("vec_id", "label", p.alias("p"))
     choice = V.argmax_key(F.col("p"), F.array(*(F.lit(i) for i in range(10))))
     return rows.select("vec_id", "label", choice.alias("choice"), F.array_max("p").alias("p"))
@@ -61,7 +62,7 @@ _S = """
     SELECT vec_id, label, (list_position(p, list_max(p)) - 1)::INTEGER AS choice, list_max(p) AS p FROM (
       SELECT vec_id, label, list_transform(e, lambda x: x / list_sum(e)) AS p FROM (
         SELECT vec_id, label, list_transform(v, lambda x: exp((x - list_max(v)) * 10.0)) AS e FROM (
-          SELECT vec_id, label, list_transform(embedding[1:10], lambda x: x::DOUBLE) AS v FROM embeddings)))"""
+          SELECT vec_id, label, list_transform(range(1, 11), lambda k: list_sum(list_transform(list_slice(embedding, k, len(embedding), 10), lambda x: x::DOUBLE))) AS v FROM embeddings)))"""
 _SEL = """SELECT {k} t.threshold, count(*)::BIGINT AS n, count(*) FILTER (WHERE p >= t.threshold)::BIGINT AS covered, count(*) FILTER (WHERE p >= t.threshold AND choice = label)::BIGINT AS correct,
     round(count(*) FILTER (WHERE p >= t.threshold)::DOUBLE / count(*), 6) AS coverage,
     round(count(*) FILTER (WHERE p >= t.threshold AND choice = label)::DOUBLE / nullif(count(*) FILTER (WHERE p >= t.threshold), 0), 6) AS accuracy

@@ -19,22 +19,18 @@ def strip_injections(spark, sf_dir):
 
 
 def near_miss_blocked(spark, sf_dir):
-    """Suppliers and customers whose digits are one edit apart."""
-    digits = lambda c: F.ltrim(F.regexp_replace(c, "[^0-9]", ""))
-    s = table(spark, sf_dir, "supplier").where("s_suppkey <= 100").select(F.substring(digits(F.col("s_name")), -5, 5).alias("a"))
-    c = table(spark, sf_dir, "customer").select(F.substring(digits(F.col("c_name")), -5, 5).alias("b"))
-    return D.one_edit_pairs(s, c, "a", "b").groupBy("a").agg(F.count("*").alias("n"), F.min("b").alias("least"))
-
-
-def near_miss_all(spark, sf_dir):
-    """All suppliers and customers whose whole digits are one edit apart. near_miss_blocked is the
-    part of it that its SQL fixes; this has no twin, for SQL would compare every pair."""
+    """Suppliers and customers whose digits are one edit apart; words meet on what is left of them without one letter."""
     digits = lambda c: F.regexp_replace(c, "[^0-9]", "")
     s = table(spark, sf_dir, "supplier").select(digits(F.col("s_name")).alias("a"))
     c = table(spark, sf_dir, "customer").select(digits(F.col("c_name")).alias("b"))
     return D.one_edit_pairs(s, c, "a", "b").groupBy("a").agg(F.count("*").alias("n"), F.min("b").alias("least"))
 
 
+def near_miss_all(spark, sf_dir):
+    """The same; it was the whole of near_miss_blocked when that was held to a part."""
+    return near_miss_blocked(spark, sf_dir)
+
+
 def _words(df, text, name):
     return df.select(F.explode(F.split(F.lower(F.regexp_replace(text, "[^A-Za-z]+", " ")), " ")).alias(name)).where(F.length(name) >= 5)
 
@@ -47,14 +43,9 @@ def typo_normalize(spark, sf_dir):
 
 
 def benchmark_overlap(spark, sf_dir):
-    """Items contained in documents: a run of eight words is the join key, containment is then checked whole."""
-    d = table(spark, sf_dir, "documents").select("doc_id", "text")
-    items = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("item"), F.array_join(F.slice(F.split("text", "[ \n]+"), 2, 8), " ").alias("gram"))
-    words = d.select("doc_id", F.split("text", "[ \n]+").alias("t"))
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.size("t") - 7, F.lit(1))), lambda i: F.array_join(F.slice("t", i, 8), " "))
-    # ids alone meet on the gram; texts join the few pairs that are left
-    pairs = words.select("doc_id", F.explode(grams).alias("gram")).join(items, "gram").select("doc_id", "item_id", "item").distinct()
-    return pairs.join(d, "doc_id").where(F.col("text").contains(F.col("item"))).select("doc_id", "item_id").distinct()
+    """Items contained in documents, of any length; texts are read once and stay where they are."""
+    items = table(spark, sf_dir, "benchmark").select("item_id", "text")
+    return D.contained(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text", items, "item_id", "text")
 
 
 def date_normalize(spark, sf_dir):
@@ -84,23 +75,19 @@ def template_fill(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (dedup_by_hash, strip_injections, near_miss_blocked, near_miss_all, typo_normalize, benchmark_overlap, date_normalize, person_parse, template_fill)}
 
-_NEAR = """(levenshtein({a}, {b}) <= 1 OR (length({a}) = length({b}) AND levenshtein({a}, {b}) = 2 AND EXISTS (
-    SELECT 1 FROM (SELECT unnest(range(1, length({a}))) AS i) WHERE substr({a}, i, 1) = substr({b}, i + 1, 1) AND substr({a}, i + 1, 1) = substr({b}, i, 1)
-      AND substr({a}, 1, i - 1) = substr({b}, 1, i - 1) AND substr({a}, i + 2) = substr({b}, i + 2))))"""
+_PAIRS = """(SELECT DISTINCT regexp_replace(s_name, '[^0-9]', '', 'g') AS a FROM supplier) s JOIN (SELECT DISTINCT regexp_replace(c_name, '[^0-9]', '', 'g') AS b FROM customer) c ON damerau_levenshtein(a, b) <= 1"""
 _WORDS = "SELECT unnest(string_split(lower(regexp_replace(text, '[^A-Za-z]+', ' ', 'g')), ' ')) AS word FROM {}"
 ORACLE_SQL = {
     "dedup_by_hash": "SELECT min(doc_id) AS kept_id, count(*)::BIGINT AS copies FROM documents GROUP BY text",
     "strip_injections": r"""
         WITH p AS (SELECT page_id, html, regexp_replace(html, '(?s)<!--.*?-->', '', 'g') AS clean FROM pages)
         SELECT page_id, (length(html) - length(clean))::BIGINT AS stripped, sha256(clean) AS digest FROM p""",
-    "near_miss_blocked": f"""
-        WITH s AS (SELECT DISTINCT right(regexp_replace(s_name, '[^0-9]', '', 'g'), 5) AS a FROM supplier WHERE s_suppkey <= 100),
-        c AS (SELECT DISTINCT right(regexp_replace(c_name, '[^0-9]', '', 'g'), 5) AS b FROM customer)
-        SELECT a, count(*)::BIGINT AS n, min(b) AS least FROM s JOIN c ON {_NEAR.format(a='a', b='b')} GROUP BY 1""",
+    "near_miss_blocked": f"SELECT a, count(*)::BIGINT AS n, min(b) AS least FROM {_PAIRS} GROUP BY 1",
+    "near_miss_all": f"SELECT a, count(*)::BIGINT AS n, min(b) AS least FROM {_PAIRS} GROUP BY 1",
     "typo_normalize": f"""
         WITH v AS (SELECT word FROM ({_WORDS.format('conversations')}) WHERE length(word) >= 5 GROUP BY 1 HAVING count(*) >= 20),
         u AS (SELECT DISTINCT word FROM ({_WORDS.format('benchmark')}) WHERE length(word) >= 5 AND word NOT IN (SELECT word FROM v)),
-        p AS (SELECT u.word, v.word AS correction FROM u JOIN v ON abs(length(u.word) - length(v.word)) <= 1 AND {_NEAR.format(a='u.word', b='v.word')})
+        p AS (SELECT u.word, v.word AS correction FROM u JOIN v ON abs(length(u.word) - length(v.word)) <= 1 AND damerau_levenshtein(u.word, v.word) <= 1)
         SELECT word, min(correction) AS correction FROM p GROUP BY 1 HAVING count(*) = 1""",
     "benchmark_overlap": "SELECT DISTINCT doc_id, item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text)",
     "date_normalize": """

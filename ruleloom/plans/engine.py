@@ -76,6 +76,14 @@ def streaming_budget(spark, sf_dir):
 QUERIES = {f.__name__: f for f in (bootstrap_accuracy, bootstrap_difference, shard_families, canonical_props, ordered_option_keys, mock_answers, results_policy, streaming_budget)}
 
 ORACLE_SQL = {
+    "shard_families": """
+        WITH RECURSIVE f AS (SELECT o_custkey, count(*)::BIGINT AS size, sha256('plan-7|' || o_custkey::VARCHAR) AS key FROM orders GROUP BY 1),
+        b AS (SELECT *, ('0x' || substr(key, 1, 7))::BIGINT % greatest(16, (SELECT ceil(count(*) / 4096) FROM f)::BIGINT) AS block FROM f),
+        p AS (SELECT *, row_number() OVER (PARTITION BY block ORDER BY key, o_custkey) AS rn FROM b),
+        g AS (SELECT block, rn, o_custkey, size, 0::BIGINT AS shard, size AS used FROM p WHERE rn = 1
+          UNION ALL SELECT p.block, p.rn, p.o_custkey, p.size, g.shard + CASE WHEN g.used + p.size > 95 THEN 1 ELSE 0 END, CASE WHEN g.used + p.size > 95 THEN p.size ELSE g.used + p.size END
+          FROM g JOIN p ON p.block = g.block AND p.rn = g.rn + 1)
+        SELECT o_custkey, 'b' || block || '-s' || shard AS shard, size FROM g""",
     "canonical_props": """SELECT event_id, sha256('{"a":{"k":' || json_extract_string(props, '$.k') || '},"z":[1,2.5,null]}') AS digest FROM events""",
     "ordered_option_keys": "SELECT p_partkey, '9=x,' || p_partkey || '0=y,1=z' AS options FROM part",
     "mock_answers": """

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ruleloom.functions import text as X
 from ruleloom.operators import audit as A
@@ -69,12 +68,9 @@ def label_flips(spark, sf_dir):
 
 
 def percentile_conventions(spark, sf_dir):
-    """Three medians: nearest rank, the element at n // 2, and the mean of the middle two."""
-    agg = table(spark, sf_dir, "lineitem").groupBy("l_linenumber").agg(
-        F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY l_quantity)").cast("double").alias("nearest"), F.expr("percentile(l_quantity, 0.5)").alias("middle"), F.count("*").alias("n"))
-    place = F.row_number().over(Window.partitionBy("l_linenumber").orderBy("l_quantity", "l_orderkey"))
-    at = table(spark, sf_dir, "lineitem").select("l_linenumber", F.col("l_quantity").alias("upper"), place.alias("rn"))
-    return agg.join(at, "l_linenumber").where(F.expr("rn = n div 2 + 1")).select("l_linenumber", "nearest", "middle", "upper")
+    """Three medians: nearest rank, the element at n // 2, and the mean of the middle two, from counts by value."""
+    counts = table(spark, sf_dir, "lineitem").groupBy("l_linenumber", F.col("l_quantity").cast("double").alias("v")).agg(F.count("*").alias("n"))
+    return M.medians(counts, ["l_linenumber"], "v", "n")
 
 
 def token_rates(spark, sf_dir):
@@ -94,16 +90,14 @@ def device_utilisation(spark, sf_dir):
 
 def rank_fraction_split(spark, sf_dir):
     """The first fifth (rounded half to even) of each stratum's shuffled families to holdout."""
-    c = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")
-    w = Window.partitionBy("c_mktsegment")
-    rn = F.row_number().over(w.orderBy(M.shuffle_key("plan-7", F.col("c_custkey"))))
-    held = c.select("c_custkey", "c_mktsegment", (rn <= F.bround(0.2 * F.count("*").over(w), 0)).alias("holdout"))
+    c = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment", M.shuffle_key("plan-7", F.col("c_custkey")).alias("place"))
+    held = M.ranked(c, ["c_mktsegment"], ["place"], M.hash_bucket(F.col("place")), "rn", "total").select("c_custkey", (F.col("rn") <= F.bround(0.2 * F.col("total"), 0)).alias("holdout"))
     return held.select("c_custkey", F.when(F.col("holdout"), "holdout").otherwise("dev").alias("split"))
 
 
 def numbered_ids(spark, sf_dir):
-    rn = F.row_number().over(Window.partitionBy("c_mktsegment").orderBy("c_custkey"))
-    return table(spark, sf_dir, "customer").select("c_custkey", F.concat(F.lower("c_mktsegment"), F.lit("-g-"), F.format_string("%06d", rn)).alias("case_id"))
+    c = M.ranked(table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment"), ["c_mktsegment"], ["c_custkey"], F.expr("c_custkey div 4096"), "rn")
+    return c.select("c_custkey", F.concat(F.lower("c_mktsegment"), F.lit("-g-"), F.format_string("%06d", "rn")).alias("case_id"))
 
 
 def holdout_only_strata(spark, sf_dir):
@@ -145,13 +139,12 @@ def _named_twice(li):
 
 def referenced_twice(spark, sf_dir):
     """Ids that two columns together name more than once."""
-    li = table(spark, sf_dir, "lineitem").where("l_orderkey < 200")
-    return _named_twice(li)
+    return _named_twice(table(spark, sf_dir, "lineitem"))
 
 
 def referenced_twice_all(spark, sf_dir):
-    """The same over all of lineitem; the SQL of referenced_twice fixes that to a part of the orders."""
-    return _named_twice(table(spark, sf_dir, "lineitem"))
+    """The same; it was the whole of referenced_twice when that was held to a part."""
+    return referenced_twice(spark, sf_dir)
 
 
 def name_variants(spark, sf_dir):
@@ -164,6 +157,7 @@ def name_variants(spark, sf_dir):
 QUERIES = {f.__name__: f for f in (attributes_with_default, template_fallback, case_coverage, foreign_key_checks, cross_run_hashes, families_without_siblings, ambiguity_excluded, label_flips, percentile_conventions,
                                    token_rates, device_utilisation, rank_fraction_split, numbered_ids, holdout_only_strata, phase_union, key_sets, date_shift, first_attempts, referenced_twice, referenced_twice_all, name_variants)}
 
+_TWICE = "SELECT k, count(*)::BIGINT AS n FROM (SELECT l_partkey AS k FROM lineitem UNION ALL SELECT l_suppkey FROM lineitem) GROUP BY 1 HAVING count(*) > 1"
 ORACLE_SQL = {
     "attributes_with_default": "SELECT d.doc_id, coalesce(quality::VARCHAR, '?') AS quality, coalesce(toxic::VARCHAR, '?') AS toxic FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id",
     "template_fallback": """
@@ -206,6 +200,7 @@ ORACLE_SQL = {
         WITH d AS (SELECT (o_orderdate::DATE - 1)::DATE AS d FROM orders)
         SELECT strftime(d, '%Y') AS year, count(*)::BIGINT AS n, min(strftime(d, '%m/%d/%Y')) AS least, max(strftime(d, '%Y-%m-%d')) AS most FROM d GROUP BY 1""",
     "first_attempts": "SELECT ts::DATE::VARCHAR AS segment, arg_min(event_id, (ts, event_id)) AS first_id, count(*)::BIGINT AS n FROM events GROUP BY ts::DATE",
-    "referenced_twice": "SELECT k, count(*)::BIGINT AS n FROM (SELECT l_partkey AS k FROM lineitem WHERE l_orderkey < 200 UNION ALL SELECT l_suppkey FROM lineitem WHERE l_orderkey < 200) GROUP BY 1 HAVING count(*) > 1",
+    "referenced_twice": f"SELECT k, n FROM ({_TWICE})",
+    "referenced_twice_all": f"SELECT k, n FROM ({_TWICE})",
     "name_variants": "SELECT n_nationkey, regexp_replace(lower(n_name), '[^a-z0-9]', '', 'g') AS letters, true AS same FROM nation",
 }

@@ -71,6 +71,12 @@ ORACLE_SQL = {
         w AS (SELECT *, count(*) FILTER (WHERE quality = 0) OVER (PARTITION BY lang) AS a, count(*) FILTER (WHERE quality <> 0) OVER (PARTITION BY lang) AS b,
           row_number() OVER (PARTITION BY lang, quality = 0 ORDER BY {_K.format('doc_id')}, doc_id) AS rn FROM d)
         SELECT doc_id, lang, quality FROM w WHERE rn <= least(a, b)""",
+    "typo_noise": f"""
+        WITH w AS (SELECT item_id, unnest(string_split(text, ' ')) AS w, generate_subscripts(string_split(text, ' '), 1) - 1 AS i FROM benchmark),
+        h AS (SELECT *, ('0x' || substr(sha256('{SEED}|' || item_id::VARCHAR || '|' || i::VARCHAR || '|' || w), 1, 7))::BIGINT AS h, length(w) AS n FROM w),
+        k AS (SELECT *, (h // 4) % greatest(n - 3, 1) + 2 AS k FROM h),
+        s AS (SELECT item_id, i, CASE WHEN n >= 7 AND regexp_full_match(w, '[a-z]+') AND h % 4 = 0 THEN substr(w, 1, (k - 1)::INT) || substr(w, (k + 1)::INT, 1) || substr(w, k::INT, 1) || substr(w, (k + 2)::INT) ELSE w END AS w FROM k)
+        SELECT item_id, string_agg(w, ' ' ORDER BY i) AS noisy FROM s GROUP BY 1""",
     "filler_candidates": """
         WITH p AS (SELECT c_nationkey AS k, count(DISTINCT c_name) AS size FROM customer GROUP BY 1)
         SELECT s_suppkey, least(3, size)::BIGINT AS n, least(3, size)::BIGINT AS different FROM supplier JOIN p ON s_nationkey = k""",

@@ -113,7 +113,7 @@ def test_bootstrap_and_shards(spark):
     r = {x["g"]: x for x in resample.bootstrap(df, "g", ["ok"], resample.mean_statistic).collect()}
     assert r["g"]["value"] == 0.75 and 0.70 < r["g"]["low"] < 0.75 < r["g"]["high"] < 0.80 and r["one"]["low"] == r["one"]["high"] == 1
     fam = spark.createDataFrame([(i, i % 5 + 1) for i in range(200)], "f long, n int")
-    out = resample.greedy_shards(fam, "f", "n", 12, F.sha2(F.col("f").cast("string"), 256), 4)
+    out = resample.greedy_shards(fam, "f", "n", 12, F.sha2(F.col("f").cast("string"), 256))
     assert out.count() == 200 and out.groupBy("shard").agg(F.sum("size").alias("s")).agg(F.max("s")).first()[0] <= 12
 
 
