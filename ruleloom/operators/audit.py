@@ -6,24 +6,77 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from ruleloom.functions.text import span_agrees
 
 EXAMPLES = 25
 
 
 def check(name: str, rows: DataFrame, key: str, bad: Column, hard: bool = True) -> DataFrame:
-    """One row: how many were checked and failed, with the smallest EXAMPLES
-    failing keys. Each task keeps at most EXAMPLES; rows aren't gathered."""
-    failed = F.coalesce(bad, F.lit(True))
-    counted = rows.select(F.col(key).cast("long").alias("key"), failed.alias("bad"))
-    n = counted.agg(F.count("*").alias("n_checked"), F.count_if("bad").alias("n_failed"))
-    least = counted.where("bad").orderBy("key").limit(EXAMPLES).agg(F.concat_ws(",", F.array_sort(F.collect_list("key")).cast("array<string>")).alias("examples"))
-    return n.join(least, F.lit(True)).select(F.lit(name).alias("check"), F.lit(hard).alias("hard"), "n_checked", "n_failed", "examples")
+    """One row: how many were checked and failed, with the smallest EXAMPLES failing keys."""
+    return catalogue(rows, key, [(name, bad, hard)])
 
 
 def report(checks: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, checks)
 
 
+def catalogue(rows: DataFrame, key: str, checks: list[tuple[str, Column, bool]]) -> DataFrame:
+    """(check, hard, n_checked, n_failed, examples): a row for each of ``checks``
+    (name, bad, hard), all counted in one aggregate. A null verdict is a failure.
+
+    Examples come from the failing rows alone: a task keeps EXAMPLES keys of a
+    check, so that no more of them meet than that for each task."""
+    bad = [(name, F.coalesce(b, F.lit(True)), hard) for name, b, hard in checks]
+    totals = rows.agg(F.count("*").alias("n_checked"), *(F.count_if(b).alias(f"n_{i}") for i, (_, b, _) in enumerate(bad)))
+    each = F.explode(F.array(*(F.struct(F.lit(name).alias("check"), F.lit(hard).alias("hard"), F.col(f"n_{i}").alias("n_failed")) for i, (name, _, hard) in enumerate(bad)))).alias("c")
+    counted = totals.select("n_checked", each).select("c.check", "c.hard", "n_checked", "c.n_failed")
+    failing = rows.select(F.col(key).cast("long").alias("key"), F.explode(F.array_compact(F.array(*(F.when(b, F.lit(name)) for name, b, _ in bad)))).alias("check"))
+    first = failing.withColumn("rn", F.row_number().over(Window.partitionBy("check").orderBy("key"))).where(F.col("rn") <= EXAMPLES)
+    examples = first.groupBy("check").agg(F.concat_ws(",", F.array_sort(F.collect_list("key")).cast("array<string>")).alias("examples"))
+    return counted.join(examples, "check", "left").select("check", "hard", "n_checked", "n_failed", F.coalesce("examples", F.lit("")).alias("examples"))
+
+
+def result_checks(arms: list[str], local: str) -> list[tuple[str, Column, bool]]:
+    """The checks of a result beside its planned trial, its case, its recomputed
+    answer and its attempt lines. Columns: what was recorded by its own name;
+    ``plan_``, ``bank_`` and ``re_`` before what it is held against. The arm
+    ``local`` has no price."""
+    c = F.col
+    differ = lambda pairs: reduce(lambda a, b: a | b, [~c(a).eqNullSafe(c(b)) for a, b in pairs])
+    planned, known = c("plan_trial").isNotNull(), c("bank_case").isNotNull() & c("arm").isin(arms)
+    right = c("re_valid") & (c("re_choice") == c("bank_expected"))
+    abstained = c("re_valid") & (c("re_choice") == c("bank_abstain"))
+    same = lambda a, b: c(a).eqNullSafe(c(b))
+    truth = lambda x: F.coalesce(x, F.lit(False))
+    return [
+        ("results reference planned trials", ~planned, True), ("result case/phase/rep match plan", planned & differ([("case_id", "plan_case"), ("phase", "plan_phase"), ("rep", "plan_rep")]), True),
+        ("result arm is known", ~truth(c("arm").isin(arms)), True), ("results reference bank cases", truth(c("arm").isin(arms)) & c("bank_case").isNull(), True),
+        ("result workflow/stratum match bank", known & differ([("workflow", "bank_workflow"), ("stratum", "bank_stratum")]), True), ("result input_hash matches recomputation", known & ~same("input_hash", "bank_hash"), True),
+        ("result options equal bank options", known & ~same("options", "bank_options"), True), ("result expected equals bank label", known & ~same("expected", "bank_expected"), True),
+        ("result validity matches re-validation", known & ~same("valid", "re_valid"), True), ("result choice matches raw answer", known & c("re_valid") & same("valid", "re_valid") & ~same("choice", "re_choice"), True),
+        ("result correct matches recomputation", known & ~c("correct").eqNullSafe(truth(right)), True), ("result abstained matches recomputation", known & c("re_valid") & ~c("abstained").eqNullSafe(truth(abstained)), True),
+        ("local cost recorded as unknown", known & (c("arm") == local) & (c("cost").isNotNull() | truth(c("cost_known"))), True), ("results.attempts equals attempt lines", known & ~same("attempts", "n_lines"), True),
+        ("lenient choice matches recomputation", known & ~same("lenient", "re_lenient"), False), ("invalid results record no choice", known & ~c("re_valid") & c("choice").isNotNull(), False),
+        ("invalid results carry failure_reason", known & ~c("re_valid") & (F.coalesce("failure_reason", F.lit("")) == ""), False),
+        ("invalid result abstained flag", known & ~c("re_valid") & ~c("abstained").eqNullSafe(F.lit(False)), False),
+        ("results.retries == attempts-1", known & same("attempts", "n_lines") & ~c("retries").eqNullSafe(c("n_lines") - 1), False)]
+
+
+def attempt_checks(cap_usd: float, tolerance_ms: float, deadline: Column, grace_s: float) -> list[tuple[str, Column, bool]]:
+    """The checks of an attempt line by itself: reservation, cost, timestamps, deadline.
+    Columns: reserved_usd, cost_usd, cost_known, t_start, t_end, latency_ms, planned."""
+    c = F.col
+    late = F.unix_micros("t_start") > F.unix_micros(deadline) + F.lit(int(grace_s * 1e6))
+    spoilt = c("t_start").isNull() | c("t_end").isNull() | (c("t_end") < c("t_start"))
+    return [
+        ("every attempt reserves more than nothing", ~F.coalesce((c("reserved_usd") > 0) & (c("reserved_usd") <= cap_usd), F.lit(False)), True),
+        ("a known cost is finite and not negative", F.coalesce("cost_known", F.lit(False)) & ~F.coalesce((c("cost_usd") >= 0) & (c("cost_usd") < float("inf")), F.lit(False)), True),
+        ("attempts reference planned trials", ~c("planned"), True), ("no attempt started after deadline", F.coalesce(late, F.lit(False)), True),
+        ("attempt timestamps parse and end after start", spoilt, False), ("attempt latency equals its span", c("t_start").isNotNull() & c("t_end").isNotNull() & ~span_agrees(c("latency_ms"), c("t_start"), c("t_end"), tolerance_ms), False)]
+
+
 def duplicates(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Keys that occur more than once."""
     return rows.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1")
@@ -39,8 +92,6 @@ def as_of(rows: DataFrame, marks: DataFrame, key: str, at: str, value: str) -> D
 
     Rows and marks are sorted together once: a window carries the last value
     forward, so no row meets more than one mark."""
-    from pyspark.sql.window import Window
-
     both = rows.withColumn("is_row", F.lit(1)).withColumn(value, F.lit(None).cast(marks.schema[value].dataType)).unionByName(marks.select(key, at, value).withColumn("is_row", F.lit(0)), allowMissingColumns=True)
     w = Window.partitionBy(key).orderBy(at, "is_row").rowsBetween(Window.unboundedPreceding, 0)
     return both.withColumn(value, F.last(value, ignorenulls=True).over(w)).where("is_row = 1").drop("is_row")

@@ -91,11 +91,8 @@ def redacted_whole(spark, sf_dir):
 def integrity_report(spark, sf_dir):
     o, li = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
     return A.report([
-        A.check("price positive", o, "o_orderkey", F.col("o_totalprice") <= 0),
-        A.check("status known", o, "o_orderkey", ~F.col("o_orderstatus").isin("O", "F", "P")),
-        A.check("price under 400000", o, "o_orderkey", F.col("o_totalprice") > 400000, hard=False),
-        A.check("discount at most 0.08", li, "l_orderkey", F.col("l_discount") > 0.08, hard=False),
-        A.check("quantity in range", li, "l_orderkey", ~F.col("l_quantity").between(1, 50))])
+        A.catalogue(o, "o_orderkey", [("price positive", F.col("o_totalprice") <= 0, True), ("status known", ~F.col("o_orderstatus").isin("O", "F", "P"), True), ("price under 400000", F.col("o_totalprice") > 400000, False)]),
+        A.catalogue(li, "l_orderkey", [("discount at most 0.08", F.col("l_discount") > 0.08, False), ("quantity in range", ~F.col("l_quantity").between(1, 50), True)])])
 
 
 QUERIES = {f.__name__: f for f in (anti_join_missing, planned_and_present, orphans, after_stop, asof_segment, family_split_leak, uniqueness_audit, hash_constancy, leak_scan, redacted_credentials, redacted_whole, integrity_report)}
