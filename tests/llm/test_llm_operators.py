@@ -255,14 +255,44 @@ def test_topk_against_brute_force(spark):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(4)
     r = topk.integers(df, "vec_id", "embedding")
     got = defaultdict(list)
-    for x in topk.top_k(topk.build_index(r), r.where("id % 20 = 0"), 20).collect():
+    for x in topk.top_k(topk.build_index(r), r.where("id % 20 = 0"), 20, topk.draw_sample(r)).collect():
         got[x["query_id"]].append((x["rank"], x["vec_id"], x["score"]))
     ok = [(i, np.floor(np.array(v, float) * 64).astype(int)) for i, v in rows if v and None not in v and np.isfinite(v).all()]
     for i, v in ok:
         if i % 20 == 0:
             best = sorted(((-int(v @ w), j) for j, w in ok if j != i and len(w) == len(v)))[:20]
             assert sorted(got[i]) == [(k + 1, j, -s) for k, (s, j) in enumerate(best)]
-    assert topk.integers(df.limit(0), "vec_id", "embedding").count() == 0
+    none = topk.integers(df.limit(0), "vec_id", "embedding")
+    assert none.count() == 0 and topk.top_k(topk.build_index(none), none, 20, topk.draw_sample(none)).count() == 0
+
+
+@pytest.mark.parametrize("kind", ["clusters", "large", "sparse", "equal"])
+def test_topk_of_other_vectors(spark, kind, monkeypatch):
+    """Near neighbours, components far over 32 bits, mostly zeros, ties; many blocks, with a sample and without."""
+    rng = np.random.default_rng(6)
+    m = {"clusters": lambda: np.repeat(rng.normal(0, 1, (30, 12)), 20, 0) + rng.normal(0, 0.05, (600, 12)), "large": lambda: rng.normal(0, 5.0e6, (600, 12)),
+         "sparse": lambda: rng.normal(0, 1, (600, 12)) * (rng.random((600, 12)) < 0.1), "equal": lambda: np.ones((600, 12))}[kind]()
+    rows = [(i, v) for i, v in enumerate(m.tolist())] + [(40, [9.0] * 12)]
+    monkeypatch.setattr(topk, "QUERIES", 7)
+    r = topk.integers(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), "vec_id", "embedding")
+    whole = [(i, [int(np.floor(64 * x)) for x in v]) for i, v in rows]
+    due = {}
+    for i in range(0, 600, 20):
+        q = min(v for j, v in whole if j == i)
+        best = sorted((-sum(a * b for a, b in zip(q, v)), j) for j, v in whole if j != i)[:5]
+        due[i] = [(k + 1, j, -s) for k, (s, j) in enumerate(best)]
+    for sample in (None, topk.draw_sample(r)):
+        got = defaultdict(list)
+        for x in topk.top_k(topk.build_index(r), r.where("id % 20 = 0"), 5, sample).orderBy("query_id", "rank").collect():
+            got[x["query_id"]].append((x["rank"], x["vec_id"], x["score"]))
+        assert got == due
+
+
+def test_topk_says_so_where_numbers_are_too_large(spark):
+    with pytest.raises(Exception, match="too large"):
+        topk.integers(spark.createDataFrame([(1, [1.0e30])], "vec_id long, embedding array<double>"), "vec_id", "embedding").collect()
+    with pytest.raises(OverflowError):
+        topk.products(np.full((1, 2), 1 << 40), np.full((1, 2), 1 << 40))
 
 
 # 6
