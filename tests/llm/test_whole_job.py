@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from ruleloom.llm import decontaminate, language
+from ruleloom.llm import decontaminate, language, toxicity
 from ruleloom.llm.common import words
 from ruleloom.llm.graph import components
 
@@ -120,3 +120,46 @@ def test_components(spark):
     got = components(spark.createDataFrame(edges, "u long, v long"))
     assert {r["node"]: r["label"] for r in got.collect()} == {n: find(n) for n in joined} and got.count() == len(joined)
     assert components(spark.createDataFrame([(1, 1)], "u long, v long")).count() == 0
+
+
+def test_language_against_plain_compression(spark):
+    """The same sizes and choices, text by text, from the compressor alone."""
+    import zstandard as z
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang")
+    dictionaries = language.fit_dictionaries(docs, "text", "lang")
+    assert len(dictionaries) > 1 and all(0 < len(d) <= language.DICTIONARY_BYTES for d in dictionaries.values())
+    for r in language.identify_language(docs.drop("lang"), dictionaries).collect():
+        body = " ".join("".join(c if c.isalpha() else " " for c in (r["text"] or "").lower()).split()).encode()
+        sizes = {}
+        for g, d in dictionaries.items():
+            coder = z.ZstdCompressor(dict_data=z.ZstdCompressionDict(d, dict_type=z.DICT_TYPE_RAWCONTENT), level=language.LEVEL, write_content_size=False, write_dict_id=False, write_checksum=False)
+            sizes[g] = sum(len(coder.compress(body[k:k + language.BLOCK_BYTES])) for k in range(0, len(body), language.BLOCK_BYTES))
+        best = sorted((n, g) for g, n in sizes.items())
+        assert r["lang_pred"] == (best[0][1] if body else "und")
+        if body:
+            margin = (best[1][0] - best[0][0]) / best[0][0]
+            assert r["margin"] == pytest.approx(margin) and r["accepted"] == (margin >= language.MARGIN)
+
+
+def test_language_signs_are_no_letters_and_pieces_come_from_all_of_a_text(spark):
+    odd = spark.createDataFrame([("² ½ ①",), ("Ⅷ 12",), ("a²",), ("_",)], "text string")
+    got = [r["lang_pred"] for r in language.identify_language(odd, {"xx": b"word", "yy": b"other"}).collect()]
+    assert got[0] == got[1] == got[3] == "und" and got[2] != "und"
+    text = "x" * 70_000 + " " + "late words " * 400
+    pieces = language.sample_pieces(spark.createDataFrame([(text, "aa")], "text string, lang string"), "text", "lang").collect()
+    assert any("late words" in r["t"] for r in pieces) and len(pieces) == -(-len(text) // language.PIECE)
+
+
+def test_toxicity_against_plain_sums(spark):
+    """Scores by the formula of the machine, pair by pair; repeated and null labels."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet").select("doc_id", "toxic")
+    more = labels.unionByName(labels.limit(20)).unionByName(spark.createDataFrame([(1, None), (None, 1)], labels.schema))
+    model = toxicity.fit_toxicity(docs, more)
+    place = {int(b): k for k, b in enumerate(model["terms"])}
+    assert len(place) > 0
+    for r in toxicity.score_toxicity(docs.limit(150), model).collect():
+        own = sorted({place[b] for w in set(words(r["text"])) for b in toxicity.terms_of(w) if b in place})
+        z = model["w0"] + sum(model["w"][k] for k in own) + sum(float(model["v"][a] @ model["v"][b]) for i, a in enumerate(own) for b in own[:i])
+        assert r["score"] == pytest.approx(1 / (1 + np.exp(-z))) and r["predicted"] == (r["score"] >= 0.5)
