@@ -52,10 +52,22 @@ def input_hash(workflow: Column | str, evidence: Column | str, options: Column |
     return F.pandas_udf(_hash_batches, "string")(workflow, evidence, options, policy)
 
 
-def prompt_hash(instruction: Column, body: Column) -> Column:
-    return F.sha2(F.concat(instruction, F.lit("\n"), body), 256)
-
-
 def instruction_text(policy: Column, suffix: str) -> Column:
     """Policy and suffix, with a blank between unless the policy ends with white space."""
     return F.concat(policy, F.when(policy.rlike(r"\s\z"), "").otherwise(" "), F.lit(suffix))
+
+
+def chat_body(model: Column, instruction: Column, evidence: Column, temperature: float = 0.0) -> Column:
+    """The body of a chat request, as JSON text: an instruction, and evidence as the user's message."""
+    message = lambda role, text: F.struct(F.lit(role).alias("role"), text.alias("content"))
+    return F.to_json(F.struct(model.alias("model"), F.array(message("system", instruction), message("user", evidence)).alias("messages"), F.lit(temperature).alias("temperature"))).alias("body")
+
+
+def prompt_hash(body: Column) -> Column:
+    """SHA-256 of a body's canonical form without its model: two models asked alike have one hash."""
+    return F.sha2(canonical_json(_without_model(body)), 256)
+
+
+def _without_model(body: Column) -> Column:
+    fields = F.from_json(body, "map<string,string>")
+    return F.to_json(F.map_filter(fields, lambda k, v: k != "model"))

@@ -6,11 +6,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ruleloom.functions.stats import safe_rate, wilson, wilson_clamped
+from ruleloom.operators.rules import flags
 
 
-def counters(correct: Column) -> list[Column]:
-    """n, correct and wrong. A null outcome is neither, but counts in n."""
-    return [F.count("*").alias("n"), F.count_if(correct).alias("correct"), F.count_if(~correct).alias("wrong")]
+def counters(choice: Column, valid: Column, expected: Column, abstain: Column, ambiguous: Column) -> list[Column]:
+    """The counters of an outcome table, each of a row's flags; nothing is ever null."""
+    abstained, correct = flags(choice, valid, expected, abstain)
+    valid, want = F.coalesce(valid, F.lit(False)), F.coalesce(expected == abstain, F.lit(False))
+    named = {"n": F.lit(True), "n_ambiguous": F.coalesce(ambiguous, F.lit(False)), "valid": valid, "invalid": ~valid, "correct": correct, "wrong": ~correct, "wrong_valid": valid & ~correct, "no_choice": choice.isNull(),
+             "abstained": abstained, "abstain_expected": want, "abstain_right": want & abstained, "abstain_missed": want & valid & ~abstained, "over_abstained": ~want & abstained, "answered": valid & ~abstained, "answered_right": correct & ~abstained}
+    return [F.count_if(v).alias(k) for k, v in named.items()]
 
 
 def by_stratum(rows: DataFrame, keys: list[str], correct: Column) -> DataFrame:

@@ -33,6 +33,57 @@ def core_shard(cases: DataFrame, id_: str, family: str, base: str, holdout: Colu
     return whole.unionByName(held)
 
 
+def phases(cases: DataFrame, id_: str, stratum: str, quotas: list[tuple[str, Column, int | None, int]], seed: str) -> DataFrame:
+    """(id, phase, rep): the phases of a shard in order. Each takes up to n cases
+    of each stratum (all where n is null) that fit it and that no phase before has
+    taken, in shuffled order, and plans them ``reps`` times.
+
+    A case goes to the first phase that it fits; a phase's own order is by hash, so
+    a task keeps n cases of a stratum each."""
+    first = None
+    for name, fits, _, _ in quotas:
+        first = F.when(fits, name) if first is None else first.when(fits, name)
+    placed = cases.select(id_, stratum, first.alias("phase")).where("phase is not null")
+    most = F.create_map(*(x for name, _, n, _ in quotas for x in (F.lit(name), F.lit(n).cast("int"))))
+    reps = F.create_map(*(x for name, _, _, r in quotas for x in (F.lit(name), F.lit(r))))
+    rn = F.row_number().over(Window.partitionBy("phase", stratum).orderBy(shuffle_key(seed, F.col(id_)), id_))
+    largest = max((n for _, _, n, _ in quotas if n is not None), default=0)
+    limited = F.element_at(most, F.col("phase")).isNotNull()
+    cut = placed.where(limited).withColumn("rn", rn).where(F.col("rn") <= largest).where(F.col("rn") <= F.element_at(most, F.col("phase"))).drop("rn")
+    whole = placed.where(~limited)
+    return cut.unionByName(whole).select(id_, "phase", F.explode(F.sequence(F.lit(1), F.element_at(reps, F.col("phase")))).alias("rep"))
+
+
+def load_samples(cases: DataFrame, id_: str, levels: list[int], n: int, first_rep: int, seed: str) -> DataFrame:
+    """(id, phase, rep): for each level of concurrency the same n cases again, as
+    repetitions of their own numbers, so that no load trial is a main trial."""
+    chosen = cases.orderBy(shuffle_key(seed, F.col(id_)), id_).limit(n)
+    each = F.explode(F.array(*(F.struct(F.lit(f"load_c{c}").alias("phase"), F.lit(first_rep + i).alias("rep")) for i, c in enumerate(levels)))).alias("l")
+    return chosen.select(id_, each).select(id_, "l.phase", "l.rep")
+
+
+def option_subset(required: Column, confusers: Column, others: Column, canonical: Column, size: int, key: str, id_: Column) -> Column:
+    """``size`` options: the required ones, then confusers, then others, each kind
+    in shuffled order, and all at last in the canonical order."""
+    shuffled = lambda xs: F.transform(F.array_sort(F.transform(xs, lambda x: F.struct(F.sha2(F.concat_ws("|", F.lit(key), id_.cast("string"), x), 256).alias("k"), x.alias("x")))), lambda s: s["x"])
+    chosen = F.slice(F.array_union(F.array_union(required, shuffled(confusers)), shuffled(others)), 1, size)
+    return F.filter(canonical, lambda o: F.array_contains(chosen, o))
+
+
+def length_batches(rows: DataFrame, id_: str, length: Column, most: int, budget: int, width: int) -> DataFrame:
+    """``rows`` with batch: rows of about one length together, so many that the
+    square of the longest length times their number stays within ``budget``.
+
+    A bucket is ``width`` lengths; in it, rows are dealt by hash over as many
+    batches as its longest asks for. Lengths over ``most`` count as that."""
+    top = F.least(F.ceil(length / width) * width, F.lit(most)).cast("long")
+    counts = rows.groupBy(top.alias("top")).agg(F.count("*").alias("rows_of"))
+    each = F.greatest(F.expr(f"{budget} div (top * top)"), F.lit(1))
+    batches = counts.select("top", F.ceil(F.col("rows_of") / each).cast("int").alias("batches"), each.cast("int").alias("each"))
+    placed = ranked(rows.withColumn("top", top), ["top"], [shuffle_key("batch", F.col(id_)), id_], hash_bucket(shuffle_key("batch", F.col(id_))), "rn")
+    return placed.join(batches, "top").withColumn("batch", F.concat_ws("-", "top", F.expr("(rn - 1) div each"))).select(*rows.columns, "batch")
+
+
 def label_quota(rows: DataFrame, group: str, id_: str, label: Column, share: float, seed: str) -> DataFrame:
     """Rows so that ``label`` holds for about ``share`` of each group: as many of
     the other rows are kept as the rarer side allows, in shuffled order."""

@@ -54,7 +54,30 @@ def nested_key(spark, sf_dir):
     return e.select("event_id", P.nested_value("j", "k").alias("k"))
 
 
-QUERIES = {f.__name__: f for f in (arms_joined, core_shard, label_quota, typo_noise, filler_candidates, deadline_admission, input_guard, nested_key)}
+def shard_phases(spark, sf_dir):
+    """The phases of a shard with their quotas, and load samples besides."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "source")
+    quotas = [("pilot", F.col("doc_id") % 50 == 0, 2, 1), ("repeat", F.col("doc_id") % 10 == 1, 3, 3), ("holdout", F.col("doc_id") % 5 == 2, None, 1), ("broad", F.col("doc_id") % 2 == 1, 40, 1)]
+    return P.phases(d, "doc_id", "source", quotas, SEED).unionByName(P.load_samples(d, "doc_id", [1, 4, 8, 16], 25, 10, SEED))
+
+
+def option_subsets(spark, sf_dir):
+    """A required option, confusers that depend on the row, others by hash, in canonical order."""
+    p = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_size")
+    canonical = F.array(*(F.lit(f"Brand#{i}") for i in range(1, 26)))
+    near = F.when(F.col("p_size") % 2 == 0, F.array(F.lit("Brand#1"), F.lit("Brand#2"))).otherwise(F.array(F.lit("Brand#3")))
+    chosen = P.option_subset(F.array("p_brand"), near, F.array(*(F.lit(f"Brand#{i}") for i in range(4, 13))), canonical, 5, SEED, F.col("p_partkey"))
+    return p.select("p_partkey", F.array_join(chosen, ",").alias("options"))
+
+
+def micro_batches(spark, sf_dir):
+    """Documents in batches of about one length; how many, how full."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("n_chars", F.lit(0)).alias("n_chars"))
+    b = P.length_batches(d, "doc_id", F.greatest("n_chars", F.lit(1)), 4_096, 100_000_000, 512).groupBy("batch").agg(F.count("*").alias("n"), F.sum("doc_id").alias("ids"))
+    return b
+
+
+QUERIES = {f.__name__: f for f in (arms_joined, core_shard, label_quota, typo_noise, filler_candidates, deadline_admission, input_guard, nested_key, shard_phases, option_subsets, micro_batches)}
 
 _K = f"sha256('{SEED}|' || {{}}::VARCHAR)"
 ORACLE_SQL = {
@@ -83,6 +106,23 @@ ORACLE_SQL = {
     "deadline_admission": """
         SELECT event_type, count(*) FILTER (WHERE ok)::BIGINT AS admitted, count(*) FILTER (WHERE NOT ok)::BIGINT AS refused
         FROM (SELECT event_type, epoch_ms(ts) + 1800000 <= epoch_ms(date_trunc('day', ts) + INTERVAL 23 HOUR) AS ok FROM events) GROUP BY 1""",
+    "shard_phases": f"""
+        WITH p AS (SELECT doc_id, source, CASE WHEN doc_id % 50 = 0 THEN 'pilot' WHEN doc_id % 10 = 1 THEN 'repeat' WHEN doc_id % 5 = 2 THEN 'holdout' WHEN doc_id % 2 = 1 THEN 'broad' END AS phase FROM documents),
+        r AS (SELECT *, row_number() OVER (PARTITION BY phase, source ORDER BY {_K.format('doc_id')}, doc_id) AS rn FROM p WHERE phase IS NOT NULL),
+        k AS (SELECT doc_id, phase FROM r WHERE rn <= CASE phase WHEN 'pilot' THEN 2 WHEN 'repeat' THEN 3 WHEN 'broad' THEN 40 ELSE rn END),
+        l AS (SELECT doc_id FROM documents ORDER BY {_K.format('doc_id')}, doc_id LIMIT 25)
+        SELECT doc_id, phase, unnest(CASE WHEN phase = 'repeat' THEN [1, 2, 3] ELSE [1] END)::INTEGER AS rep FROM k
+        UNION ALL SELECT doc_id, phase, rep::INTEGER FROM l, (VALUES ('load_c1', 10), ('load_c4', 11), ('load_c8', 12), ('load_c16', 13)) v(phase, rep)""",
+    "option_subsets": f"""
+        WITH o AS (SELECT p_partkey, p_brand, p_size, unnest(list_transform(range(1, 26), lambda i: 'Brand#' || i)) AS o FROM part),
+        g AS (SELECT *, CASE WHEN o = p_brand THEN 0 WHEN (p_size % 2 = 0 AND o IN ('Brand#1', 'Brand#2')) OR (p_size % 2 = 1 AND o = 'Brand#3') THEN 1
+          WHEN split_part(o, '#', 2)::INT BETWEEN 4 AND 12 THEN 2 END AS kind FROM o),
+        r AS (SELECT *, row_number() OVER (PARTITION BY p_partkey ORDER BY kind, sha256('{SEED}|' || p_partkey::VARCHAR || '|' || o)) AS rn FROM g WHERE kind IS NOT NULL)
+        SELECT p_partkey, string_agg(o, ',' ORDER BY split_part(o, '#', 2)::INT) AS options FROM r WHERE rn <= 5 GROUP BY 1""",
+    "micro_batches": """
+        WITH d AS (SELECT doc_id, least(ceil(greatest(coalesce(n_chars, 0), 1) / 512.0) * 512, 4096)::BIGINT AS top FROM documents),
+        r AS (SELECT *, row_number() OVER (PARTITION BY top ORDER BY sha256('batch|' || doc_id::VARCHAR), doc_id) - 1 AS rn, greatest(100000000 // (top * top), 1) AS each FROM d)
+        SELECT top::VARCHAR || '-' || (rn // each)::VARCHAR AS batch, count(*)::BIGINT AS n, sum(doc_id)::BIGINT AS ids FROM r GROUP BY 1""",
     "input_guard": "SELECT 2::BIGINT AS different, 64::INTEGER AS digits",
     "nested_key": "SELECT event_id, json_extract_string(props, '$.k') AS k FROM events",
 }

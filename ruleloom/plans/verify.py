@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ruleloom.functions import text as X
+from ruleloom.operators import accuracy as C
 from ruleloom.operators import audit as A
 from ruleloom.operators import validate as V
 from ruleloom.sources.tables import table
@@ -61,6 +62,13 @@ def result_audit(spark, sf_dir):
     return A.catalogue(joined.withColumn("cost_known", F.lit(False)), "k", A.result_checks(["first", "second"], "second"))
 
 
+def outcome_counters(spark, sf_dir):
+    """The fifteen counters by arm and stratum."""
+    bank = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("c"), F.col("c_mktsegment").alias("workflow"))
+    rows = _arms(spark, sf_dir).withColumn("n", F.expr(LINES)).select("k", "c", *(F.expr(RUN[n]).alias(n) for n in ("arm", "choice", "valid", "expected"))).join(bank, "c")
+    return rows.groupBy("arm", "workflow").agg(*C.counters(F.col("choice"), F.col("valid"), F.col("expected"), F.lit("abstain"), F.col("k") % 11 == 0))
+
+
 #: Of an attempt line: when it began and ended, as written, and its latency.
 STAMPS = {
     "t0": "CASE WHEN k % 61 = 0 THEN 'yesterday' WHEN k % 7 = 0 THEN '2024-03-01T10:00:0' || (k % 10) || '.25+02:00' WHEN k % 7 = 1 THEN '2024-03-01T08:00:0' || (k % 10) ELSE '2024-03-01T08:00:0' || (k % 10) || '.1234567Z' END",
@@ -79,7 +87,7 @@ def attempt_audit(spark, sf_dir):
     return A.catalogue(a, "k", A.attempt_checks(1.0, 50.0, F.lit("2024-03-01T08:00:06Z").cast("timestamp"), 2.0))
 
 
-QUERIES = {f.__name__: f for f in (result_audit, attempt_audit)}
+QUERIES = {f.__name__: f for f in (result_audit, attempt_audit, outcome_counters)}
 
 
 def _report(checks, source):
@@ -112,7 +120,13 @@ _ATTEMPTS = [
     ("every attempt reserves more than nothing", "NOT coalesce(reserved_usd > 0 AND reserved_usd <= 1, false)", True), ("a known cost is finite and not negative", "cost_known AND NOT coalesce(cost_usd >= 0 AND isfinite(cost_usd), false)", True),
     ("attempts reference planned trials", "k % 89 = 0", True), ("no attempt started after deadline", "coalesce(s > TIMESTAMPTZ '2024-03-01 08:00:08+00', false)", True),
     ("attempt timestamps parse and end after start", "s IS NULL OR e IS NULL OR e < s", False), ("attempt latency equals its span", "s IS NOT NULL AND e IS NOT NULL AND NOT coalesce(abs(latency_ms - (epoch_us(e) - epoch_us(s)) / 1000.0) <= 50, false)", False)]
+_COUNTED = {"n": "true", "n_ambiguous": "k % 11 = 0", "valid": "valid", "invalid": "NOT valid", "correct": "right_", "wrong": "NOT right_", "wrong_valid": "valid AND NOT right_", "no_choice": "choice IS NULL", "abstained": "gone", "abstain_expected": "want",
+            "abstain_right": "want AND gone", "abstain_missed": "want AND valid AND NOT gone", "over_abstained": "gone AND NOT want", "answered": "valid AND NOT gone", "answered_right": "right_ AND NOT gone"}
 ORACLE_SQL = {
+    "outcome_counters": f"""
+        WITH r AS (SELECT *, {LINES} AS n FROM (SELECT o_orderkey AS k, o_custkey AS c, unnest([0, 1]) AS a FROM orders)), e AS (SELECT k, c, {', '.join(f'{RUN[n]} AS {n}' for n in ('arm', 'choice', 'valid', 'expected'))} FROM r),
+        f AS (SELECT e.*, c_mktsegment AS workflow, coalesce(valid AND choice = expected, false) AS right_, coalesce(valid AND choice = 'abstain', false) AS gone, expected = 'abstain' AS want FROM e JOIN customer ON c = c_custkey)
+        SELECT arm, workflow, {', '.join(f'count(*) FILTER (WHERE {v})::BIGINT AS {k}' for k, v in _COUNTED.items())} FROM f GROUP BY 1, 2""",
     "result_audit": _report(_RESULTS, _JOINED),
     "attempt_audit": _report(_ATTEMPTS, f"WITH a AS (SELECT k, {', '.join(f'{e} AS {n}' for n, e in STAMPS.items())} FROM (SELECT o_orderkey AS k FROM orders)), j AS (SELECT *, {_STAMP.replace('{0}', 't0')} AS s, {_STAMP.replace('{0}', 't1')} AS e FROM a)"),
 }

@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
+import hashlib
+import uuid
+import zlib
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ruleloom.operators.sampling import ranked
+
 CORRUPT = "_corrupt_record"
 
 
@@ -26,12 +34,67 @@ def bad_lines(rows: DataFrame) -> DataFrame:
 
 
 def audited_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file, offset_order, line, problem): each line that isn't blank, with why it
-    is no JSON object, if so. The order within a file is that of the ids."""
-    lines = spark.read.text(path).select(F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("offset_order"), F.col("value").alias("line"))
+    """(file, line_no, line, problem): each line that isn't blank, with its number
+    in its file from 1 and why it is no JSON object, if so. A path that isn't there
+    is one row. Lines are numbered block by block: no task has a whole file."""
+    shape = "file string, line_no int, line string, problem string"
+    if not _there(spark, path):
+        return spark.createDataFrame([(path, None, None, "missing file")], shape)
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("place"), F.col("value").alias("line"))
+    numbered = ranked(lines, ["file"], ["block", "place"], F.col("block"), "line_no")
     v = F.try_parse_json("line")
     problem = F.when(v.isNull(), "not json").when(~F.schema_of_variant(v).startswith("OBJECT"), "not an object")
-    return lines.where(F.trim("line") != "").withColumn("problem", problem)
+    return numbered.where(F.trim("line") != "").select("file", "line_no", "line", problem.alias("problem"))
+
+
+def _there(spark: SparkSession, path: str) -> bool:
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return bool(hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(hadoop))
+
+
+def blind(spark: SparkSession, path: str, allowed: str) -> DataFrame:
+    """JSON lines of which only the ``allowed`` fields (a schema) are read: labels
+    beside them never reach a row."""
+    return spark.read.schema(allowed).json(path)
+
+
+def last_of_key(rows: DataFrame, key: str, order: Column) -> DataFrame:
+    """One row for each key, the last by ``order``: a later line replaces an earlier one."""
+    return rows.groupBy(key).agg(F.max_by(F.struct(*rows.columns), order).alias("row")).select("row.*")
+
+
+def templates(spark: SparkSession, folder: str, suffix: str = ".json") -> DataFrame:
+    """(name, text) of the template files in a folder, sorted by name; files whose
+    content is no JSON list are left out."""
+    files = spark.read.option("wholetext", True).option("pathGlobFilter", f"*{suffix}").text(folder)
+    named = files.select(F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)$", 1).alias("name"), F.col("value").alias("text"))
+    return named.where(F.coalesce(F.schema_of_variant(F.try_parse_json("text")).startswith("ARRAY"), F.lit(False))).orderBy("name")
+
+
+def unpacked_checksums(spark: SparkSession, path: str) -> DataFrame:
+    """(file, digest, bytes) of what gzip files under a path hold, inflated in
+    blocks; a damaged file has a null digest."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").option("recursiveFileLookup", True).load(path).select("path", "content")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for name, content in zip(pdf["path"], pdf["content"]):
+                digest, size, inflater, rest = hashlib.sha256(), 0, zlib.decompressobj(31), content
+                try:
+                    while rest:
+                        block = inflater.decompress(rest, 1 << 20)
+                        digest.update(block)
+                        size += len(block)
+                        rest = inflater.unconsumed_tail
+                        if inflater.eof:
+                            rest, inflater = inflater.unused_data, zlib.decompressobj(31)
+                    out.append((name.removesuffix(".gz"), digest.hexdigest(), size))
+                except zlib.error:
+                    out.append((name.removesuffix(".gz"), None, size))
+            yield pd.DataFrame(out, columns=["file", "digest", "bytes"])
+
+    return files.mapInPandas(run, "file string, digest string, bytes long")
 
 
 def documents(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
@@ -42,9 +105,7 @@ def documents(spark: SparkSession, path: str, schema: T.StructType | str | None
 
 def optional_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """As ``tolerant_lines``; no rows if the path isn't there."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    there = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(hadoop)
-    if not there:
+    if not _there(spark, path):
         return spark.createDataFrame([], T.StructType.fromDDL(schema).add(CORRUPT, "string"))
     return tolerant_lines(spark, path, schema)
 
@@ -83,11 +144,30 @@ def write_once(rows: DataFrame, path: str) -> None:
     rows.write.mode("errorifexists").json(path)
 
 
+def write_replacing(rows: DataFrame, path: str) -> None:
+    """Writes beside the path and then takes its place: readers see the old rows or the new ones."""
+    spark = rows.sparkSession
+    of = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fresh, target = f"{path}.new-{uuid.uuid4().hex}", of(path)
+    rows.write.json(fresh)
+    system = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if system.exists(target):
+        system.delete(target, True)
+    if not system.rename(of(fresh), target):
+        raise OSError(f"{path} could not be replaced")
+
+
 def write_csv(rows: DataFrame, path: str, columns: list[str] | None = None) -> None:
     """With a header: the columns given, or all in sorted order."""
     rows.select(*(columns or sorted(rows.columns))).write.mode("overwrite").option("header", True).csv(path)
 
 
+def union_of_keys(rows: DataFrame, fields: str) -> DataFrame:
+    """A column for each key that any row's map ``fields`` has, in sorted order; null where a row lacks it."""
+    keys = sorted(r[0] for r in rows.select(F.explode(F.map_keys(fields))).distinct().collect())  # as many as the table has columns
+    return rows.select(*(F.try_element_at(fields, F.lit(k)).alias(k) for k in keys))
+
+
 def mock_answer(body: Column, keys: Column) -> tuple[Column, Column]:
     """(status, choice) of the offline source: both follow from the body's hash."""
     n = F.conv(F.substring(F.sha2(body, 256), 1, 8), 16, 10).cast("long")

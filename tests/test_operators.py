@@ -67,7 +67,7 @@ def test_sources(spark, tmp_path):
     f.write_text('{"id":1,"o":{"9":"x","z":"y","10":"w"}}\n\nnot json\n[1]\n{"id":2}\n')
     rows = records.tolerant_lines(spark, str(f), "id long, o string").cache()
     assert tuple(records.bad_lines(rows).first())[0] >= 2
-    assert [r["problem"] for r in records.audited_lines(spark, str(f)).orderBy("offset_order").collect()] == [None, "not json", "not an object", None]
+    assert [r["problem"] for r in records.audited_lines(spark, str(f)).orderBy("line_no").collect()] == [None, "not json", "not an object", None]
     with pytest.raises(Exception):
         records.strict_lines(spark, str(f), "id long").collect()
     assert records.optional_lines(spark, f"{tmp_path}/none.jsonl", "id long").count() == 0 and records.optional_lines(spark, str(f), "id long").count() >= 3
