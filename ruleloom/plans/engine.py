@@ -63,7 +63,7 @@ def results_policy(spark, sf_dir):
 def streaming_budget(spark, sf_dir):
     """The events as a stream, admitted under a cap for each type; read back when all are through."""
     path = f"{sf_dir}/events.parquet"
-    rows = spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path}*")
+    rows = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", 8).parquet(f"{path}*")
     attempts = rows.select(F.col("event_type").alias("budget"), F.col("event_id").alias("attempt_id"), F.lit(2_000_000_000).cast("long").alias("reserved_nano"),
                            F.when(F.col("event_id") % 4 != 0, F.ceil(F.col("value") * 1e9 - 1e-6)).cast("long").alias("cost_nano"))
     folder = f"{shared_dir(spark)}/budget-{uuid.uuid4().hex}"
@@ -76,6 +76,11 @@ def streaming_budget(spark, sf_dir):
 QUERIES = {f.__name__: f for f in (bootstrap_accuracy, bootstrap_difference, shard_families, canonical_props, ordered_option_keys, mock_answers, results_policy, streaming_budget)}
 
 ORACLE_SQL = {
+    "streaming_budget": """
+        WITH RECURSIVE a AS (SELECT event_type AS budget, 2000000000::BIGINT AS reserved, CASE WHEN event_id % 4 <> 0 THEN ceil(value * 1e9 - 1e-6)::BIGINT END AS cost, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS rn FROM events),
+        s AS (SELECT budget, rn, true AS ok, coalesce(cost, reserved) AS spent FROM a WHERE rn = 1
+          UNION ALL SELECT a.budget, a.rn, s.spent + reserved <= 500000000000, s.spent + CASE WHEN s.spent + reserved <= 500000000000 THEN coalesce(cost, reserved) ELSE 0 END FROM s JOIN a ON a.budget = s.budget AND a.rn = s.rn + 1)
+        SELECT budget, count(*) FILTER (WHERE ok)::BIGINT AS admitted, max(spent)::BIGINT AS spent_nano, count(*)::BIGINT AS n FROM s GROUP BY 1""",
     "shard_families": """
         WITH RECURSIVE f AS (SELECT o_custkey, count(*)::BIGINT AS size, sha256('plan-7|' || o_custkey::VARCHAR) AS key FROM orders GROUP BY 1),
         b AS (SELECT *, ('0x' || substr(key, 1, 7))::BIGINT % greatest(16, (SELECT ceil(count(*) / 4096) FROM f)::BIGINT) AS block FROM f),
