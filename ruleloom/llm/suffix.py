@@ -225,10 +225,9 @@ def permuted_prefixes(s: np.ndarray, sa: np.ndarray) -> np.ndarray:
     follows[1:] = (before[1:] == before[:-1] + 1) & (before[:-1] >= 0) & (s[:-1] == s[before[:-1]])
     at = np.flatnonzero(~follows & (before >= 0))
     agree = np.zeros(n, np.int64)
-    wide = np.zeros(n, np.uint64)  # eight symbols in one number; of larger ones 8 bits, the rest is compared below
-    padded = np.append(s.astype(np.uint64), np.zeros(16, np.uint64))
-    for k in range(8):
-        wide |= (padded[k:k + n] & np.uint64(0xFF)) << np.uint64(8 * k)
+    # eight symbols in one number; of larger ones 8 bits, the rest is compared below
+    low = np.append((s & 0xFF).astype(np.uint8), np.zeros(8, np.uint8))
+    wide = np.ndarray((n,), "<u8", low, strides=(1,))
     full, k = at, 0
     exact = int(s.max()) < 256
     while len(full):
