@@ -137,23 +137,34 @@ def _induce_names(s: list[int], sigma: int) -> list[int]:
         sizes[c + 1] += sizes[c]
     lms = [i for i in range(1, n) if smaller[i] and not smaller[i - 1]]
 
+    # places after which a larger, or a smaller, suffix is induced before them
+    larger_before, smaller_before = bytearray(n), bytearray(n)
+    for i in range(1, n):
+        if smaller[i - 1]:
+            smaller_before[i] = 1
+        else:
+            larger_before[i] = 1
+
     def induce(order: list[int]) -> list[int]:
-        sa, tail = [-1] * n, sizes[1:]
+        sa, tail = [0] * n, sizes[1:]
         for i in reversed(order):
-            tail[s[i]] -= 1
-            sa[tail[s[i]]] = i
+            c = s[i]
+            tail[c] = t = tail[c] - 1
+            sa[t] = i
         head = sizes[:-1]
-        for k in range(n):
-            i = sa[k] - 1
-            if i >= 0 and not smaller[i]:
-                sa[head[s[i]]] = i
-                head[s[i]] += 1
+        for i in sa:  # grows behind the place that is read
+            if larger_before[i]:
+                c = s[i - 1]
+                t = head[c]
+                sa[t] = i - 1
+                head[c] = t + 1
         tail = sizes[1:]
         for k in range(n - 1, -1, -1):
-            i = sa[k] - 1
-            if i >= 0 and smaller[i]:
-                tail[s[i]] -= 1
-                sa[tail[s[i]]] = i
+            i = sa[k]
+            if smaller_before[i]:
+                c = s[i - 1]
+                tail[c] = t = tail[c] - 1
+                sa[t] = i - 1
         return sa
 
     sa = induce(lms)
