@@ -13,7 +13,8 @@ shares, which are counted over all labelled rows. Training runs in one task,
 whose input these bounds limit; scoring runs where the rows lie.
 
 Null and empty texts get the score of a text without terms. Rows with null
-labels teach nothing; any label over 0 is toxic. Without training rows of both
+labels or ids teach nothing; a label that is repeated teaches as often, and of
+labels of one id that differ each does; any label over 0 is toxic. Without training rows of both
 classes the score is the share of toxic rows (0 where there are none). Extra
 columns stay; output columns that clash with an existing name get a leading
 underscore.

@@ -6,6 +6,9 @@ separator. ``normalise`` inflates each such stream once, block by block, and
 writes every record as a gzip member of its own, with a table of where each
 member lies beside it. ``read_back`` reads members by that table.
 
+A response holds an HTTP head and the payload, the html in UTF-8; a revisit holds
+the head alone, which tells the length of the payload that it stands for.
+
 Of records with equal payloads of at least MIN_REVISIT bytes, that with the
 smallest page id is the response; the others are revisits, which refer to it
 and hold no payload. Smaller payloads are always responses. Digests are
@@ -13,7 +16,9 @@ SHA-256.
 
 Null html is an empty payload. Repeated rows of a page are a record each, of
 one type: a response or revisits of another page. Rows with a null id are
-responses. An empty table gives no archives and no rows.
+responses. An empty table gives no archives and no rows. Very large records are
+held one at a time. Of other columns than id, url and html none is kept, and
+none is in the way.
 """
 
 from __future__ import annotations
@@ -38,6 +43,8 @@ SALTS = 16
 #: Fixed value: the date of all records, so that archives are equal for equal pages.
 DATE = "2024-01-01T00:00:00Z"
 CRLF = "\r\n"
+#: Fixed value: a response's HTTP head up to the length of its payload.
+HTTP = f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}Content-Length: "
 
 
 def roles(pages: DataFrame, page_id: str, html: str) -> DataFrame:
@@ -62,16 +69,17 @@ def roles(pages: DataFrame, page_id: str, html: str) -> DataFrame:
 def records(rows: DataFrame) -> DataFrame:
     """(value): each record's text without its two closing line ends."""
     size = F.octet_length("payload")
+    http = F.concat(F.lit(HTTP), size.cast("string"), F.lit(CRLF + CRLF))
     revisit = F.col("refers_to").isNotNull()
     uri = F.regexp_replace(F.coalesce("url", F.lit("about:blank")), r"[\x00-\x20]", "%20")
     head = F.concat_ws(CRLF, F.lit("WARC/1.1"), F.concat(F.lit("WARC-Type: "), F.when(revisit, "revisit").otherwise("response")),
                        F.concat(F.lit("WARC-Record-ID: <urn:page:"), F.coalesce(F.col("page_id").cast("string"), F.lit("null")), F.lit(">")),
                        F.concat(F.lit("WARC-Target-URI: "), uri), F.lit(f"WARC-Date: {DATE}"),
-                       F.concat(F.lit("WARC-Payload-Digest: sha256:"), F.col("digest")), F.concat(F.lit("X-Payload-Length: "), size.cast("string")),
+                       F.concat(F.lit("WARC-Payload-Digest: sha256:"), F.col("digest")), 
                        F.when(revisit, F.concat(F.lit("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"))),
                        F.when(revisit, F.concat(F.lit("WARC-Refers-To: <urn:page:"), F.col("refers_to").cast("string"), F.lit(">"))),
-                       F.lit("Content-Type: text/html; charset=utf-8"), F.concat(F.lit("Content-Length: "), F.when(revisit, "0").otherwise(size.cast("string"))))
-    return rows.select(F.concat(head, F.lit(CRLF + CRLF), F.when(revisit, "").otherwise(F.col("payload"))).alias("value"))
+                       F.lit("Content-Type: application/http; msgtype=response"), F.concat(F.lit("Content-Length: "), (F.octet_length(http) + F.when(revisit, 0).otherwise(size)).cast("string")))
+    return rows.select(F.concat(head, F.lit(CRLF + CRLF), http, F.when(revisit, "").otherwise(F.col("payload"))).alias("value"))
 
 
 def write_monolithic(rows: DataFrame, path: str) -> None:
@@ -183,13 +191,14 @@ def read_back(index: DataFrame, target: str) -> DataFrame:
                         f.seek(int(offset))
                         record = zlib.decompress(f.read(int(length)), 31)
                         h = header(record)
-                        body = record[record.index(b"\r\n\r\n") + 4:-4]
-                        told = h["warc-payload-digest"].removeprefix("sha256:")
+                        content = record[record.index(b"\r\n\r\n") + 4:-4]
+                        size, body = int(header(content)["content-length"]), content[content.index(b"\r\n\r\n") + 4:]
+                        told, whole = h["warc-payload-digest"].removeprefix("sha256:"), len(content) == int(h["content-length"])
                         if h["warc-type"] == "response":
                             own = hashlib.sha256(body).hexdigest()
-                            out.append((h["warc-record-id"], "response", len(body), own, None, own == told and len(body) == int(h["content-length"])))
+                            out.append((h["warc-record-id"], "response", len(body), own, None, whole and own == told and len(body) == size))
                         else:
-                            out.append((h["warc-record-id"], h["warc-type"], int(h["x-payload-length"]), told, h.get("warc-refers-to"), not body))
+                            out.append((h["warc-record-id"], h["warc-type"], size, told, h.get("warc-refers-to"), whole and not body))
             yield pd.DataFrame(out, columns=[c.split()[0] for c in schema.split(", ")])
 
     return index.select("file", "offset", "length").mapInPandas(run, schema)

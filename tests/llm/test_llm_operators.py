@@ -413,6 +413,18 @@ def test_warc(spark, tmp_path):
         assert gzip.decompress(f.read_bytes()).startswith(b"WARC/1.1")
 
 
+def test_warc_of_large_pages_and_of_none(spark, tmp_path):
+    rows = [(k, None, "<p>large</p>\r\n\r\n" * n) for k, n in enumerate((0, 1, 400_000, 400_000, 7))]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("payload", F.lit("mine"))
+    for name, pages in (("some", df), ("none", df.limit(0))):
+        warc.write_monolithic(warc.roles(pages, "page_id", "html"), f"{tmp_path}/{name}")
+        index = warc.normalise(spark, f"{tmp_path}/{name}", f"{tmp_path}/{name}-n")
+        got = {int(re.search(r"-?\d+", r["record_id"])[0]): r for r in warc.read_back(index, f"{tmp_path}/{name}-n").collect()}
+        assert len(got) == pages.count() and all(r["sound"] for r in got.values())
+        if got:
+            assert [got[k]["payload_bytes"] for k in range(5)] == [len(h) for *_, h in rows] and got[3]["refers_to"] == "<urn:page:2>" and got[2]["record_type"] == "response"
+
+
 def test_warc_inflates_across_chunks(monkeypatch):
     import io
 
