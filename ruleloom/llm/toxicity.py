@@ -74,6 +74,13 @@ def _machine(idx: np.ndarray, w0: float, w: np.ndarray, v: np.ndarray) -> tuple[
     return w0 + w[idx].sum(1) + 0.5 * (s * s - (rows * rows).sum(1)).sum(1), s
 
 
+def _batch(flat: np.ndarray, owner: np.ndarray, n: int, w0: float, w: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """As ``_machine`` for n rows whose terms are laid end to end."""
+    rows = v[flat]
+    s = np.stack([np.bincount(owner, rows[:, f], n) for f in range(v.shape[1])], 1)
+    return w0 + np.bincount(owner, w[flat], n) + 0.5 * ((s * s).sum(1) - np.bincount(owner, (rows * rows).sum(1), n)), s
+
+
 def fit_machine(rows: list[np.ndarray], y: np.ndarray, weight: np.ndarray, seed: int = 7) -> dict:
     """Selects terms and trains by AdaGrad on the weighted log loss."""
     flat = np.concatenate([r for r in rows]) if rows else np.zeros(0, np.int32)
@@ -89,10 +96,7 @@ def fit_machine(rows: list[np.ndarray], y: np.ndarray, weight: np.ndarray, seed:
     terms = np.sort(order[g[order] >= LEAST_G]).astype(np.int32)
     m = len(terms)
     kept = [np.searchsorted(terms, r[np.isin(r, terms)]) for r in rows]
-    wide = max([1, *map(len, kept)])
-    idx = np.full((len(rows), wide), m)
-    for i, r in enumerate(kept):
-        idx[i, :len(r)] = r
+    sizes = np.array([len(r) for r in kept])
     rng = np.random.default_rng(seed)
     w, v, w0 = np.zeros(m + 1), rng.normal(0, 0.01, (m + 1, FACTORS)), float(np.log(prior / (1 - prior)))
     v[m] = 0
@@ -100,11 +104,12 @@ def fit_machine(rows: list[np.ndarray], y: np.ndarray, weight: np.ndarray, seed:
     weight = weight / weight.mean()
     for _ in range(EPOCHS):
         for at in np.array_split(rng.permutation(len(rows)), max(1, len(rows) // 256)):
-            z, s = _machine(idx[at], w0, w, v)
+            own, owner = np.concatenate([kept[i] for i in at]), np.repeat(np.arange(len(at)), sizes[at])
+            z, s = _batch(own, owner, len(at), w0, w, v)
             d = weight[at] * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[at]) / len(at)
-            dw, dv = np.zeros_like(w), np.zeros_like(v)
-            np.add.at(dw, idx[at], np.repeat(d[:, None], wide, 1))
-            np.add.at(dv, idx[at], d[:, None, None] * (s[:, None, :] - v[idx[at]]))
+            dw = np.bincount(own, d[owner], m + 1)
+            pull = d[owner, None] * (s[owner] - v[own])
+            dv = np.stack([np.bincount(own, pull[:, f], m + 1) for f in range(FACTORS)], 1)
             dw += 1e-5 * w
             dv += 1e-4 * v
             dw[m], dv[m] = 0, 0
