@@ -62,24 +62,35 @@ def one_edit(a: Column, b: Column) -> Column:
     return (F.levenshtein(a, b) <= 1) | F.coalesce(swap, F.lit(False))
 
 
+def bound(value: Column, use) -> Column:
+    """``use(value)`` with the value worked out once, however often it is read."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def person(x: Column) -> Column:
     """(first, last) of a name, written ``First Last`` or ``Last, First``;
     punctuation and middle initials are dropped; a single word is a first name
     with an empty last one. Null where there is no letter."""
-    t = F.lower(collapse(x))
-    turned = F.when(t.contains(","), F.concat_ws(" ", F.regexp_replace(t, "^[^,]*,", ""), F.substring_index(t, ",", 1))).otherwise(t)
-    parts = F.filter(F.transform(F.split(turned, "[ ]+"), lambda p: F.regexp_replace(p, "[^a-z]", "")), lambda p: p != "")
-    n = F.size(parts)
-    kept = F.filter(parts, lambda p, i: (i == 0) | (i == n - 1) | (F.length(p) > 1))
-    first, last = F.try_element_at(kept, F.lit(1)), F.when(n > 1, F.try_element_at(kept, F.lit(-1))).otherwise("")
-    return F.when(n > 0, F.struct(first.alias("first"), last.alias("last")))
+    def of_parts(parts: Column) -> Column:
+        n = F.size(parts)
+        kept = F.filter(parts, lambda p, i: (i == 0) | (i == n - 1) | (F.length(p) > 1))
+        return F.when(n > 0, F.struct(F.element_at(parts, 1).alias("first"), F.when(n > 1, F.try_element_at(kept, F.lit(-1))).otherwise("").alias("last")))
+
+    def of_text(t: Column) -> Column:
+        turned = F.when(t.contains(","), F.concat_ws(" ", F.regexp_replace(t, "^[^,]*,", ""), F.substring_index(t, ",", 1))).otherwise(t)
+        return bound(F.filter(F.transform(F.split(turned, "[ ]+"), lambda p: F.regexp_replace(p, "[^a-z]", "")), lambda p: p != ""), of_parts)
+
+    return bound(F.lower(collapse(x)), of_text)
+
+
+def near_person(p: Column, q: Column, tolerance: int = 1) -> Column:
+    """As ``same_person``, of what ``person`` gave."""
+    return F.coalesce(F.levenshtein(p["first"], q["first"]) + F.levenshtein(p["last"], q["last"]) <= tolerance, F.lit(False))
 
 
 def same_person(a: Column, b: Column, tolerance: int = 1) -> Column:
     """First and last names differ by ``tolerance`` letters together at most; no name matches none."""
-    p, q = person(a), person(b)
-    gap = F.levenshtein(p["first"], q["first"]) + F.levenshtein(p["last"], q["last"])
-    return F.coalesce(gap <= tolerance, F.lit(False))
+    return near_person(person(a), person(b), tolerance)
 
 
 def same_date(a: Column, b: Column) -> Column:

@@ -6,6 +6,8 @@ The SQL twins read the same evidence and decide by themselves."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from ruleloom.operators import policies as P
@@ -43,7 +45,8 @@ def chart_evidence(spark, sf_dir):
         {"name": own["name"], "email": F.upper(own["email"]), "address": F.concat(own["address"], F.lit("."))}, {"mrn": F.lit(" "), "name": own["name"], "detail": F.concat(F.lit("Phone ending "), last4, F.lit("; Email "), own["email"], F.lit("."))},
         {"mrn": F.lit(""), "dob": own["iso"], "phone": own["phone"]}, {"Medical_Record_Number": own["id"], "name_on_request": p["middle"]["name"], "date_of_birth": own["long"]},
     ]
-    request = F.element_at(F.array(*(F.create_map(*(x for n, v in r.items() for x in (F.lit(n), v))) for r in requests)), (k % len(requests) + 1).cast("int"))
+    made = [F.create_map(*(x for n, v in r.items() for x in (F.lit(n), v))) for r in requests]
+    request = reduce(lambda acc, i: F.when(k % len(made) == i, made[i]).otherwise(acc), range(len(made) - 1), made[-1])
     chart = lambda d: F.create_map(*(x for n, key in (("chart_id", "id"), ("registered_name", "name"), ("dob", "us"), ("phone_on_file", "phone"), ("email", "email"), ("address_on_file", "address")) for x in (F.lit(n), d[key])))
     candidates = F.when(k % 11 == 3, F.array(chart(other))).when(k % 13 == 5, F.array(chart(own), chart(own), chart(other))).otherwise(F.array(chart(other), chart(own)))
     return table(spark, sf_dir, "orders").select("o_orderkey", F.to_json(F.struct(request.alias("request"), candidates.alias("candidates"))).alias("ev"))
