@@ -155,7 +155,7 @@ def scorer(model: dict, spark):
                 hit: set[int] = set()
                 for word in set(words(t)):
                     if (k := known.get(word)) is None:
-                        if len(known) > 400_000:
+                        if len(known) > 200_000:
                             known.clear()
                         k = known[word] = tuple(place[b] for b in terms_of(word) if b in place)
                     if k:
