@@ -8,13 +8,14 @@ from ruleloom.llm.licenses import op4_license_scan
 from ruleloom.llm.near import op6_ngram_jaccard_join
 from ruleloom.llm.packing import op3_best_fit_packing
 from ruleloom.llm.pii import op1_pii_surrogates
+from ruleloom.llm.resampling import op13_importance_resampling
 from ruleloom.llm.substrings import op9_suffix_array_dedup
 from ruleloom.llm.topk import OP5_SQL, op5_exact_topk
 from ruleloom.llm.toxicity import op10_toxicity
 from ruleloom.llm.warc import OP7_SQL, op7_warc_normalise
 from ruleloom.llm.whitening import op11_embedding_whitening
 
-QUERIES = [op1_pii_surrogates, op2_language_id, op3_best_fit_packing, op4_license_scan, op5_exact_topk, op6_ngram_jaccard_join, op7_warc_normalise, op8_benchmark_decontamination, op9_suffix_array_dedup, op10_toxicity, op11_embedding_whitening]
+QUERIES = [op1_pii_surrogates, op2_language_id, op3_best_fit_packing, op4_license_scan, op5_exact_topk, op6_ngram_jaccard_join, op7_warc_normalise, op8_benchmark_decontamination, op9_suffix_array_dedup, op10_toxicity, op11_embedding_whitening, op13_importance_resampling]
 
 
 def queries():
