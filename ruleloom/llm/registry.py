@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from ruleloom.llm.ann import op12_ann_cross_polytope
 from ruleloom.llm.decontaminate import op8_benchmark_decontamination
 from ruleloom.llm.language import op2_language_id
 from ruleloom.llm.licenses import op4_license_scan
@@ -15,7 +16,7 @@ from ruleloom.llm.toxicity import op10_toxicity
 from ruleloom.llm.warc import OP7_SQL, op7_warc_normalise
 from ruleloom.llm.whitening import op11_embedding_whitening
 
-QUERIES = [op1_pii_surrogates, op2_language_id, op3_best_fit_packing, op4_license_scan, op5_exact_topk, op6_ngram_jaccard_join, op7_warc_normalise, op8_benchmark_decontamination, op9_suffix_array_dedup, op10_toxicity, op11_embedding_whitening, op13_importance_resampling]
+QUERIES = [op1_pii_surrogates, op2_language_id, op3_best_fit_packing, op4_license_scan, op5_exact_topk, op6_ngram_jaccard_join, op7_warc_normalise, op8_benchmark_decontamination, op9_suffix_array_dedup, op10_toxicity, op11_embedding_whitening, op12_ann_cross_polytope, op13_importance_resampling]
 
 
 def queries():
