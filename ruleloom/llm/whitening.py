@@ -262,5 +262,6 @@ def op11_embedding_whitening(spark, sf_dir):
     facts = spark.createDataFrame([(d, m.n, m.sums, m.explained, m.identity_error) for d, m in model.items()], "d int, n long, sums array<long>, explained array<double>, identity_error double")
     rows = whiten(vectors, model).where("whitened is not null").withColumn("x", integers(F.col("embedding")))
     met = rows.join(F.broadcast(facts), F.size("x") == F.col("d"))  # a row for each length of vectors
-    each = met.select("vec_id", "n", deviation(F.col("x"), F.col("n"), F.col("sums")).alias("deviation"), "explained", "identity_error", F.posexplode("whitened").alias("at", "whitened"))
+    once = met.withColumn("deviation", deviation(F.col("x"), F.col("n"), F.col("sums")))  # before a row becomes one for each component
+    each = once.select("vec_id", "n", "deviation", "explained", "identity_error", F.posexplode("whitened").alias("at", "whitened"))
     return each.select("vec_id", (F.col("at") + 1).alias("component"), "n", "deviation", "whitened", F.element_at("explained", F.col("at") + 1).alias("explained"), "identity_error")
