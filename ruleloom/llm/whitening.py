@@ -22,7 +22,7 @@ Vectors that are null, or hold a null or non-finite component, take no part; emp
 ones have no component. Repeated rows count as often as they stand. Rows with a
 null id count too. Directions whose variance is at most FLOOR of the largest (as
 where vectors are equal, or fewer than the components) can't be told from
-rounding and are no components. Components of 2^52 and more, or sums beyond 64
+rounding and are no components. Components of 2^46 and more, or sums beyond 64
 bits, are an error. Empty tables give no model and no rows. Extra columns stay; a
 column that clashes gets a leading underscore.
 """
@@ -66,14 +66,19 @@ class Whitening:
         return [float(e / self.trace) for e in self.eigenvalues]
 
 
+def _finite(c: Column) -> Column:
+    return c.isNotNull() & ~F.isnan(c) & (F.abs(c.cast("double")) != float("inf"))
+
+
 def takes_part(embedding: Column) -> Column:
-    return embedding.isNotNull() & F.forall(embedding, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) != float("inf")))
+    return embedding.isNotNull() & F.forall(embedding, _finite)
 
 
 def integers(embedding: Column) -> Column:
-    """The integer components of a vector that takes part."""
-    wide = F.raise_error(F.lit("a component is too large for whitening")).cast("long")
-    return F.transform(embedding, lambda c: F.when(F.abs(c.cast("double")) < 2.0**46, F.floor(c.cast("double") * 64) + SHIFT).otherwise(wide))
+    """The integer components of a vector. Spark may work this out before a filter
+    that stands above it, so entries of vectors that take no part give null, no error."""
+    return F.transform(embedding, lambda c: F.when(F.abs(c.cast("double")) < 2.0**46, F.floor(c.cast("double") * 64) + SHIFT)
+                       .when(_finite(c), F.raise_error(F.lit("a component is too large for whitening")).cast("long")))
 
 
 def _matrices(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
