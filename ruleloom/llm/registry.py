@@ -9,7 +9,7 @@ from ruleloom.llm.licenses import op4_license_scan
 from ruleloom.llm.near import op6_ngram_jaccard_join
 from ruleloom.llm.packing import op3_best_fit_packing
 from ruleloom.llm.pii import op1_pii_surrogates
-from ruleloom.llm.resampling import op13_importance_resampling
+from ruleloom.llm.resampling import OP13_SQL, op13_importance_resampling
 from ruleloom.llm.substrings import op9_suffix_array_dedup
 from ruleloom.llm.topk import OP5_SQL, op5_exact_topk
 from ruleloom.llm.toxicity import op10_toxicity
@@ -24,4 +24,4 @@ def queries():
 
 
 def oracle_sql():
-    return {"op5_exact_topk": OP5_SQL, "op7_warc_normalise": OP7_SQL}
+    return {"op5_exact_topk": OP5_SQL, "op7_warc_normalise": OP7_SQL, "op13_importance_resampling": OP13_SQL}

@@ -194,3 +194,29 @@ def op13_importance_resampling(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     target = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("text")
     return resample(docs, target).select("doc_id", "n_features", "weight", "score", F.col("rank").cast("long").alias("rank"))
+
+
+#: Words of a text, by SQL's own means.
+_SQL_WORDS = r"list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
+OP13_SQL = f"""
+    WITH bytes AS (  -- the CRC of each byte
+      SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)), lambda c, i: CASE WHEN c % 2 = 1 THEN xor(3988292384, c // 2) ELSE c // 2 END)) AS crc),
+    w AS (SELECT 0 AS kind, row_number() OVER () AS row, doc_id, {_SQL_WORDS} AS w FROM documents UNION ALL SELECT 1, row_number() OVER (), NULL, {_SQL_WORDS} FROM benchmark),
+    g AS (
+      SELECT kind, row, f, count(*) AS c FROM (
+        SELECT kind, row, unnest(w) AS f FROM w
+        UNION ALL SELECT kind, row, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM w
+        UNION ALL SELECT kind, row, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) FROM w) GROUP BY ALL),
+    h AS (SELECT f, hex(encode(f)) AS x FROM (SELECT DISTINCT f FROM g)),
+    b AS (SELECT f, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(range(length(x) // 2), lambda i: ('0x' || substr(x, 2 * i + 1, 2))::BIGINT)), lambda c, y: xor(c // 256, crc[xor(c % 256, y) + 1]))) % {BUCKETS} AS bucket FROM h, bytes),
+    m AS (SELECT kind, row, bucket, sum(c) AS c FROM g JOIN b USING (f) GROUP BY ALL),
+    s AS (SELECT bucket, coalesce(sum(c) FILTER (WHERE kind = 0), 0) AS s, coalesce(sum(c) FILTER (WHERE kind = 1), 0) AS t FROM m GROUP BY 1),
+    a AS (SELECT sum(s)::DOUBLE + {BUCKETS} AS s_all, sum(t)::DOUBLE + {BUCKETS} AS t_all FROM s),
+    n AS (SELECT bucket, floor(1000 * ln((t::DOUBLE + 1) * s_all / ((s::DOUBLE + 1) * t_all)))::BIGINT AS gain FROM s, a),
+    d AS (SELECT row, sum(c)::BIGINT AS n_features, sum(c * gain)::BIGINT AS weight FROM m JOIN n USING (bucket) WHERE kind = 0 GROUP BY 1),
+    r AS (
+      SELECT doc_id, len(w) AS n_words, coalesce(n_features, 0)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight,
+        coalesce(weight, 0)::BIGINT + floor(-1000 * ln(-ln((('0x' || substr(sha256('42:' || doc_id::VARCHAR), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score
+      FROM w LEFT JOIN d USING (row) WHERE kind = 0),
+    k AS (SELECT *, n_words >= 20 AND score IS NOT NULL AS able, row_number() OVER (PARTITION BY n_words >= 20 AND score IS NOT NULL ORDER BY score DESC, doc_id, n_features) AS place FROM r)
+    SELECT doc_id, n_features, weight, score, CASE WHEN able AND place <= (SELECT count(*) FROM k WHERE able) * 5 // 100 THEN place END AS rank FROM k"""
