@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -38,20 +39,36 @@ def phases(cases: DataFrame, id_: str, stratum: str, quotas: list[tuple[str, Col
     of each stratum (all where n is null) that fit it and that no phase before has
     taken, in shuffled order, and plans them ``reps`` times.
 
-    A case goes to the first phase that it fits; a phase's own order is by hash, so
-    a task keeps n cases of a stratum each."""
-    first = None
-    for name, fits, _, _ in quotas:
-        first = F.when(fits, name) if first is None else first.when(fits, name)
-    placed = cases.select(id_, stratum, first.alias("phase")).where("phase is not null")
-    most = F.create_map(*(x for name, _, n, _ in quotas for x in (F.lit(name), F.lit(n).cast("int"))))
-    reps = F.create_map(*(x for name, _, _, r in quotas for x in (F.lit(name), F.lit(r))))
-    rn = F.row_number().over(Window.partitionBy("phase", stratum).orderBy(shuffle_key(seed, F.col(id_)), id_))
-    largest = max((n for _, _, n, _ in quotas if n is not None), default=0)
-    limited = F.element_at(most, F.col("phase")).isNotNull()
-    cut = placed.where(limited).withColumn("rn", rn).where(F.col("rn") <= largest).where(F.col("rn") <= F.element_at(most, F.col("phase"))).drop("rn")
-    whole = placed.where(~limited)
-    return cut.unionByName(whole).select(id_, "phase", F.explode(F.sequence(F.lit(1), F.element_at(reps, F.col("phase")))).alias("rep"))
+    Phases pick one after the other: each takes, of the cases that fit it and that no
+    earlier phase has picked, the first n of each stratum in hash order, so what a
+    full phase leaves goes on to the next that it fits; n is null for all. Earlier
+    phases pick as many of a stratum as their quotas say at most, and so a phase's
+    picks are among as many more of its first cases: only these meet in a task."""
+    key = shuffle_key(seed, F.col(id_))
+    limited = [i for i, q in enumerate(quotas) if q[2] is not None]
+    most = {i: sum(quotas[j][2] for j in limited if j <= i) for i in limited}
+    # a phase without a quota takes all that earlier ones leave, so later ones don't see what fits it
+    whole_before = {i: reduce(lambda x, y: x | y, [F.coalesce(quotas[j][1], F.lit(False)) for j in range(i) if quotas[j][2] is None], F.lit(False)) for i in range(len(quotas))}
+    fits = F.array(*(F.coalesce(q[1], F.lit(False)) & ~whole_before[i] for i, q in enumerate(quotas)))
+    able = cases.select(id_, stratum, key.alias("key"), fits.alias("fits"))
+    each = able.withColumn("of", F.explode(F.array_compact(F.array(*(F.when(F.col("fits")[i], i) for i in limited), F.lit(None).cast("int")))))
+    rn = F.row_number().over(Window.partitionBy(stratum, "of").orderBy("key", id_))
+    near = each.withColumn("rn", rn).where(F.col("rn") <= max(most.values(), default=0))
+    near = near.where(F.col("rn") <= F.element_at(F.create_map(*(F.lit(x) for i in most for x in (i, most[i]))), F.col("of"))) if most else near
+    picked = near.groupBy(id_, stratum, "key").agg(F.first("fits").alias("fits")).withColumn("phase", F.lit(None).cast("int"))
+    upto = Window.partitionBy(stratum).orderBy("key", id_).rowsBetween(Window.unboundedPreceding, 0)
+    for i in limited:
+        free = F.col("phase").isNull() & F.col("fits")[i]
+        picked = picked.withColumn("free", free).withColumn("so_far", F.sum(F.col("free").cast("int")).over(upto))
+        picked = picked.withColumn("phase", F.when(F.col("free") & (F.col("so_far") <= quotas[i][2]), i).otherwise(F.col("phase")))
+    done = picked.where("phase is not null").select(id_, "phase")
+    without = [i for i, q in enumerate(quotas) if q[2] is None]
+    if without:
+        first = F.coalesce(*(F.when(F.col("fits")[i], i) for i in without))
+        left = able.join(done.select(F.col(id_).alias("done_id")), F.col(id_) == F.col("done_id"), "left_anti")
+        done = done.unionByName(left.select(id_, first.alias("phase")).where("phase is not null"))
+    names, reps = F.array(*(F.lit(q[0]) for q in quotas)), F.array(*(F.lit(q[3]) for q in quotas))
+    return done.select(id_, names[F.col("phase")].alias("phase"), F.explode(F.sequence(F.lit(1), reps[F.col("phase")])).alias("rep"))
 
 
 def load_samples(cases: DataFrame, id_: str, levels: list[int], n: int, first_rep: int, seed: str) -> DataFrame:

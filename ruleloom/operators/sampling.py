@@ -82,7 +82,7 @@ def proportional(rows: DataFrame, stratum: str, id_: str, n: int, seed: str) ->
     quota = exact.withColumn("quota", F.col("floor") + F.when(place <= short, 1).otherwise(0)).select(stratum, "quota")
     # no stratum gives more than n rows: a task keeps n of each
     first = top_per_group(rows, stratum, shuffle_key(seed, F.col(id_)), n)
-    return first.join(quota, stratum).where("rn <= quota").drop("rn", "quota")
+    return first.join(quota.withColumnRenamed(stratum, "of_stratum"), F.col(stratum).eqNullSafe(F.col("of_stratum"))).where("rn <= quota").select(*rows.columns)
 
 
 def balanced(rows: DataFrame, group: str, id_: str, levels: int, seed: str) -> DataFrame:

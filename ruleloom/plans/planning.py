@@ -57,7 +57,7 @@ def nested_key(spark, sf_dir):
 def shard_phases(spark, sf_dir):
     """The phases of a shard with their quotas, and load samples besides."""
     d = table(spark, sf_dir, "documents").select("doc_id", "source")
-    quotas = [("pilot", F.col("doc_id") % 50 == 0, 2, 1), ("repeat", F.col("doc_id") % 10 == 1, 3, 3), ("holdout", F.col("doc_id") % 5 == 2, None, 1), ("broad", F.col("doc_id") % 2 == 1, 40, 1)]
+    quotas = [("pilot", F.col("doc_id") % 50 == 0, 2, 1), ("repeat", (F.col("doc_id") % 10).isin(0, 1), 3, 3), ("holdout", F.col("doc_id") % 5 == 2, None, 1), ("broad", F.lit(True), 40, 1)]
     return P.phases(d, "doc_id", "source", quotas, SEED).unionByName(P.load_samples(d, "doc_id", [1, 4, 8, 16], 25, 10, SEED))
 
 
@@ -106,12 +106,15 @@ ORACLE_SQL = {
     "deadline_admission": """
         SELECT event_type, count(*) FILTER (WHERE ok)::BIGINT AS admitted, count(*) FILTER (WHERE NOT ok)::BIGINT AS refused
         FROM (SELECT event_type, epoch_ms(ts) + 1800000 <= epoch_ms(date_trunc('day', ts) + INTERVAL 23 HOUR) AS ok FROM events) GROUP BY 1""",
+    # phase by phase, each over what the phases before it really took
     "shard_phases": f"""
-        WITH p AS (SELECT doc_id, source, CASE WHEN doc_id % 50 = 0 THEN 'pilot' WHEN doc_id % 10 = 1 THEN 'repeat' WHEN doc_id % 5 = 2 THEN 'holdout' WHEN doc_id % 2 = 1 THEN 'broad' END AS phase FROM documents),
-        r AS (SELECT *, row_number() OVER (PARTITION BY phase, source ORDER BY {_K.format('doc_id')}, doc_id) AS rn FROM p WHERE phase IS NOT NULL),
-        k AS (SELECT doc_id, phase FROM r WHERE rn <= CASE phase WHEN 'pilot' THEN 2 WHEN 'repeat' THEN 3 WHEN 'broad' THEN 40 ELSE rn END),
+        WITH d AS (SELECT doc_id, source, {_K.format('doc_id')} AS k FROM documents),
+        p1 AS (SELECT doc_id FROM d WHERE doc_id % 50 = 0 QUALIFY row_number() OVER (PARTITION BY source ORDER BY k, doc_id) <= 2),
+        p2 AS (SELECT doc_id FROM d WHERE doc_id % 10 IN (1, 0) AND doc_id NOT IN (FROM p1) QUALIFY row_number() OVER (PARTITION BY source ORDER BY k, doc_id) <= 3),
+        p3 AS (SELECT doc_id FROM d WHERE doc_id % 5 = 2 AND doc_id NOT IN (FROM p1) AND doc_id NOT IN (FROM p2)),
+        p4 AS (SELECT doc_id FROM d WHERE doc_id NOT IN (FROM p1) AND doc_id NOT IN (FROM p2) AND doc_id NOT IN (FROM p3) QUALIFY row_number() OVER (PARTITION BY source ORDER BY k, doc_id) <= 40),
         l AS (SELECT doc_id FROM documents ORDER BY {_K.format('doc_id')}, doc_id LIMIT 25)
-        SELECT doc_id, phase, unnest(CASE WHEN phase = 'repeat' THEN [1, 2, 3] ELSE [1] END)::INTEGER AS rep FROM k
+        SELECT doc_id, 'pilot' AS phase, 1::INTEGER AS rep FROM p1 UNION ALL SELECT doc_id, 'repeat', unnest([1, 2, 3])::INTEGER FROM p2 UNION ALL SELECT doc_id, 'holdout', 1 FROM p3 UNION ALL SELECT doc_id, 'broad', 1 FROM p4
         UNION ALL SELECT doc_id, phase, rep::INTEGER FROM l, (VALUES ('load_c1', 10), ('load_c4', 11), ('load_c8', 12), ('load_c16', 13)) v(phase, rep)""",
     "option_subsets": f"""
         WITH o AS (SELECT p_partkey, p_brand, p_size, unnest(list_transform(range(1, 26), lambda i: 'Brand#' || i)) AS o FROM part),
