@@ -4,7 +4,8 @@ A result counts in the order of its time and id, however it arrives: it waits in
 arm's state until the watermark has passed it, and then changes the arm's latest
 latencies and its streak. Every result gives one row when its turn comes. A timer
 wakes an arm when its first waiting result is due, so an arm needs no new input to
-go on; when none waits, another timer drops its state once it was silent for long.
+go on. An arm that was silent for longer than ``silent_ms`` between two results begins
+anew; when none waits, another timer drops its state by then.
 
 State is an arm's waiting results (as many as lie within the lateness), its ``size``
 latest latencies and its streak. Results later than the watermark are dropped, as
@@ -59,6 +60,9 @@ class LiveFigures(StatefulProcessor):
         recent = deque((r[0] for r in self.latest.get()), self.size) if n and self.latest.exists() else deque((), self.size)
         ordered, out = sorted(recent), []
         for at, i, latency, failed in waiting[:n]:
+            if at - last > self.silent_ms * 1_000:
+                recent.clear()
+                ordered, streak = [], 0
             streak, last = streak + 1 if failed else 0, at
             if latency is not None:
                 if len(recent) == self.size:
@@ -76,13 +80,15 @@ class LiveFigures(StatefulProcessor):
             self.streak.update((streak, last))
             if recent:
                 self.latest.put([(x,) for x in recent])
+            elif self.latest.exists():
+                self.latest.clear()
         if rest:
             self.handle.registerTimer(max(-(-rest[0][0] // 1_000), passed // 1_000 + 1))
-        elif last // 1_000 + self.silent_ms <= passed // 1_000:
+        elif last + self.silent_ms * 1_000 < passed:
             self.latest.clear()
             self.streak.clear()
         else:
-            self.handle.registerTimer(last // 1_000 + self.silent_ms)
+            self.handle.registerTimer(last // 1_000 + self.silent_ms + 1)
         return pd.DataFrame(out, columns=["arm", "id", "p50", "streak", "tripped"])
 
 
