@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ruleloom.functions.text import one_edit
+from ruleloom.sources.shared import kept
 
 
 def by_hash(rows: DataFrame, id_: str, value: Column) -> DataFrame:
@@ -39,6 +40,41 @@ def unique_corrections(words: DataFrame, vocabulary: DataFrame, word: str) -> Da
     return found.groupBy(word).agg(F.min("correction").alias("correction"), F.count("*").alias("n")).where("n = 1").drop("n")
 
 
+def near_words(words: DataFrame) -> DataFrame:
+    """(u, v) of numbered words (n, word) within one letter put in, left out or changed
+    of each other, u under v. Words meet on a deletion that they share, which so many
+    words have as there are letters and places, whatever the number of words."""
+    d = words.select("n", "word", F.explode(deletions(F.col("word"))).alias("d"))
+    l, r = d.select(F.col("n").alias("u"), F.col("word").alias("a"), "d"), d.select(F.col("n").alias("v"), F.col("word").alias("b"), "d")  # noqa: E741
+    return l.join(r, "d").where((F.col("u") < F.col("v")) & (F.levenshtein("a", "b", 1) >= 0)).select("u", "v").distinct()
+
+
+def spread(rows: DataFrame, word: str, order: list[str]) -> DataFrame:
+    """Rows whose word, in lower case, is two edits and more from that of every row
+    kept before it, in the order of ``order`` and then of the word: what a filter that
+    goes through them one by one keeps. Of equal words the first row is kept.
+
+    All words are decided at once, round by round: one that no undecided earlier
+    word is near to is kept, and what is near a kept one is dropped. Only pairs of
+    near words are looked at, and each round is left with those of undecided words, so
+    there are as many rounds as the longest row of words that wait for each other.
+    Null words are dropped; an empty word is a word."""
+    first = rows.where(F.col(word).isNotNull()).groupBy(F.lower(word).alias("word")).agg(F.min(F.struct(*order, F.col(word).alias("as_written"))).alias("at"))
+    # a number that grows with the order: ranges of it are sorted apart, and hold whole values
+    numbered = kept(first.repartitionByRange("at").sortWithinPartitions("at").withColumn("n", F.monotonically_increasing_id()))
+    pairs, gone = kept(near_words(numbered)), None
+    while not pairs.isEmpty():
+        waiting = pairs.select(F.col("v").alias("w")).distinct()
+        stays = pairs.select("u").distinct().join(waiting, F.col("u") == F.col("w"), "left_anti")
+        falls = kept(pairs.join(stays, "u", "left_semi").select(F.col("v").alias("w")).distinct())
+        gone = falls if gone is None else gone.unionByName(falls)
+        # a dropped word keeps no other from staying; pairs of kept words have done their work
+        pairs = kept(pairs.join(falls, F.col("u") == F.col("w"), "left_anti").join(falls, F.col("v") == F.col("w"), "left_anti"))
+    left = numbered if gone is None else numbered.join(gone, F.col("n") == F.col("w"), "left_anti")
+    chosen = left.select("at.*")
+    return rows.join(chosen.withColumnsRenamed({c: f"chosen_{c}" for c in order}), [rows[c].eqNullSafe(F.col(f"chosen_{c}")) for c in order] + [rows[word] == F.col("as_written")], "left_semi").dropDuplicates([*order, word])
+
+
 #: Characters of items in one broadcast: each so many cost a pass over the texts.
 ITEM_CHARS = 8_000_000
 

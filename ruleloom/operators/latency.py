@@ -2,21 +2,22 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ruleloom.operators.percentiles import percentiles
 from ruleloom.operators.sampling import carried
 
 
-def nearest_rank(value: str, q: float) -> Column:
-    """The value at rank ceil(q * n)."""
-    return F.expr(f"percentile_disc({q}) WITHIN GROUP (ORDER BY {value})").cast("double")
-
-
-def summary(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
-    return rows.groupBy(*keys).agg(F.count(value).alias("n"), F.round(F.avg(value), 6).alias("mean"), *(nearest_rank(value, q).alias(f"p{round(q * 100)}") for q in (0.5, 0.95, 0.99)),
-                                   F.min(value).alias("least"), F.max(value).alias("most"))
+def summary(rows: DataFrame, keys: list[str], value: str, qs: tuple[float, ...] = (0.5, 0.95, 0.99)) -> DataFrame:
+    """Count, mean, nearest-rank percentiles, least and most of each group, whatever its size."""
+    facts = rows.groupBy(*keys).agg(F.count(value).alias("n"), F.round(F.avg(value), 6).alias("mean"), F.min(value).alias("least"), F.max(value).alias("most"))
+    each = percentiles(rows, keys, value, list(qs)).groupBy(*(F.col(k).alias(f"of_{k}") for k in keys)).agg(*(F.max(F.when(F.col("q") == q, F.col("at"))).alias(f"p{round(q * 100)}") for q in qs))
+    met = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"of_{k}")) for k in keys])
+    return facts.join(each, met, "left").select(*keys, "n", "mean", *(f"p{round(q * 100)}" for q in qs), "least", "most")
 
 
 def throughput(rows: DataFrame, phase: str, segment: str, at: str, valid: Column) -> DataFrame:

@@ -73,7 +73,13 @@ def template_fill(spark, sf_dir):
     return n.select("n_nationkey", X.fill(t, {"name": F.initcap("n_name"), "id": F.col("n_nationkey").cast("string"), "region": F.col("n_regionkey").cast("string")}).alias("text"))
 
 
-QUERIES = {f.__name__: f for f in (dedup_by_hash, strip_injections, near_miss_blocked, near_miss_all, typo_normalize, benchmark_overlap, date_normalize, person_parse, template_fill)}
+def spread_words(spark, sf_dir):
+    """The documents' words, by the first document that has them, each two edits and more from all that are kept before it."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("word"))
+    return D.spread(d.groupBy("word").agg(F.min("doc_id").alias("first")), "word", ["first"])
+
+
+QUERIES = {f.__name__: f for f in (dedup_by_hash, strip_injections, near_miss_blocked, near_miss_all, typo_normalize, benchmark_overlap, date_normalize, person_parse, template_fill, spread_words)}
 
 _PAIRS = """(SELECT DISTINCT regexp_replace(s_name, '[^0-9]', '', 'g') AS a FROM supplier) s JOIN (SELECT DISTINCT regexp_replace(c_name, '[^0-9]', '', 'g') AS b FROM customer) c ON damerau_levenshtein(a, b) <= 1"""
 _WORDS = "SELECT unnest(string_split(lower(regexp_replace(text, '[^A-Za-z]+', ' ', 'g')), ' ')) AS word FROM {}"
@@ -93,6 +99,15 @@ ORACLE_SQL = {
     "date_normalize": """
         SELECT strftime(o_orderdate, '%Y-%m') AS month, o_orderkey % 4 AS k, count(*)::BIGINT AS n, count(*) FILTER (WHERE o_orderkey % 4 < 3)::BIGINT AS read,
           count(*) FILTER (WHERE o_orderkey % 4 < 3)::BIGINT AS equal FROM orders GROUP BY 1, 2""",
+    # one word after the other: it falls if a near one before it has not fallen
+    "spread_words": """
+        WITH p AS (SELECT word, min(doc_id) AS first FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM documents) GROUP BY 1),
+        n AS (SELECT word, first, row_number() OVER (ORDER BY first, word) AS i FROM p),
+        d AS (SELECT i, word, unnest(list_distinct(list_append(list_transform(range(1, length(word) + 1), lambda k: substr(word, 1, (k - 1)::INT) || substr(word, (k + 1)::INT)), word))) AS d FROM n),
+        g AS (SELECT v AS i, list(u) AS us FROM (SELECT DISTINCT a.i AS u, b.i AS v FROM d a JOIN d b ON a.d = b.d AND a.i < b.i WHERE levenshtein(a.word, b.word) <= 1) GROUP BY 1),
+        f AS (SELECT list_reduce(list_prepend({'i': 0::BIGINT, 'us': []::BIGINT[], 'out': []::BIGINT[]}, list({'i': i, 'us': us, 'out': []::BIGINT[]} ORDER BY i)),
+          lambda s, x: {'i': x.i, 'us': []::BIGINT[], 'out': CASE WHEN length(list_filter(x.us, lambda u: NOT list_contains(s.out, u))) > 0 THEN list_append(s.out, x.i) ELSE s.out END}) AS z FROM g)
+        SELECT word, first FROM n WHERE i NOT IN (SELECT unnest(z.out) FROM f)""",
     "person_parse": """SELECT c_custkey, lower(c_mktsegment) AS first, 'o' || lower(c_mktsegment) AS last, true AS same FROM customer""",
     "template_fill": """
         SELECT n_nationkey, n || ' (' || n_nationkey || ') of region ' || n_regionkey || '; ' || n AS text
