@@ -21,7 +21,7 @@ def selected(df, qs):
 
 
 def test_percentiles_of_odd_groups(spark, monkeypatch):
-    monkeypatch.setattr(percentiles, "BUCKETS", 4)
+    monkeypatch.setattr(percentiles, "BUCKETS", 32)
     monkeypatch.setattr(percentiles, "FEW", 3)
     rng = np.random.default_rng(0)
     groups = {
