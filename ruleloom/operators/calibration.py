@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ruleloom.functions.stats import safe_rate
+from ruleloom.functions.text import bound
 
 
 def selective(rows: DataFrame, keys: list[str], score: Column, correct: Column, thresholds: list[float]) -> DataFrame:
@@ -41,8 +42,6 @@ def confidence_split(rows: DataFrame, keys: list[str], score: Column, correct: C
 
 
 def softmax(values: Column, scale: float) -> Column:
-    """Numerically safe softmax of an array."""
-    top = F.array_max(values)
-    e = F.transform(values, lambda x: F.exp((x - top) * scale))
-    total = F.aggregate(e, F.lit(0.0), lambda a, x: a + x)
-    return F.transform(e, lambda x: x / total)
+    """Numerically safe softmax of an array; its largest and its sum are worked out once."""
+    powers = bound(F.struct(values.alias("v"), F.array_max(values).alias("top")), lambda s: F.transform(s["v"], lambda x: F.exp((x - s["top"]) * scale)))
+    return bound(powers, lambda e: bound(F.aggregate(e, F.lit(0.0), lambda a, x: a + x), lambda total: F.transform(e, lambda x: x / total)))

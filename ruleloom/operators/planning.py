@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ruleloom.functions.text import bound
 from ruleloom.operators.sampling import hash_bucket, ranked, shuffle_key
 
 
@@ -84,7 +85,7 @@ def option_subset(required: Column, confusers: Column, others: Column, canonical
     in shuffled order, and all at last in the canonical order."""
     shuffled = lambda xs: F.transform(F.array_sort(F.transform(xs, lambda x: F.struct(F.sha2(F.concat_ws("|", F.lit(key), id_.cast("string"), x), 256).alias("k"), x.alias("x")))), lambda s: s["x"])
     chosen = F.slice(F.array_union(F.array_union(required, shuffled(confusers)), shuffled(others)), 1, size)
-    return F.filter(canonical, lambda o: F.array_contains(chosen, o))
+    return bound(chosen, lambda c: F.filter(canonical, lambda o: F.array_contains(c, o)))  # chosen once, not for each option
 
 
 def length_batches(rows: DataFrame, id_: str, length: Column, most: int, budget: int, width: int) -> DataFrame:

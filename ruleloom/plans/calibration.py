@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ruleloom.functions import text as X
 from ruleloom.operators import calibration as C
 from ruleloom.operators import validate as V
 from ruleloom.sources.tables import table
@@ -12,13 +13,15 @@ STEPS = [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]
 
 
 def _scored(spark, sf_dir):
-    """(vec_id, label, choice, p): softmax choice and its probability."""
-    e = table(spark, sf_dir, "embeddings")
-    every_tenth = lambda k: F.aggregate(F.filter("embedding", lambda x, i: i % 10 == k), F.lit(0.0), lambda a, x: a + x.cast("double"))
-    p = C.softmax(F.array(*(every_tenth(k) for k in range(10))), 10.0)
-    rows = e.select("vec_id", "label", p.alias("p"))
-    choice = V.argmax_key(F.col("p"), F.array(*(F.lit(i) for i in range(10))))
-    return rows.select("vec_id", "label", choice.alias("choice"), F.array_max("p").alias("p"))
+    """(vec_id, label, choice, p): softmax choice and its probability, worked out once for
+    each row: a sum looks at its own components, and the row is made by a generator,
+    into which the optimizer doesn't copy what later steps read twice."""
+    x = F.col("embedding")
+    tenth = lambda k: F.transform(F.sequence(k, F.greatest(k, F.size(x) - 1), F.lit(10)), lambda i: F.coalesce(F.get(x, i).cast("double"), F.lit(0.0)))
+    sums = F.transform(F.array(*(F.lit(k) for k in range(10))), lambda k: F.aggregate(tenth(k), F.lit(0.0), lambda a, v: a + v))
+    keys = F.array(*(F.lit(i) for i in range(10)))
+    scored = X.bound(X.bound(sums, lambda v: C.softmax(v, 10.0)), lambda p: F.struct(V.argmax_key(p, keys).alias("choice"), F.array_max(p).alias("p")))
+    return table(spark, sf_dir, "embeddings").select("vec_id", "label", F.inline(F.array(scored)))
 
 
 def _right():
