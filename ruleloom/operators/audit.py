@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ruleloom.functions.text import span_agrees
+from ruleloom.operators.sampling import carried
 
 EXAMPLES = 25
 
@@ -87,11 +88,16 @@ def missing(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     return left.join(right.select(*keys).distinct(), keys, "left_anti")
 
 
-def as_of(rows: DataFrame, marks: DataFrame, key: str, at: str, value: str) -> DataFrame:
-    """Each row with the value of the latest mark at or before it, by key.
+def as_of(rows: DataFrame, marks: DataFrame, key: str, at: str, value: str, bucket: Column | None = None) -> DataFrame:
+    """Each row with the value of the latest mark at or before it, by key; of marks of
+    one time the largest value. Null keys meet null keys; rows and marks without a
+    time meet none.
 
-    Rows and marks are sorted together once: a window carries the last value
-    forward, so no row meets more than one mark."""
-    both = rows.withColumn("is_row", F.lit(1)).withColumn(value, F.lit(None).cast(marks.schema[value].dataType)).unionByName(marks.select(key, at, value).withColumn("is_row", F.lit(0)), allowMissingColumns=True)
-    w = Window.partitionBy(key).orderBy(at, "is_row").rowsBetween(Window.unboundedPreceding, 0)
-    return both.withColumn(value, F.last(value, ignorenulls=True).over(w)).where("is_row = 1").drop("is_row")
+    Rows and marks are sorted together, so no row meets more than one mark.
+    ``bucket`` (of ``at``, growing with it) parts a key along time: a task sorts a bucket, and
+    the last mark is carried from bucket to bucket, so a hot key is many tasks."""
+    kind = marks.schema[value].dataType
+    noted = marks.where(F.col(at).isNotNull()).select(key, at, F.struct(F.col(at).alias("t"), F.col(value).alias("v")).alias("mark"), F.lit(0).alias("is_row"))
+    both = rows.withColumn("mark", F.lit(None).cast(noted.schema["mark"].dataType)).withColumn("is_row", F.lit(1)).unionByName(noted, allowMissingColumns=True)
+    seen = carried(both, [key], [at, "is_row"], F.lit(0) if bucket is None else bucket, "max", F.col("mark"), "latest").where("is_row = 1")
+    return seen.select(*rows.columns, F.when(F.col(at).isNotNull(), F.col("latest.v")).cast(kind).alias(value))

@@ -45,7 +45,7 @@ def asof_segment(spark, sf_dir):
     """Each error with the user's latest signup at or before it."""
     e = _events(spark, sf_dir)
     marks = e.where("event_type = 'signup'").groupBy("user_id", "ts").agg(F.max("event_id").alias("signup_id"))
-    return A.as_of(e.where("event_type = 'error'").select("event_id", "user_id", "ts"), marks, "user_id", "ts", "signup_id").select("event_id", "user_id", "signup_id")
+    return A.as_of(e.where("event_type = 'error'").select("event_id", "user_id", "ts"), marks, "user_id", "ts", "signup_id", F.date_trunc("day", "ts")).select("event_id", "user_id", "signup_id")
 
 
 def family_split_leak(spark, sf_dir):

@@ -11,6 +11,7 @@ from ruleloom.operators import policies as P
 from ruleloom.operators import resample as B
 from ruleloom.operators import sampling as M
 from ruleloom.sources import records
+from ruleloom.sources.journal import Journal
 from ruleloom.sources.shared import shared_dir
 from ruleloom.sources.tables import table
 from ruleloom.streaming import budget
@@ -73,9 +74,26 @@ def streaming_budget(spark, sf_dir):
     return done.groupBy("budget").agg(F.count_if("admitted").alias("admitted"), F.max("spent_nano").alias("spent_nano"), F.count("*").alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (bootstrap_accuracy, bootstrap_difference, shard_families, canonical_props, ordered_option_keys, mock_answers, results_policy, streaming_budget)}
+def journal_lines(spark, sf_dir):
+    """The events appended to a journal in two runs, with lines that are no objects, and read back: how many of each kind, and what they hold."""
+    spark.dataSource.register(Journal)
+    folder = f"{shared_dir(spark)}/journal-{uuid.uuid4().hex}"
+    k = F.col("event_id")
+    line = F.when(k % 10 == 3, F.concat(F.lit("[1, "), F.col("props"), F.lit("]"))).when(k % 10 == 4, F.concat(F.lit("{"), F.col("props"))).when(k % 10 == 5, " ").otherwise(F.to_json(F.struct("event_id", "event_type")))
+    rows = table(spark, sf_dir, "events").select("event_id", line.alias("text"))
+    for run in (0, 1):
+        rows.where(k % 2 == run).select("text").write.format("journal").mode("append").save(folder)
+    back = spark.read.format("journal").load(folder).select("problem", F.from_json("text", "event_id long, event_type string").alias("e"))
+    whole = F.when(F.col("problem").isNull(), F.col("e.event_id"))
+    return back.groupBy("problem", F.when(F.col("problem").isNull(), F.col("e.event_type")).alias("event_type")).agg(F.count("*").alias("n"), F.sum(whole).alias("ids"))
+
+
+QUERIES = {f.__name__: f for f in (bootstrap_accuracy, bootstrap_difference, shard_families, canonical_props, ordered_option_keys, mock_answers, results_policy, streaming_budget, journal_lines)}
 
 ORACLE_SQL = {
+    "journal_lines": """
+        SELECT CASE event_id % 10 WHEN 3 THEN 'not an object' WHEN 4 THEN 'not json' END AS problem, CASE WHEN event_id % 10 NOT IN (3, 4) THEN event_type END AS event_type, count(*)::BIGINT AS n,
+          sum(CASE WHEN event_id % 10 NOT IN (3, 4) THEN event_id END)::BIGINT AS ids FROM events WHERE event_id % 10 <> 5 GROUP BY 1, 2""",
     "streaming_budget": """
         WITH RECURSIVE a AS (SELECT event_type AS budget, 2000000000::BIGINT AS reserved, CASE WHEN event_id % 4 <> 0 THEN ceil(value * 1e9 - 1e-6)::BIGINT END AS cost, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS rn FROM events),
         s AS (SELECT budget, rn, true AS ok, coalesce(cost, reserved) AS spent FROM a WHERE rn = 1
