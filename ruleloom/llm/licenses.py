@@ -1,12 +1,14 @@
 """Licence scan: Aho-Corasick over words, and a shunting-yard evaluator.
 
 One automaton finds the notice phrases and the identifier tags in the words of
-a whole text in one pass. What follows a tag is a licence expression; a
-shunting-yard parser turns it into postfix form, which is evaluated to the
-set of licences it names and to whether it can be met by permissive terms.
-
-Null text counts as empty: no words, no labels, score 0. Repeated rows give
-repeated results. Extra columns stay; output columns that clash with an
+a whole text in one pass. What follows a tag, to the next tag or the line's end, is a
+licence expression; a shunting-yard parser turns it into postfix form, which is
+evaluated to the set of licences it names and to whether it can be met by permissive terms.
+
+Null text counts as empty: no words, no labels, score 0. Texts of any length are
+scanned whole, in time linear in it. Places that two phrases share belong to the longer
+one, the base phrases' counts to all. Repeated rows give repeated results, empty
+tables none. Extra columns stay; output columns that clash with an
 existing name get a leading underscore.
 """
 
@@ -76,7 +78,16 @@ SSPL-1.0 Unlicense UPL-1.0 Vim W3C WTFPL X11 Zlib ZPL-2.1
 SCHEMA = ("n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, "
           "score double, permissive boolean, expressions array<string>")
 
-_TAG_TEXT = re.compile(r"spdx[\W_]+license[\W_]+identifier[ \t]*:?[ \t]*([^\r\n]*)", re.I)
+#: Exceptions of the public SPDX list that may follow ``with``.
+EXCEPTIONS = """
+Autoconf-exception-2.0 Autoconf-exception-3.0 Bison-exception-2.2 Bootloader-exception Classpath-exception-2.0 CLISP-exception-2.0 FLTK-exception
+Font-exception-2.0 GCC-exception-2.0 GCC-exception-3.1 GPL-3.0-linking-exception LGPL-3.0-linking-exception Libtool-exception Linux-syscall-note
+LLVM-exception OCaml-LGPL-linking-exception OpenJDK-assembly-exception-1.0 Qt-GPL-exception-1.0 Qt-LGPL-exception-1.1 Swift-exception
+u-boot-exception-2.0 Universal-FOSS-exception-1.0 WxWindows-exception-3.1
+""".split()
+
+_AFTER_TAG = re.compile(rb"[ \t]*:?[ \t]*([^\r\n]*)")
+_WORD = re.compile(rb"[^ ]+")
 _TOKEN = re.compile(r"\(|\)|[A-Za-z0-9][A-Za-z0-9.+:\-]*")
 _PRECEDENCE = {"or": 1, "and": 2, "with": 3}
 
@@ -97,6 +108,16 @@ def is_licence(name: str) -> bool:
     return licence_label(name) in _labels() or re.fullmatch(r"(documentref-[a-z0-9.\-]+:)?licenseref-[a-z0-9.\-]+", name.lower()) is not None
 
 
+@cache
+def _exceptions() -> set[str]:
+    return {name.lower() for name in EXCEPTIONS}
+
+
+def is_exception(name: str) -> bool:
+    """A listed exception, or one that the text defines for itself."""
+    return name.lower() in _exceptions() or re.fullmatch(r"(documentref-[a-z0-9.\-]+:)?additionref-[a-z0-9.\-]+", name.lower()) is not None
+
+
 def postfix(expression: str) -> list[str]:
     """Postfix form by the shunting-yard algorithm; with binds before and, and
     before or. Reading ends at the first token that can't continue the
@@ -136,19 +157,20 @@ def postfix(expression: str) -> list[str]:
 def evaluate(expression: str) -> tuple[set[str], bool | None]:
     """Labels named, and whether permissive terms alone can meet it: any side
     of an ``or``, both of an ``and``, the licence before a ``with``. What is no
-    licence names none and grants nothing. None where there is no licence."""
-    stack: list[tuple[set[str], bool]] = []
+    licence names none and grants nothing, and a licence with an exception that isn't
+    listed is named but not permissive. None where there is no licence."""
+    stack: list[tuple[set[str], bool, str]] = []
     for token in postfix(expression):
         if token in _PRECEDENCE and len(stack) >= 2:
-            (rn, rp), (ln, lp) = stack.pop(), stack.pop()
+            (rn, rp, exception), (ln, lp, _) = stack.pop(), stack.pop()
             if token == "with":
-                stack.append((ln, lp))  # an exception grants more, it names no licence
+                stack.append((ln, lp and is_exception(exception), ""))  # it grants more, it names no licence
             else:
-                stack.append((ln | rn, (lp or rp) if token == "or" else (lp and rp)))
+                stack.append((ln | rn, (lp or rp) if token == "or" else (lp and rp), ""))
         elif token not in _PRECEDENCE:
             label = licence_label(token)
-            stack.append(({label} if is_licence(token) else set(), label in PERMISSIVE))
-    return stack[-1] if stack and stack[-1][0] else (set(), None)
+            stack.append(({label} if is_licence(token) else set(), label in PERMISSIVE, token))
+    return stack[-1][:2] if stack and stack[-1][0] else (set(), None)
 
 
 @cache
@@ -162,6 +184,15 @@ def _automaton():
     return found
 
 
+def _after_tags(raw: bytes, first_words: list[int]) -> Iterator[str]:
+    """What follows each tag, from its last word to the line's end or the next tag;
+    ``first_words`` are the tags' first words, counted from 0."""
+    places = [m.span() for m in _WORD.finditer(raw.translate(WORD_TABLE))]  # translation keeps places
+    stops = [places[w][0] for w in first_words[1:]] + [len(raw)]
+    for w, stop in zip(first_words, stops):
+        yield _AFTER_TAG.match(raw, places[w + len(TAG.split()) - 1][1], stop)[1].decode("utf-8", "replace").strip()
+
+
 def scan(text: str | None) -> tuple:
     """One text's row of SCHEMA."""
     raw = (text or "").encode("utf-8", "surrogatepass")
@@ -171,7 +202,7 @@ def scan(text: str | None) -> tuple:
     base: set[str] = set()
     labels: set[str] = set()
     expressions: list[str] = []
-    tagged, permissive = False, None
+    tags, permissive = [], None
     spans = []
     for end, phrase in _automaton().iter(line):
         begin = end - len(phrase) - 1
@@ -179,22 +210,22 @@ def scan(text: str | None) -> tuple:
             starts.append(begin)
             base.add(BASE_PHRASES[phrase])
         if phrase == TAG:
-            tagged = True
+            tags.append(begin)
         else:
             spans.append((begin, end, phrase))
-    if starts:  # from places in the line to words
+    if starts or tags:  # from places in the line to words
         begins = list(accumulate((len(t) + 1 for t in tokens), initial=0))
-        starts = [bisect_left(begins, s) for s in starts]
+        starts, tags = ([bisect_left(begins, s) for s in places] for places in (starts, tags))
     reach = -1
     for begin, end, phrase in sorted(spans, key=lambda s: (s[0], -s[1])):
         if end > reach:  # not inside a longer phrase
             labels.add(BASE_PHRASES.get(phrase) or NOTICE_PHRASES[phrase])
             reach = end
-    if tagged:
-        for m in _TAG_TEXT.finditer(text):
-            names, free = evaluate(m[1])
+    if tags:
+        for expression in _after_tags(raw, tags):
+            names, free = evaluate(expression)
             if names:
-                expressions.append(m[1].strip())
+                expressions.append(expression)
                 labels |= names
                 permissive = free if permissive is None else permissive and free
     labels |= base
