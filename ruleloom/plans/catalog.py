@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("accuracy", "routing", "validation", "paired", "latency", "calibration", "audit", "sampling", "dedup", "engine", "lookups", "planning", "policies", "verify", "shards", "live")
+MODULES = ("accuracy", "routing", "validation", "paired", "latency", "calibration", "audit", "sampling", "dedup", "engine", "lookups", "planning", "policies", "verify", "shards", "live", "runs")
 
 
 def _modules():
