@@ -10,6 +10,8 @@ from functools import reduce
 
 from pyspark.sql import functions as F
 
+from ruleloom.operators import confusers as C
+from ruleloom.operators import planning
 from ruleloom.operators import policies as P
 from ruleloom.plans import engine
 from ruleloom.sources.tables import table
@@ -96,7 +98,40 @@ def policy_rules(spark, sf_dir):
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
-QUERIES = {f.__name__: f for f in (chart_policy, inbox_policy, policy_rules)}
+def safe_fillers(spark, sf_dir):
+    """Charts of other customers, and the own details under another number, that each order's
+    candidates can take in without another decision: two at most."""
+    cases = chart_evidence(spark, sf_dir)
+    step = F.explode(F.array(*map(F.lit, EXTRAS))).alias("step")
+    wanted = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", step).withColumn("of", F.col("o_custkey") + 8 * F.col("step"))
+    plain = _of(F.col("c_custkey"), "plain")
+    charts = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("of"), *(plain[n].alias(n) for n in ("id", "name", "us", "phone", "email", "address")))
+    number = F.when(F.col("step") == 0, F.concat(F.lit("9"), F.col("id"))).otherwise(F.col("id"))
+    chart = F.to_json(F.struct(number.alias("chart_id"), F.col("name").alias("registered_name"), F.col("us").alias("dob"), F.col("phone").alias("phone_on_file"), "email", F.col("address").alias("address_on_file")))
+    additions = wanted.join(charts, "of").select("o_orderkey", F.col("step").alias("place"), chart.alias("addition"))
+    grown = lambda ev, xs: F.concat(F.substring(ev, F.lit(1), F.length(ev) - 2), F.lit(","), F.array_join(xs, ","), F.lit("]}"))
+    kept = C.safe_additions(cases, "o_orderkey", "ev", additions, 2, grown, P.chart_evidence, P.chart_rules)
+    ids = F.array_join(F.transform("added", lambda a: F.get_json_object(a, "$.chart_id")), ",")
+    return kept.select("o_orderkey", "tried", "refused", ids.alias("added"), F.col("label_before").alias("label"), "kept")
+
+
+def confuser_options(spark, sf_dir):
+    """Each inbox item's label, the destinations that it could be mistaken for, and four options:
+    the label, then these, then others."""
+    items = inbox_evidence(spark, sf_dir).withColumn("body", F.get_json_object("ev", "$.item.body"))
+    fixed = P.inbox_text(items, "event_id", "body", "fixed")
+    both = fixed.select("event_id", "fixed", F.struct(P.inbox_evidence(F.col("ev")).alias("e"), F.col("fixed").alias("body")).alias("both"))
+    told = P.decided(both, "both", lambda c: c, lambda b: P.inbox_rules(b["e"], b["body"])).select("event_id", "fixed", F.coalesce("decision.choice", F.lit(P.HUMAN)).alias("label"))
+    found = told.select("event_id", "label", F.array_sort(C.confusers(F.col("fixed"), F.col("label"))).alias("confusers"))
+    every = F.array(*map(F.lit, CATALOGUE))
+    options = planning.option_subset(F.array("label"), F.col("confusers"), every, every, 4, "options", F.col("event_id"))
+    return found.select("event_id", "label", F.array_join("confusers", ",").alias("confusers"), F.array_join(options, ",").alias("options"))
+
+
+#: Fillers tried for an order, as steps of eight customers; what may be offered.
+EXTRAS = [0, 1, 2, 3, 5]
+CATALOGUE = sorted({to for to, _ in C.rule_index()} | {"critical_results", "results", "result_notes", P.HUMAN})
+QUERIES = {f.__name__: f for f in (chart_policy, inbox_policy, policy_rules, safe_fillers, confuser_options)}
 
 
 def _list(values):
@@ -146,7 +181,9 @@ def _sql_of(c):
     }
 
 
-def _chart_sql():
+def _chart_sql(cases="SELECT o_orderkey AS i, o_orderkey AS k, o_custkey AS c, [] AS extra FROM orders"):
+    """Decisions (o_orderkey, choice, reason) by the numbers i of ``cases``: order k of customer c,
+    ``extra`` being charts (id, name, dob, phone, email, address) behind its own candidates."""
     p, q = _sql_of("c"), _sql_of("(c + 8)")
     requests = [
         {"mrn": p["id"], "patient_name": p["plain"], "dob": p["iso"]}, {"mrn": f"'  ' || {p['id']} || chr(160)", "name": p["turned"], "dob": p["us"]}, {"mrn": p["id"], "patient_name": p["one"], "dob": p["long"]},
@@ -160,20 +197,20 @@ def _chart_sql():
     pick = lambda *names: "coalesce(" + ", ".join(_blank(f"req->>'$.{n}'") for n in names) + ")"
     agree = lambda want, ok: f"({want} IS NULL OR coalesce({ok}, false))"
     return rf"""
-        WITH e AS (SELECT o_orderkey AS k, o_custkey AS c FROM orders),
-        ev AS (SELECT k, {request} AS req, CASE WHEN k % 11 = 3 THEN [{chart(q)}] WHEN k % 13 = 5 THEN [{chart(p)}, {chart(p)}, {chart(q)}] ELSE [{chart(q)}, {chart(p)}] END AS cands FROM e),
-        r AS (SELECT k, cands, {pick('mrn', 'medical_record_number', 'patient_id')} AS mrn, {pick('patient_name', 'name_on_request', 'name')} AS name, {pick('dob', 'date_of_birth')} AS dob, {pick('phone', 'callback_number')} AS phone,
+        WITH e AS ({cases}),
+        ev AS (SELECT i, {request} AS req, extra, CASE WHEN k % 11 = 3 THEN [{chart(q)}] WHEN k % 13 = 5 THEN [{chart(p)}, {chart(p)}, {chart(q)}] ELSE [{chart(q)}, {chart(p)}] END AS cands FROM e),
+        r AS (SELECT i, list_concat(cands, extra) AS cands, {pick('mrn', 'medical_record_number', 'patient_id')} AS mrn, {pick('patient_name', 'name_on_request', 'name')} AS name, {pick('dob', 'date_of_birth')} AS dob, {pick('phone', 'callback_number')} AS phone,
           coalesce({pick('email', 'email_address')}, nullif(regexp_replace(regexp_extract(req->>'$.detail', '(?i)email\s+([^\s;,]+@[^\s;,]+)', 1), '\.$', ''), '')) AS email, {pick('address', 'home_address')} AS address,
           nullif(regexp_extract(req->>'$.detail', '(?i)phone ending (\d{{4}})', 1), '') AS last4 FROM ev),
-        x AS (SELECT k, mrn, name, dob, phone, email, address, CASE WHEN phone IS NULL THEN last4 END AS last4, unnest(cands) AS h FROM r),
+        x AS (SELECT i, mrn, name, dob, phone, email, address, CASE WHEN phone IS NULL THEN last4 END AS last4, unnest(cands) AS h FROM r),
         m AS (SELECT *, h.id = mrn AS hit, {_person('name', 'h.name')} AS named, {_same_date('dob', 'h.dob')} AS dated, {_person('name', 'h.name')} AND {agree('dob', _same_date('dob', 'h.dob'))}
           AND {agree('phone', f"{_digits('phone')} = {_digits('h.phone')}")} AND {agree('email', f"{_alnum('email')} = {_alnum('h.email')}")} AND {agree('address', f"{_alnum('address')} = {_alnum('h.address')}")}
           AND {agree('last4', f"last4 = right({_digits('h.phone')}, 4)")} AS fits FROM x),
-        g AS (SELECT k, any_value(mrn) AS mrn, any_value(dob) AS dob, count(*) FILTER (WHERE hit) AS hits, bool_and(named) FILTER (WHERE hit) AS named, bool_and(dated) FILTER (WHERE hit) AS dated, count(*) FILTER (WHERE fits) AS fit,
-          any_value(h.id) FILTER (WHERE fits) AS found, any_value((dob IS NOT NULL)::INT + (phone IS NOT NULL)::INT + (email IS NOT NULL)::INT + (address IS NOT NULL)::INT + (last4 IS NOT NULL)::INT) AS supplied FROM m GROUP BY k),
-        d AS (SELECT k, CASE WHEN mrn IS NOT NULL AND hits = 0 THEN '|chart_rule_1a' WHEN mrn IS NOT NULL AND hits > 1 THEN '|chart_rule_1' WHEN mrn IS NOT NULL AND dob IS NOT NULL AND NOT dated THEN '|chart_rule_1b'
+        g AS (SELECT i, any_value(mrn) AS mrn, any_value(dob) AS dob, count(*) FILTER (WHERE hit) AS hits, bool_and(named) FILTER (WHERE hit) AS named, bool_and(dated) FILTER (WHERE hit) AS dated, count(*) FILTER (WHERE fits) AS fit,
+          any_value(h.id) FILTER (WHERE fits) AS found, any_value((dob IS NOT NULL)::INT + (phone IS NOT NULL)::INT + (email IS NOT NULL)::INT + (address IS NOT NULL)::INT + (last4 IS NOT NULL)::INT) AS supplied FROM m GROUP BY i),
+        d AS (SELECT i, CASE WHEN mrn IS NOT NULL AND hits = 0 THEN '|chart_rule_1a' WHEN mrn IS NOT NULL AND hits > 1 THEN '|chart_rule_1' WHEN mrn IS NOT NULL AND dob IS NOT NULL AND NOT dated THEN '|chart_rule_1b'
           WHEN mrn IS NOT NULL AND NOT named THEN '|chart_rule_1c' WHEN mrn IS NOT NULL THEN mrn || '|chart_rule_1' WHEN supplied < 2 OR fit <> 1 THEN '|chart_rule_2_not_unique' ELSE found || '|chart_rule_2_unique_details' END AS d FROM g)
-        SELECT k AS o_orderkey, coalesce(nullif(split_part(d, '|', 1), ''), '{P.HUMAN}') AS choice, split_part(d, '|', 2) AS reason FROM d"""
+        SELECT i AS o_orderkey, coalesce(nullif(split_part(d, '|', 1), ''), '{P.HUMAN}') AS choice, split_part(d, '|', 2) AS reason FROM d"""
 
 
 def _regex(x, patterns):
@@ -186,7 +223,7 @@ def _without(x, patterns, flags=""):
     return x
 
 
-def _inbox_sql():
+def _inbox_sql(found="SELECT k AS event_id, nullif(split_part(d, '|', 1), '') AS choice, split_part(d, '|', 2) AS reason FROM d"):
     near = "damerau_levenshtein(w.word, v.word) <= 1 AND abs(length(w.word) - length(v.word)) <= 1"
     intent = "CASE " + " ".join(f"WHEN {_regex('s', ps)} THEN '{to}'" for to, ps in P.INTENTS) + " END"
     greeting, typing = P.GREETING.replace("'", "''"), P.TYPING.replace("'", "''")
@@ -217,12 +254,42 @@ def _inbox_sql():
           WHEN role = 'result interface' AND contains(kind, 'narrative') THEN 'result_notes|inbox_rule_7' WHEN role = 'result interface' THEN '{P.HUMAN}|inbox_rule_4'
           WHEN n = 0 THEN '{P.HUMAN}|inbox_rule_4_no_request' WHEN n > 1 THEN '{P.HUMAN}|inbox_rule_5_multi_intent' WHEN one = 'rx_requests' AND NOT named THEN '{P.HUMAN}|inbox_rule_6_incomplete'
           WHEN one = 'medical_records_roi' AND len(list_filter(coalesce(sent, []), lambda r: NOT (roi_active AND r = {_alnum('recipient')}))) > 0 THEN '{P.HUMAN}|inbox_rule_6_incomplete' ELSE one || '|inbox_rule_7_destination' END AS d FROM a)
-        SELECT k AS event_id, nullif(split_part(d, '|', 1), '') AS choice, split_part(d, '|', 2) AS reason FROM d"""
+        {found}"""
+
+
+def _confusers_sql():
+    index = [*((to, "|".join(f"(?:{x})" for x in ps)) for to, ps in P.INTENTS), ("nurse_triage", "|".join(f"(?:{x})" for x in P.SYMPTOMS))]
+    q = lambda x: x.replace("'", "''")
+    spoken = "[" + ", ".join(f"CASE WHEN regexp_matches(text, '{q(p)}') THEN '{to}' END" for to, p in index) + "]"
+    said = f"array_to_string(regexp_extract_all(text, '(?is)(" + q("|".join(f"(?:{x})" for x in P.INJECTIONS)) + ")', 1), ' ')"
+    named = rf"regexp_extract_all({said}, '\b[a-z]+(?:_[a-z]+)*\b')"
+    dealt = lambda xs: f"list_transform(list_sort(list_transform({xs}, lambda x: sha256('options|' || k || '|' || x) || x)), lambda y: y[65:])"
+    return _inbox_sql(f""", o AS (SELECT d.k, coalesce(nullif(split_part(d, '|', 1), ''), '{P.HUMAN}') AS label, coalesce(text, '') AS text FROM d JOIN e ON d.k = e.k LEFT JOIN f ON e.body = f.body),
+        w AS (SELECT k, label, list_sort(list_distinct(list_filter(list_concat({spoken}, list_filter({named}, lambda x: x IN {tuple(to for to, _ in index)})), lambda x: x IS NOT NULL AND x <> label))) AS cs FROM o),
+        z AS (SELECT k, label, cs, list_concat([label], {dealt('cs')}, {dealt(f"list_filter({_list(CATALOGUE)}, lambda n: n <> label AND NOT list_contains(cs, n))")})[1:4] AS chosen FROM w)
+        SELECT k AS event_id, label, array_to_string(cs, ',') AS confusers, array_to_string(list_sort(chosen), ',') AS options FROM z""")
+
+
+def _fillers_sql():
+    d = _sql_of("of")
+    chart = f"{{'id': CASE WHEN step = 0 THEN '9' ELSE '' END || {d['id']}, 'name': {d['plain']}, 'dob': {d['us']}, 'phone': {d['phone']}, 'email': {d['email']}, 'address': {d['address']}}}"
+    return f"""
+        WITH w AS (SELECT o_orderkey AS k, o_custkey AS c, step, o_orderkey * 8 + step AS i, {chart} AS x FROM (SELECT *, o_custkey + 8 * step AS of FROM (SELECT *, unnest({EXTRAS}) AS step FROM orders)) JOIN customer ON c_custkey = of),
+        b AS ({_chart_sql()}), a AS ({_chart_sql("SELECT i, k, c, [x] AS extra FROM w")}),
+        j AS (SELECT w.k, w.c, w.step, w.x, a.choice = b.choice AS ok FROM w JOIN a ON a.o_orderkey = w.i JOIN b ON b.o_orderkey = w.k),
+        n AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY step) AS rn FROM j WHERE ok),
+        h AS (SELECT k, any_value(c) AS c, list(x ORDER BY step) AS xs FROM n WHERE rn <= 2 GROUP BY k),
+        t AS ({_chart_sql("SELECT k AS i, k, c, xs AS extra FROM h")}),
+        s AS (SELECT k, count(*)::BIGINT AS tried, count(*) FILTER (WHERE NOT ok)::BIGINT AS refused FROM j GROUP BY k)
+        SELECT b.o_orderkey, coalesce(tried, 0)::BIGINT AS tried, coalesce(refused, 0)::BIGINT AS refused, coalesce(array_to_string(list_transform(h.xs, lambda x: x.id), ','), '') AS added, b.choice AS label,
+          coalesce(t.choice = b.choice, true) AS kept FROM b LEFT JOIN s ON s.k = b.o_orderkey LEFT JOIN h ON h.k = b.o_orderkey LEFT JOIN t ON t.o_orderkey = b.o_orderkey"""
 
 
 _CHART, _INBOX = _chart_sql(), _inbox_sql()
 ORACLE_SQL = {
     "chart_policy": _CHART,
     "inbox_policy": _INBOX,
+    "safe_fillers": _fillers_sql(),
+    "confuser_options": _confusers_sql(),
     "policy_rules": " UNION ALL ".join(f"SELECT '{name}' AS policy, reason, count(*)::BIGINT AS n FROM ({sql}) GROUP BY 2" for name, sql in (("chart", _CHART), ("inbox", _INBOX), ("results", engine.ORACLE_SQL["results_policy"]))),
 }
