@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ruleloom.operators import policies as P
+from ruleloom.sources.shared import kept
 
 
 def label_kept(rows: DataFrame, before: str, after: str, parse: Callable[[Column], Column], rules: Callable[[Column], Column]) -> DataFrame:
@@ -34,16 +35,18 @@ def safe_additions(cases: DataFrame, id_: str, evidence: str, additions: DataFra
     A case meets its own additions only, by key. Of a case with many, each task
     passes on its first ``n`` harmless ones alone (a limited window), so not more
     than that for each task meet."""
-    tried = cases.select(id_, F.col(evidence).alias("before")).join(additions.select(id_, "place", "addition"), id_)
-    judged = label_kept(tried.withColumn("after", add(F.col("before"), F.array("addition"))), "before", "after", parse, rules)
-    told = judged.select(id_, "kept", F.struct("place", "addition").alias("x"))
+    # decisions are many rules: worked out once for each row, behind whatever filter they are read
+    own = kept(P.decided(cases.select(id_, F.col(evidence).alias("before")), "before", parse, rules).select(id_, "before", F.col("decision.choice").alias("label_before")))
+    tried = own.join(additions.select(id_, "place", "addition"), id_).withColumn("after", add(F.col("before"), F.array("addition")))
+    judged = P.decided(tried, "after", parse, rules).select(id_, F.struct("place", "addition").alias("x"), F.col("decision.choice").eqNullSafe(F.col("label_before")).alias("kept"))
+    told = kept(judged)
     rn = F.row_number().over(Window.partitionBy(id_).orderBy("x"))
     first = told.where("kept").withColumn("rn", rn).where(F.col("rn") <= n).groupBy(id_).agg(F.array_sort(F.collect_list("x")).alias("xs"))
     counts = told.groupBy(id_).agg(F.count("*").alias("tried"), F.count_if(~F.col("kept")).alias("refused"))
-    met = cases.select(id_, F.col(evidence).alias("before")).join(counts, id_, "left").join(first, id_, "left")
+    met = own.join(counts, id_, "left").join(first, id_, "left")
     added = F.coalesce(F.transform("xs", lambda x: x["addition"]), F.array().cast(f"array<{additions.schema['addition'].dataType.simpleString()}>"))
     whole = met.withColumn("added", added).withColumn("evidence", F.when(F.size("added") > 0, add(F.col("before"), F.col("added"))).otherwise(F.col("before")))
-    final = label_kept(whole, "before", "evidence", parse, rules)
+    final = P.decided(whole, "evidence", parse, rules).withColumn("kept", F.col("decision.choice").eqNullSafe(F.col("label_before")))
     return final.select(id_, F.coalesce("tried", F.lit(0)).cast("long").alias("tried"), F.coalesce("refused", F.lit(0)).cast("long").alias("refused"), "added", "evidence", "label_before", "kept")
 
 

@@ -129,7 +129,7 @@ def confuser_options(spark, sf_dir):
 
 
 #: Fillers tried for an order, as steps of eight customers; what may be offered.
-EXTRAS = [0, 1, 2, 3, 5]
+EXTRAS = [0, 1, 3]
 CATALOGUE = sorted({to for to, _ in C.rule_index()} | {"critical_results", "results", "result_notes", P.HUMAN})
 QUERIES = {f.__name__: f for f in (chart_policy, inbox_policy, policy_rules, safe_fillers, confuser_options)}
 
