@@ -65,8 +65,9 @@ def sample_pieces(train: DataFrame, text: str, lang: str) -> DataFrame:
         raise ValueError(f"more than {LANGUAGES} languages")
     known = train.sparkSession.createDataFrame([(r[g], min(1.0, 3.0 * DICTIONARY_ROWS / r[n])) for r in counts], f"{g} string, share double")
     few = keyed.join(F.broadcast(known), g).where(F.pmod(F.col(k), F.lit(1 << 40)) < F.col("share") * (1 << 40)).select(g, k, t).dropDuplicates([g, k])
-    begins = F.explode(F.sequence(F.lit(1), F.length(t), F.lit(PIECE)))
-    pieces = few.select(g, k, t, begins.alias("at")).select(g, k, F.substring(t, F.col("at"), F.lit(PIECE)).alias(t)).withColumn("h", F.xxhash64(k, t))
+    # one pass over a text gives its pieces, however long it is
+    cut = F.explode(F.regexp_extract_all(t, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0)))
+    pieces = few.select(g, k, cut.alias(t)).withColumn("h", F.xxhash64(k, t))
     turns = pieces.withColumn(turn, F.row_number().over(Window.partitionBy(g, k).orderBy("h", t)))
     ranked = turns.withColumn(order, F.row_number().over(Window.partitionBy(g).orderBy(turn, k, "h")))
     return ranked.where(F.col(order) <= PIECES).select(g, order, t)

@@ -13,8 +13,9 @@ shares, which are counted over all labelled rows. Training runs in one task,
 whose input these bounds limit; scoring runs where the rows lie.
 
 Null and empty texts get the score of a text without terms. Rows with null
-labels or ids teach nothing; a label that is repeated teaches as often, and of
-labels of one id that differ each does; any label over 0 is toxic. Without training rows of both
+labels or ids teach nothing; a label that is repeated weighs as often, and of
+labels of one id that differ each does; any label over 0 is toxic. Of documents
+with one id a single one teaches, that of the least buckets. Without training rows of both
 classes the score is the share of toxic rows (0 where there are none). Extra
 columns stay; output columns that clash with an existing name get a leading
 underscore.
@@ -120,20 +121,29 @@ def fit_machine(rows: list[np.ndarray], y: np.ndarray, weight: np.ndarray, seed:
     return {"terms": terms, "w0": w0, "w": w, "v": v}
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic") -> dict:
-    """The machine for ``labels`` (doc_id, label) of ``docs`` (doc_id, text)."""
+def training_rows(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic") -> tuple[DataFrame, dict[int, int]]:
+    """(i, y, b, times), the sampled ids with their terms and how often their label stands, and how many
+    labels of each class there are. At most TOXIC_ROWS and CLEAN_ROWS rows, however often an id is repeated."""
     known = labels.where(F.col(label).isNotNull() & F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("i"), (F.col(label) > 0).cast("int").alias("y"))
     totals = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    pick = [known.where(F.col("y") == y).orderBy(F.xxhash64("i"), "i").limit(n) for y, n in ((1, TOXIC_ROWS), (0, CLEAN_ROWS))]
-    share = {y: totals.get(y, 0) / max(1, min(n, totals.get(y, 0))) for y, n in ((1, TOXIC_ROWS), (0, CLEAN_ROWS))}
+    once = known.groupBy("i", "y").agg(F.count("*").alias("times"))
+    pick = [once.where(F.col("y") == y).orderBy(F.xxhash64("i"), "i").limit(n) for y, n in ((1, TOXIC_ROWS), (0, CLEAN_ROWS))]
     # at most TOXIC_ROWS + CLEAN_ROWS narrow rows are broadcast
     few = docs.select(F.col(doc_id).alias("i"), F.col(text).alias("t")).join(F.broadcast(pick[0].unionByName(pick[1])), "i")
-    sample = few.select("i", "y", F.pandas_udf(_buckets, "binary")("t").alias("b"))
+    # of an id's documents one teaches
+    found = few.select("i", "y", "times", F.pandas_udf(_buckets, "binary")("t").alias("b")).groupBy("i", "y").agg(F.min(F.struct("b", "times")).alias("s"))
+    return found.select("i", "y", "s.b", "s.times"), totals
+
+
+def fit_toxicity(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic") -> dict:
+    """The machine for ``labels`` (doc_id, label) of ``docs`` (doc_id, text)."""
+    sample, totals = training_rows(docs, labels, doc_id, text, label)
 
     def train(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["i", "y"], kind="stable")
-        y = pdf["y"].to_numpy()
-        model = fit_machine([np.frombuffer(b, np.int32) for b in pdf["b"]], y, np.where(y == 1, share[1], share[0]))
+        y, times = pdf["y"].to_numpy(), pdf["times"].to_numpy(float)
+        share = {k: totals.get(k, 0) / max(1.0, times[y == k].sum()) for k in (0, 1)}
+        model = fit_machine([np.frombuffer(b, np.int32) for b in pdf["b"]], y, times * np.where(y == 1, share[1], share[0]))
         return pd.DataFrame({"model": [pickle.dumps(model)]})
 
     found = sample.groupBy(F.lit(0).alias("all")).applyInPandas(train, "model binary").collect()

@@ -139,6 +139,17 @@ def header(record: bytes) -> dict[str, str]:
 INDEX = "file string, record long, offset long, length long, record_id string, record_type string, digest string, refers_to string"
 
 
+def _settle(system, part: str, name: str) -> None:
+    """Gives a finished file its name. Some file systems refuse a name that is taken: then another
+    attempt of the same task has finished, its file has the same bytes, and this one goes."""
+    try:
+        system.move(part, name)
+    except OSError:
+        if system.get_file_info(name).type.name != "File":
+            raise
+        system.delete_file(part)
+
+
 def normalise(spark: SparkSession, source: str, target: str) -> DataFrame:
     """Rewrites the WARC files under ``source`` to ``target`` with a gzip member
     for each record; writes and returns the table of members (INDEX).
@@ -168,7 +179,7 @@ def normalise(spark: SparkSession, source: str, target: str) -> DataFrame:
                         if len(rows) == 10_000:
                             yield pd.DataFrame(rows, columns=[c.split()[0] for c in INDEX.split(", ")])
                             rows = []
-                out_system.move(part, f"{folder}/{name}")
+                _settle(out_system, part, f"{folder}/{name}")
                 yield pd.DataFrame(rows, columns=[c.split()[0] for c in INDEX.split(", ")])
 
     names.mapInPandas(run, INDEX).write.mode("overwrite").parquet(f"{target}-index")
