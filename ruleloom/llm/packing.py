@@ -2,12 +2,11 @@
 
 Documents become token ids (byte-level BPE, then the end id). Only documents
 longer than a sequence are cut: from their end into full pieces, so that the
-first piece may be shorter. Full pieces fill a sequence each. The others are
-dealt over blocks, each of which is packed by best fit, largest first. Its
-well-filled bins stand, but for some with small pieces; what a block packs
+first piece may be shorter. Full pieces fill a sequence each. All others are
+dealt over blocks, each of which a grouping genetic algorithm evolves. The
+well-filled bins then stand, but for some with small pieces; what a block packs
 poorly can still be packed better together with these and with that of other
-blocks. Such pieces are dealt over blocks of their own, and there a grouping
-genetic algorithm evolves them:
+blocks. Such pieces are dealt over blocks of their own and evolved once more:
 
 * an individual is a list of bins; it is better if it has fewer bins, and of
   as many bins if their squared fills sum to more;
@@ -38,7 +37,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ruleloom.llm.common import checkpoint
+from ruleloom.llm.common import checkpoint, partitions
 
 CAPACITY, END = 1_024, 2
 END_BYTES = END.to_bytes(4, "little")
@@ -49,7 +48,7 @@ WORDS, AT_ONCE = 250_000, 1 << 20
 #: children of an epoch, and the share of an individual's bins that a
 #: crossover injects.
 BLOCK, ISLANDS, POPULATION, EPOCHS, CHILDREN, INJECT = 2_000, 2, 4, 3, 8, 0.3
-#: Bins below this share are dissolved and evolved over all blocks.
+#: Bins below this share are dissolved and evolved once more, over all blocks.
 WELL_FILLED = 0.995
 
 
@@ -234,49 +233,60 @@ class Bins:
 
     def __init__(self, bins: list[list[int]], sizes: np.ndarray, capacity: int) -> None:
         self.bins, self.sizes, self.capacity = bins, sizes, capacity
-        self.room = [capacity - sum(sizes[i] for i in b) for b in bins]
-        self.open = sorted((r, k) for k, r in enumerate(self.room) if r > 0)
+        self.room = [capacity - z for z in fills(bins, sizes)]
+        self.open = sorted([(r << 32) + k for k, r in enumerate(self.room) if r > 0])  # room, then number
 
     def put(self, items: list[int]) -> None:
         """Largest first, each into the fullest bin that takes it."""
-        for i in sorted(items, key=lambda i: (-self.sizes[i], i)):
-            s = self.sizes[i]
-            at = bisect_left(self.open, (s, -1))
-            if at < len(self.open):
-                r, k = self.open.pop(at)
-                self.bins[k].append(i)
+        free, bins, room, capacity = self.open, self.bins, self.room, self.capacity
+        for minus, i in sorted([(-self.sizes[i], i) for i in items]):
+            s = -minus
+            at = bisect_left(free, s << 32)
+            if at < len(free):
+                r, k = divmod(free.pop(at), 1 << 32)
+                bins[k].append(i)
             else:
-                r, k = self.capacity, len(self.bins)
-                self.bins.append([i])
-                self.room.append(r)
-            self.room[k] = r - s
+                r, k = capacity, len(bins)
+                bins.append([i])
+                room.append(r)
+            room[k] = r - s
             if r > s:
-                insort(self.open, (r - s, k))
+                insort(free, ((r - s) << 32) + k)
+
+
+def fills(bins: list[list[int]], sizes: list[int]) -> list[int]:
+    """The tokens of each bin."""
+    size = sizes.__getitem__
+    return [sum(map(size, b)) for b in bins]
 
 
 def fitness(bins: list[list[int]], sizes: list[int], capacity: int) -> tuple[int, int]:
     """Larger is better."""
-    return -len(bins), sum(sum(sizes[i] for i in b) ** 2 for b in bins)
+    return -len(bins), sum([z * z for z in fills(bins, sizes)])
 
 
 def crossover(giver: list[list[int]], taker: list[list[int]], sizes: list[int], capacity: int, rng) -> list[list[int]]:
     """Some of the giver's best bins, whole; the taker's bins that share no
     piece with them; the rest by best fit."""
-    fill = [sum(sizes[i] for i in b) for b in giver]
+    fill = fills(giver, sizes)
     order = sorted(range(len(giver)), key=lambda k: (-fill[k], k))
     well = order[:max(1, int(len(order) * 2 * INJECT))]
     injected = [giver[k] for k in rng.permutation(well)[:max(1, len(well) // 2)]]
     inside = {i for b in injected for i in b}
-    kept = [b for b in taker if inside.isdisjoint(b)]
-    displaced = [i for b in taker if not inside.isdisjoint(b) for i in b if i not in inside]
-    child = Bins([list(b) for b in (*injected, *kept)], sizes, capacity)
+    kept, displaced = [list(b) for b in injected], []
+    for b in taker:
+        if inside.isdisjoint(b):
+            kept.append(list(b))
+        else:
+            displaced += [i for i in b if i not in inside]
+    child = Bins(kept, sizes, capacity)
     child.put(displaced)
     return child.bins
 
 
 def mutate(bins: list[list[int]], sizes: list[int], capacity: int, rng) -> list[list[int]]:
     """Dissolves the emptiest bins and a few others."""
-    order = sorted(range(len(bins)), key=lambda k: (sum(sizes[i] for i in bins[k]), k))
+    order = np.argsort(fills(bins, sizes), kind="stable").tolist()
     gone = set(order[:max(1, len(order) // 50)]) | set(rng.choice(len(bins), max(1, len(bins) // 50)).tolist())
     child = Bins([list(b) for k, b in enumerate(bins) if k not in gone], sizes, capacity)
     child.put([i for k in gone for i in bins[k]])
@@ -329,10 +339,10 @@ def _encode(bins: list[list[int]]) -> list[int]:
 
 
 def _decode(numbers) -> list[list[int]]:
-    bins: dict[int, list[int]] = {}
+    bins: list[list[int]] = [[] for _ in range(max(numbers, default=-1) + 1)]
     for i, k in enumerate(numbers):
-        bins.setdefault(int(k), []).append(i)
-    return [bins[k] for k in sorted(bins)]
+        bins[k].append(i)
+    return [b for b in bins if b]
 
 
 def _in_blocks(rows: DataFrame, size: int) -> DataFrame:
@@ -343,20 +353,20 @@ def _in_blocks(rows: DataFrame, size: int) -> DataFrame:
 
 def pack_lengths(rows: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """``rows`` (row, piece, length; all lengths under ``capacity``) with block,
-    bin: pieces of equal (block, bin) share a sequence. Evolved blocks have
-    negative numbers."""
+    bin: pieces of equal (block, bin) share a sequence. Every piece's bin comes from
+    the islands. What the first blocks leave poorly filled is evolved once more,
+    over all of them; these blocks have negative numbers."""
 
-    def best_fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["row", "piece"])
-        sizes = pdf["length"].tolist()
-        packed = Bins([], sizes, capacity)
-        packed.put(list(range(len(sizes))))
-        return pdf.assign(bin=_encode(packed.bins), again=np.array(unsettled(packed))[_encode(packed.bins)])
+    def mark(pdf: pd.DataFrame) -> pd.DataFrame:
+        numbers = pdf["bin"].tolist()
+        order = {b: k for k, b in enumerate(sorted(set(numbers)))}
+        again = unsettled(Bins(_decode(numbers), pdf["length"].tolist(), capacity))
+        return pdf.assign(again=[again[order[b]] for b in numbers])
 
-    dealt = _in_blocks(rows.select("row", "piece", "length"), BLOCK)
-    first = checkpoint(dealt.groupBy("block").applyInPandas(best_fit, "row long, piece int, length long, block long, bin long, again boolean"))
-    evolved = _islands(_in_blocks(first.where("again").select("row", "piece", "length"), BLOCK), capacity)
-    return first.where("not again").drop("again").unionByName(evolved.withColumn("block", -1 - F.col("block")))
+    evolved = _islands(_in_blocks(rows.select("row", "piece", "length"), BLOCK), capacity)
+    first = checkpoint(evolved.groupBy("block").applyInPandas(mark, "row long, piece int, length long, block long, bin long, again boolean"))
+    second = _islands(_in_blocks(first.where("again").select("row", "piece", "length"), BLOCK), capacity)
+    return first.where("not again").drop("again").unionByName(second.withColumn("block", -1 - F.col("block")))
 
 
 def _islands(dealt: DataFrame, capacity: int) -> DataFrame:
@@ -372,9 +382,9 @@ def _islands(dealt: DataFrame, capacity: int) -> DataFrame:
                 out = []
                 for block, island, rows, pcs, sizes, population, guest in pdf.itertuples(index=False):
                     sizes = sizes.tolist()
-                    kept = [_decode(x) for x in population]
+                    kept = [_decode(x.tolist()) for x in population]
                     if guest is not None:
-                        kept = [_decode(guest), *kept[:POPULATION - 1]]
+                        kept = [_decode(guest.tolist()), *kept[:POPULATION - 1]]
                     seed = zlib.crc32(f"{block} {island} {number}".encode())
                     out.append((block, island, rows, pcs, sizes, [_encode(b) for b in evolve(kept, sizes, capacity, seed)], None))
                 yield pd.DataFrame(out, columns=pdf.columns)
@@ -385,9 +395,9 @@ def _islands(dealt: DataFrame, capacity: int) -> DataFrame:
     groups = dealt.groupBy("block").agg(F.array_sort(F.collect_list(one)).alias("all"))
     islands = groups.select("block", F.explode(F.sequence(F.lit(0), F.lit(ISLANDS - 1))).alias("island"), F.col("all.row").alias("rows"), F.col("all.piece").alias("pieces"),
                             F.col("all.size").alias("sizes"), F.array().cast("array<array<int>>").alias("population"), F.lit(None).cast("array<int>").alias("guest"))
-    islands = islands.repartition("block", "island")
+    tasks = partitions(dealt.sparkSession)  # by number: a few bytes of state are much work
     for number in range(EPOCHS):
-        islands = checkpoint(islands.mapInPandas(epoch(number), state))
+        islands = checkpoint(islands.repartition(tasks, "block", "island").mapInPandas(epoch(number), state))
         if number < EPOCHS - 1:
             # elites go round: island k's to island k + 1
             moved = islands.select("block", F.pmod(F.col("island") + 1, F.lit(ISLANDS)).cast("int").alias("island"), F.col("population")[0].alias("visitor"))

@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from ruleloom.llm import decontaminate, language, toxicity
+from ruleloom.llm import decontaminate, language, packing, toxicity
 from ruleloom.llm.common import words
 from ruleloom.llm.graph import components
 
@@ -163,3 +163,18 @@ def test_toxicity_against_plain_sums(spark):
         own = sorted({place[b] for w in set(words(r["text"])) for b in toxicity.terms_of(w) if b in place})
         z = model["w0"] + sum(model["w"][k] for k in own) + sum(float(model["v"][a] @ model["v"][b]) for i, a in enumerate(own) for b in own[:i])
         assert r["score"] == pytest.approx(1 / (1 + np.exp(-z))) and r["predicted"] == (r["score"] >= 0.5)
+
+
+def test_packing_evolves_every_piece(spark, monkeypatch):
+    """No sequence but by the islands: a full piece set goes in, what is packed poorly once more."""
+    rng = np.random.default_rng(4)
+    rows = spark.createDataFrame([(k, 0, int(z)) for k, z in enumerate(rng.integers(1, 300, 400))], "row long, piece int, length long")
+    met, islands = [], packing._islands
+    monkeypatch.setattr(packing, "BLOCK", 100)
+    monkeypatch.setattr(packing, "_islands", lambda dealt, capacity: met.append({r["row"] for r in dealt.select("row").collect()}) or islands(dealt, capacity))
+    packed = packing.pack_lengths(rows).collect()
+    assert met[0] == set(range(400)) and met[1] < met[0] and {r["row"] for r in packed} == met[0] and len(packed) == 400
+    fill = {}
+    for r in packed:
+        fill[r["block"], r["bin"]] = fill.get((r["block"], r["bin"]), 0) + r["length"]
+    assert max(fill.values()) <= 1024
