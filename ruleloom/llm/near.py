@@ -5,21 +5,17 @@
 2. Each class has a path of DEPTH MinHash values in each of TREES tries. A
    trie is its sorted paths: all (tree, path) rows are sorted by range, and the
    common prefix of a path with the one before it is where they part.
-3. Prefixes begin at DEPTH values and are shortened, one by one, until the
-   recall that is measured reaches TARGET_RECALL: up to PROBES texts are
-   compared with the shingle set of every document, and of the links found
-   those count whose prefixes agree so far in some trie. Where the probes have
-   too few links to tell, prefixes go down to ``floor_depth``, at which pairs at
-   the threshold meet with probability LEAST_RECALL.
-4. A class that nothing met at that length has its prefixes shortened to
-   ``floor_depth`` in any case: it meets all classes under that node.
-5. Classes under a node link to one of them; components of these links are
+3. In each trie every class goes up from its leaf, node by node, to the one of
+   ``floor_depth`` values, at which pairs at the threshold meet with probability
+   LEAST_RECALL, whatever the documents. No count and no length comes from a
+   sample; ``recall`` measures what it comes to, for reports alone.
+4. Classes under a node link to one of them; components of these links are
    candidate groups.
-6. Within a candidate group all pairs are verified exactly on their shingle
+5. Within a candidate group all pairs are verified exactly on their shingle
    sets. A large group is dealt by size of set (sets at the threshold differ by
    a quarter at most) into packed blocks of bounded size, and pairs of blocks
    are compared: no pair becomes a row, no text is sent twice.
-7. Components of the verified links are the groups.
+6. Components of the verified links are the groups.
 
 A text of one to four words is one shingle. A null text, or one without a
 word, has none: it is linked to nothing and is a group of its own. Repeated
@@ -46,7 +42,7 @@ from ruleloom.llm.graph import components
 
 SHINGLE, THRESHOLD = 5, 0.8
 TREES, DEPTH, TARGET_RECALL, LEAST_RECALL = 24, 10, 0.999, 0.9999
-#: Texts that recall is measured with, and the characters of one at most.
+#: Texts that ``recall`` is reported with, and the characters of one at most.
 PROBES, PROBE_CHARACTERS = 512, 16_384
 #: Classes of a block, shingles of a block or task, about, and tasks over which the rows of one group are dealt where they join what is known of it.
 TILE, TASK_SHINGLES, SALTS = 256, 1_000_000, 16
@@ -157,10 +153,11 @@ def draw_probes(docs: DataFrame, text: str) -> Probes:
 ROWS = "id long, mark long, digest binary, size int, paths binary, met array<int>"
 
 
-def features(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+def features(docs: DataFrame, doc_id: str, text: str, measured: bool = True) -> DataFrame:
     """ROWS: one for each row of ``docs``. ``mark`` is a hash of the text; digest,
-    of the shingle set, is null without a word; met is as in ``Probes.links``."""
-    shared = docs.sparkSession.sparkContext.broadcast(draw_probes(docs, text))
+    of the shingle set, is null without a word; met is as in ``Probes.links``, and
+    empty unless recall is ``measured``."""
+    shared = docs.sparkSession.sparkContext.broadcast(draw_probes(docs, text) if measured else Probes([]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, cached, probes = Shingler(), {}, shared.value
@@ -197,7 +194,8 @@ def recall(classes: DataFrame) -> dict[int, tuple[int, int]]:
 
 
 def adapted_depth(measured: dict[int, tuple[int, int]]) -> int:
-    """The longest prefix whose recall reaches the target even if one more link was missed."""
+    """The longest prefix whose measured recall reaches the target even if one more link was
+    missed; a report of how far prefixes could stay, by which nothing is joined."""
     least = floor_depth()
     for depth in range(DEPTH, least, -1):
         met, links = measured[depth]
@@ -206,14 +204,14 @@ def adapted_depth(measured: dict[int, tuple[int, int]]) -> int:
     return least
 
 
-EDGES = "u long, v long, agree int, branch long, part int, tree int, path binary"
+EDGES = "u long, v long, part int, tree int, path binary"
 
 
 def neighbours(sorted_paths: DataFrame, depth: int) -> DataFrame:
     """EDGES of (tree, path, node) rows, with paths of ``depth`` values, that lie in
     their order: of each row with the first one, so for equal paths the smallest
     one, under the node of the trie at which it parts from the row before it.
-    ``branch`` is the node at ``floor_depth``. Partitions give their ends, to be
+    Rows that part above ``floor_depth`` have none. Partitions give their ends, to be
     linked with the next ones', as rows with a ``part``."""
     least = floor_depth()
 
@@ -240,59 +238,42 @@ def neighbours(sorted_paths: DataFrame, depth: int) -> DataFrame:
                 u[agree == d] = head[agree == d]
                 heads[d] = head[-1]
             at = np.flatnonzero(agree >= least)
-            yield _edges(u[at], node[at], agree[at], _branch(tree[at], path[at], least))
+            yield _edges(u[at], node[at])
         if first is not None:
             trees, paths, nodes = zip(first, (int(tree[-1]), path[-1].tobytes(), int(node[-1])))
-            yield _edges(nodes, [0, 1], [0, 0], [0, 0], [part] * 2, trees, paths)
+            yield _edges(nodes, [0, 1], [part] * 2, trees, paths)
 
     return sorted_paths.mapInArrow(run, EDGES)
 
 
-def _branch(tree: np.ndarray, path: np.ndarray, depth: int) -> np.ndarray:
-    h = tree.astype(np.uint64) * _Q
-    for k in range(depth):
-        h = (h ^ path[:, k]) * _P
-        h ^= h >> np.uint64(31)
-    return h.view(np.int64)
-
-
 def _agree(tree: np.ndarray, path: np.ndarray) -> np.ndarray:
     return np.where(tree[1:] == tree[:-1], agreed(path[1:], path[:-1]), 0)
 
 
-def _edges(u, v, agree, branch, part=None, tree=None, path=None) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
+def _edges(u, v, part=None, tree=None, path=None) -> pa.RecordBatch:
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
     none = [None] * len(u)
-    return pa.RecordBatch.from_arrays([pa.array(none if c is None else c, k) for c, k in zip((u, v, agree, branch, part, tree, path), kinds)], names=_columns(EDGES))
+    return pa.RecordBatch.from_arrays([pa.array(none if c is None else c, k) for c, k in zip((u, v, part, tree, path), kinds)], names=_columns(EDGES))
 
 
 def candidates(classes: DataFrame) -> DataFrame:
-    """(u, v): links of classes that meet in the forest."""
+    """(u, v): links of classes that meet in the forest, at any node down to ``floor_depth``."""
     spark, least = classes.sparkSession, floor_depth()
-    depth = adapted_depth(recall(classes))
     width = 2 * DEPTH
     tree = F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree")
-    paths = classes.select("node", "paths", tree).select("tree", F.substring("paths", F.col("tree") * width + 1, F.lit(2 * depth)).alias("path"), "node")
+    paths = classes.select("node", "paths", tree).select("tree", F.substring("paths", F.col("tree") * width + 1, F.lit(width)).alias("path"), "node")
     order = ["tree", "path", "node"]  # the node parts equal paths: no partition is hot
-    found = written(neighbours(paths.repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order), depth))
-    edges = found.where("part is null").select("u", "v", "agree", "branch")
+    found = written(neighbours(paths.repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order), DEPTH))
+    edges = found.where("part is null").select("u", "v")
     ends = sorted(found.where("part is not null").select("part", "v", "u", "tree", "path").collect())  # two for each partition
     across = []
     for (*_, u, t1, p1), (*_, v, t2, p2) in zip(ends[1::2], ends[2::2]):
         p = np.frombuffer(p1, "<u2")[None], np.frombuffer(p2, "<u2")[None]
-        agree = int(agreed(*p)[0]) if t1 == t2 else 0
-        if agree >= least and u != v:
-            across.append((u, v, agree, int(_branch(np.array([t1]), p[0], least)[0])))
+        if t1 == t2 and int(agreed(*p)[0]) >= least and u != v:
+            across.append((u, v))
     if across:
-        edges = edges.unionByName(spark.createDataFrame(across, "u long, v long, agree int, branch long"))
-    if depth == least:
-        return edges.select("u", "v").distinct()
-    # nodes of the tries with a class that met none at the adapted length stay whole
-    deep = edges.where(F.col("agree") >= depth)
-    met = deep.select(F.col("u").alias("node")).union(deep.select("v")).distinct()
-    seen = edges.select(F.col("u").alias("node"), "branch").union(edges.select("v", "branch"))
-    whole = seen.join(met, "node", "left_anti").select("branch").distinct()
-    return deep.select("u", "v").union(edges.where(F.col("agree") < depth).join(whole, "branch", "left_semi").select("u", "v")).distinct()
+        edges = edges.unionByName(spark.createDataFrame(across, "u long, v long"))
+    return edges.distinct()
 
 
 def verify(sets: list[np.ndarray], block: np.ndarray, same: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -435,10 +416,10 @@ def near_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Da
     """(id, mark, class_id, class_mark, copy_id, n_links) for every row of
     ``docs``: what ``near_links`` has, and the hashes of a row's own text and of
     the text that represents its group."""
-    rows = written(features(docs, doc_id, text))
+    rows = written(features(docs, doc_id, text, measured=False))
     one = F.struct("id", "mark")
-    classes = rows.where("digest is not null and id is not null").groupBy("digest").agg(F.min(one).alias("one"), F.min_by(F.struct("size", "paths", "met"), one).alias("of"))
-    classes = written(classes.select(F.monotonically_increasing_id().alias("node"), "digest", "one.id", "one.mark", "of.size", "of.paths", "of.met"))
+    classes = rows.where("digest is not null and id is not null").groupBy("digest").agg(F.min(one).alias("one"), F.min_by(F.struct("size", "paths"), one).alias("of"))
+    classes = written(classes.select(F.monotonically_increasing_id().alias("node"), "digest", "one.id", "one.mark", "of.size", "of.paths"))
     groups = components(candidates(classes))
     found = written(verified(_marked(docs, F.col(doc_id), F.col(text)), classes, groups))
     links = found.groupBy("node").agg(F.sum("n").alias("n"))

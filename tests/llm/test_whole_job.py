@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from ruleloom.llm import decontaminate, language, packing, toxicity
+from ruleloom.llm import decontaminate, language, near, packing, toxicity
 from ruleloom.llm.common import words
 from ruleloom.llm.graph import components
 
@@ -178,3 +178,15 @@ def test_packing_evolves_every_piece(spark, monkeypatch):
     for r in packed:
         fill[r["block"], r["bin"]] = fill.get((r["block"], r["bin"]), 0) + r["length"]
     assert max(fill.values()) <= 1024
+
+
+def test_near_groups_take_nothing_from_a_sample(spark, monkeypatch):
+    """No text is drawn and no measured recall is asked: joined at the fixed floor alone."""
+    def refuse(*_):
+        raise AssertionError("a sample")
+
+    for name in ("draw_probes", "recall", "adapted_depth"):
+        monkeypatch.setattr(near, name, refuse)
+    base = " ".join(f"w{j}" for j in range(120))
+    docs = spark.createDataFrame([(1, base), (2, base + " end"), (3, base.replace("w60 ", "x ")), (4, "some other text")], "doc_id long, text string")
+    assert {r["id"]: (r["class_id"], r["n_links"]) for r in near.near_links(docs).collect()} == {1: (1, 2), 2: (1, 2), 3: (1, 2), 4: (4, 0)}
