@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 #: White space in the wide sense: control blanks, all separators of Unicode, and the byte order mark.
 BLANK = r"[\s\x0B\p{Z}\x{FEFF}]"
+#: The same, one by one.
+BLANKS = " \t\n\x0B\f\r\u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
 
 
 def collapse(x: Column) -> Column:
@@ -17,13 +19,12 @@ def collapse(x: Column) -> Column:
 
 def trimmed(x: Column) -> Column:
     """Without white space at the ends."""
-    return F.regexp_replace(x, rf"\A{BLANK}+|{BLANK}+\z", "")
+    return F.btrim(x, F.lit(BLANKS))
 
 
 def blank_to_null(x: Column) -> Column:
     """Absent, null and blank are one thing: null."""
-    t = trimmed(x)
-    return F.when(t != "", t)
+    return bound(trimmed(x), lambda t: F.when(t != "", t))
 
 
 def first_present(*names: Column) -> Column:
@@ -100,13 +101,15 @@ def same_date(a: Column, b: Column) -> Column:
 
 def parse_date(x: Column) -> Column:
     """ISO, month/day/year and ``Mon d, yyyy`` dates; anything else is null."""
-    t = blank_to_null(x)
-    month = F.initcap(F.lower(F.substring(t, 1, 3)))
-    named = F.concat_ws(" ", month, F.regexp_extract(t, r"^[A-Za-z]{3,9}\.?[ ]+([0-9]{1,2})", 1), F.regexp_extract(t, r"([0-9]{4})$", 1))
-    return F.coalesce(
-        F.when(t.rlike(r"^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}$"), F.try_to_date(t, "yyyy-M-d")),
-        F.when(t.rlike(r"^[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}$"), F.try_to_date(t, "M/d/yyyy")),
-        F.when(t.rlike(r"^[A-Za-z]{3,9}\.?[ ]+[0-9]{1,2},?[ ]+[0-9]{4}$"), F.try_to_date(named, "MMM d yyyy")))
+    def of_text(t: Column) -> Column:
+        month = F.initcap(F.lower(F.substring(t, 1, 3)))
+        named = F.concat_ws(" ", month, F.regexp_extract(t, r"^[A-Za-z]{3,9}\.?[ ]+([0-9]{1,2})", 1), F.regexp_extract(t, r"([0-9]{4})$", 1))
+        return F.coalesce(
+            F.when(t.rlike(r"^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}$"), F.try_to_date(t, "yyyy-M-d")),
+            F.when(t.rlike(r"^[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}$"), F.try_to_date(t, "M/d/yyyy")),
+            F.when(t.rlike(r"^[A-Za-z]{3,9}\.?[ ]+[0-9]{1,2},?[ ]+[0-9]{4}$"), F.try_to_date(named, "MMM d yyyy")))
+
+    return bound(blank_to_null(x), of_text)
 
 
 TIMESTAMP = r"\A(\d{4}-\d\d-\d\d)T(\d\d:\d\d:\d\d)(?:\.(\d+))?(Z|[+-]\d\d:?\d\d)?\z"
