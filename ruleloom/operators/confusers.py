@@ -22,7 +22,8 @@ def label_kept(rows: DataFrame, before: str, after: str, parse: Callable[[Column
     return two.withColumn("kept", F.col("label_before").eqNullSafe(F.col("label_after")))
 
 
-def safe_additions(cases: DataFrame, id_: str, evidence: str, additions: DataFrame, n: int, add: Callable[[Column, Column], Column], parse: Callable[[Column], Column], rules: Callable[[Column], Column]) -> DataFrame:
+def safe_additions(cases: DataFrame, id_: str, evidence: str, additions: DataFrame, n: int, add: Callable[[Column, Column], Column], parse: Callable[[Column], Column], rules: Callable[[Column], Column],
+                   part: Callable[[Column], Column] | None = None, joined: Callable[[Column, Column], Column] | None = None) -> DataFrame:
     """(id, tried, refused, added, evidence, kept): each case with the first ``n`` of
     its ``additions`` (id, place, addition) that leave its label alone, one by one.
 
@@ -34,16 +35,24 @@ def safe_additions(cases: DataFrame, id_: str, evidence: str, additions: DataFra
 
     A case meets its own additions only, by key. Of a case with many, each task
     passes on its first ``n`` harmless ones alone (a limited window), so not more
-    than that for each task meet."""
+    than that for each task meet. Where ``part(addition)`` tells what ``parse`` makes of an addition,
+    and ``joined(parsed, parts)`` puts such parts into a case's fields, a case and an addition
+    are parsed once each, not once more for every pair of them."""
     # decisions are many rules: worked out once for each row, behind whatever filter they are read
-    own = kept(P.decided(cases.select(id_, F.col(evidence).alias("before")), "before", parse, rules).select(id_, "before", F.col("decision.choice").alias("label_before")))
-    tried = own.join(additions.select(id_, "place", "addition"), id_).withColumn("after", add(F.col("before"), F.array("addition")))
-    judged = P.decided(tried, "after", parse, rules).select(id_, F.struct("place", "addition").alias("x"), F.col("decision.choice").eqNullSafe(F.col("label_before")).alias("kept"))
+    once = part is not None and joined is not None
+    fields = cases.select(id_, F.col(evidence).alias("before")).withColumn("fields", parse(F.col("before")))
+    own = kept(fields.withColumn("decision", rules(F.col("fields"))).select(id_, "before", *(["fields"] if once else []), F.col("decision.choice").alias("label_before")))
+    tried = own.join(additions.select(id_, "place", "addition"), id_)
+    if once:
+        tried = tried.drop("before").withColumn("part", part(F.col("addition"))).withColumn("after", joined(F.col("fields"), F.array("part")))
+    else:
+        tried = tried.withColumn("after", add(F.col("before"), F.array("addition")))
+    judged = P.decided(tried, "after", (lambda c: c) if once else parse, rules).select(id_, F.struct("place", "addition").alias("x"), F.col("decision.choice").eqNullSafe(F.col("label_before")).alias("kept"))
     told = kept(judged)
     rn = F.row_number().over(Window.partitionBy(id_).orderBy("x"))
     first = told.where("kept").withColumn("rn", rn).where(F.col("rn") <= n).groupBy(id_).agg(F.array_sort(F.collect_list("x")).alias("xs"))
     counts = told.groupBy(id_).agg(F.count("*").alias("tried"), F.count_if(~F.col("kept")).alias("refused"))
-    met = own.join(counts, id_, "left").join(first, id_, "left")
+    met = own.drop("fields").join(counts, id_, "left").join(first, id_, "left")
     added = F.coalesce(F.transform("xs", lambda x: x["addition"]), F.array().cast(f"array<{additions.schema['addition'].dataType.simpleString()}>"))
     whole = met.withColumn("added", added).withColumn("evidence", F.when(F.size("added") > 0, add(F.col("before"), F.col("added"))).otherwise(F.col("before")))
     final = P.decided(whole, "evidence", parse, rules).withColumn("kept", F.col("decision.choice").eqNullSafe(F.col("label_before")))

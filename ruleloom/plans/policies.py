@@ -110,7 +110,7 @@ def safe_fillers(spark, sf_dir):
     chart = F.to_json(F.struct(number.alias("chart_id"), F.col("name").alias("registered_name"), F.col("us").alias("dob"), F.col("phone").alias("phone_on_file"), "email", F.col("address").alias("address_on_file")))
     additions = wanted.join(charts, "of").select("o_orderkey", F.col("step").alias("place"), chart.alias("addition"))
     grown = lambda ev, xs: F.concat(F.substring(ev, F.lit(1), F.length(ev) - 2), F.lit(","), F.array_join(xs, ","), F.lit("]}"))
-    kept = C.safe_additions(cases, "o_orderkey", "ev", additions, 2, grown, P.chart_evidence, P.chart_rules)
+    kept = C.safe_additions(cases, "o_orderkey", "ev", additions, 2, grown, P.chart_evidence, P.chart_rules, P.chart_candidate, P.with_candidates)
     ids = F.array_join(F.transform("added", lambda a: F.get_json_object(a, "$.chart_id")), ",")
     return kept.select("o_orderkey", "tried", "refused", ids.alias("added"), F.col("label_before").alias("label"), "kept")
 
