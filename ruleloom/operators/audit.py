@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ruleloom.functions.text import span_agrees
 from ruleloom.operators.sampling import carried
@@ -25,18 +27,34 @@ def report(checks: list[DataFrame]) -> DataFrame:
 
 def catalogue(rows: DataFrame, key: str, checks: list[tuple[str, Column, bool]]) -> DataFrame:
     """(check, hard, n_checked, n_failed, examples): a row for each of ``checks``
-    (name, bad, hard), all counted in one aggregate. A null verdict is a failure.
-
-    Examples come from the failing rows alone: a task keeps EXAMPLES keys of a
-    check, so that no more of them meet than that for each task."""
-    bad = [(name, F.coalesce(b, F.lit(True)), hard) for name, b, hard in checks]
-    totals = rows.agg(F.count("*").alias("n_checked"), *(F.count_if(b).alias(f"n_{i}") for i, (_, b, _) in enumerate(bad)))
-    each = F.explode(F.array(*(F.struct(F.lit(name).alias("check"), F.lit(hard).alias("hard"), F.col(f"n_{i}").alias("n_failed")) for i, (name, _, hard) in enumerate(bad)))).alias("c")
-    counted = totals.select("n_checked", each).select("c.check", "c.hard", "n_checked", "c.n_failed")
-    failing = rows.select(F.col(key).cast("long").alias("key"), F.explode(F.array_compact(F.array(*(F.when(b, F.lit(name)) for name, b, _ in bad)))).alias("check"))
-    first = failing.withColumn("rn", F.row_number().over(Window.partitionBy("check").orderBy("key"))).where(F.col("rn") <= EXAMPLES)
-    examples = first.groupBy("check").agg(F.concat_ws(",", F.array_sort(F.collect_list("key")).cast("array<string>")).alias("examples"))
-    return counted.join(examples, "check", "left").select("check", "hard", "n_checked", "n_failed", F.coalesce("examples", F.lit("")).alias("examples"))
+    (name, bad, hard), all counted and their examples found in one pass. A null
+    verdict is a failure; a null key is no example.
+
+    ``rows`` are worked out once. A task passes on a row for each check: how many
+    it saw, how many failed, and their EXAMPLES smallest keys."""
+    bad = [F.coalesce(b, F.lit(True)).alias(f"b{i}") for i, (_, b, _) in enumerate(checks)]
+
+    many = len(checks)
+
+    def tally(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        n, failed, first = 0, [0] * many, [np.zeros(0, np.int64)] * many
+        for pdf in batches:
+            n += len(pdf)
+            keys, known = pdf["key"].to_numpy(np.int64, na_value=0), pdf["key"].notna().to_numpy()
+            for i in range(many):
+                hit = pdf[f"b{i}"].to_numpy(bool)
+                count = int(hit.sum())
+                if count:
+                    failed[i] += count
+                    first[i] = np.sort(np.concatenate([first[i], keys[hit & known]]))[:EXAMPLES]
+        yield pd.DataFrame({"i": range(many), "n": n, "failed": failed, "first": [x.tolist() for x in first]})
+
+    told = rows.select(F.col(key).cast("long").alias("key"), *bad).mapInPandas(tally, "i int, n long, failed long, first array<long>")
+    summed = told.groupBy("i").agg(F.sum("n").alias("n"), F.sum("failed").alias("failed"), F.array_sort(F.flatten(F.collect_list("first"))).alias("first"))
+    named = rows.sparkSession.createDataFrame([(i, name, hard) for i, (name, _, hard) in enumerate(checks)], "i int, check string, hard boolean")
+    examples = F.concat_ws(",", F.slice("first", 1, EXAMPLES).cast("array<string>"))
+    zero = lambda c: F.coalesce(c, F.lit(0).cast("long"))
+    return named.join(summed, "i", "left").select("check", "hard", zero("n").alias("n_checked"), zero("failed").alias("n_failed"), examples.alias("examples"))
 
 
 def result_checks(arms: list[str], local: str) -> list[tuple[str, Column, bool]]:

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from ruleloom.operators import audit as A
 from ruleloom.operators import confusers as C
 from ruleloom.operators import policies as P
 from ruleloom.plans import policies as plans
@@ -36,3 +37,14 @@ def test_fillers_are_parsed_once_each(spark):
     told = [C.safe_additions(cases, "o_orderkey", "ev", additions, 2, grown, P.chart_evidence, P.chart_rules, *more) for more in ((), (P.chart_candidate, P.with_candidates))]
     one, two = (sorted(map(tuple, t.collect())) for t in told)
     assert one == two and len(one) == 40 and any(r[2] for r in one) and any(r[3] for r in one)
+
+
+def test_checks_read_their_rows_once(spark):
+    """One scan of what is checked, however many checks and examples; null keys are no examples."""
+    rows = spark.createDataFrame([(k if k % 5 else None, k % 3 == 0) for k in range(200)], "k long, bad boolean").repartition(7)
+    got = A.catalogue(rows, "k", [("third", F.col("bad"), True), ("none", F.lit(False), False), ("null", F.lit(None).cast("boolean"), True)])
+    assert plan(got).count("RepartitionByExpression") + plan(got).count("Repartition ") == 1
+    found = {r["check"]: (r["n_checked"], r["n_failed"], r["examples"]) for r in got.collect()}
+    due = ",".join(str(k) for k in [k for k in range(200) if k % 3 == 0 and k % 5][:25])
+    assert found["third"] == (200, 67, due) and found["none"] == (200, 0, "") and found["null"][1] == 200 and found["null"][2].startswith("1,2,3,4,6")
+    assert {r["n_checked"] for r in A.catalogue(rows.limit(0), "k", [("third", F.col("bad"), True)]).collect()} == {0}
