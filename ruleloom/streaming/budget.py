@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+#: Rows that a task gives out at once, and what stands for an unknown cost.
+AT_ONCE, UNKNOWN = 10_000, -(1 << 63)
 SPEND = "budget string, attempt_id long, admitted boolean, spent_nano long"
 
 
@@ -18,19 +21,30 @@ def admit(attempts: DataFrame, cap_nano: int) -> DataFrame:
     attempt is admitted while spend and its reservation stay within the cap.
 
     ``attempts``: budget, attempt_id, reserved_nano, cost_nano (null: unknown).
-    State is one number for each budget; budgets are independent keys."""
+    State is one number for each budget; budgets are independent keys. A task keeps 24
+    bytes for each attempt of a budget in a trigger while it puts them in order, and
+    gives out its rows in parts."""
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         (spent,) = state.get if state.exists else (0,)
-        rows = pd.concat(list(batches)).sort_values("attempt_id")
-        out = []
-        for i, reserved, cost in zip(rows["attempt_id"], rows["reserved_nano"], rows["cost_nano"]):
-            ok = spent + int(reserved) <= cap_nano
-            if ok:
-                spent += int(reserved) if pd.isna(cost) else int(cost)
-            out.append((key[0], i, ok, spent))
-        state.update((spent,))
-        yield pd.DataFrame(out, columns=["budget", "attempt_id", "admitted", "spent_nano"])
+        parts: list[list[np.ndarray]] = [[], [], []]
+        for pdf in batches:  # of a batch its numbers alone are kept
+            for part, values in zip(parts, (pdf["attempt_id"], pdf["reserved_nano"], pdf["cost_nano"].fillna(UNKNOWN))):
+                part.append(values.to_numpy(np.int64, copy=True))
+        ids, reserved, costs = (np.concatenate(p) if p else np.zeros(0, np.int64) for p in parts)
+        order = np.argsort(ids, kind="stable")
+        for at in range(0, len(order), AT_ONCE):
+            some = order[at:at + AT_ONCE]
+            admitted, spends = [], []
+            for r, cost in zip(reserved[some].tolist(), costs[some].tolist()):
+                ok = spent + r <= cap_nano
+                if ok:
+                    spent += r if cost == UNKNOWN else cost
+                admitted.append(ok)
+                spends.append(spent)
+            if at + AT_ONCE >= len(order):
+                state.update((spent,))
+            yield pd.DataFrame({"budget": key[0], "attempt_id": ids[some], "admitted": admitted, "spent_nano": spends})
 
     return attempts.groupBy("budget").applyInPandasWithState(run, SPEND, "spent long", "append", GroupStateTimeout.NoTimeout)
 
