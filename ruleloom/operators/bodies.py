@@ -11,13 +11,14 @@ DEPTH = 8
 
 
 def _inside(path: Column, v: Column) -> Column:
-    """One level further: the fields or elements of a value with their paths, or the value itself."""
+    """One level further: the fields or elements of a value with their paths, or the value itself,
+    which is not ``open`` any more."""
     kind = F.schema_of_variant(v)
     fields = F.map_entries(F.try_variant_get(v, "$", "map<string,variant>"))
     elements = F.try_variant_get(v, "$", "array<variant>")
-    itself = F.array(F.struct(path.alias("path"), v.alias("v")))
-    named = F.transform(fields, lambda e: F.struct(F.concat(path, F.lit("."), e["key"]).alias("path"), e["value"].alias("v")))
-    placed = F.transform(elements, lambda x, i: F.struct(F.concat(path, F.lit("["), i.cast("string"), F.lit("]")).alias("path"), x.alias("v")))
+    itself = F.array(F.struct(path.alias("path"), v.alias("v"), F.lit(False).alias("open")))
+    named = F.transform(fields, lambda e: F.struct(F.concat(path, F.lit("."), e["key"]).alias("path"), e["value"].alias("v"), F.lit(True).alias("open")))
+    placed = F.transform(elements, lambda x, i: F.struct(F.concat(path, F.lit("["), i.cast("string"), F.lit("]")).alias("path"), x.alias("v"), F.lit(True).alias("open")))
     several = bound(F.when(kind.startswith("OBJECT"), named).when(kind.startswith("ARRAY"), placed), lambda xs: F.when(F.size(xs) > 0, xs))
     return F.coalesce(several, itself)
 
@@ -28,13 +29,15 @@ def leaves(rows: DataFrame, keys: list[str], body: str, depth: int = DEPTH) -> D
     its fields in order. A text that is no JSON is one value at ``$``; a null
     text has none.
 
-    Each level is an explosion in the row's own task: nothing travels."""
+    Each level is an explosion in the row's own task: nothing travels. What is found to
+    be a value is not looked into again."""
     v = F.try_parse_json(body)
     parsed = rows.where(F.col(body).isNotNull()).select(*keys, F.col(body).alias("raw"), F.lit("$").alias("path"), v.alias("v"))
     # a JSON null is a value, a text that is no JSON has none
-    told = parsed.select(*keys, F.when(F.col("v").isNull(), F.col("raw")).alias("raw"), "path", "v")
+    told = parsed.select(*keys, F.when(F.col("v").isNull(), F.col("raw")).alias("raw"), "path", "v", F.lit(True).alias("open"))
+    closed = F.array(F.struct("path", "v", F.lit(False).alias("open")))
     for _ in range(depth):
-        told = told.select(*keys, "raw", F.explode(_inside(F.col("path"), F.col("v"))).alias("x")).select(*keys, "raw", "x.path", "x.v")
+        told = told.select(*keys, "raw", F.explode(F.when(F.col("open"), _inside(F.col("path"), F.col("v"))).otherwise(closed)).alias("x")).select(*keys, "raw", "x.path", "x.v", "x.open")
     return told.select(*keys, "path", F.coalesce("raw", F.to_json("v")).alias("value"))
 
 

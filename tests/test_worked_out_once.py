@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from ruleloom.operators import audit as A
+from ruleloom.operators import bodies as B
 from ruleloom.operators import confusers as C
 from ruleloom.operators import policies as P
 from ruleloom.plans import policies as plans
@@ -48,3 +49,10 @@ def test_checks_read_their_rows_once(spark):
     due = ",".join(str(k) for k in [k for k in range(200) if k % 3 == 0 and k % 5][:25])
     assert found["third"] == (200, 67, due) and found["none"] == (200, 0, "") and found["null"][1] == 200 and found["null"][2].startswith("1,2,3,4,6")
     assert {r["n_checked"] for r in A.catalogue(rows.limit(0), "k", [("third", F.col("bad"), True)]).collect()} == {0}
+
+
+def test_values_found_are_not_looked_into_again(spark):
+    rows = spark.createDataFrame([(1, '{"a":[1,{"b":{}}],"c":null}'), (2, "no json"), (3, None)], "k long, body string")
+    found = B.leaves(rows, ["k"], "body")
+    assert "CASE WHEN" in plan(found) and "open" in plan(found)
+    assert sorted(map(tuple, found.collect())) == [(1, "$.a[0]", "1"), (1, "$.a[1].b", "{}"), (1, "$.c", "null"), (2, "$", "no json")]
