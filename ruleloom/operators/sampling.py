@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ruleloom.sources.shared import kept
+
 
 def shuffle_key(seed: str, *ids: Column) -> Column:
     return F.sha2(F.concat_ws("|", F.lit(seed), *(i.cast("string") for i in ids)), 256)
@@ -49,6 +51,24 @@ def hash_bucket(key: Column) -> Column:
     return F.substring(key, 1, 3)
 
 
+def foremost(rows: DataFrame, groups: list[str], key: Column, n: int) -> DataFrame:
+    """``rows`` without most of those that are not among the first ``n`` of their group by
+    ``key``, a SHA-256 as hexadecimal text, so that a large group needn't be sorted for a few rows.
+
+    A group's size tells up to where its first 2 n + 64 keys should reach. Where fewer than n
+    came, which hardly happens, the whole group is taken. A row for each group is broadcast."""
+    named = [F.col(g).alias(f"of_{g}") for g in groups]
+    met = reduce(lambda x, y: x & y, [F.col(g).eqNullSafe(F.col(f"of_{g}")) for g in groups])
+    sizes = kept(rows.groupBy(*named).agg(F.count("*").alias("of_size")))
+    upto = F.least(F.lit(float(2**32)), F.lit(2.0**32 * (2 * n + 64)) / F.col("of_size"))
+    near = kept(rows.join(F.broadcast(sizes), met).where(F.conv(F.substring(key, 1, 8), 16, 10).cast("long") < upto).select(*rows.columns))
+    here = near.groupBy(*groups).agg(F.count("*").alias("here"))
+    short = sizes.join(here, met, "left").where(F.coalesce("here", F.lit(0)) < F.least(F.col("of_size"), F.lit(n))).select(*(f"of_{g}" for g in groups))
+    if short.isEmpty():
+        return near
+    return near.join(F.broadcast(short), met, "left_anti").unionByName(rows.join(F.broadcast(short), met, "left_semi"))
+
+
 def medians(counts: DataFrame, keys: list[str], value: str, n: str) -> DataFrame:
     """Three medians of values that are counted: at rank ceil(n / 2) (nearest), the
     mean of the middle two (middle), and at place n // 2 from 0 (upper). Windows run
@@ -72,8 +92,9 @@ def round_robin(rows: DataFrame, stratum: str, id_: str, n: int, seed: str) -> D
     return first.orderBy("rn", shuffle_key(seed, F.col(stratum)), stratum).limit(n)
 
 
-def proportional(rows: DataFrame, stratum: str, id_: str, n: int, seed: str) -> DataFrame:
-    """``n`` rows in proportion to strata; largest remainders get what rounding leaves."""
+def proportional(rows: DataFrame, stratum: str, id_: str, n: int, seed: str, near: DataFrame | None = None) -> DataFrame:
+    """``n`` rows in proportion to strata; largest remainders get what rounding leaves.
+    ``near`` are rows among which each stratum's first ``n`` are known to be."""
     sizes = rows.groupBy(stratum).agg(F.count("*").alias("size"))
     every = Window.partitionBy(F.lit(1))  # over one row for each stratum
     exact = sizes.withColumn("total", F.sum("size").over(every)).withColumn("floor", F.expr(f"size * {n} div total")).withColumn("rest", F.expr(f"size * {n} % total"))
@@ -81,7 +102,8 @@ def proportional(rows: DataFrame, stratum: str, id_: str, n: int, seed: str) ->
     place = F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(F.desc("rest"), stratum))
     quota = exact.withColumn("quota", F.col("floor") + F.when(place <= short, 1).otherwise(0)).select(stratum, "quota")
     # no stratum gives more than n rows: a task keeps n of each
-    first = top_per_group(rows, stratum, shuffle_key(seed, F.col(id_)), n)
+    key = shuffle_key(seed, F.col(id_))
+    first = top_per_group(rows if near is None else near, stratum, key, n)
     return first.join(quota.withColumnRenamed(stratum, "of_stratum"), F.col(stratum).eqNullSafe(F.col("of_stratum"))).where("rn <= quota").select(*rows.columns)
 
 

@@ -80,6 +80,39 @@ def composed(steps: Iterator[Steps]) -> Iterator[Steps]:
         yield whole
 
 
+def entered(made: DataFrame, keys: list[str], bucket: str) -> DataFrame:
+    """(keys, bucket, entered, counted): the state and the count that each bucket is entered with.
+
+    ``made`` has the buckets' functions: keys, bucket, part, the columns of PACKED, and where
+    there are such, those of PLAIN and begin, the first state of a key."""
+    for c in ("begin", *PLAIN):
+        if c not in made.columns:
+            made = made.withColumn(c, F.lit(None if c == "bound" else 0).cast("long"))
+    sorted_ = made.withColumn("begin", F.coalesce("begin", F.lit(0)).cast("long")).repartition(*keys).sortWithinPartitions(*keys, bucket, "part")
+    sorted_ = sorted_.select(*keys, bucket, "part", *PLAIN, *PACKED, "begin")
+    key_types = ", ".join(f"{k} {made.schema[k].dataType.simpleString()}" for k in [*keys, bucket])
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, state, count, skipped = None, 0, 0, False
+        for batch in batches:
+            found = []
+            for row in batch.itertuples(index=False):
+                key = row[: len(keys)]
+                if key != at:
+                    at, state, count = key, int(row.begin), 0
+                if row.part == 0:
+                    found.append((*row[: len(keys) + 1], state, count))
+                    skipped = row.bound == row.bound and row.bound is not None and state < row.bound
+                    if skipped:
+                        state, count = state + int(row.plain_add), count + int(row.plain_count)
+                if not skipped:
+                    state, more = Steps.unpacked(*(getattr(row, c) for c in PACKED))(state)
+                    count += more
+            yield pd.DataFrame(found, columns=[*keys, bucket, "entered", "counted"])
+
+    return sorted_.mapInPandas(walk, f"{key_types}, entered long, counted long")
+
+
 def folded(rows: DataFrame, keys: list[str], order: list[str], bucket: str, step: Callable, take: Callable, out: str, begin: DataFrame | None = None, shortcut: Callable | None = None) -> DataFrame:
     """``rows`` with the columns of ``out`` ("name type, ..."), folded in the order of
     ``order`` within ``keys``.
@@ -104,30 +137,7 @@ def folded(rows: DataFrame, keys: list[str], order: list[str], bucket: str, step
     made = rows.groupBy(*keys, bucket).applyInPandas(functions, f"{key_types}, part int, {', '.join(f'{c} long' for c in PLAIN)}, {', '.join(f'{c} binary' for c in PACKED)}")
     if begin is not None:
         made = made.join(begin.select(*keys, F.col("state").alias("begin")), keys, "left")
-    else:
-        made = made.withColumn("begin", F.lit(0).cast("long"))
-    sorted_ = made.withColumn("begin", F.coalesce("begin", F.lit(0)).cast("long")).repartition(*keys).sortWithinPartitions(*keys, bucket, "part")
-
-    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        at, state, count, skipped = None, 0, 0, False
-        for batch in batches:
-            found = []
-            for row in batch.itertuples(index=False):
-                key = row[: len(keys)]
-                if key != at:
-                    at, state, count = key, int(row.begin), 0
-                if row.part == 0:
-                    found.append((*row[: len(keys) + 1], state, count))
-                    skipped = row.bound == row.bound and row.bound is not None and state < row.bound
-                    if skipped:
-                        state, count = state + int(row.plain_add), count + int(row.plain_count)
-                if not skipped:
-                    state, more = Steps.unpacked(*(getattr(row, c) for c in PACKED))(state)
-                    count += more
-            yield pd.DataFrame(found, columns=[*keys, bucket, "entered", "counted"])
-
-    entries = sorted_.mapInPandas(walk, f"{key_types}, entered long, counted long")
-    met = rows.join(entries, [*keys, bucket])
+    met = rows.join(entered(made, keys, bucket), [*keys, bucket])
 
     def go(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(order, kind="stable")
