@@ -11,6 +11,8 @@ from ruleloom.sources.tables import table
 from ruleloom.streaming import live
 
 ARMS, PARTS, SIZE, MOST = 20, 4, 50, 3
+#: At most so many triggers, however many files the input has: each begins all its tasks anew.
+TRIGGERS = 8
 
 
 def live_figures(spark, sf_dir):
@@ -29,7 +31,8 @@ def live_figures(spark, sf_dir):
         results.where(here).write.mode("append").parquet(f"{folder}/in")
     end = results.agg(F.lit("none").alias("arm"), F.lit(-1).cast("long").alias("id"), (F.max("at") + F.expr("INTERVAL 30 DAYS")).alias("at"), F.lit(None).cast("double").alias("latency"), F.lit(False).alias("failed"))
     end.write.mode("append").parquet(f"{folder}/in")
-    stream = spark.readStream.schema(results.schema).option("maxFilesPerTrigger", 8).parquet(f"{folder}/in")
+    files = len(spark.read.schema(results.schema).parquet(f"{folder}/in").inputFiles())
+    stream = spark.readStream.schema(results.schema).option("maxFilesPerTrigger", max(8, -(-files // TRIGGERS))).parquet(f"{folder}/in")
     done = live.write_figures(live.figures(stream, f"{int(step.total_seconds()) * 2} seconds", SIZE, MOST, silent_ms=10**11), folder)
     return done.where("id >= 0").select("arm", "id", "p50", "streak", "tripped")
 
