@@ -8,13 +8,15 @@ from pyspark.sql import functions as F
 
 #: White space in the wide sense: control blanks, all separators of Unicode, and the byte order mark.
 BLANK = r"[\s\x0B\p{Z}\x{FEFF}]"
-#: The same, one by one.
+#: Text of visible ASCII characters alone, which has none.
+VISIBLE = r"\A[!-~]*\z"
+#: The blanks, one by one.
 BLANKS = " \t\n\x0B\f\r\u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
 
 
 def collapse(x: Column) -> Column:
     """White space runs to one blank, none at the ends."""
-    return F.trim(F.regexp_replace(x, f"{BLANK}+", " "))
+    return F.when(x.rlike(VISIBLE), x).otherwise(F.trim(F.regexp_replace(x, f"{BLANK}+", " ")))
 
 
 def trimmed(x: Column) -> Column:
@@ -34,13 +36,13 @@ def first_present(*names: Column) -> Column:
 
 def digits(x: Column) -> Column:
     """Digits alone; null where there are none, so that nothing equals it."""
-    t = F.regexp_replace(x, "[^0-9]", "")
+    t = F.regexp_replace(x, "[^0-9]+", "")
     return F.when(t != "", t)
 
 
 def alnum(x: Column) -> Column:
     """Lower-case letters and digits alone; null where there are none."""
-    t = F.regexp_replace(F.lower(x), "[^a-z0-9]", "")
+    t = F.regexp_replace(F.lower(x), "[^a-z0-9]+", "")
     return F.when(t != "", t)
 
 
@@ -72,16 +74,20 @@ def person(x: Column) -> Column:
     """(first, last) of a name, written ``First Last`` or ``Last, First``;
     punctuation and middle initials are dropped; a single word is a first name
     with an empty last one. Null where there is no letter."""
-    def of_parts(parts: Column) -> Column:
-        n = F.size(parts)
-        kept = F.filter(parts, lambda p, i: (i == 0) | (i == n - 1) | (F.length(p) > 1))
-        return F.when(n > 0, F.struct(F.element_at(parts, 1).alias("first"), F.when(n > 1, F.try_element_at(kept, F.lit(-1))).otherwise("").alias("last")))
+    return bound(name_letters(x), person_of)
 
-    def of_text(t: Column) -> Column:
-        turned = F.when(t.contains(","), F.concat_ws(" ", F.regexp_replace(t, "^[^,]*,", ""), F.substring_index(t, ",", 1))).otherwise(t)
-        return bound(F.filter(F.transform(F.split(turned, "[ ]+"), lambda p: F.regexp_replace(p, "[^a-z]", "")), lambda p: p != ""), of_parts)
 
-    return bound(F.lower(collapse(x)), of_text)
+def name_letters(x: Column) -> Column:
+    """The words of a name, given name first, in lower-case letters alone."""
+    turned = F.regexp_replace(F.regexp_replace(F.lower(x), BLANK, " "), "(?s)^([^,]*),(.*)$", "$2 $1")
+    # most names are letters and blanks already
+    return F.trim(F.when(x.rlike(r"\A[A-Za-z ]*\z"), F.lower(x)).otherwise(F.regexp_replace(turned, "[^a-z ]+", "")))
+
+
+def person_of(letters: Column) -> Column:
+    """``person`` of what ``name_letters`` gave."""
+    last = F.when(letters.contains(" "), F.substring_index(letters, " ", -1)).otherwise("")
+    return F.when(letters != "", F.struct(F.substring_index(letters, " ", 1).alias("first"), last.alias("last")))
 
 
 def near_person(p: Column, q: Column, tolerance: int = 1) -> Column:
@@ -99,17 +105,24 @@ def same_date(a: Column, b: Column) -> Column:
     return F.coalesce(parse_date(a) == parse_date(b), F.lower(collapse(a)) == F.lower(collapse(b)), F.lit(False))
 
 
+MONTHS = ["jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec"]
+
+
 def parse_date(x: Column) -> Column:
     """ISO, month/day/year and ``Mon d, yyyy`` dates; anything else is null."""
-    def of_text(t: Column) -> Column:
-        month = F.initcap(F.lower(F.substring(t, 1, 3)))
-        named = F.concat_ws(" ", month, F.regexp_extract(t, r"^[A-Za-z]{3,9}\.?[ ]+([0-9]{1,2})", 1), F.regexp_extract(t, r"([0-9]{4})$", 1))
-        return F.coalesce(
-            F.when(t.rlike(r"^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}$"), F.try_to_date(t, "yyyy-M-d")),
-            F.when(t.rlike(r"^[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}$"), F.try_to_date(t, "M/d/yyyy")),
-            F.when(t.rlike(r"^[A-Za-z]{3,9}\.?[ ]+[0-9]{1,2},?[ ]+[0-9]{4}$"), F.try_to_date(named, "MMM d yyyy")))
-
-    return bound(blank_to_null(x), of_text)
+    return bound(blank_to_null(x), date_of)
+
+
+def date_of(t: Column) -> Column:
+    """``parse_date`` of a text without white space at its ends."""
+    def of(year: Column, month: Column, day: Column) -> Column:
+        return F.concat_ws("-", year, month, day).try_cast("date")
+
+    month = F.array_position(F.array(*map(F.lit, MONTHS)), F.lower(F.substring(t, 1, 3)))
+    return F.coalesce(
+        F.when(t.rlike(r"^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}$"), t.try_cast("date")),
+        F.when(t.rlike(r"^[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}$"), of(F.substring_index(t, "/", -1), F.substring_index(t, "/", 1), F.substring_index(F.substring_index(t, "/", 2), "/", -1))),
+        F.when(t.rlike(r"^[A-Za-z]{3,9}\.?[ ]+[0-9]{1,2},?[ ]+[0-9]{4}$"), of(F.right(t, F.lit(4)), month.cast("string"), F.regexp_extract(t, "[0-9]{1,2}", 0))))
 
 
 TIMESTAMP = r"\A(\d{4}-\d\d-\d\d)T(\d\d:\d\d:\d\d)(?:\.(\d+))?(Z|[+-]\d\d:?\d\d)?\z"

@@ -27,36 +27,47 @@ def safe_additions(cases: DataFrame, id_: str, evidence: str, additions: DataFra
     """(id, tried, refused, added, evidence, kept): each case with the first ``n`` of
     its ``additions`` (id, place, addition) that leave its label alone, one by one.
 
-    ``add(evidence, list)`` gives the evidence with a list of additions. What one
+    ``add(evidence, list)`` gives the evidence with a list of additions. Where ``part(addition)`` tells what
+    ``parse`` makes of an addition, and ``joined(parsed, parts)`` puts such parts into a case's fields, a case and
+    an addition are parsed once each, not once more for every pair of them and for what is kept. All else is as
+    in ``safe_parts``."""
+    before = cases.select(id_, F.col(evidence).alias("before"))
+    if part is not None and joined is not None:
+        told = safe_parts(before.withColumn("fields", parse(F.col("before"))), id_, additions.withColumn("part", part(F.col("addition"))), n, lambda f, p: p, joined, rules)
+    else:
+        told = safe_parts(before.withColumn("fields", F.col("before")), id_, additions.withColumn("part", F.col("addition")), n, lambda f, p: p, add, rules, parse)
+    grown = F.when(F.size("added") > 0, add(F.col("before"), F.col("added"))).otherwise(F.col("before"))
+    return told.select(id_, "tried", "refused", "added", grown.alias("evidence"), "label_before", "kept")
+
+
+def safe_parts(cases: DataFrame, id_: str, additions: DataFrame, n: int, seen: Callable[[Column, Column], Column], joined: Callable[[Column, Column], Column], rules: Callable[[Column], Column],
+               parse: Callable[[Column], Column] = lambda fields: fields) -> DataFrame:
+    """``cases`` (id, fields, ...) with tried, refused, added, label_before, kept: the first ``n`` of a case's
+    ``additions`` (id, place, addition, part) that leave its label alone, one by one.
+
+    ``part`` is an addition as it was parsed, perhaps for many cases at once; ``seen(fields, part)`` what the
+    rules read of it beside a case, and ``joined(fields, list)`` the fields with a list of such. What one
     by one is harmless may not be together, so the label is worked out again
-    with all of them: ``kept`` says whether it held. Cases without an addition
-    keep their evidence; additions without a case are none; of equal places of a case the
-    least addition comes first.
+    with all of them: ``kept`` says whether it held. One alone has been judged. Additions without a case are
+    none; of equal places of a case the least addition comes first.
 
     A case meets its own additions only, by key. Of a case with many, each task
     passes on its first ``n`` harmless ones alone (a limited window), so not more
-    than that for each task meet. Where ``part(addition)`` tells what ``parse`` makes of an addition,
-    and ``joined(parsed, parts)`` puts such parts into a case's fields, a case and an addition
-    are parsed once each, not once more for every pair of them."""
-    # decisions are many rules: worked out once for each row, behind whatever filter they are read
-    once = part is not None and joined is not None
-    fields = cases.select(id_, F.col(evidence).alias("before")).withColumn("fields", parse(F.col("before")))
-    own = kept(fields.withColumn("decision", rules(F.col("fields"))).select(id_, "before", *(["fields"] if once else []), F.col("decision.choice").alias("label_before")))
-    tried = own.join(additions.select(id_, "place", "addition"), id_)
-    if once:
-        tried = tried.drop("before").withColumn("part", part(F.col("addition"))).withColumn("after", joined(F.col("fields"), F.array("part")))
-    else:
-        tried = tried.withColumn("after", add(F.col("before"), F.array("addition")))
-    judged = P.decided(tried, "after", (lambda c: c) if once else parse, rules).select(id_, F.struct("place", "addition").alias("x"), F.col("decision.choice").eqNullSafe(F.col("label_before")).alias("kept"))
-    told = kept(judged)
-    rn = F.row_number().over(Window.partitionBy(id_).orderBy("x"))
-    first = told.where("kept").withColumn("rn", rn).where(F.col("rn") <= n).groupBy(id_).agg(F.array_sort(F.collect_list("x")).alias("xs"))
+    than that for each task meet."""
+    # parsing and deciding are many steps: worked out once for each row
+    own = kept(P.decided(cases, "fields", parse, rules).select(*cases.columns, F.col("decision.choice").alias("label_before")))
+    pairs = own.select(id_, "fields", "label_before").join(additions.select(id_, "place", "addition", "part"), id_)
+    tried = pairs.withColumn("seen", seen(F.col("fields"), F.col("part"))).withColumn("after", joined(F.col("fields"), F.array("seen")))
+    told = kept(P.decided(tried, "after", parse, rules).select(id_, "place", "addition", "seen", F.col("decision.choice").eqNullSafe(F.col("label_before")).alias("kept")))
+    rn = F.row_number().over(Window.partitionBy(id_).orderBy("place", "addition"))
+    first = told.where("kept").withColumn("rn", rn).where(F.col("rn") <= n).groupBy(id_).agg(F.array_sort(F.collect_list(F.struct("rn", "addition", "seen"))).alias("xs"))
     counts = told.groupBy(id_).agg(F.count("*").alias("tried"), F.count_if(~F.col("kept")).alias("refused"))
-    met = own.drop("fields").join(counts, id_, "left").join(first, id_, "left")
+    met = own.join(counts, id_, "left").join(first, id_, "left")
     added = F.coalesce(F.transform("xs", lambda x: x["addition"]), F.array().cast(f"array<{additions.schema['addition'].dataType.simpleString()}>"))
-    whole = met.withColumn("added", added).withColumn("evidence", F.when(F.size("added") > 0, add(F.col("before"), F.col("added"))).otherwise(F.col("before")))
-    final = P.decided(whole, "evidence", parse, rules).withColumn("kept", F.col("decision.choice").eqNullSafe(F.col("label_before")))
-    return final.select(id_, F.coalesce("tried", F.lit(0)).cast("long").alias("tried"), F.coalesce("refused", F.lit(0)).cast("long").alias("refused"), "added", "evidence", "label_before", "kept")
+    whole = met.withColumn("after", F.when(F.size("xs") > 1, joined(F.col("fields"), F.transform("xs", lambda x: x["seen"]))))
+    held = F.when(F.size("xs") > 1, F.col("decision.choice").eqNullSafe(F.col("label_before"))).otherwise(True)
+    return P.decided(whole, "after", parse, rules).select(*cases.columns, F.coalesce("tried", F.lit(0)).cast("long").alias("tried"), F.coalesce("refused", F.lit(0)).cast("long").alias("refused"),
+                                                          added.alias("added"), "label_before", held.alias("kept"))
 
 
 def rule_index(intents: list[tuple[str, list[str]]] | None = None, symptom: str = "nurse_triage") -> list[tuple[str, str]]:

@@ -34,8 +34,8 @@ def _of(c, form):
     }
 
 
-def chart_evidence(spark, sf_dir):
-    """(o_orderkey, ev): a request and its candidates as JSON."""
+def chart_evidence(spark, sf_dir, orders=None):
+    """(o_orderkey, ev): a request and its candidates as JSON, of all orders or those given."""
     k, c = F.col("o_orderkey"), F.col("o_custkey")
     p = {form: _of(c, form) for form in ("plain", "turned", "one", "two", "middle")}
     own, other = p["plain"], _of(c + len(GIVEN), "plain")
@@ -51,7 +51,8 @@ def chart_evidence(spark, sf_dir):
     request = reduce(lambda acc, i: F.when(k % len(made) == i, made[i]).otherwise(acc), range(len(made) - 1), made[-1])
     chart = lambda d: F.create_map(*(x for n, key in (("chart_id", "id"), ("registered_name", "name"), ("dob", "us"), ("phone_on_file", "phone"), ("email", "email"), ("address_on_file", "address")) for x in (F.lit(n), d[key])))
     candidates = F.when(k % 11 == 3, F.array(chart(other))).when(k % 13 == 5, F.array(chart(own), chart(own), chart(other))).otherwise(F.array(chart(other), chart(own)))
-    return table(spark, sf_dir, "orders").select("o_orderkey", F.to_json(F.struct(request.alias("request"), candidates.alias("candidates"))).alias("ev"))
+    orders = table(spark, sf_dir, "orders") if orders is None else orders
+    return orders.select("o_orderkey", F.to_json(F.struct(request.alias("request"), candidates.alias("candidates"))).alias("ev"))
 
 
 def chart_policy(spark, sf_dir):
@@ -101,18 +102,19 @@ def policy_rules(spark, sf_dir):
 def safe_fillers(spark, sf_dir):
     """Charts of other customers, and the own details under another number, that each order's
     candidates can take in without another decision: two at most."""
-    cases = chart_evidence(spark, sf_dir)
-    step = F.explode(F.array(*map(F.lit, EXTRAS))).alias("step")
-    wanted = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", step).withColumn("of", F.col("o_custkey") + 8 * F.col("step"))
+    keys = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    # orders are dealt out before they get their evidence, which takes far longer than to read them
+    dealt = keys.repartition(4 * spark.sparkContext.defaultParallelism, "o_orderkey")
+    cases = P.chart_cases(chart_evidence(spark, sf_dir, dealt), "o_orderkey", "ev")
     plain = _of(F.col("c_custkey"), "plain")
-    charts = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("of"), *(plain[n].alias(n) for n in ("id", "name", "us", "phone", "email", "address")))
-    number = F.when(F.col("step") == 0, F.concat(F.lit("9"), F.col("id"))).otherwise(F.col("id"))
-    chart = F.to_json(F.struct(number.alias("chart_id"), F.col("name").alias("registered_name"), F.col("us").alias("dob"), F.col("phone").alias("phone_on_file"), "email", F.col("address").alias("address_on_file")))
-    additions = wanted.join(charts, "of").select("o_orderkey", F.col("step").alias("place"), chart.alias("addition"))
-    grown = lambda ev, xs: F.concat(F.substring(ev, F.lit(1), F.length(ev) - 2), F.lit(","), F.array_join(xs, ","), F.lit("]}"))
-    kept = C.safe_additions(cases, "o_orderkey", "ev", additions, 2, grown, P.chart_evidence, P.chart_rules, P.chart_candidate, P.with_candidates)
-    ids = F.array_join(F.transform("added", lambda a: F.get_json_object(a, "$.chart_id")), ",")
-    return kept.select("o_orderkey", "tried", "refused", ids.alias("added"), F.col("label_before").alias("label"), "kept")
+    number = F.when(F.col("other"), plain["id"]).otherwise(F.concat(F.lit("9"), plain["id"]))
+    chart = F.to_json(F.struct(number.alias("chart_id"), plain["name"].alias("registered_name"), plain["us"].alias("dob"), plain["phone"].alias("phone_on_file"), plain["email"].alias("email"), plain["address"].alias("address_on_file")))
+    charts = table(spark, sf_dir, "customer").select("c_custkey", F.explode(F.array(F.lit(False), F.lit(True))).alias("other")).select(F.col("c_custkey").alias("of"), "other", F.from_json(chart, P.CANDIDATE_JSON).alias("part"), number.alias("addition"))
+    steps = keys.select("o_orderkey", "o_custkey", F.explode(F.array(*map(F.lit, EXTRAS))).alias("place"))
+    wanted = steps.select("o_orderkey", "place", (F.col("o_custkey") + 8 * F.col("place")).alias("of"), (F.col("place") != 0).alias("other"))
+    additions = wanted.join(P.with_details(charts, "part", P.CANDIDATE), ["of", "other"]).select("o_orderkey", "place", "addition", "part")
+    told = C.safe_parts(cases, "o_orderkey", additions, 2, P.chart_matched, P.chart_joined, P.chart_case_rules)
+    return told.select("o_orderkey", "tried", "refused", F.array_join("added", ",").alias("added"), F.col("label_before").alias("label"), "kept")
 
 
 def confuser_options(spark, sf_dir):
