@@ -119,10 +119,10 @@ def date_of(t: Column) -> Column:
         return F.concat_ws("-", year, month, day).try_cast("date")
 
     month = F.array_position(F.array(*map(F.lit, MONTHS)), F.lower(F.substring(t, 1, 3)))
-    return F.coalesce(
-        F.when(t.rlike(r"^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}$"), t.try_cast("date")),
-        F.when(t.rlike(r"^[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}$"), of(F.substring_index(t, "/", -1), F.substring_index(t, "/", 1), F.substring_index(F.substring_index(t, "/", 2), "/", -1))),
-        F.when(t.rlike(r"^[A-Za-z]{3,9}\.?[ ]+[0-9]{1,2},?[ ]+[0-9]{4}$"), of(F.right(t, F.lit(4)), month.cast("string"), F.regexp_extract(t, "[0-9]{1,2}", 0))))
+    us = of(F.substring_index(t, "/", -1), F.substring_index(t, "/", 1), F.substring_index(F.substring_index(t, "/", 2), "/", -1))
+    named = of(F.right(t, F.lit(4)), month.cast("string"), F.regexp_extract(t, "[0-9]{1,2}", 0))
+    return (F.when(t.contains("/"), F.when(t.rlike(r"^[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}$"), us)).when(t.rlike(r"^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}$"), t.try_cast("date"))
+            .when(t.rlike(r"^[A-Za-z]{3,9}\.?[ ]+[0-9]{1,2},?[ ]+[0-9]{4}$"), named))
 
 
 TIMESTAMP = r"\A(\d{4}-\d\d-\d\d)T(\d\d:\d\d:\d\d)(?:\.(\d+))?(Z|[+-]\d\d:?\d\d)?\z"

@@ -103,16 +103,18 @@ def safe_fillers(spark, sf_dir):
     """Charts of other customers, and the own details under another number, that each order's
     candidates can take in without another decision: two at most."""
     keys = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
-    # orders are dealt out before they get their evidence, which takes far longer than to read them
-    dealt = keys.repartition(4 * spark.sparkContext.defaultParallelism, "o_orderkey")
+    # orders and customers are dealt out before they get their evidence, which takes far longer than to read them
+    tasks = 4 * spark.sparkContext.defaultParallelism
+    dealt = keys.repartition(tasks, "o_orderkey")
     cases = P.chart_cases(chart_evidence(spark, sf_dir, dealt), "o_orderkey", "ev")
     plain = _of(F.col("c_custkey"), "plain")
     number = F.when(F.col("other"), plain["id"]).otherwise(F.concat(F.lit("9"), plain["id"]))
     chart = F.to_json(F.struct(number.alias("chart_id"), plain["name"].alias("registered_name"), plain["us"].alias("dob"), plain["phone"].alias("phone_on_file"), plain["email"].alias("email"), plain["address"].alias("address_on_file")))
-    charts = table(spark, sf_dir, "customer").select("c_custkey", F.explode(F.array(F.lit(False), F.lit(True))).alias("other")).select(F.col("c_custkey").alias("of"), "other", F.from_json(chart, P.CANDIDATE_JSON).alias("part"), number.alias("addition"))
+    charts = table(spark, sf_dir, "customer").select("c_custkey").repartition(tasks, "c_custkey").select("c_custkey", F.explode(F.array(F.lit(False), F.lit(True))).alias("other")).select(F.col("c_custkey").alias("of"), "other", number.alias("addition"), chart.alias("chart"))
+    parts = P.with_details(charts.withColumn("part", F.when(F.col("chart").isNotNull(), F.from_json("chart", P.CANDIDATE_JSON))), "part", P.CANDIDATE)
     steps = keys.select("o_orderkey", "o_custkey", F.explode(F.array(*map(F.lit, EXTRAS))).alias("place"))
     wanted = steps.select("o_orderkey", "place", (F.col("o_custkey") + 8 * F.col("place")).alias("of"), (F.col("place") != 0).alias("other"))
-    additions = wanted.join(P.with_details(charts, "part", P.CANDIDATE), ["of", "other"]).select("o_orderkey", "place", "addition", "part")
+    additions = wanted.join(parts, ["of", "other"]).select("o_orderkey", "place", "addition", "part")
     told = C.safe_parts(cases, "o_orderkey", additions, 2, P.chart_matched, P.chart_joined, P.chart_case_rules)
     return told.select("o_orderkey", "tried", "refused", F.array_join("added", ",").alias("added"), F.col("label_before").alias("label"), "kept")
 
